@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import encoding, sharding
 
 QUERIES = {
+    "op2_bpe": encoding.query,
     "op9_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {}
