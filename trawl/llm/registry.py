@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import encoding, sharding
+from . import encoding, packing, sharding
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_bpe": encoding.query,
     "op9_sharding": sharding.query,
 }
