@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import encoding, packing, sharding
+from . import encoding, packing, rules, sharding, tokencounts
 
 QUERIES = {
+    "op3_rules": rules.query,
+    "op8_tokencounts": tokencounts.query,
     "op1_packing": packing.query,
     "op2_bpe": encoding.query,
     "op9_sharding": sharding.query,
