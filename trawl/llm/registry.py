@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import encoding, licenses, neardup, packing, rules, sharding, tokencounts
+from . import encoding, licenses, neardup, packing, quality, rules, sharding, tokencounts
 
 QUERIES = {
+    "op7_quality": quality.query,
     "op6_neardup": neardup.query,
     "op5_licenses": licenses.query,
     "op3_rules": rules.query,
