@@ -67,7 +67,7 @@ def ratios(text: str, words: list[str], odd: float) -> tuple[float, ...]:
 
 
 #: Good below the first, bad above the second; for LABELLERS in order.
-LIMITS = ((0.02, 0.08), (0.2, 0.5), (0.15, 0.4), (0.05, 0.25), (0.02, 0.12), (0.05, 0.3), (0.7, 0.8), (0.1, 0.3), (0.2, 0.6))
+LIMITS = ((0.02, 0.08), (0.15, 0.3), (0.15, 0.4), (0.05, 0.25), (0.02, 0.12), (0.05, 0.3), (0.7, 0.8), (0.1, 0.3), (0.2, 0.6))
 
 
 class Shapes(dict):
@@ -122,7 +122,7 @@ def unpacked(code: int) -> tuple[int, ...]:
 
 @dataclass
 class LabelModel:
-    """rates[l, y, v]: probability that labeller l votes v on a document of class y (0 good, 1 bad)."""
+    """rates[l, y, v]: probability that labeller l's vote, if any, is v on a document of class y (0 good, 1 bad)."""
 
     prior: float
     rates: np.ndarray
@@ -131,13 +131,11 @@ class LabelModel:
     def accuracies(self) -> dict[str, float]:
         """Of each labeller, over the documents it votes on."""
         p = np.array([1 - self.prior, self.prior])
-        right = self.rates[:, 0, GOOD] * p[0] + self.rates[:, 1, BAD] * p[1]
-        cast = (self.rates[:, :, 1:].sum(axis=2) * p).sum(axis=1)
-        return dict(zip(LABELLERS, np.divide(right, cast, out=np.ones_like(right), where=cast > 0).tolist(), strict=True))
+        return dict(zip(LABELLERS, (self.rates[:, 0, GOOD] * p[0] + self.rates[:, 1, BAD] * p[1]).tolist(), strict=True))
 
 
 def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> LabelModel:
-    """Classes start from any bad vote against good ones, weighed; 1 is added to each count of a labeller's votes."""
+    """Classes start from any bad vote against good ones; 1 is added to each count.  A labeller that doesn't vote says nothing."""
     codes = sorted(counts)
     cast = np.array([unpacked(c) for c in codes], int).reshape(len(codes), len(LABELLERS))
     weight = np.array([counts[c] for c in codes], float)
@@ -148,7 +146,8 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> LabelM
         prior = float(np.clip((weight @ bad) / weight.sum(), 1e-6, 1 - 1e-6))
         for y, share in enumerate((1 - bad, bad)):
             seen = np.tensordot(weight * share, one_hot, 1) + 1
-            rates[:, y] = seen / seen.sum(axis=1, keepdims=True)
+            rates[:, y] = seen / seen[:, 1:].sum(axis=1, keepdims=True)
+        rates[:, :, NOTHING] = 1.0
         log = np.log(rates)
         score = np.tensordot(one_hot, log[:, 1] - log[:, 0], 2) + np.log(prior / (1 - prior))
         bad = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
