@@ -56,6 +56,8 @@ def char_class(*kinds: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds)
 
 
+#: Rank and result of a pair that no merge is for.
+NO_MERGE = (1 << 30, None)
 #: Code points under PLAIN with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0"
 ABOVE_PLAIN = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
@@ -103,14 +105,17 @@ class Merges:
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of one finite run of symbols, lowest rank first, leftmost first."""
         rank = self.rank
-        if len(ids) < 24:
+        if len(ids) < 48:
             ids = list(ids)
-            while len(ids) > 1:
-                best = min(((rank.get((a, b)) or (1 << 30, 0))[0], i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
-                if best[0] == 1 << 30:
-                    break
-                i = best[1]
-                ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
+            ranks = [(rank.get(p) or NO_MERGE)[0] for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (best := min(ranks)) != NO_MERGE[0]:
+                i = ranks.index(best)
+                ids[i : i + 2] = (made,) = (rank[ids[i], ids[i + 1]][1],)
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = (rank.get((ids[i - 1], made)) or NO_MERGE)[0]
+                if i < len(ranks):
+                    ranks[i] = (rank.get((made, ids[i + 1])) or NO_MERGE)[0]
             return ids
         n = len(ids)
         sym, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -163,7 +168,29 @@ class Merges:
         yield self.last_id[word[-1]]
 
     def word(self, word: str) -> list[int]:
-        return list(self.stream(self.symbols(word.encode("utf-8"))))
+        """Tokens of a word.  One that fits the lookahead is a single window and goes through in one step."""
+        data = word.encode("utf-8")
+        symbols = self.symbols(data)
+        return self.merge(list(symbols)) if len(data) <= (self.lookahead or 0) else list(self.stream(symbols))
+
+
+class Memo(dict):
+    """Ids of words as bytes.  Two generations of at most MEMO_WORDS each: frequent words stay, memory is bounded."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.old = merges, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = array("I", self.merges.word(word)).tobytes()
+            if len(word) > MEMO_CHARS:
+                return got
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
 
 
 class Encoder:
@@ -171,7 +198,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.merges)
         names = sorted(self.merges.special, key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, names))) if names else None
         self.margin = max(map(len, names), default=1)
@@ -212,8 +239,7 @@ class Encoder:
         yield text[at:]
 
     def encode(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, word by word."""
-        memo = self.memo
+        """Ids as little-endian unsigned 32-bit integers, block by block."""
         for piece in self.pieces(text):
             if isinstance(piece, int):
                 yield piece.to_bytes(4, "little")
@@ -221,15 +247,7 @@ class Encoder:
             for block in self.blocks(piece):
                 block = self.normal(block)
                 words = (self.full if ABOVE_PLAIN.search(block) else self.plain).findall(block)
-                for w in words:
-                    got = memo.get(w)
-                    if got is None:
-                        got = array("I", self.merges.word(w)).tobytes()
-                        if len(w) <= MEMO_CHARS:
-                            if len(memo) >= MEMO_WORDS:
-                                memo.clear()
-                            memo[w] = got
-                    yield got
+                yield b"".join(map(self.memo.__getitem__, words))
 
 
 class Decoder:
@@ -263,8 +281,11 @@ class Decoder:
         self.started = False
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int]) -> str:
-        found = [self.table[i] for i in ids if i in self.table]
+    def feed(self, ids: list[int]) -> str:
+        try:
+            found = list(map(self.table.__getitem__, ids))
+        except KeyError:
+            found = [self.table[i] for i in ids if i in self.table]
         if not found:
             return ""
         if self.form == "library":
