@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import encoding, licenses, neardup, packing, quality, rules, sharding, tokencounts
+from . import chat, encoding, fingerprints, licenses, neardup, packing, quality, rules, sharding, tokencounts
 
 QUERIES = {
+    "op4_fingerprints": fingerprints.query,
+    "op10_chat": chat.query,
     "op7_quality": quality.query,
     "op6_neardup": neardup.query,
     "op5_licenses": licenses.query,
@@ -14,4 +16,6 @@ QUERIES = {
     "op2_bpe": encoding.query,
     "op9_sharding": sharding.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat": chat.SQL,
+}
