@@ -122,15 +122,28 @@ def jaccard(one: Column, two: Column) -> Column:
     return F.when((F.size(one) == 0) | (F.size(two) == 0), 0.0).otherwise(both / F.size(F.array_union(one, two)))
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, with c evaluated once: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def word_shingles(words: Column, size: int = 5) -> Column:
     """Distinct runs of `size` words joined by spaces; the whole if there are fewer; none of nothing."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
+        found = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(found)
+
+    return bound(words, runs)
 
 
 def phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often a run of words occurs in an array."""
-    k = len(phrase)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(words, i, k) == F.array(*map(F.lit, phrase))))
+    k, wanted = len(phrase), F.array(*map(F.lit, phrase))
+
+    def count(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
+        return F.size(F.filter(starts, lambda i: F.slice(w, i, k) == wanted))
+
+    return bound(words, count)

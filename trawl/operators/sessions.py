@@ -9,14 +9,15 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.pytext import split_text_udf
 
-BY_POSITION = Window.partitionBy("conversation_id").orderBy("active_position")
-BY_TURN = Window.partitionBy("conversation_id").orderBy("turn_index")
+
+def by(order: str):
+    return Window.partitionBy("conversation_id").orderBy(order)
 
 
 def in_turns(messages: DataFrame) -> DataFrame:
     """Active user and assistant messages with their turn: each user message opens one; what comes before the first is left out."""
     spoken = messages.where("is_active and role in ('user', 'assistant')")
-    opened = F.sum((F.col("role") == "user").cast("int")).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opened = F.sum((F.col("role") == "user").cast("int")).over(by("active_position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return spoken.withColumn("turn_index", (opened - 1).cast("int")).where("turn_index >= 0")
 
 
@@ -35,9 +36,9 @@ def turns(messages: DataFrame, accept: str = L.ACCEPT, reject: str = L.REJECT) -
         "conversation_id", "turn_index", "create_time", "user_message_ids", F.transform("told", lambda m: m["message_id"]).alias("assistant_message_ids"),
         "user_text", X.clean_text(F.array_join(texts, "\n\n")).alias("assistant_text"),
     )
-    following = F.lead("user_text", 1, "").over(BY_TURN)
+    following = F.lead("user_text", 1, "").over(by("turn_index"))
     rows = rows.withColumn("acceptance", X.acceptance(following, accept, reject))
-    return rows.withColumn("previous_acceptance", F.coalesce(F.lag("acceptance").over(BY_TURN), F.lit("unknown")))
+    return rows.withColumn("previous_acceptance", F.coalesce(F.lag("acceptance").over(by("turn_index")), F.lit("unknown")))
 
 
 def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CHARS, overlap: int = L.CHUNK_OVERLAP) -> DataFrame:
@@ -76,7 +77,7 @@ def turn_window(all_turns: DataFrame, seeds: DataFrame, before: int = 1, after:
 def neighbours(all_turns: DataFrame) -> DataFrame:
     """Each turn with the one before and the one after as structs."""
     around = F.struct("turn_index", "user_text", "assistant_text", "acceptance")
-    return all_turns.withColumn("previous", F.lag(around).over(BY_TURN)).withColumn("following", F.lead(around).over(BY_TURN))
+    return all_turns.withColumn("previous", F.lag(around).over(by("turn_index"))).withColumn("following", F.lead(around).over(by("turn_index")))
 
 
 def dated_inclusive(seconds: Column, first: float | None, last: float | None) -> Column:

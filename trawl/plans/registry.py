@@ -4,11 +4,631 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import intent as I
+from ..functions import lexicon as L
+from ..functions import pytext
+from ..functions import text as X
+from ..operators import fusion, inverted, ordering, scoring, sessions, statistics, vectors
+from ..sources import exports
+from . import sql as S
+from .engine import Archive, archive_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+QUESTION = "the erin and thon of ther"
+PHRASES = [["of", "the"], ["the"], ["and", "the"], ["der"]]
+MOMENT = 1704067200.0
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return exports.from_flat(read(spark, sf_dir, "conversations"))
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inverted.with_tokens(sessions.chunks(*flat(spark, sf_dir)))
+
+
+def invented_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.turns(flat(spark, sf_dir)[1], S.ACCEPT, S.REJECT)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scored turns: the customer is the conversation, the price the score."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("conversation_id"),
+        F.col("o_orderkey").cast("int").alias("turn_index"),
+        F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("create_time"),
+        F.round(F.col("o_totalprice") / 600000.0, 8).alias("score"),
+        F.lit(0.0).alias("exact"),
+        F.lit("user").alias("matched_role"),
+        F.col("o_orderkey").alias("first_chunk"),
+    )
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Plain search over the conversations: the ten best turns for a question."""
+    return Archive.from_conversations(spark, read(spark, sf_dir, "conversations")).search(QUESTION, limit=10)
+
+
+# --- turns ---
+
+
+@query("turns_sessionized", f"WITH {S.turns()} SELECT conversation_id, turn_index, create_time, user_text, assistant_text, CAST(1 AS INT) AS n_user, CAST(n_assistant AS INT) AS n_assistant FROM turns")
+def _(spark, d):
+    return invented_turns(spark, d).select("conversation_id", "turn_index", "create_time", "user_text", "assistant_text", F.size("user_message_ids").alias("n_user"), F.size("assistant_message_ids").alias("n_assistant"))
+
+
+@query("turn_acceptance", f"WITH {S.turns()} SELECT conversation_id, turn_index, acceptance FROM turns")
+def _(spark, d):
+    return invented_turns(spark, d).select("conversation_id", "turn_index", "acceptance")
+
+
+@query("turn_acceptance_default", f"WITH {S.turns('this is perfect|nailed it', 'nah|nope')} SELECT acceptance, count(*) AS n FROM turns GROUP BY 1")
+def _(spark, d):
+    return sessions.turns(flat(spark, d)[1], "this is perfect|nailed it", "nah|nope").groupBy("acceptance").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("previous_acceptance", f"WITH {S.turns()} SELECT c.conversation_id, c.turn_index, coalesce(p.acceptance, 'unknown') AS previous_acceptance FROM turns c LEFT JOIN turns p ON p.conversation_id = c.conversation_id AND p.turn_index = c.turn_index - 1")
+def _(spark, d):
+    return invented_turns(spark, d).select("conversation_id", "turn_index", "previous_acceptance")
+
+
+@query(
+    "user_signal_counts",
+    f"""WITH {S.MESSAGES}, s AS (SELECT CASE WHEN regexp_matches(text, '(?i){S.REJECT}') THEN 'possible_rejection' WHEN regexp_matches(text, '(?i){S.REFINE}') THEN 'possible_correction_or_refinement'
+    WHEN regexp_matches(text, '(?i){S.ACCEPT}') THEN 'possible_adoption_or_confirmation' ELSE 'none' END AS signal FROM msg WHERE role = 'user') SELECT signal, count(*) AS n FROM s GROUP BY 1""",
+)
+def _(spark, d):
+    users = flat(spark, d)[1].where("role = 'user'")
+    return users.groupBy(F.coalesce(X.user_signal(F.col("text"), S.REJECT, S.REFINE, S.ACCEPT), F.lit("none")).alias("signal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "turn_window",
+    f"""WITH {S.turns()}, seeds AS (SELECT conversation_id, max(turn_index) // 2 AS seed FROM turns GROUP BY 1)
+    SELECT t.conversation_id, CAST(s.seed AS INT) AS seed, t.turn_index, t.user_text, t.acceptance FROM seeds s JOIN turns t ON t.conversation_id = s.conversation_id AND t.turn_index BETWEEN s.seed - 1 AND s.seed + 1""",
+)
+def _(spark, d):
+    t = invented_turns(spark, d)
+    seeds = t.groupBy("conversation_id").agg(F.floor(F.max("turn_index") / 2).cast("int").alias("turn_index"))
+    return sessions.turn_window(t, seeds, 1, 1).select("conversation_id", "seed", "turn_index", "user_text", "acceptance")
+
+
+@query(
+    "turn_neighbours",
+    f"""WITH {S.turns()} SELECT conversation_id, turn_index, lag(user_text) OVER w AS previous_user, lead(user_text) OVER w AS following_user FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY turn_index)""",
+)
+def _(spark, d):
+    return sessions.neighbours(invented_turns(spark, d)).select("conversation_id", "turn_index", F.col("previous.user_text").alias("previous_user"), F.col("following.user_text").alias("following_user"))
+
+
+@query("source_uri", f"WITH {S.turns()} SELECT concat('archive://conversation/', conversation_id, '/turn/', turn_index) AS uri, strftime(make_timestamp(CAST(create_time * 1000000 AS BIGINT)), '%Y-%m-%d') AS day FROM turns")
+def _(spark, d):
+    return invented_turns(spark, d).select(X.source_uri(F.col("conversation_id"), F.col("turn_index")).alias("uri"), X.timestamp_iso(F.col("create_time")).alias("day"))
+
+
+# --- counts ---
+
+
+@query(
+    "archive_stats",
+    f"""WITH {S.turns()}, c AS (SELECT count(*) AS chunks FROM spoken WHERE text <> '')
+    SELECT count(DISTINCT conversation_id) AS conversations, count(*) AS messages, count(*) AS active_messages, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages,
+    min(create_time) AS first_time, max(create_time) AS last_time, (SELECT count(*) FROM turns) AS turns, (SELECT count(*) FROM turns WHERE acceptance = 'accepted') AS accepted_turns,
+    (SELECT count(*) FROM turns WHERE acceptance = 'rejected') AS rejected_turns, (SELECT chunks FROM c) AS chunks FROM msg""",
+)
+def _(spark, d):
+    conversations, messages = flat(spark, d)
+    return statistics.archive_stats({"conversations": conversations, "messages": messages, "turns": invented_turns(spark, d), "chunks": sessions.chunks(conversations, messages)})
+
+
+@query("role_counts", f"WITH {S.MESSAGES} SELECT role, count(*) AS n FROM msg GROUP BY role")
+def _(spark, d):
+    return statistics.role_counts(flat(spark, d)[1])
+
+
+@query("file_stats", "SELECT 'flat' AS source_file, count(DISTINCT conv_id) AS conversations, count(*) AS messages FROM conversations")
+def _(spark, d):
+    return statistics.file_stats(flat(spark, d)[0])
+
+
+@query("date_window_inclusive", f"WITH {S.MESSAGES} SELECT message_id FROM msg WHERE create_time >= {MOMENT} AND create_time <= {MOMENT + 20 * 432000}")
+def _(spark, d):
+    return flat(spark, d)[1].where(sessions.dated_inclusive(F.col("create_time"), MOMENT, MOMENT + 20 * 432000)).select("message_id")
+
+
+@query("date_window_halfopen", f"WITH {S.MESSAGES} SELECT message_id FROM msg WHERE create_time >= {MOMENT} AND create_time < {MOMENT + 20 * 432000}")
+def _(spark, d):
+    return flat(spark, d)[1].where(sessions.dated_half_open(F.col("create_time"), MOMENT, MOMENT + 20 * 432000)).select("message_id")
+
+
+# --- index ---
+
+
+@query("chunk_ids", f"WITH {S.CHUNKS} SELECT chunk_id, conversation_id, turn_index, message_id, role, create_time, title, sha256(text) AS content_hash FROM chunks")
+def _(spark, d):
+    return sessions.chunks(*flat(spark, d)).select("chunk_id", "conversation_id", "turn_index", "message_id", "role", "create_time", "title", "content_hash")
+
+
+@query("term_df", f"WITH {S.CHUNKS} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest(list_concat(title_tokens, text_tokens)) AS term FROM docs) GROUP BY term")
+def _(spark, d):
+    terms = inverted.postings(chunked(spark, d))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("tf_title") + F.col("tf_text")).alias("cf"))
+
+
+@query("corpus_stats", f"WITH {S.CHUNKS} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def _(spark, d):
+    return inverted.corpus_stats(chunked(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def scored(spark, d, searches):
+    rows = chunked(spark, d)
+    return inverted.bm25(rows, inverted.postings(rows), inverted.corpus_stats(rows), searches).select("search", "chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+OR, AND, PHRASE = [([["the"], ["thon"], ["der"]], False)], [([["the"], ["of"], ["and"]], True)], [([["of", "the"]], False)]
+
+
+def scored_sql(searches) -> str:
+    return f"WITH {S.bm25(searches)} SELECT search, chunk_id, round(bm25, 6) AS bm25 FROM ranked"
+
+
+@query("bm25_or", scored_sql(OR))
+def _(spark, d):
+    return scored(spark, d, OR)
+
+
+@query("bm25_and", scored_sql(AND))
+def _(spark, d):
+    return scored(spark, d, AND)
+
+
+@query("bm25_phrase", scored_sql(PHRASE))
+def _(spark, d):
+    return scored(spark, d, PHRASE)
+
+
+@query("prefix_match", f"WITH {S.CHUNKS} SELECT chunk_id FROM docs WHERE len(list_filter(list_concat(title_tokens, text_tokens), lambda t: starts_with(t, 'tho'))) > 0")
+def _(spark, d):
+    return inverted.prefix_match(inverted.postings(chunked(spark, d)), "tho")
+
+
+@query(
+    "variant_rank",
+    f"""WITH {S.bm25([*OR, *PHRASE])}, r AS (SELECT search, chunk_id, row_number() OVER (PARTITION BY search ORDER BY round(bm25, 12), chunk_id) AS rank FROM ranked)
+    SELECT search, chunk_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 25""",
+)
+def _(spark, d):
+    rows = chunked(spark, d)
+    hits = inverted.bm25(rows, inverted.postings(rows), inverted.corpus_stats(rows), [*OR, *PHRASE])
+    return inverted.top_ranks(hits, 25, [F.round("bm25", 12).asc(), F.col("chunk_id").asc()]).select("search", "chunk_id", "rank")
+
+
+SEARCHES = I.weighted_searches(QUESTION)
+SEARCH_TOKENS = [([p.split(" ") for p in phrases], needs_all) for phrases, needs_all, _ in SEARCHES]
+LEXICAL = f"""{S.bm25(SEARCH_TOKENS)},
+r AS (SELECT search, chunk_id, row_number() OVER (PARTITION BY search ORDER BY round(bm25, 12), chunk_id) AS rank FROM ranked),
+weights(search, weight) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE)" for i, (_, _, w) in enumerate(SEARCHES))}),
+lex AS (SELECT r.chunk_id, round(sum(weight * CASE WHEN role = 'user' THEN 1.35 ELSE 0.45 END / (60.0 + rank)), 12) AS score, min(rank) AS lexical_rank
+  FROM r JOIN weights USING (search) JOIN chunks c ON c.chunk_id = r.chunk_id WHERE rank <= 250 GROUP BY r.chunk_id)"""
+
+
+@query("lexical_search", f"WITH {LEXICAL} SELECT chunk_id, round(score, 8) AS score, CAST(lexical_rank AS INT) AS lexical_rank FROM lex")
+def _(spark, d):
+    return Archive.from_conversations(spark, read(spark, d, "conversations")).lexical(QUESTION, 250).select("chunk_id", F.round("score", 8).alias("score"), "lexical_rank")
+
+
+@query(
+    "search_turns",
+    f"""WITH {LEXICAL}, t AS (SELECT c.conversation_id, c.turn_index, min_by(l.chunk_id, (-l.score, l.chunk_id)) AS chunk_id, round(max(l.score) + 0.2 * (sum(l.score) - max(l.score)), 12) AS score FROM lex l JOIN chunks c USING (chunk_id) GROUP BY 1, 2)
+    SELECT conversation_id, turn_index, chunk_id, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INT) AS place FROM t ORDER BY score DESC, chunk_id LIMIT 12""",
+)
+def _(spark, d):
+    found = Archive.from_conversations(spark, read(spark, d, "conversations")).search(QUESTION)
+    return found.select("conversation_id", "turn_index", "chunk_id", F.round("score", 8).alias("score"), "place")
+
+
+TERM_SQL = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
+
+
+@query(
+    "searchable_terms",
+    f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_’'']+')) AS word FROM conversations), t AS (SELECT conv_id, turn, trim(word, '’''') AS word FROM w)
+    SELECT conv_id, turn, count(DISTINCT word) AS n, max(word) AS last_word FROM t WHERE length(word) > 1 AND word NOT IN ({TERM_SQL}) GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", X.searchable_terms(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return rows.select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.array_max("t").alias("last_word"))
+
+
+# --- vectors and fusion ---
+
+DOT = "list_sum(list_transform(list_zip(e.embedding, q.v), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+NEAR = f"q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, {DOT} AS similarity FROM embeddings e, q)"
+
+
+def probe(spark, d) -> tuple[DataFrame, list[float]]:
+    e = read(spark, d, "embeddings")
+    return e, list(e.where("vec_id = 0").first()["embedding"])
+
+
+@query("cosine_topk", f"WITH {NEAR} SELECT vec_id, round(similarity, 6) AS similarity, CAST(row_number() OVER (ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 20")
+def _(spark, d):
+    return vectors.nearest(*probe(spark, d), 20, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    "cosine_topk_filtered",
+    f"""WITH {NEAR}, t AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS raw FROM s), k AS (SELECT * FROM t WHERE raw <= 60 AND vec_id % 3 = 0 ORDER BY raw LIMIT 20)
+    SELECT vec_id, round(similarity, 6) AS similarity, CAST(row_number() OVER (ORDER BY raw) AS INT) AS rank FROM k""",
+)
+def _(spark, d):
+    e, v = probe(spark, d)
+    return vectors.nearest_filtered(e, v, 20, e, F.col("vec_id") % 3 == 0, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    "hybrid_rrf",
+    f"""WITH {NEAR}, sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM s), lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+    u AS (SELECT id, rank, 1.0 AS w, 's' AS l FROM sem WHERE rank <= 100 UNION ALL SELECT id, rank, 1.6, 'l' FROM lex WHERE rank <= 100)
+    SELECT id AS chunk_id, round(sum(w * CASE WHEN id % 2 = 0 THEN 1.15 ELSE 0.70 END / (60.0 + rank)), 8) AS score, CAST(min(rank) FILTER (WHERE l = 'l') AS INT) AS lexical_rank, CAST(min(rank) FILTER (WHERE l = 's') AS INT) AS semantic_rank FROM u GROUP BY id""",
+)
+def _(spark, d):
+    role = lambda df: df.withColumn("role", F.when(F.col("chunk_id") % 2 == 0, "user").otherwise("assistant"))
+    near = role(vectors.nearest(*probe(spark, d), 100, "vec_id").withColumnRenamed("vec_id", "chunk_id"))
+    long = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars").orderBy(F.desc("n_chars"), "chunk_id").limit(100)
+    long = role(vectors.with_rank(long, [F.desc("n_chars"), F.col("chunk_id")]))
+    return fusion.fuse_lists(long, near, 1.6, 1.0).withColumn("score", F.round("score", 8))
+
+
+@query("semantic_only_ids", f"WITH {NEAR} SELECT vec_id FROM s WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def _(spark, d):
+    labelled = read(spark, d, "labels").select("doc_id").where("doc_id is not null")
+    return read(spark, d, "embeddings").join(labelled, F.col("vec_id") == F.col("doc_id"), "left_anti").select("vec_id")
+
+
+@query("id_membership", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(spark, d):
+    ids = read(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("wanted"))
+    return read(spark, d, "documents").join(ids, F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", "n_chars")
+
+
+# --- totals of turns and score components, on scores made from the text's length ---
+
+MADE = "round((length(text) % 97) / 97.0, 8)"
+
+
+def made_scores(spark, d) -> DataFrame:
+    return sessions.chunks(*flat(spark, d)).withColumn("score", F.round((F.char_length("text") % 97) / 97.0, 8)).withColumn("exact", F.lit(0.0))
+
+
+@query(
+    "turn_aggregate_plain",
+    f"WITH {S.CHUNKS}, m AS (SELECT *, {MADE} AS score FROM chunks) SELECT conversation_id, turn_index, min_by(chunk_id, (-score, chunk_id)) AS chunk_id, round(max(score) + 0.2 * (sum(score) - max(score)), 8) AS score FROM m GROUP BY 1, 2",
+)
+def _(spark, d):
+    return fusion.hits_to_turns(made_scores(spark, d)).select("conversation_id", "turn_index", "chunk_id", F.round("score", 8).alias("score"))
+
+
+@query(
+    "turn_aggregate_context",
+    f"""WITH {S.CHUNKS}, m AS (SELECT *, {MADE} AS score FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, turn_index ORDER BY score DESC, CASE WHEN role = 'user' THEN 0 ELSE 1 END, create_time, chunk_id) AS place FROM m)
+    SELECT conversation_id, turn_index, min(chunk_id) AS first_chunk, round(least(1.0, max(score) FILTER (WHERE place = 1) + round(least(0.08, 0.03 * coalesce(sum(score) FILTER (WHERE place BETWEEN 2 AND 5), 0)), 8)), 8) AS score FROM r GROUP BY 1, 2""",
+)
+def _(spark, d):
+    empty = F.array().cast("array<struct<name:string,raw:double,weight:double,contribution:double>>")
+    rows = made_scores(spark, d).withColumn("components", empty).withColumn("correction_signal", F.lit(0.0))
+    for name in ("user_text", "assistant_text", "acceptance", "previous_acceptance"):
+        rows = rows.withColumn(name, F.lit(""))
+    return scoring.turn_totals(rows, 1_000_000).select("conversation_id", "turn_index", "first_chunk", "score")
+
+
+@query("corroboration", f"WITH {S.CHUNKS} SELECT conversation_id, round(least(1.0, log2(1 + count(DISTINCT turn_index)) / 3.0), 8) AS corroboration FROM chunks GROUP BY 1")
+def _(spark, d):
+    spread = sessions.chunks(*flat(spark, d)).groupBy("conversation_id").agg(F.countDistinct("turn_index").alias("n"))
+    return spread.select("conversation_id", F.round(scoring.corroboration(F.col("n")), 8).alias("corroboration"))
+
+
+@query("recency_normalised", f"WITH {S.CHUNKS}, b AS (SELECT min(create_time) AS a, max(create_time) AS z FROM chunks) SELECT chunk_id, round((create_time - a) / (z - a), 8) AS recency FROM chunks, b")
+def _(spark, d):
+    rows = sessions.chunks(*flat(spark, d))
+    span = rows.agg(F.min("create_time").alias("a"), F.max("create_time").alias("z"))
+    return rows.join(F.broadcast(span)).select("chunk_id", F.round(scoring.normalized_time(F.col("create_time"), F.col("a"), F.col("z")), 8).alias("recency"))
+
+
+@query(
+    "title_jaccard",
+    """WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[a-z]+')) AS words FROM conversations), q AS (SELECT ['the', 'and', 'of', 'erin', 'der'] AS asked)
+    SELECT conv_id, turn, CASE WHEN len(words) = 0 THEN 0.0 ELSE round(len(list_intersect(words, asked)) / len(list_distinct(list_concat(words, asked))), 8) END AS overlap FROM t, q""",
+)
+def _(spark, d):
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.translate("text", *X.accents())), F.lit("([a-z]+)"), F.lit(1)))
+    asked = F.array(*map(F.lit, ["the", "and", "of", "erin", "der"]))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.round(X.jaccard(words, asked), 8).alias("overlap"))
+
+
+@query(
+    "lexical_strength",
+    f"""WITH {S.bm25([*OR, *AND, *PHRASE])}, r AS (SELECT search, chunk_id, row_number() OVER (PARTITION BY search ORDER BY round(bm25, 12), chunk_id) AS rank FROM ranked),
+    v AS (SELECT chunk_id, (0.5 + 0.25 * search) * 61.0 / (60.0 + rank) AS value FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY value DESC) AS n FROM v)
+    SELECT chunk_id, round(least(1.0, max(value) FILTER (WHERE n = 1) + 0.12 * coalesce(sum(value) FILTER (WHERE n BETWEEN 2 AND 3), 0)), 8) AS strength FROM k GROUP BY 1""",
+)
+def _(spark, d):
+    rows = chunked(spark, d)
+    hits = inverted.bm25(rows, inverted.postings(rows), inverted.corpus_stats(rows), [*OR, *AND, *PHRASE])
+    ranked = inverted.top_ranks(hits, 1_000_000, [F.round("bm25", 12).asc(), F.col("chunk_id").asc()])
+    matches = ranked.groupBy("chunk_id").agg(F.collect_list(F.struct((0.5 + 0.25 * F.col("search")).alias("weight"), "rank")).alias("matches"))
+    return matches.select("chunk_id", F.round(scoring.lexical_strength(F.col("matches")), 8).alias("strength"))
+
+
+@query(
+    "weighted_score",
+    f"""WITH {S.CHUNKS}, m AS (SELECT chunk_id, role, {MADE} AS a, round((length(text) % 31) / 31.0, 8) AS b FROM chunks)
+    SELECT chunk_id, round(greatest(0.0, least(1.0, round(a * 0.22, 8) + round(b * 0.22, 8) + round(a * 0.10, 8) + round(b * 0.05, 8) + CASE WHEN role = 'user' THEN 0.15 ELSE 0 END + round(b * 0.15, 8) + round(a * 0.06, 8) + round(b * 0.05, 8)
+    - CASE WHEN role = 'assistant' THEN 0.20 ELSE 0 END)), 6) AS score FROM m""",
+)
+def _(spark, d):
+    a, b = F.col("score"), F.round((F.char_length("text") % 31) / 31.0, 8)
+    user = F.when(F.col("role") == "user", 1.0).otherwise(0.0)
+    raw = dict(zip(L.COMPONENTS, (a, b, a, b, user, b, a, b), strict=True))
+    total, _parts = scoring.weighted_total(raw, "correction")
+    total = total + scoring.adjustment(F.col("role"), F.lit("rejected"))
+    return made_scores(spark, d).select("chunk_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("score"))
+
+
+@query(
+    "exact_strength",
+    """WITH m AS (SELECT doc_id, regexp_replace(lower(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g') AS hay FROM documents)
+    SELECT doc_id, CASE WHEN contains(hay, 'released under the mit license') THEN 1.0 WHEN contains(hay, 'apache') THEN 0.75 ELSE 0.0 END AS strength FROM m""",
+)
+def _(spark, d):
+    intent = I.Intent("recall", (), "", ("Released  under the MIT License",), ("Apache",))
+    hay = pytext.match_form_udf(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", scoring.exact_strength(hay, intent, "").cast("double").alias("strength"))
+
+
+ASKED = [
+    "what is the latest plan", "when did i first start it", "how has it changed over time", "what did we decide about the roadmap", "give me the exact quote", "that was wrong, what instead",
+    "tell me about thon", "where are we now", "early days and recent ones", 'he said "of the thon" once', "not this but that", "verbatim please", "final position on plans", "incorrectly", "currently",
+]
+
+
+def _mode_sql() -> str:
+    patterns = dict(I.FLAGS)
+    whens = " ".join(f"WHEN regexp_matches(q, '(?i){patterns[f]}')" + (" OR regexp_matches(q, '[\"“].{2,300}?[\"”]')" if f == "exact_phrase" else "") + f" THEN '{m}'" for f, m in I.MODES)
+    rows = ", ".join("('" + q.replace("'", "''") + "')" for q in ASKED)
+    return f"SELECT q, CASE {whens} ELSE 'recall' END AS mode FROM (VALUES {rows}) t(q)"
+
+
+@query("intent_modes", _mode_sql())
+def _(spark, d):
+    asked = spark.createDataFrame([(q,) for q in ASKED], "q string")
+    return asked.select("q", I.mode_column(F.col("q")).alias("mode"))
+
+
+# --- orders by time ---
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    return rows.select("conversation_id", "turn_index", "place")
+
+
+@query("earliest", f"WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.55)) SELECT conversation_id, turn_index, score FROM k ORDER BY create_time, score DESC, conversation_id, turn_index LIMIT 50")
+def _(spark, d):
+    rows = ordering.qualified(orders(spark, d), False)
+    return rows.orderBy(*ordering.by_time(rows, "earliest")).limit(50).select("conversation_id", "turn_index", "score")
+
+
+@query("latest", f"WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.55)) SELECT conversation_id, turn_index, score FROM k ORDER BY create_time DESC, score DESC, conversation_id, turn_index LIMIT 50")
+def _(spark, d):
+    rows = ordering.qualified(orders(spark, d), False)
+    return rows.orderBy(*ordering.by_time(rows, "latest")).limit(50).select("conversation_id", "turn_index", "score")
+
+
+@query("search_earliest", f"WITH {S.ORDERS} SELECT conversation_id, turn_index, create_time FROM o ORDER BY create_time, score DESC, turn_index LIMIT 30")
+def _(spark, d):
+    return orders(spark, d).where("create_time is not null").orderBy("create_time", F.desc("score"), "turn_index").limit(30).select("conversation_id", "turn_index", "create_time")
+
+
+RANK_SQL = "score DESC, create_time, conversation_id, turn_index"
+
+
+@query("quarter_representatives", f"WITH {S.ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {RANK_SQL}) AS n FROM o) SELECT period, conversation_id, turn_index, score FROM r WHERE n = 1")
+def _(spark, d):
+    rows = ordering.representatives_first(orders(spark, d), X.quarter(F.col("create_time")), scoring.rank_order("matched_role", "first_chunk"))
+    return rows.where(~F.col("backfill")).select("period", "conversation_id", "turn_index", "score")
+
+
+@query(
+    "longitudinal",
+    f"""WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.4) AND turn_index % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {RANK_SQL}) > 1 AS backfill FROM k)
+    SELECT conversation_id, turn_index, CAST(row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END NULLS FIRST, {RANK_SQL}) AS INT) AS place FROM r""",
+)
+def _(spark, d):
+    all_orders = orders(spark, d)
+    best = all_orders.agg(F.max("score").alias("best_score"))
+    kept = all_orders.join(F.broadcast(best)).where((F.col("score") >= ordering.relevance_floor(F.col("best_score"), True)) & (F.col("turn_index") % 50 == 0))
+    order = scoring.rank_order("matched_role", "first_chunk")
+    rows = ordering.representatives_first(kept, X.quarter(F.col("create_time")), order)
+    return placed(rows.withColumn("place", F.row_number().over(Window.orderBy("backfill", "period", *order))))
+
+
+@query(
+    "timeline_round_robin",
+    f"WITH {S.ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY score DESC, turn_index) AS n FROM o) SELECT period AS bucket, CAST(n AS INT) AS turn, conversation_id, turn_index FROM r ORDER BY n, period LIMIT 40",
+)
+def _(spark, d):
+    rows = fusion.round_robin(orders(spark, d), X.quarter(F.col("create_time")), [F.desc("score"), F.col("turn_index").asc()], 40)
+    return rows.select("bucket", "turn", "conversation_id", "turn_index")
+
+
+@query(
+    "conversation_cap_backfill",
+    f"""WITH {S.ORDERS}, t AS (SELECT * FROM o ORDER BY score DESC, turn_index LIMIT 60), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, turn_index) AS rk FROM t),
+    c AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY rk) > 2 AS over_cap FROM k) SELECT conversation_id, turn_index, over_cap, CAST(row_number() OVER (ORDER BY over_cap, rk) AS INT) AS place FROM c ORDER BY over_cap, rk LIMIT 50""",
+)
+def _(spark, d):
+    top = orders(spark, d).orderBy(F.desc("score"), "turn_index").limit(60)
+    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "turn_index")))
+    return ordering.cap_with_backfill(ranked, "conversation_id", "rk", 2, 50).select("conversation_id", "turn_index", "over_cap", "place")
+
+
+@query("temporal_topk_nulls_last", "SELECT event_id, ts_or_null FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch(ts) END AS ts_or_null FROM events) ORDER BY ts_or_null DESC NULLS LAST, event_id LIMIT 40")
+def _(spark, d):
+    exact = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, None).otherwise(exact).alias("ts_or_null"))
+    return rows.orderBy(F.desc_nulls_last("ts_or_null"), "event_id").limit(40)
+
+
+@query("quarter_key", f"WITH {S.ORDERS} SELECT period, count(*) AS n FROM o GROUP BY 1")
+def _(spark, d):
+    return orders(spark, d).groupBy(X.quarter(F.col("create_time")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- texts ---
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+DIRTY = "concat('  ', chr(9), text, chr(13), chr(10), chr(13), 'x', chr(9), ' y', chr(10), chr(10), chr(10), chr(10), chr(10), 'z ', chr(10))"
+
+
+def dirty():
+    return F.concat(F.lit("  \t"), F.col("text"), F.lit("\r\n\rx\t y\n\n\n\n\nz \n"))
+
+
+@query(
+    "clean_text",
+    f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace({DIRTY}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS cleaned FROM documents""",
+)
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.clean_text(dirty()).alias("cleaned"))
+
+
+@query(
+    "sanitize_text",
+    """SELECT doc_id, trim(regexp_replace(replace(concat('a', chr(8238), 'b', text, chr(7), '  ', chr(9), 'c'), chr(8238), '<U+202E>'), '[ \\t\\x07]+', ' ', 'g'), ' ' || chr(10)) AS shown FROM documents""",
+)
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.sanitize_text(F.concat(F.lit("a‮b"), F.col("text"), F.lit("\x07  \tc"))).alias("shown"))
+
+
+@query("shorten", "SELECT doc_id, CASE WHEN length(text) > 300 THEN regexp_replace(substr(text, 1, 299), '\\s+$', '') || '…' ELSE text END AS short FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.shorten(F.col("text"), 300).alias("short"))
+
+
+@query(
+    "shingle_counts",
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM documents)
+    SELECT doc_id, CAST(CASE WHEN len(words) = 0 THEN 0 WHEN len(words) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS INT) AS n FROM w""",
+)
+def _(spark, d):
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return read(spark, d, "documents").select("doc_id", F.size(X.word_shingles(words)).alias("n"))
+
+
+@query(
+    "exact_dedup",
+    """WITH f AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS form FROM documents)
+    SELECT sha256(form) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY 1""",
+)
+def _(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.sha2(pytext.evidence_form_udf(F.col("text")), 256).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("duplicate_rate", "WITH f AS (SELECT regexp_replace(lower(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g') AS form FROM documents), g AS (SELECT count(*) AS n FROM f GROUP BY form) SELECT round(sum(n - 1) / sum(n), 6) AS rate FROM g")
+def _(spark, d):
+    copies = read(spark, d, "documents").groupBy(pytext.match_form_udf(F.col("text")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    return copies.agg(F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("rate"))
+
+
+@query("chunk_documents")
+def _(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.posexplode(pytext.split_text_udf(F.col("text"))).alias("chunk_index", "text"))
+    return docs.withColumn("content_hash", X.content_hash(F.col("text")))
+
+
+# --- checks and evaluation ---
+
+
+@query(
+    "integrity_diff",
+    """WITH s AS (SELECT doc_id, length(text) AS bytes, sha256(text) AS hash FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT doc_id, length(text) AS bytes, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 5 <> 0)
+    SELECT coalesce(s.doc_id, c.doc_id) AS name, s.doc_id IS NOT NULL AS in_source, c.doc_id IS NOT NULL AS in_copy, coalesce(s.bytes = c.bytes AND s.hash = c.hash, false) AS equal FROM s FULL OUTER JOIN c ON s.doc_id = c.doc_id""",
+)
+def _(spark, d):
+    from ..integrity import compare
+
+    docs = read(spark, d, "documents")
+    made = lambda text: docs.select(F.col("doc_id").alias("name"), F.char_length("text").alias("bytes"), F.sha2(text, 256).alias("hash"))
+    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return compare(made(F.col("text")).where("name % 7 <> 0"), made(changed).where("name % 5 <> 0"))
+
+
+@query(
+    "eval_recall_mrr",
+    f"""WITH {NEAR}, r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM s), c AS (SELECT label, min(rank) AS best FROM r GROUP BY label)
+    SELECT round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(1.0 / best), 6) AS mrr FROM c""",
+)
+def _(spark, d):
+    from ..evaluation import summary
+
+    e, v = probe(spark, d)
+    scores = e.select("vec_id", "label", vectors.dot(F.col("embedding"), v).alias("similarity"))
+    ranked = vectors.with_rank(scores, [F.desc("similarity"), F.col("vec_id")])
+    return summary(ranked.groupBy("label").agg(F.min("rank").alias("best_rank")))
+
+
+@query("latency_percentile", "SELECT quantile_disc(value, 0.95) AS value FROM events")
+def _(spark, d):
+    return statistics.nearest_rank(read(spark, d, "events"), "value", 0.95)
+
+
+# --- whole answers ---
+
+
+@query("context_turns")
+def _(spark, d):
+    found = Archive.from_conversations(spark, read(spark, d, "conversations"), vectors.HashingEncoder()).ranked_turns("how has the thon changed over time", "light")
+    return found.select("place", "conversation_id", "turn_index", "matched_role", "score", "chunk_ids")
+
+
+@query("active_path")
+def _(spark, d):
+    trees = spark.createDataFrame(
+        [
+            ("branches", "c", [("a", None, None), ("b", "a", 1.0), ("x", "b", 2.0), ("c", "b", 3.0)]),
+            ("latest leaf", None, [("a", None, None), ("b", "a", 5.0), ("c", "a", 7.0)]),
+            ("cycle", "a", [("a", "b", 1.0), ("b", "a", 1.0)]),
+            ("empty", "a", []),
+        ],
+        "name string, current string, nodes array<struct<k:string,par:string,t:double>>",
+    )
+    return trees.select("name", exports.active_path(F.col("nodes"), F.col("current")).alias("path"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "archive_tables", "flagship"]
