@@ -20,6 +20,7 @@ equal results; an empty table gives no rows.  `documents_kept` keeps all columns
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 from collections import Counter
@@ -31,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_limits
+from .common import batch_limits, written
 
-SYMBOLS = "#*$%&<>@^~=_+\\"
+SYMBOL = re.compile(r"[#*$%&<>@^~=_+\\]")
 LABELLERS = ("symbols", "odd_words", "capitals", "exclamations", "bars", "neighbours", "few_words", "repeated_lines", "punctuation")
 NOTHING, GOOD, BAD = 0, 1, 2
 #: Documents that train the scorer, about; a bound on what the driver sees.
@@ -54,7 +55,7 @@ def ratios(text: str, words: list[str], odd: float) -> tuple[float, ...]:
     lines = [x for x in text.split("\n") if x.strip()]
     stops = sum(map(text.count, (". ", ", ", ".\n", ",\n"))) / n
     return (
-        sum(map(text.count, SYMBOLS)) / chars,
+        len(SYMBOL.findall(text)) / chars,
         odd,
         sum(map(str.isupper, words)) / n,
         text.count("!") / n,
@@ -70,20 +71,41 @@ def ratios(text: str, words: list[str], odd: float) -> tuple[float, ...]:
 LIMITS = ((0.02, 0.08), (0.15, 0.3), (0.15, 0.4), (0.05, 0.25), (0.02, 0.12), (0.05, 0.3), (0.7, 0.8), (0.1, 0.3), (0.2, 0.6))
 
 
+class Kinds(dict):
+    """Code point to the kind of its character."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        got = self[code] = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c
+        return got
+
+
 class Shapes(dict):
     """Word to its feature: runs of small, capital, digit and other characters, hashed; the lowest bit says if it is plainly a word."""
 
+    def __init__(self):
+        self.by_shape: dict[str, int] = {}
+        self.kinds = Kinds()
+
     def __missing__(self, word: str) -> int:
-        kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c for c in word[:64])
-        shape = re.sub(r"(.)\1+", r"\1", kinds)
+        kinds = word[:64].translate(self.kinds)
+        shape = RUN.sub(r"\1", kinds)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        got = xxhash.xxh3_64_intdigest(shape.encode("utf-8", "replace")) % FEATURES * 2 + bool(PLAIN_SHAPE.fullmatch(shape))
+        got = self.by_shape.get(shape)
+        if got is None:
+            got = self.by_shape[shape] = self.feature(shape)
         self[word] = got
         return got
 
+    def feature(self, shape: str) -> int:
+        if len(self.by_shape) >= MEMO_WORDS:
+            self.by_shape.clear()
+        return xxhash.xxh3_64_intdigest(shape.encode("utf-8", "replace")) % FEATURES * 2 + bool(PLAIN_SHAPE.fullmatch(shape))
+
 
-PLAIN_SHAPE = re.compile(r"(A?a|w|0)[.,;:?!]?")
+RUN = re.compile(r"(.)\1+")
+PLAIN_SHAPE = re.compile(r"(?!A[.,;:?!]?$)[(\"'“]?[Aaw0'’-]+[.,;:?!)\"'”]?")
 _shapes = Shapes()
 
 
@@ -154,9 +176,8 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> LabelM
     return LabelModel(prior, rates, dict(zip(codes, bad.tolist(), strict=True)))
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, values): shares of word shapes, and one feature for the step that each ratio falls into."""
-    got = described(text)
+def features(got: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values) of a described text: shares of word shapes, and one feature for the step that each ratio falls into."""
     if not got:
         return np.empty(0, np.int64), np.empty(0)
     found, n = np.unique(got[0], return_counts=True)
@@ -187,66 +208,71 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: i
     return w
 
 
-def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    """How often each vote pattern occurs, over all documents."""
-
-    def run(batches):
-        held = Counter()
-        for b in batches:
-            held.update(pattern(votes(t)) for t in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["pattern", "n"])
-
-    counted = docs.select(text).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return {r["pattern"]: r["n"] for r in counted.collect()}  # at most 3 ** len(LABELLERS) patterns
-
-
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> tuple[LabelModel, np.ndarray]:
+def described_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pattern, features, value) of every row: the one pass over the texts."""
     batch_limits(docs.sparkSession)
-    counts = vote_counts(docs, text)
-    model = expectation_maximisation(counts)
-    total = sum(counts.values())
-    share = min(1.0, sample_rows / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            both = [features(t) for t in texts]
+            both = [described(t) for t in b.column(1).to_pylist()]
+            rows = [features(x) for x in both]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([pattern(votes(t)) for t in texts], pa.int64()), pa.array([f for f, _ in both], pa.list_(pa.int64())), pa.array([v for _, v in both], pa.list_(pa.float64()))],
-                ["pattern", "features", "values"],
+                [
+                    b.column(0),
+                    pa.array([pattern(votes_on(x[1])) if x else 0 for x in both], pa.int64()),
+                    pa.array([f.astype("i2") for f, _ in rows], pa.list_(pa.int16())),
+                    pa.array([v.astype("f4") for _, v in rows], pa.list_(pa.float32())),
+                ],
+                ["doc_id", "pattern", "features", "value"],
             )
 
-    rows = chosen.select(text).mapInArrow(run, "pattern long, features array<long>, values array<double>").limit(2 * sample_rows).toArrow()
-    target = np.array([model.posterior[c] for c in rows.column("pattern").to_pylist()])
-    found = zip(rows.column("features").to_pylist(), rows.column("values").to_pylist(), strict=True)
-    return model, fit([(np.array(f, np.int64), np.array(v)) for f, v in found], target)
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, pattern long, features array<short>, value array<float>")
 
 
-def scorer(weights: np.ndarray):
-    """Column function: probability that a text is good."""
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, np.ndarray]:
+    """Label model from the vote patterns of all described documents, scorer from a sample of them."""
+    counts = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 ** len(LABELLERS)
+    model = expectation_maximisation(counts)
+    share = min(1.0, sample_rows / max(sum(counts.values()), 1))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "pattern", "value"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = chosen.select("pattern", "features", "value").limit(2 * sample_rows).toArrow()
+    target = np.array([model.posterior[c] for c in sample.column("pattern").to_pylist()])
+    found = zip(sample.column("features").to_pylist(), sample.column("value").to_pylist(), strict=True)
+    return model, fit([(np.array(f, np.int64), np.array(v)) for f, v in found], target)
 
-    @F.arrow_udf("double")
-    def good(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            f, v = features(t)
-            out.append(1 / (1 + np.exp(np.clip(weights[f] @ v + weights[-1], -50, 50))))
-        return pa.array(out, pa.float64())
 
-    return good
+def probability(weights: np.ndarray, f: np.ndarray, v: np.ndarray) -> float:
+    """That a text with these features is good."""
+    return 1 / (1 + float(np.exp(np.clip(weights[f] @ v + weights[-1], -50, 50))))
 
 
 def classify(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, kept): score is the probability that the text is good; kept from `least` up."""
-    weights = train(docs, sample_rows, key, text)[1]
-    scored = docs.select(F.col(key).alias("doc_id"), scorer(weights)(F.col(text)).alias("score"))
-    return scored.withColumn("kept", F.col("score") >= least)
+    rows = written(described_documents(docs, key, text), "features")
+    weights = train(rows, sample_rows)[1]
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            f, v = b.column(1), b.column(2)
+            each = np.concatenate([[0], np.cumsum(weights[f.flatten().to_numpy(zero_copy_only=False)] * v.flatten().to_numpy(zero_copy_only=False))])
+            ends = f.offsets.to_numpy() - f.offsets.to_numpy()[0]
+            margin = each[ends[1:]] - each[ends[:-1]] + weights[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(np.clip(margin, -50, 50))), pa.float64())], ["doc_id", "score"])
+
+    return rows.select("doc_id", "features", "value").mapInArrow(run, f"doc_id {kind}, score double").withColumn("kept", F.col("score") >= least)
 
 
 def documents_kept(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    weights = train(docs, sample_rows, key, text)[1]
-    return docs.where(scorer(weights)(F.col(text)) >= least)
+    """docs, all columns, without the rows that are rejected.  The texts are not moved: they are described twice."""
+    weights = train(written(described_documents(docs, key, text), "features"), sample_rows)[1]
+
+    @F.arrow_udf("double")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([probability(weights, *features(described(t))) for t in texts.to_pylist()], pa.float64())
+
+    return docs.where(good(F.col(text)) >= least)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
