@@ -56,15 +56,17 @@ def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CH
 
 
 def dense_ids(rows: DataFrame, order: list) -> DataFrame:
-    """chunk_id from 1 in a total order: ranks within conversations, plus the conversations' starts.
+    """chunk_id from 1 in a total order: ranks within conversations, plus starts of conversations in their file, plus starts of files.
 
-    Only one row per conversation is ordered as a whole; chunks never meet in one task.
+    Only one row per file is ordered as a whole, and one per conversation within a file; chunks never meet in one task.
     """
     own = F.row_number().over(Window.partitionBy("conversation_id").orderBy(*order[3:]))
     ranked = rows.withColumn("own", own)
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = rows.groupBy("f", "position", "conversation_id").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "position", "conversation_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("conversation_id").alias("s"), before.alias("start"))
+    starts = sizes.select(F.col("f").alias("sf"), F.col("conversation_id").alias("s"), so_far(Window.partitionBy("f").orderBy("position", "conversation_id")).alias("start"))
+    files = sizes.groupBy("f").agg(F.sum("n").alias("n")).select(F.col("f").alias("ff"), so_far(Window.orderBy("f")).alias("file_start"))
+    starts = starts.join(files, F.col("sf") == F.col("ff")).select("s", (F.col("start") + F.col("file_start")).alias("start"))
     return ranked.join(starts, F.col("conversation_id") == F.col("s")).withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "s")
 
 
