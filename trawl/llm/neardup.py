@@ -255,7 +255,8 @@ def block_links(members: DataFrame, ratio: tuple[int, int], hashes: int) -> Data
                 part[part == other] = part[i]
         return pa.table([pa.array([a for a, _ in found], cell.schema.field("node").type), pa.array([b for _, b in found], cell.schema.field("node").type)], ["a", "b"])
 
-    return cells.groupBy("grp", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    # dealt anew: else all blocks of a group would stay in the task that has counted its members
+    return cells.repartition("grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,3 +310,18 @@ def deduplicated(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5)
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (85, 100))
+
+
+#: The same result in SQL, for tables small enough to compare all shingles.
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))) END AS items FROM w),
+e AS (SELECT doc_id, len(items) AS n, unnest(items) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+near AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""

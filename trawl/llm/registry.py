@@ -17,5 +17,7 @@ QUERIES = {
     "op9_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_rules": rules.SQL,
+    "op6_neardup": neardup.SQL,
     "op10_chat": chat.SQL,
 }

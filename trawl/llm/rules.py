@@ -140,3 +140,22 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+#: The same result in SQL.
+SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+x AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS times FROM x),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, range(0, 5) t(k) WHERE times > 1 GROUP BY doc_id),
+m AS (SELECT d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines) AS k FROM f WHERE source IS NOT NULL GROUP BY 1),
+s AS (SELECT count(*) AS hosts, least(greatest(avg(k / n), 0.000001), 0.999999) AS mean, var_pop(k / n) AS spread, avg(1.0 / n) AS noise FROM h),
+p AS (SELECT mean, CASE WHEN hosts < 2 THEN 1.0 WHEN spread - mean * (1 - mean) * noise > 0 THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1.0), 1000000.0) ELSE 1000000.0 END AS weight FROM s),
+v AS (SELECT source, (k + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM f LEFT JOIN v ON f.source = v.source
+"""
