@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Largest table, in rows, that is ever broadcast.  Beyond it a shuffle join is used.
 BROADCAST_ROWS = 100_000
 #: Rows of one group that one task ranks at a time.
-RANK_ROWS = 20_000
+RANK_ROWS = 5_000
 
 _own_dir: str | None = None
 
