@@ -91,7 +91,7 @@ def test_intents():
     i = I.interpret('What is the final position, I said "exact words here"')
     assert i.primary_mode == "correction" and "exact_phrase" in i.flags and i.quoted == ("exact words here",)
     assert I.interpret("how has the latest plan changed over time").primary_mode == "longitudinal"
-    assert I.interpret("When did I first start Crowley").primary_mode == "earliest" and I.interpret("When did I first start Crowley").identifiers == ("Crowley",)
+    assert I.interpret("When did I first start Harbour").primary_mode == "earliest" and I.interpret("When did I first start Harbour").identifiers == ("Harbour",)
     assert I.interpret("tell me").primary_mode == "recall"
     for q in ("Alpha Beta2 Gamma changed over time \"one two\" 'x' and “three four” first", "a", "Nova wrong instead"):
         v = I.variants(q, I.interpret(q))
@@ -99,8 +99,8 @@ def test_intents():
 
 
 def test_anchor_comes_first():
-    found = I.weighted_searches("When did I first start building Crowley")
-    assert found[0] == (["crowley"], False, 2.0) and [w for _, _, w in found] == [2.0, 1.7, 1.35, 1.0]
+    found = I.weighted_searches("When did I first start building Harbour")
+    assert found[0] == (["harbour"], False, 2.0) and [w for _, _, w in found] == [2.0, 1.7, 1.35, 1.0]
     assert I.weighted_searches("?!") == []
     assert I.search_order("the first time we met") == "earliest" and I.search_order("most recent one") == "latest" and I.search_order("x") == "relevance"
 
