@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from trawl.llm import components as C
 from trawl.llm import neardup
 from trawl.llm.components import components
 
@@ -70,7 +71,9 @@ def test_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_star_rounds_find_components(spark):
+@pytest.mark.parametrize("hub_rows", [3, 1000])
+def test_star_rounds_find_components(spark, monkeypatch, hub_rows):
+    monkeypatch.setattr(C, "HUB_ROWS", hub_rows)
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5080)]
     p = {x: x for e in edges for x in e}

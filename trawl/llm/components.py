@@ -2,7 +2,8 @@
 
 Each half step gives every node's neighbours the least node in sight.  Least
 neighbours are found by an aggregation, which combines before its shuffle, and
-joined back, so a node with very many links is never gathered in one task.
+joined back; a node with very many links is joined by a broadcast of bounded
+size, so it is never gathered in one task.
 Every round is written to the shared folder.  The driver sees counts only.
 """
 
@@ -11,25 +12,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, written
+
+#: Keys with more rows than others that are broadcast, at most; rows from which a key can be one.
+HUBS, HUB_ROWS = BROADCAST_ROWS, 1000
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, key: str, least: DataFrame, edges: int) -> DataFrame:
+    """rows, each with the least `m` of its key; least: (u, m, n), n rows of a key.
+
+    A key with very many rows (a hub) would land in one task of a join.  There
+    can be no more than HUBS keys with over 2 * edges / HUBS rows, so hubs are
+    broadcast, and the other keys are joined by a shuffle.
+    """
+    most = max(HUB_ROWS, 2 * edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > most))
+    others = least.where(F.col("n") <= most)
+    same = F.col(key) == F.col("u")
+    return rows.join(hubs, same).unionByName(rows.join(hubs, same, "left_anti").join(others, same)).drop("u", "n")
+
+
+def large_star(edges: DataFrame, count: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of the node and its neighbours."""
     near = _both(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return near.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+    return _with_least(near.where("b > a"), "a", least, count).select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, count: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
-    down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+    down = edges.select(F.col("b").alias("node"), F.col("a").alias("v"))
+    least = down.groupBy("node").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("node", "u")
+    moved = _with_least(down, "node", least, count).select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct()
 
 
@@ -42,7 +60,8 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = written(small_star(large_star(edges)), "edges")
+        edges = written(large_star(edges, before[0]), "edges")
+        edges = written(small_star(edges, before[0]), "edges")
         now = _state(edges)
         if now == before:
             break
