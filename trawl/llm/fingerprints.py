@@ -40,6 +40,10 @@ TOGETHER = 4
 #: Gamma values are taken from a table of 2 to this number of equally likely ones; the other bits of a hash give beta.
 TABLE_BITS = 12
 BUCKET_ROWS = 500
+#: Buckets at most, as their order is found in one task; beyond, buckets hold more rows.
+MOST_BUCKETS = 1_000_000
+#: Rows of a task, about, and tasks at most.
+TASK_ROWS, MOST_TASKS = 2000, 100_000
 #: Quantiles of the key that buckets are cut from; a power of two.
 QUANTILES = 1024
 NO_KEY = -(2**63)
@@ -48,8 +52,8 @@ SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 def buckets_of(key: Column, keys: DataFrame, rows: int) -> Column:
     """Bucket number of a key: its quantile, then equal steps within it.  The order of buckets is that of keys."""
-    steps = max(1, math.ceil(rows / BUCKET_ROWS / QUANTILES))
-    n = min(QUANTILES, max(1, math.ceil(rows / BUCKET_ROWS)))
+    wanted = max(1, math.ceil(rows / max(BUCKET_ROWS, rows / MOST_BUCKETS)))
+    steps, n = math.ceil(wanted / QUANTILES), min(QUANTILES, wanted)
     found = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q"), F.min("k").alias("low"), F.max("k").alias("high")).first()
     if found["low"] is None:
         return F.lit(0).cast("long")
@@ -117,16 +121,19 @@ def fingerprints(docs: DataFrame, hashes: int = HASHES, key: str = "doc_id", tex
     seen = keys.select(F.coalesce("k", F.lit(NO_KEY)).alias("k")).withColumn("bucket", bucket).groupBy("bucket").agg(F.min("k").alias("first"))
     # one row for each bucket: which bucket comes before it
     order = Window.orderBy("bucket")
-    last = seen.agg(F.max("bucket").alias("last_bucket"))
-    before = seen.withColumn("before", F.lag("bucket").over(order)).join(F.broadcast(last)).select("first", F.coalesce("before", "last_bucket").alias("before"))
+    last = F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = seen.select("first", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
     if rows <= BROADCAST_ROWS * BUCKET_ROWS // 2:
         before = F.broadcast(before)
     dealt = rows_in.withColumn("bucket", bucket).join(before, F.col("k") == F.col("first"), "left")
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     away = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     dealt = dealt.select("doc_id", "k", "body", F.explode(F.when(F.col("before").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to")).select("doc_id", "k", "body", "to.*")
+    # as many tasks as the rows need, whatever the session's number of shuffle partitions
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(rows / TASK_ROWS)))
     sequence = Window.partitionBy("bucket").orderBy("guest", "k", "body")
-    placed = dealt.withColumn("row", F.row_number().over(sequence)).withColumn("next", F.lead("body").over(sequence))
+    placed = dealt.repartition(parts, "bucket").withColumn("row", F.row_number().over(sequence)).withColumn("next", F.lead("body").over(sequence))
     chars = F.char_length("body").cast("long")
     changed = F.floor(chars / 4).cast("int")
     edited = F.concat(F.col("body").substr(F.lit(1), chars.cast("int") - changed), F.substring(F.col("next"), 1, changed))
