@@ -57,3 +57,32 @@ def test_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
     assert {tuple(r.asDict()[k] for k in sorted(r.asDict())) for r in chat.query(spark, sf).collect()} == {tuple(r) for r in con.sql(f"select mask, pair_id, part, pos, role, text from ({chat.SQL})").fetchall()}
+
+
+def test_pairs_do_not_depend_on_the_distance_of_ids(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = rng.sample(range(0, 10**7, 13), 300)
+    opening = {c: rng.choice(["often"] * 5 + ["seldom", f"once {c}"]) for c in ids}
+    rows = [(c, t, "user", f"{opening[c]}" if t == 0 else f"{c}") for c in ids for t in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    after = {}
+    for c in sorted(ids, reverse=True):
+        after[c], after[opening[c]] = after.get(opening[c]), c
+    for rows_of_a_range in (7, 5000):
+        monkeypatch.setattr(chat, "RANK_ROWS", rows_of_a_range)
+        got = {(r.chosen, r.rejected) for r in chat.paired_by_opening(df).collect()}
+        assert got == {(c, after[c]) for c in ids}
+    assert chat.paired_by_opening(df.limit(0)).count() == 0
+
+
+def test_sql_where_openings_repeat(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(9)
+    rows = [(c, t, ["user", "assistant"][t % 2], rng.choice(["one", "two"]) if t < 2 else f"{c} {t}") for c in range(60) for t in range(rng.randint(1, 5))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = {tuple(r.asDict()[k] for k in sorted(r.asDict())) for r in chat.query(spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in con.sql(f"select mask, pair_id, part, pos, role, text from ({chat.SQL})").fetchall()}
+    assert {r[2] for r in got} == {"prompt", "chosen", "rejected"}

@@ -12,7 +12,7 @@ so conversations may be of any length.  `assembled` joins spans into one row a
 pair, for conversations that are known to fit one.
 
 `paired_by_opening` makes pairs of conversations that open with the same turn:
-within each block of ids, each one is chosen against the next.
+each one is chosen against the next by id, however far apart their ids are.
 
 Defined results: null roles and texts render as empty and equal each other;
 repeated turn numbers are ordered by role and text, repeated rows stay; a pair
@@ -22,11 +22,13 @@ any turn has no rows; extra columns are dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Conversation ids among which conversations with the same opening are paired.
-PAIR_BLOCK = 1024
+from .common import RANK_ROWS, written
+
 #: Turns of a conversation that one task numbers at a time.
 TURN_BLOCK = 4096
 
@@ -47,12 +49,25 @@ def numbered(turns: DataFrame) -> DataFrame:
     return base.withColumn("own", own).join(starts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))).select("conv", (F.col("start") + F.col("own")).alias("pos"), "role", "text")
 
 
+def with_next(slim: DataFrame, group: str, key: str) -> DataFrame:
+    """slim with `next`: the key that follows in its group, or null.  Rows are cut into sorted ranges, so a group of any size is spread; one row a range finds the range after it."""
+    slim = written(slim, "unordered")
+    parts = max(1, math.ceil(slim.count() / RANK_ROWS))
+    # written, as the cuts are from a sample and both uses must see the same
+    dealt = written(slim.repartitionByRange(parts, group, key).withColumn("range", F.spark_partition_id()), "ranges")
+    heads = dealt.groupBy("range").agg(F.min(F.struct(group, key)).alias("head"))
+    heads = heads.select(F.col("range").alias("r"), F.lead("head").over(Window.orderBy("range")).alias("head"))
+    own = F.lead(F.struct(group, key)).over(Window.partitionBy("range").orderBy(group, key))
+    found = dealt.withColumn("own", own).join(F.broadcast(heads), F.col("range") == F.col("r"))
+    after = F.coalesce("own", "head")
+    return found.select(*slim.columns, F.when(after[group] == F.col(group), after[key]).alias("next"))
+
+
 def paired_by_opening(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected): each conversation and the next with the same first turn in its block of ids; rejected may be null."""
+    """(pair_id, chosen, rejected): each conversation and the next by id with the same first turn; rejected may be null."""
     least = turns.where("conv_id is not null").groupBy("conv_id").agg(F.min(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.xxhash64("role", "text").alias("opening"))).alias("f"))
-    opened = least.select("conv_id", F.col("f.opening").alias("opening"), F.floor(F.col("conv_id") / PAIR_BLOCK).alias("block"))
-    following = F.lead("conv_id").over(Window.partitionBy("opening", "block").orderBy("conv_id"))
-    return opened.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), following.alias("rejected"))
+    opened = with_next(least.select("conv_id", F.col("f.opening").alias("opening")), "opening", "conv_id")
+    return opened.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), F.col("next").alias("rejected"))
 
 
 def spans(turns: DataFrame, pairs: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
