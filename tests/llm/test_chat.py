@@ -86,3 +86,38 @@ def test_sql_where_openings_repeat(spark, tmp_path):
     got = {tuple(r.asDict()[k] for k in sorted(r.asDict())) for r in chat.query(spark, str(tmp_path)).collect()}
     assert got == {tuple(r) for r in con.sql(f"select mask, pair_id, part, pos, role, text from ({chat.SQL})").fetchall()}
     assert {r[2] for r in got} == {"prompt", "chosen", "rejected"}
+
+
+def replies_and_sql(spark, folder, files):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{files}'")
+    rows = chat.query_replies(spark, folder).collect()
+    got = sorted((tuple(r.asDict()[k] for k in sorted(r.asDict())) for r in rows), key=repr)
+    assert got == sorted((tuple(r) for r in con.sql(f"select mask, pair_id, part, pos, role, text from ({chat.REPLIES_SQL})").fetchall()), key=repr)
+    return rows
+
+
+def test_every_reply_has_a_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chat, "RANK_ROWS", 7)
+    rng = random.Random(10)
+    rows = [(c * 3000, t, ["user", "assistant"][t % 2], rng.choice(["one", "two", None, "", f"{c} {t}"])) for c in range(60) for t in range(rng.randint(1, 6))]
+    rows += [(-5, 0, "assistant", "starts"), (-4, 0, None, None), (-4, 1, "assistant", "one"), (None, 0, "assistant", "nobody")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = replies_and_sql(spark, str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")
+    replied = {c for c, _, role, _ in rows if role == "assistant" and c is not None}
+    sides = {part: {r.pair_id: r.text for r in got if r.part == part} for part in ("chosen", "rejected")}
+    assert set(sides["chosen"]) == set(sides["rejected"]) == replied
+    assert all(sides["chosen"][c] != sides["rejected"][c] for c in replied)
+    df = spark.createDataFrame([(1, 0, "assistant", "a"), (2, 0, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    assert [r.part for r in chat.reply_spans(df).collect()] == ["chosen", "chosen"] and chat.reply_spans(df.limit(0)).count() == 0
+
+
+def test_replies_of_the_given_table(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        return
+    got = replies_and_sql(spark, sf, f"{sf}/conversations.parquet")
+    parts = {part: len({r.pair_id for r in got if r.part == part}) for part in ("prompt", "chosen", "rejected")}
+    assert parts == {"prompt": 98, "chosen": 98, "rejected": 98}  # two of the 100 conversations have no reply

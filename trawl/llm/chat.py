@@ -13,6 +13,14 @@ pair, for conversations that are known to fit one.
 
 `paired_by_opening` makes pairs of conversations that open with the same turn:
 each one is chosen against the next by id, however far apart their ids are.
+Where openings do not recur this makes no pair.  `reply_spans` makes a pair of
+every conversation with a reply: its prompt is all turns before its last
+assistant turn, chosen is that turn, and rejected is the reply of another
+conversation, the next of the table's distinct last replies in the order of
+their SHA-256, the first after the last.  Turns after the last reply are in no
+pair; a conversation without a reply has no rows; rejected is absent only if
+all last replies of the table are the same; rows without a conversation id are
+dropped; null texts are empty replies.
 
 Defined results: null roles and texts render as empty and equal each other;
 repeated turn numbers are ordered by role and text, repeated rows stay; a pair
@@ -93,6 +101,26 @@ def spans(turns: DataFrame, pairs: DataFrame, learn: tuple[str, ...] = ("assista
     return out.select("pair_id", "part", "pos", role.alias("role"), rendered(role, text).alias("text"), ((F.col("part") != "prompt") & F.coalesce(role.isin(*learn), F.lit(False))).alias("mask"))
 
 
+def reply_spans(turns: DataFrame) -> DataFrame:
+    """(pair_id, part, pos, role, text, mask): rendered turns, as of `spans`, of each conversation up to its last reply, that reply, and another conversation's."""
+    said = numbered(turns.where("conv_id is not null"))
+    body = F.coalesce("text", F.lit(""))
+    last = said.where("role = 'assistant'").groupBy("conv").agg(F.max("pos").alias("last")).withColumnRenamed("conv", "c")
+    placed = said.join(last, F.col("conv") == F.col("c")).where("pos <= last").drop("c")
+    replies = placed.where("pos = last").select(F.col("conv").alias("pair_id"), "pos", body.alias("body"), F.sha2(body, 256).alias("digest"))
+    distinct = replies.groupBy("digest").agg(F.max("body").alias("body"))
+    order = with_next(distinct.select(F.lit(0).alias("all"), "digest"), "all", "digest")
+    first = order.agg(F.min("digest").alias("first"))
+    order = order.join(F.broadcast(first)).select(F.col("digest").alias("of"), F.coalesce("next", "first").alias("other")).where("of <> other")
+    others = order.join(distinct.withColumnRenamed("digest", "d"), F.col("other") == F.col("d")).select("of", F.col("body").alias("other_body"))
+    rejected = replies.select("pair_id", "pos", "digest").join(others, F.col("digest") == F.col("of"))
+    role = F.lit("assistant")
+    own = placed.select(
+        F.col("conv").alias("pair_id"), F.when(F.col("pos") < F.col("last"), "prompt").otherwise("chosen").alias("part"), "pos", "role", rendered(F.col("role"), F.col("text")).alias("text"), (F.col("pos") == F.col("last")).alias("mask")
+    )
+    return own.union(rejected.select("pair_id", F.lit("rejected").alias("part"), "pos", role.alias("role"), rendered(role, F.col("other_body")).alias("text"), F.lit(True).alias("mask")))
+
+
 def assembled(found: DataFrame) -> DataFrame:
     """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): spans joined; masks as [length in characters, learnt] of each turn."""
 
@@ -112,6 +140,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return spans(turns, paired_by_opening(turns))
 
 
+def query_replies(spark, sf_dir: str) -> DataFrame:
+    return reply_spans(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 #: The same result in SQL.
 SQL = """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations),
@@ -130,3 +162,16 @@ u AS (
   UNION ALL SELECT pair_id, 'rejected', pos, r_role, r_text FROM k WHERE NOT common AND in_r)
 SELECT pair_id, part, pos, role, concat('<|', role, '|>', chr(10), body, chr(10), '<|end|>', chr(10)) AS text, part <> 'prompt' AND role = 'assistant' AS mask FROM u
 """
+
+#: The same result as query_replies in SQL.
+REPLIES_SQL = """
+WITH t AS (SELECT conv_id, role, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(pos) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+p AS (SELECT t.*, last FROM t JOIN l USING (conv_id) WHERE pos <= last),
+d AS (SELECT DISTINCT body, sha256(body) AS digest FROM p WHERE pos = last),
+n AS (SELECT body, coalesce(lead(body) OVER (ORDER BY digest), first_value(body) OVER (ORDER BY digest)) AS other FROM d),
+u AS (
+  SELECT conv_id AS pair_id, CASE WHEN pos < last THEN 'prompt' ELSE 'chosen' END AS part, pos, role, body FROM p
+  UNION ALL SELECT conv_id, 'rejected', pos, role, other FROM p JOIN n USING (body) WHERE pos = last AND other <> body)
+SELECT pair_id, part, pos, role, concat('<|', role, '|>', chr(10), body, chr(10), '<|end|>', chr(10)) AS text, part <> 'prompt' AS mask FROM u
+"""

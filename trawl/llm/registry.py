@@ -7,6 +7,7 @@ from . import chat, encoding, fingerprints, licenses, neardup, packing, quality,
 QUERIES = {
     "op4_fingerprints": fingerprints.query,
     "op10_chat": chat.query,
+    "op10_replies": chat.query_replies,
     "op7_quality": quality.query,
     "op6_neardup": neardup.query,
     "op5_licenses": licenses.query,
@@ -20,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_rules": rules.SQL,
     "op6_neardup": neardup.SQL,
     "op10_chat": chat.SQL,
+    "op10_replies": chat.REPLIES_SQL,
 }
