@@ -1,6 +1,7 @@
 """The engine end to end: ingest of trees, BM25 against an independent full-text engine, ranking, packets."""
 
 import json
+import os
 import random
 import sqlite3
 
@@ -13,6 +14,7 @@ from trawl.integrity import verify
 from trawl.evaluation import evaluate, nearest_rank
 from trawl.operators import fusion, inverted, ordering, packets, scoring, sessions
 from trawl.operators.vectors import HashingEncoder, nearest
+from trawl.plans import registry
 from trawl.plans.engine import Archive, day_end, day_start
 from trawl.sources import exports, store
 
@@ -198,6 +200,31 @@ def test_temporal_orders(spark):
     assert order("longitudinal") == ["a", "e", "d"] and order("recall") == ["a", "c", "e", "d", "b"]
 
 
+def test_longitudinal_places_of_a_whole_table(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{k % 7}", k, rng.choice(["2020", "2021", None]), rng.choice([0.3, 0.5, rng.random()])) for k in range(600)]
+    df = spark.createDataFrame(rows, "conversation_id string, turn_index int, year string, score double").withColumns({"create_time": F.lit(1.0), "exact": F.lit(0.0), "matched_role": F.lit("user"), "first_chunk": F.lit(1)})
+    rank = sorted(rows, key=lambda r: (-r[3], r[0], r[1]))
+    firsts = [next(r for r in rank if r[2] == year) for year in (None, "2020", "2021")]
+    expected = {r[1]: n for n, r in enumerate(firsts + [r for r in rank if r not in firsts], 1)}
+    for most in (20, 5000):
+        monkeypatch.setattr(ordering, "PLACE_ROWS", most)
+        got = ordering.longitudinal_places(df, F.col("year"), scoring.rank_order("matched_role", "first_chunk"))
+        assert {r.turn_index: r.place for r in got.collect()} == expected and got.count() == 600
+    assert ordering.longitudinal_places(df.limit(0), F.col("year"), scoring.rank_order("matched_role", "first_chunk")).count() == 0
+
+
+def test_longitudinal_whole_places_every_order_above_the_floor(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        return
+    rows = registry.orders(spark, sf)
+    floor = max(0.25, rows.agg(F.max("score")).first()[0] * 0.4)
+    got = registry.QUERIES["longitudinal_whole"](spark, sf).agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last")).first()
+    assert got.n == got.places == got.last == rows.where(F.col("score") >= floor).count() > 3000
+
+
+
 def test_dates_and_store(spark, tmp_path):
     assert day_start("2026-02-01") < day_end("2026-02-01") == day_start("2026-02-02")
     t = spark.createDataFrame([(day_end("2026-02-01") - 0.5,)], "t double")

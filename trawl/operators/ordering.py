@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as X
 from .scoring import rank_order
 
 TEMPORAL = ("earliest", "latest", "longitudinal")
+#: Rows that one task places at a time, about, and score ranges at most.
+PLACE_ROWS, MOST_RANGES = 5000, 1024
 
 
 def relevance_floor(best: Column, longitudinal: bool) -> Column:
@@ -44,6 +48,34 @@ def representatives_first(rows: DataFrame, period: Column, order: list[Column])
     return rows.withColumn("backfill", ~first).withColumn("period", F.when(~F.col("backfill"), period))
 
 
+def longitudinal_places(rows: DataFrame, period: Column, order: list[Column]) -> DataFrame:
+    """rows with `place` from 1: the first of each period in the order of periods, then the rest in rank order, for tables of any size.
+
+    Rows are dealt to ranges of `score`, the first key of `order`, and ranked within; sums of the ranges before give the
+    place.  Rows of equal score are ranked in one task.  (conversation_id, turn_index) names a row; score is not null.
+    """
+    n, m = rows.count(), 1
+    while m < MOST_RANGES and m * PLACE_ROWS < n:
+        m *= 2
+    found = rows.agg(F.percentile_approx("score", [i / m for i in range(1, m)] or [0.5], 10 * m).alias("cuts")).first()["cuts"] if m > 1 else None
+    # cuts from 1; the range of a score is the number of cuts that are not above it
+    cuts = F.array(*(F.lit(float(c)) for c in [-math.inf, *(found or [])]))
+    halves = [m >> i for i in range(1, m.bit_length())]
+    at = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda p, h: F.when(F.get(cuts, p + h) <= F.col("score"), p + h).otherwise(p)) if halves else F.lit(0)
+    dated = rows.withColumn("period", period)
+    names = ["period", "conversation_id", "turn_index"]
+    # a rank that is only asked for its first row keeps one row a period in each task
+    firsts = dated.withColumn("n", F.row_number().over(Window.partitionBy("period").orderBy(*order))).where("n = 1").select(F.struct(*names).alias("first"))
+    same = [F.col(x).eqNullSafe(F.col(f"first.{x}")) for x in names]
+    marked = dated.join(F.broadcast(firsts), same[0] & same[1] & same[2], "left")
+    marked = marked.withColumn("backfill", F.col("first").isNull()).drop("first").withColumn("period", F.when(~F.col("backfill"), F.col("period")))
+    dealt = marked.withColumn("range", F.when(F.col("backfill"), F.lit(m) - at).otherwise(0))
+    before = F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    sums = dealt.groupBy(F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("n")).select("r", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("period", *order))
+    return dealt.withColumn("own", own).join(F.broadcast(sums), F.col("range") == F.col("r")).withColumn("place", (F.col("before") + F.col("own"))).drop("range", "r", "before", "own")
+
+
 def cap_with_backfill(rows: DataFrame, group: str, rank: str, cap: int, most: int) -> DataFrame:
     """At most `cap` of a group, in rank order; if that is too few, those over the cap follow; `place` from 1."""
     over = F.row_number().over(Window.partitionBy(group).orderBy(rank)) > cap

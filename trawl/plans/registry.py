@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
@@ -432,6 +432,13 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.select("conversation_id", "turn_index", "place")
 
 
+def longitudinal(rows: DataFrame, which: Column) -> DataFrame:
+    """Places of the rows above the floor; which: those of them that take part."""
+    best = rows.agg(F.max("score").alias("best_score"))
+    kept = rows.join(F.broadcast(best)).where((F.col("score") >= ordering.relevance_floor(F.col("best_score"), True)) & which)
+    return placed(ordering.longitudinal_places(kept, X.quarter(F.col("create_time")), scoring.rank_order("matched_role", "first_chunk")))
+
+
 @query("earliest", f"WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.55)) SELECT conversation_id, turn_index, score FROM k ORDER BY create_time, score DESC, conversation_id, turn_index LIMIT 50")
 def _(spark, d):
     rows = ordering.qualified(orders(spark, d), False)
@@ -464,12 +471,16 @@ def _(spark, d):
     SELECT conversation_id, turn_index, CAST(row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END NULLS FIRST, {RANK_SQL}) AS INT) AS place FROM r""",
 )
 def _(spark, d):
-    all_orders = orders(spark, d)
-    best = all_orders.agg(F.max("score").alias("best_score"))
-    kept = all_orders.join(F.broadcast(best)).where((F.col("score") >= ordering.relevance_floor(F.col("best_score"), True)) & (F.col("turn_index") % 50 == 0))
-    order = scoring.rank_order("matched_role", "first_chunk")
-    rows = ordering.representatives_first(kept, X.quarter(F.col("create_time")), order)
-    return placed(rows.withColumn("place", F.row_number().over(Window.orderBy("backfill", "period", *order))))
+    return longitudinal(orders(spark, d), F.col("turn_index") % 50 == 0).withColumn("place", F.col("place").cast("int"))
+
+
+@query(
+    "longitudinal_whole",
+    f"""WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.4)), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {RANK_SQL}) > 1 AS backfill FROM k)
+    SELECT conversation_id, turn_index, row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END NULLS FIRST, {RANK_SQL}) AS place FROM r""",
+)
+def _(spark, d):
+    return longitudinal(orders(spark, d), F.lit(True))
 
 
 @query(
