@@ -1,6 +1,7 @@
 """Fingerprints: neighbours and edits against a plain loop, collision rates against exact generalised Jaccard."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -55,3 +56,17 @@ def test_rows(spark):
     assert by[2][0].fingerprint == by[3][0].fingerprint == "0" * 128 and by[2][0].near_next == 1.0 and by[3][0].near_next == 0.0
     assert by[None][0].near_next == 1.0
     assert FP.fingerprints(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [200, 100_000])
+def test_collisions_of_long_texts_equal_the_likeness(spark, words):
+    from pyspark.sql import functions as F
+
+    # every word once, against the same words with ten of weight words / 10: generalised Jaccard n / (n - 10 + n)
+    terms = spark.range(words).select(F.xxhash64("id").alias("term"), F.lit(0.0).alias("w0"), F.when(F.col("id") < 10, math.log(words / 10)).otherwise(0.0).alias("w1"))
+    hashes = 400
+    drawn = [F.min(a).alias(f"w{i}_{k}") for k in range(hashes // 50) for i, a in enumerate(FP.sample_of(F.col("term"), [F.col("w0"), F.col("w1")], F.col("turn") * (hashes // 50) + k))]
+    rows = terms.withColumn("turn", F.explode(F.array(*map(F.lit, range(50))))).groupBy("turn").agg(*drawn).collect()
+    same = [r[f"w0_{k}"] == r[f"w1_{k}"] for r in rows for k in range(hashes // 50)]
+    true = words / (2 * words - 10)
+    assert len(same) == hashes and abs(sum(same) / hashes - true) < 3.5 * (true * (1 - true) / hashes) ** 0.5

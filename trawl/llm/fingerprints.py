@@ -25,10 +25,8 @@ table gives no rows; other columns are dropped.
 
 from __future__ import annotations
 
-import functools
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +35,6 @@ from .common import BROADCAST_ROWS
 HASHES = 32
 #: Samples that are drawn together, in one row of an aggregation.
 TOGETHER = 4
-#: Gamma values are taken from a table of 2 to this number of equally likely ones; the other bits of a hash give beta.
-TABLE_BITS = 12
 BUCKET_ROWS = 500
 #: Buckets at most, as their order is found in one task; beyond, buckets hold more rows.
 MOST_BUCKETS = 1_000_000
@@ -75,28 +71,23 @@ def buckets_of(key: Column, keys: DataFrame, rows: int) -> Column:
     return at.cast("long") * steps + F.least(F.greatest(inside, F.lit(0).cast("long")), F.lit(steps - 1).cast("long"))
 
 
-@functools.cache
-def gamma_quantiles(n: int = 1 << TABLE_BITS) -> list[float]:
-    """Values of the gamma distribution of shape 2 at n equal steps of probability: 1 - (1 + x) exp(-x) = p, by Newton's method."""
-    found, x = [], 0.01
-    for i in range(n):
-        p = (i + 0.5) / n
-        for _ in range(60):
-            step = ((1 - (1 + x) * math.exp(-x)) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 2)
-            if abs(step) < 1e-14 * x:
-                break
-        found.append(x)
-    return found
-
-
-def sample_of(term: Column, log_weights: list[Column], k: Column, tables: tuple[Column, Column]) -> list[Column]:
-    """ln a of one term in sample k, for each of several weights; tables: of r and of ln c, as literal arrays."""
-    h = F.xxhash64(k, term)
-    mask = F.lit((1 << TABLE_BITS) - 1)
-    r = F.get(tables[0], h.bitwiseAND(mask).cast("int"))
-    log_c = F.get(tables[1], F.shiftrightunsigned(h, TABLE_BITS).bitwiseAND(mask).cast("int"))
-    beta = F.shiftrightunsigned(h, 2 * TABLE_BITS) * F.lit(2.0 ** (2 * TABLE_BITS - 64))
+def uniform(h: Column, low: int, bits: int) -> Column:
+    """Bits of a hash, from bit `low` up, as a number between 0 and 1; never either."""
+    part = F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << bits) - 1))
+    return (part + F.lit(0.5)) * F.lit(2.0**-bits)
+
+
+def gamma(one: Column, two: Column) -> Column:
+    """The sum of two exponential values: gamma distributed with shape 2, both tails whole."""
+    return -F.log(one * two)
+
+
+def sample_of(term: Column, log_weights: list[Column], k: Column) -> list[Column]:
+    """ln a of one term in sample k, for each of several weights."""
+    g, h = F.xxhash64(k, term), F.xxhash64(term, k)
+    r = gamma(uniform(g, 0, 32), uniform(g, 32, 32))
+    log_c = F.log(gamma(uniform(h, 0, 24), uniform(h, 24, 24)))
+    beta = uniform(h, 48, 16)
     return [log_c - r * (F.floor(w / r + beta) - beta + 1) for w in log_weights]
 
 
@@ -161,10 +152,9 @@ def _signed(placed: DataFrame, hashes: int) -> DataFrame:
     log_weights = [F.when((F.col("kind") == 1) & (F.col(w) > 0), F.log(w)).alias(w) for w in ("w0", "w1")]
     turns = F.when(F.col("kind") == 1, F.array(*map(F.lit, range(-(-hashes // TOGETHER))))).otherwise(F.array(F.lit(-1)))
     terms = terms.select("bucket", "row", "kind", "term", *log_weights, F.explode(turns).alias("turn"))
-    tables = F.lit(np.array(gamma_quantiles())), F.lit(np.log(gamma_quantiles()))
     samples = []
     for k in range(TOGETHER):
-        found = sample_of(F.col("term"), [F.col("w0"), F.col("w1")], F.col("turn") * TOGETHER + k, tables)
+        found = sample_of(F.col("term"), [F.col("w0"), F.col("w1")], F.col("turn") * TOGETHER + k)
         samples += [F.min(a).alias(f"w{i}_{k}") for i, a in enumerate(found)]
     # of a row: one group for each few samples, one for each known value
     groups = terms.groupBy("bucket", "row", "kind", "turn").agg(*samples, F.max("term").alias("value"))
