@@ -44,3 +44,11 @@ def test_rows(spark):
     kept = Q.documents_kept(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, k in out.items() if k}
     assert Q.classify(df.limit(0)).count() == 0
+
+
+def test_the_whole_of_a_long_word_counts():
+    shapes = Q.Shapes()
+    word, junk = "a" * 64, "a" * 64 + "%$#{}" * 20_000
+    assert shapes[word] & 1 and not shapes[junk] & 1 and shapes[word] != shapes[junk]
+    assert shapes[junk] == shapes[junk] and junk not in shapes and word in shapes
+    assert shapes["a" * 1000] == shapes[word]

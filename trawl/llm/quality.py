@@ -43,6 +43,8 @@ SAMPLE_ROWS = 20_000
 BLOCK = 500
 #: Size of the hashed feature space, and words whose feature one worker remembers.
 FEATURES, MEMO_WORDS = 1 << 12, 1 << 18
+#: Longer words are described each time they occur.
+MEMO_CHARS = 64
 
 
 def _vote(value: float, good_below: float, bad_above: float) -> int:
@@ -88,8 +90,9 @@ class Shapes(dict):
         self.kinds = Kinds()
 
     def __missing__(self, word: str) -> int:
-        kinds = word[:64].translate(self.kinds)
-        shape = RUN.sub(r"\1", kinds)
+        shape = RUN.sub(r"\1", word.translate(self.kinds))
+        if len(word) > MEMO_CHARS:  # a whole text without spaces, say: read in full, not remembered
+            return self.feature(shape)
         if len(self) >= MEMO_WORDS:
             self.clear()
         got = self.by_shape.get(shape)
