@@ -70,3 +70,14 @@ def test_collisions_of_long_texts_equal_the_likeness(spark, words):
     same = [r[f"w0_{k}"] == r[f"w1_{k}"] for r in rows for k in range(hashes // 50)]
     true = words / (2 * words - 10)
     assert len(same) == hashes and abs(sum(same) / hashes - true) < 3.5 * (true * (1 - true) / hashes) ** 0.5
+
+
+def test_query_has_the_stated_error(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)]) for _ in range(60)) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in FP.query(spark, str(tmp_path)).collect()}
+    off = [(got[i].near_next, jaccard(t, texts[(i + 1) % 300])) for i, t in enumerate(texts)]
+    stated = (sum(p * (1 - p) / 64 for _, p in off) / 300) ** 0.5
+    assert (sum((a - p) ** 2 for a, p in off) / 300) ** 0.5 < 1.2 * stated
+    assert all(len(r.fingerprint) == 256 for r in got.values())

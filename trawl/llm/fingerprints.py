@@ -8,7 +8,9 @@ ln a = ln c - r (t - beta) - r; the term with the least a is the sample.  Two
 documents draw the same (term, t) with a probability that equals their
 generalised Jaccard similarity, the sum of least over the sum of greatest
 weights.  As a is the same only where term and t are, 16 hashed bits of the
-least a stand for the sample.
+least a stand for the sample.  A share of equal samples has the standard error
+sqrt(p (1 - p) / hashes) at likeness p: with 64, as the query has, 0.063 at 0.5
+and 0.05 at 0.8; with 32, 0.088 and 0.071.
 
 `fingerprints` compares every text with an edited version of itself, whose end
 is replaced by the beginning of the next document, and with the next document.
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS
 
 HASHES = 32
+#: Samples of the query.
+QUERY_HASHES = 64
 #: Samples that are drawn together, in one row of an aggregation.
 TOGETHER = 4
 BUCKET_ROWS = 500
@@ -177,4 +181,4 @@ def _signed(placed: DataFrame, hashes: int) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_HASHES)
