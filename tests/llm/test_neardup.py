@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +56,8 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("size,ratio,block", [(3, (85, 100), 1000), (5, (4, 5), 7), (3, (85, 100), 3)])
 def test_components_equal_brute_force(spark, monkeypatch, size, ratio, block):
-    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(neardup, "BLOCK_SIGNATURES", block)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
     rows = corpus(block)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, size, ratio).collect()}
@@ -71,9 +73,50 @@ def test_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hub_rows", [3, 1000])
-def test_star_rounds_find_components(spark, monkeypatch, hub_rows):
+A, B, D = "a b c d e f g", "h i j k l m n o", "p q r s t u v"
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rows = [(1, A), (2, A), (0, B), (1, B), (1, ""), (7, D), (7, D), (7, D), (9, D), (None, D)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id, r.kept) for r in got) == [
+        (-1, None, True), (0, 0, True), (1, 0, False), (1, 0, False), (1, 0, False), (2, 0, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False)
+    ]
+    one = spark.createDataFrame([(3, A), (3, B), (4, B), (5, A), (6, D)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(one).collect()} == {(3, 3), (4, 3), (5, 3), (6, 6)}
+
+
+def test_one_row_of_a_component_stays_whatever_the_names(spark):
+    rows = [(7, D, 1), (7, D, 2), (9, D, 3), (1, A, 4), (2, None, 5), (None, D, 6), (None, D, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int").withColumn("Gone_ID_", F.lit(1)).withColumn("kept", F.lit("x"))
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "7", "None", "None"]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = list(words)
+    for k in range(0, len(other), 100):
+        other[k] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 3_000_000), (4, " " * 2_000_000), (5, "x" * 3_000_000 + " ")]
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()}
+    assert [got[i].component_id for i in range(1, 6)] == [1, 1, 3, 4, 3]
+    assert got[1].n_shingles == len({tuple(words[k : k + 3]) for k in range(len(words) - 2)}) and got[4].n_shingles == 0
+
+
+def test_signatures_of_large_sets_tell_sets_apart():
+    hashes = neardup.MinHash(30, 6)
+    rng = np.random.default_rng(1)
+    one, two = (np.frombuffer(hashes.signature(hashes.minima(rng.integers(0, 2**64, 200_000, np.uint64))), np.uint8) for _ in range(2))
+    assert (one == two).mean() < 0.05
+
+
+@pytest.mark.parametrize("hub_rows,chunk", [(3, 7), (1000, 10**6)])
+def test_star_rounds_find_components(spark, monkeypatch, hub_rows, chunk):
     monkeypatch.setattr(C, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(C, "CHUNK", chunk)
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5080)]
     p = {x: x for e in edges for x in e}
@@ -81,5 +124,5 @@ def test_star_rounds_find_components(spark, monkeypatch, hub_rows):
         x, y = sorted((find(p, a), find(p, b)))
         p[y] = x
     want = {x: find(p, x) for e in edges if e[0] != e[1] for x in e}
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)

@@ -8,7 +8,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that is ever broadcast.  Beyond it a shuffle join is used.
@@ -45,8 +45,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_quiet_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _scratch[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def measured(df: DataFrame, label: str, *sums: Column) -> tuple[DataFrame, dict]:
+    """written(df), and aggregates over it (by alias) that were taken while it was written."""
+    seen = Observation()
+    found = written(df.observe(seen, *(sums or [F.count(F.lit(1)).alias("n")])), label)
+    return found, seen.get
+
+
+def released(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing needs any more."""
+    path = getattr(df, "scratch_path", None)
+    if path in _scratch:
+        _quiet_delete(_scratch.pop(path), path)
+
+
+#: Files of written tables by path, for the end of the application at the latest.
+_scratch: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    while _scratch:
+        path, spark = _scratch.popitem()
+        _quiet_delete(spark, path)
 
 
 def _quiet_delete(spark: SparkSession, path: str) -> None:
@@ -56,10 +83,23 @@ def _quiet_delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows and bytes of an Arrow batch, where the session says nothing else.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
 def batch_limits(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so very long texts do not pile up in a Python worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bound the rows and bytes of an Arrow batch, so very long texts do not pile up in a Python worker; a single longer row is a batch by itself."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

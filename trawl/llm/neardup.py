@@ -1,29 +1,37 @@
 """Near-duplicate documents: MinHash, banding, verification, connected components.
 
-A document's set has the hashes of its distinct word shingles.  Documents with
-equal sets are one class, represented by its least doc_id.
+A document's set has the hashes of its distinct word shingles.  Texts with
+equal sets are one class, whose node is its least doc_id.
 
 1. One pass over the texts: minima of many universal hash functions over each
    set, hashes of their bands, a digest of the set.  The bands are chosen so
    that a pair at the threshold shares none with a probability below `MISS`.
-2. Classes that share a band fall into one group (star links to the least
-   member of each band bucket, components of these).
-3. Links are confirmed within groups, signatures first and then full sets.  All
-   members are compared with the member that shares the most bands in its
-   group.  Those not linked to it are compared with all members, in blocks of
-   bounded size; pairs that are connected already are passed over, and only the
-   links that are found leave a block.
-4. Components of the confirmed links, by large-star and small-star.
-
-No bucket, group or component is gathered in one task, no cap is set on
-partners, and no two links between different sets are lost but by the chance
-named above.
+2. Nodes that share a band hash form a bucket; only nodes of one bucket are ever
+   compared.  Buckets with the same nodes are one.  A node's weight is the size
+   of all its buckets, and the heaviest node of a bucket is its centre.
+3. Links are confirmed by signature, then on full sets.  First every node with
+   the centres of its buckets; a centre's pairs may be split over tasks.  The
+   links so found are made components.  Then, in buckets that still hold several
+   components, nodes outside the centre's component with the nodes of other
+   components, in blocks of bounded size: signatures go first, and sets are
+   fetched only for nodes whose signature leaves a partner possible.  Only links
+   leave a block.
+4. Components of the confirmed links, by contraction, large-star and small-star.
+
+No bucket or component is gathered in one task, no cap is set on partners.  Two
+different sets at the threshold are missed if they share no band (`MISS`), or if
+their signatures agree in fewer positions than `SIGMAS` standard deviations below
+the expected number (about 1e-9); both chances fall with higher similarity.
+Within a bucket the work grows with the nodes outside the centre's component
+times all its nodes, for signatures; nothing else does.
 
 Defined results: null and empty texts, or texts without a word, have no
 shingles and are linked with nothing; with fewer words than a shingle has, the
-whole sequence is the only one; rows with the same doc_id are one document;
-rows without doc_id have no component and are kept; an empty table gives no
-rows; other columns are dropped (`deduplicated` keeps them).
+whole sequence is the only one; texts of any length are read in full; rows with
+the same doc_id are one document, linked with all that any of its texts is
+linked with; rows without doc_id have no component and are kept; an empty table
+gives no rows; other columns are dropped (`deduplicated` keeps them, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -33,10 +41,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batch_limits, written
+from .common import BROADCAST_ROWS, batch_limits, fresh, measured, released, written
 from .components import components
 
 #: Probability that a pair at the threshold shares no band.
@@ -45,8 +53,8 @@ MISS = 1e-6
 ROWS = 6
 #: Words remembered by one worker.
 MEMO_WORDS = 1 << 18
-#: Members and shingles of a block of comparisons, about.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 400_000
+#: Nodes of a block whose signatures are compared, and of one whose sets are; shingles of the latter; about.
+BLOCK_SIGNATURES, BLOCK_SETS, BLOCK_SHINGLES = 2000, 1000, 400_000
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
 
@@ -108,7 +116,7 @@ class MinHash:
 
     @staticmethod
     def signature(minima: np.ndarray) -> bytes:
-        return (minima >> np.uint64(48)).astype(np.uint8).tobytes()
+        return mixed(minima).astype(np.uint8).tobytes()  # low bits: the high ones of a minimum are nearly all zero
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -143,16 +151,23 @@ def signed(docs: DataFrame, size: int, threshold: float, key: str = "doc_id", te
     return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, grp, shared): classes in one group through shared bands; shared: with how many, over all bands."""
-    slim = reps.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = slim.groupBy("band", "h").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
-    buckets = buckets.where("least <> most").select(F.col("band").alias("to_band"), F.col("h").alias("to_h"), "least", "n")
-    shared = slim.join(buckets, (F.col("band") == F.col("to_band")) & (F.col("h") == F.col("to_h")))
-    pairs = written(shared.groupBy("node", "least").agg(F.sum("n").alias("n")), "stars")
-    groups = components(pairs.select(F.col("least").alias("a"), F.col("node").alias("b")), "grp")
-    weight = pairs.groupBy("node").agg(F.sum("n").alias("shared"))
-    return groups.join(weight.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("node", "grp", F.coalesce("shared", F.lit(0)).alias("shared"))
+def buckets(nodes: DataFrame, repeated: bool) -> DataFrame:
+    """(bucket, node, centre, n): buckets of n nodes that share a band hash, two at least; of buckets with the same nodes the least.
+
+    nodes: (node, bands); repeated: a node may have several rows.
+    """
+    slim = nodes.select("node", F.explode("bands").alias("bucket"))
+    slim = slim.distinct() if repeated else slim
+    sizes = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "n")
+    weight = F.sum("n").over(Window.partitionBy("node")).alias("weight")  # a node has one row for each band
+    members = written(slim.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "node", weight), "members")
+    heads = members.groupBy("bucket").agg(
+        F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("best"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    )
+    heads = heads.groupBy("n", "x", "y", F.col("best.node").alias("centre")).agg(F.min("bucket").alias("b"))
+    found = written(members.join(heads, F.col("bucket") == F.col("b")).select("bucket", "node", "centre", "n"), "buckets")
+    released(members)
+    return found
 
 
 def overlap(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -183,129 +198,195 @@ class Pairs:
         return which[self.den * both >= self.num * sizes]
 
 
-def _columns(table: pa.Table) -> tuple:
-    nodes = table.column("node").to_pylist()
-    sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(nodes), -1)
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-    return nodes, sigs, sets
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def star_links(members: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """members, each with `linked`: confirmed with the centre of its group, or the centre itself."""
-    centre = members.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("best")).select(
-        F.col("grp").alias("of_grp"), (-F.col("best.minus")).alias("centre")
-    )
-    sets = members.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"), F.col("items").alias("c_items"))
-    centre = centre.join(sets, F.col("centre") == F.col("c")).drop("c").dropDuplicates(["of_grp"])
-    joined = members.join(centre, F.col("grp") == F.col("of_grp")).select("node", "grp", "n_shingles", "signature", "items", "centre", "c_signature", "c_items")
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def centre_links(groups: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """(a, b): confirmed links between the centres of buckets and their members."""
+    pairs = groups.where("node <> centre").select("node", "centre").distinct()
+    own = sets.select(F.col("node").alias("n"), "signature", "items")
+    other = sets.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"), F.col("items").alias("c_items"))
+    both = pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).select("node", "centre", "signature", "items", "c_signature", "c_items")
+    kind = sets.schema["node"].dataType.simpleString()
 
     def run(batches):
-        test = Pairs(ratio, hashes)
+        test, one = Pairs(ratio, hashes), np.array([0])
         for b in batches:
-            nodes, sigs, sets = _columns(pa.Table.from_batches([b]))
-            centres = b.column("centre").to_pylist()
-            flags = []
-            for i, (c, s, items) in enumerate(zip(centres, b.column("c_signature").to_pylist(), b.column("c_items").to_pylist(), strict=True)):
-                one = np.frombuffer(items, np.uint64)
-                flags.append(nodes[i] == c or bool(len(test.linked(np.frombuffer(s, np.uint8), one, sigs, sets, np.array([i])))))
-            names = ["node", "grp", "n_shingles", "signature", "items", "centre"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(flags, pa.bool_())], [*names, "linked"])
-
-    kind = members.schema["node"].dataType.simpleString()
-    return joined.mapInArrow(run, f"node {kind}, grp {kind}, n_shingles long, signature binary, items binary, centre {kind}, linked boolean")
-
-
-def block_links(members: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """(a, b): links of members that are not linked to their group's centre with any member of the group."""
-
-    def blocks(count, total):
-        return F.greatest(F.ceil(count / BLOCK_MEMBERS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
-
-    rest = ~F.col("linked")
-    sizes = members.groupBy("grp").agg(
-        blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("m_blocks"),
-        blocks(F.sum(rest.cast("long")), F.sum(F.when(rest, F.col("n_shingles")).otherwise(0))).alias("r_blocks"),
-        F.count(F.lit(1)).alias("members"),
+            columns = zip(*(_signatures(b.column(n)) for n in ("signature", "c_signature")), *(_sets(b.column(n)) for n in ("items", "c_items")), strict=True)
+            linked = pa.array([bool(len(test.linked(c, c_items, s[None, :], [items], one))) for s, c, items, c_items in columns], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("centre").filter(linked), b.column("node").filter(linked)], ["a", "b"])
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def cells(rows: DataFrame, blocks) -> DataFrame:
+    """rows (bucket, node, asks, ...) dealt to (bucket, i, j): each node that asks meets each node of its bucket in one cell.
+
+    blocks: from an aggregate function of a column of ones, or of any other, to the number of blocks.
+    """
+    asks = F.col("asks")
+    sizes = rows.groupBy("bucket").agg(
+        F.greatest(F.lit(1), blocks(lambda x: F.sum(x))).cast("int").alias("g_blocks"),
+        F.greatest(F.lit(1), blocks(lambda x: F.sum(F.when(asks, x).otherwise(0)))).cast("int").alias("a_blocks"),
+        F.max("asks").alias("any"),
     )
-    sizes = sizes.where("r_blocks > 0 and members > 2").select(F.col("grp").alias("of_grp"), "m_blocks", "r_blocks")
-    wide = members.join(sizes, F.col("grp") == F.col("of_grp")).drop("of_grp", "centre")
+    wide = rows.join(sizes.where("any").select(F.col("bucket").alias("b"), "g_blocks", "a_blocks"), F.col("bucket") == F.col("b"))
     own = F.xxhash64("node")
-    asked = wide.where(rest).withColumn("i", F.pmod(own, F.col("r_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
-    given = wide.withColumn("j", F.pmod(own, F.col("m_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)))
-    names = ["grp", "i", "j", "node", "signature", "items", "linked"]
-    cells = asked.select(*names, F.lit(True).alias("asks")).union(given.select(*names, F.lit(False).alias("asks")))
-    kind = members.schema["node"].dataType.simpleString()
+    asked = wide.where(asks).withColumn("i", F.pmod(own, F.col("a_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g_blocks") - 1)))
+    given = wide.withColumn("j", F.pmod(own, F.col("g_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
+    names = ["bucket", "i", "j", *(c for c in rows.columns if c not in ("bucket", "asks"))]
+    both = asked.select(*names, F.lit(True).alias("asks")).union(given.select(*names, F.lit(False).alias("asks")))
+    # dealt anew: else all cells of a bucket would stay in the task that has counted its nodes
+    return both.repartition("bucket", "i", "j")
+
+
+def possible(open_rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """(bucket, node): nodes with a partner in their bucket, in another component, that the signatures do not rule out.
+
+    Two nodes are compared in the least of the buckets they share only.  That one
+    is there, as of buckets with the same nodes the least is kept.
+    """
 
     def run(cell: pa.Table) -> pa.Table:
-        test, found = Pairs(ratio, hashes), []
+        test = Pairs(ratio, hashes)
         asks = np.array(cell.column("asks").to_pylist())
-        nodes, sigs, sets = _columns(cell)
-        linked = np.array(cell.column("linked").to_pylist())
-        there = np.flatnonzero(~asks)
-        part = np.arange(len(nodes))  # component of each row: one for all that are linked to the centre, one for each node
-        part[there[linked[there]]] = len(nodes)
-        first = {nodes[i]: part[i] for i in there}
+        sigs, bucket = _signatures(cell.column("signature")), cell.column("bucket")[0].as_py()
+        bands = cell.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sigs), -1)
+        parts = cell.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        given, hit = np.flatnonzero(~asks), np.zeros(len(asks), bool)
         for i in np.flatnonzero(asks):
-            part[i] = first.setdefault(nodes[i], part[i])
+            others = given[parts[given] != parts[i]]
+            least = np.where(bands[others] == bands[i], bands[others], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            others = others[least == bucket]
+            others = others[(sigs[others] == sigs[i]).sum(axis=1) >= test.floor]
+            hit[others] = True
+            hit[i] |= bool(len(others))
+        keep = pa.array(hit)
+        return pa.table([cell.column("bucket").filter(keep), cell.column("node").filter(keep)], ["bucket", "node"])
+
+    kind = open_rows.schema["node"].dataType.simpleString()
+    dealt = cells(open_rows, lambda total: F.ceil(total(F.lit(1)) / BLOCK_SIGNATURES))
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"bucket long, node {kind}").distinct()
+
+
+def block_links(rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """(a, b): confirmed links of nodes that ask with nodes of other components of their bucket; rows: (bucket, node, part, asks, n_shingles, signature, items)."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        test, found = Pairs(ratio, hashes), []
+        nodes, sigs, sets = cell.column("node").to_pylist(), _signatures(cell.column("signature")), _sets(cell.column("items"))
+        asks = np.array(cell.column("asks").to_pylist())
+        part = cell.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).copy()
+        given = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
-            others = there[part[there] != part[i]]
+            others = given[part[given] != part[i]]
             hits = test.linked(sigs[i], sets[i], sigs, sets, others) if len(others) else others
             for other, k in dict(zip(part[hits].tolist(), hits.tolist(), strict=True)).items():  # one link to each component
                 found.append((nodes[i], nodes[k]))
                 part[part == other] = part[i]
-        return pa.table([pa.array([a for a, _ in found], cell.schema.field("node").type), pa.array([b for _, b in found], cell.schema.field("node").type)], ["a", "b"])
-
-    # dealt anew: else all blocks of a group would stay in the task that has counted its members
-    return cells.repartition("grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
-
+        kind = cell.schema.field("node").type
+        return pa.table([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], ["a", "b"])
+
+    kind = rows.schema["node"].dataType.simpleString()
+    dealt = cells(rows, lambda total: F.greatest(F.ceil(total(F.lit(1)) / BLOCK_SETS), F.ceil(total(F.col("n_shingles")) / BLOCK_SHINGLES)))
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def remaining_links(groups: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> tuple[DataFrame, int]:
+    """(a, b): links between the components `found` so far, within buckets; and how many."""
+    wide = groups.where("n > 2").join(found.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left")  # of two nodes one is the centre
+    wide = written(wide.select("bucket", "node", "centre", F.coalesce("component", "node").alias("part")), "labelled")
+    heads = wide.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("part"))).alias("main"))
+    heads = heads.where("low <> high").select(F.col("bucket").alias("b"), "main")
+    signed = nodes.select(F.col("node").alias("s"), "signature", "bands")
+    rows = wide.join(heads, F.col("bucket") == F.col("b")).select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("asks"))
+    rows, seen = measured(rows, "open")
+    if not seen["n"]:
+        return rows.select(F.col("node").alias("a"), F.col("part").alias("b")), 0
+    chosen = written(possible(rows.join(signed, F.col("node") == F.col("s")).drop("s"), ratio, hashes).withColumnsRenamed({"bucket": "b", "node": "o"}), "possible")
+    rows = rows.join(chosen, (F.col("bucket") == F.col("b")) & (F.col("node") == F.col("o"))).drop("b", "o")
+    rows = rows.join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
+    links, seen = measured(block_links(rows, ratio, hashes), "links")
+    return links, seen["n"]
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, count: int, size: int, threshold: float) -> DataFrame:
+    """(node, n_shingles, signature, items) of the texts of nodes; docs: (doc_id, body)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.join(F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes, F.col("doc_id") == F.col("node")).select("node", "body")
 
-def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; ratio: the least similarity of a link."""
-    threshold = ratio[0] / ratio[1]
-    hashes = bands_for(threshold) * ROWS
-    signatures = written(signed(docs, size, threshold, key, text), "signatures")
-    classes = signatures.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    reps = signatures.join(classes.withColumnRenamed("digest", "of"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("of")))
-    reps = written(reps.dropDuplicates(["node", "digest"]).select("node", "n_shingles", "bands", "signature"), "classes")
-    groups = written(candidate_groups(reps), "groups")
-    count = groups.count()
-    hint = F.broadcast if count <= BROADCAST_ROWS else (lambda x: x)
-    kind = docs.schema[key].dataType.simpleString()
-    few = groups.select("node", "grp", "shared")
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")).join(hint(few), F.col("doc_id") == F.col("node")).select("node", "grp", "shared", "body")
-
-    def sets(batches):
+    def run(batches):
         hashing = MinHash(bands_for(threshold), ROWS)
         for b in batches:
             items = [shingles(t, size) for t in b.column("body").to_pylist()]
             sig = [hashing.signature(hashing.minima(x)) if len(x) else None for x in items]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in ("node", "grp", "shared")), pa.array([len(x) for x in items], pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())],
-                ["node", "grp", "shared", "n_shingles", "signature", "items"],
+                [b.column("node"), pa.array([len(x) for x in items], pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "n_shingles", "signature", "items"]
             )
 
-    members = texts.mapInArrow(sets, f"node {kind}, grp {kind}, shared long, n_shingles long, signature binary, items binary").where("n_shingles > 0")
-    members = written(members.dropDuplicates(["node", "items"]), "sets")
-    stars = written(star_links(members, ratio, hashes), "star-links")
-    links = stars.where("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(block_links(stars, ratio, hashes))
-    found = components(links)
-    of_class = classes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    of_class = of_class.select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return (
-        signatures.select("doc_id", "n_shingles", "digest")
-        .join(of_class, F.col("digest") == F.col("of"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
+    return texts.mapInArrow(run, f"node {kind}, n_shingles long, signature binary, items binary").where("n_shingles > 0")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ratio: the least similarity of a link."""
+    threshold = ratio[0] / ratio[1]
+    hashes = bands_for(threshold) * ROWS
+    signatures = written(signed(docs, size, threshold, key, text), "signatures")
+    rows = signatures.where("doc_id is not null")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = written(classes, "classes")
+    # doc_ids of several rows, and those of them whose rows have different texts
+    repeated, seen = measured(
+        rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("digest").alias("texts")).where("n > 1"), "repeated",
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("low") != F.col("high")) | (F.col("texts").between(1, F.col("n") - 1))).alias("mixed"),
+    )
+    groups = buckets(classes.select("node", "bands"), seen["n"] > 0)
+    nodes, of_nodes = measured(groups.select("node").distinct(), "nodes")
+    sets = sets_of(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")), nodes, of_nodes["n"], size, threshold)
+    sets = written(sets.dropDuplicates(["node", "items"]) if seen["n"] else sets, "sets")
+    links, linked = measured(centre_links(groups, sets, ratio, hashes), "centre-links")
+    total = linked["n"]
+    if seen["mixed"]:  # a document with several texts is linked with the nodes of all of them
+        same = repeated.where("low <> high").select(F.col("doc_id").alias("r"))
+        named = rows.join(same, F.col("doc_id") == F.col("r")).select("doc_id", "digest").join(classes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d"))
+        more, extra = measured(named.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "id-links")
+        links, total = links.union(more), total + extra["n"]
+    found = components(links, total)
+    late, more = remaining_links(groups, found, classes, sets, ratio, hashes)
+    if more:
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(late), total + more)
+    # classes of one text that is linked with nothing need no join
+    of_class = classes.select("digest", "node", "copies").join(found.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left")
+    of_class = of_class.where("copies > 1 or component is not null").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
+    result = signatures.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
+    component = F.col("component")
+    if seen["mixed"]:
+        by_id = found.select(F.col("node").alias("i"), F.col("component").alias("by_id")).join(repeated.select(F.col("doc_id").alias("r")), F.col("i") == F.col("r"))
+        result = result.join(by_id.select("i", "by_id"), F.col("doc_id") == F.col("i"), "left")
+        component = F.least("component", "by_id")
+    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(component, "doc_id")).alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()
     )
 
 
 def deduplicated(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with one row for each component; of rows that repeat a doc_id one stays."""
-    gone = near_duplicates(docs, size, ratio, key, text).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(gone, "duplicates")
-    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda x: x)
-    left = docs.join(hint(gone), F.col(key) == F.col("gone_id"), "left_anti")
-    return left
+    """docs, all columns, with one row for each component; where rows repeat the doc_id that is kept, any one of them."""
+    found = written(near_duplicates(docs, size, ratio, key, text).select("doc_id", "kept"), "verdicts")
+    gone, of = fresh(docs, "gone_id"), F.col(key)
+    named = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    named, seen = measured(named, "duplicates")
+    left = docs.join(F.broadcast(named) if seen["n"] <= BROADCAST_ROWS else named, of == F.col(gone), "left_anti")
+    again, seen = measured(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone)), "repeated")
+    if not seen["n"]:
+        return left
+    again = F.broadcast(again) if seen["n"] <= BROADCAST_ROWS else again
+    once = left.join(again, of == F.col(gone), "left_semi").dropDuplicates([key])
+    return left.join(again, of == F.col(gone), "left_anti").union(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
