@@ -30,5 +30,19 @@ def test_counts_match_the_library(spark, hot):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [0, 1 << 18])
+def test_long_runs_hot_or_not(spark, hot):
+    long = [" " * 2_000_000, "\n" * 2_000_000, "-" * 2_000_000, "ab" * 1_000_000, "a" + " " * 1_500_000 + "b", "-" * 80, "- " + "-" * 80, "\0" + "a" * 64, "😀" * 100]
+    lib, rows = Tokenizer.from_file(PATH), list(enumerate(long + long[-4:] * 20))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencounts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, hot=hot).collect()}
+    assert got == {i: (len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in rows}
+
+
+def test_a_long_frequent_word_is_hot(spark):
+    words = tokencounts.piece_table(tokencounts.corpus_words(spark.createDataFrame([("-" * 80,)] * 9 + [("x",)], "text string"), PATH), PATH)
+    known = tokencounts.hot_words(words, 1)
+    assert list(known) == [tokencounts.hot_key("-" * 80)] and len(tokencounts.hot_key("-" * 80)) == 65
+
+
 def test_empty(spark):
     assert tokencounts.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

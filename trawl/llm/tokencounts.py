@@ -8,71 +8,67 @@ number of pieces, and a pre-token has the same pieces everywhere.  So:
 3. per-document frequencies are joined to the piece table and summed.
 
 The join is split by frequency.  The most frequent pre-tokens, at most
-`HOT_WORDS` of at most `HOT_CHARS` characters each, go to every task: that
-table's size is bounded by these parameters whatever the corpus, and no hot key
-is ever shuffled.  All other pre-tokens, of any number, are joined by a shuffle.
+`HOT_WORDS` of them, go to every task, longer ones than `HOT_CHARS` characters as
+their SHA-256: that table's size is bounded by these parameters whatever the
+corpus, and no hot key is ever shuffled, however long it is.  All other
+pre-tokens, of any number, are joined by a shuffle.
 
 Special strings inside texts count one token each, as the library's default has it.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
-are counted one by one; an empty table gives no rows; other columns are dropped.
+Defined results: null and empty texts have 0 bytes and 0 tokens; texts of any
+length are read in full, a single word or white space of millions of characters
+included; repeated rows are counted one by one, rows without doc_id too; of ties
+in frequency all or none are broadcast, with equal results; an empty table gives
+no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ABOVE_PLAIN, WHITE, char_class
+from .bytelevel import piece_ids, split
 from .common import batch_limits, written
-from .packing import byte_level
 
 HOT_WORDS, HOT_CHARS = 1 << 18, 64
-#: Distinct pre-tokens a task holds before it passes them on.
-HELD_WORDS = 200_000
+#: Distinct pre-tokens, and characters of them, that a task holds before it passes them on.
+HELD_WORDS, HELD_CHARS = 200_000, 1 << 24
 #: Frequencies are told apart by this many steps per doubling when the hot ones are chosen.
 STEPS = 8
 
-_L, _N, _W = char_class("L"), char_class("N"), re.escape(WHITE)
-PLAIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-FULL_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
+def hot_key(word: str) -> str:
+    """What stands for a pre-token in the table of the frequent ones."""
+    return word if len(word) <= HOT_CHARS else "\0" + hashlib.sha256(word.encode()).hexdigest()
 
-def specials(path: str) -> re.Pattern:
-    return re.compile("|".join(map(re.escape, sorted(byte_level(path).special_tokens_set, key=len, reverse=True))) or r"(?!)")
 
-
-def split(text: str, special: re.Pattern) -> tuple[list[str], int]:
-    """Pre-tokens of a text, and how many special strings it has."""
-    parts = special.split(text)
-    words: list[str] = []
-    for p in parts:
-        words += (FULL_PATTERN if ABOVE_PLAIN.search(p) else PLAIN_PATTERN).findall(p)
-    return words, len(parts) - 1
+def hot_key_of(word: Column) -> Column:
+    return F.when(F.char_length(word) <= HOT_CHARS, word).otherwise(F.concat(F.lit("\0"), F.sha2(word, 256)))
 
 
 def corpus_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """(word, n): frequencies of all pre-tokens."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        special, held = specials(tokenizer), Counter()
+        held, chars = Counter(), 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.update(split(t, special)[0] if t else ())
-                if len(held) > HELD_WORDS:
+                held.update(split(t, tokenizer)[0] if t else ())
+                chars += len(t or "")
+                if len(held) > HELD_WORDS or chars > HELD_CHARS and sum(map(len, held)) > HELD_CHARS:
                     yield out()
                     held.clear()
+                chars = 0 if chars > HELD_CHARS else chars
         yield out()
 
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -82,9 +78,8 @@ def piece_table(words: DataFrame, tokenizer: str) -> DataFrame:
     """(word, n, pieces): pieces of each distinct pre-token."""
 
     def run(batches):
-        enc = byte_level(tokenizer)
         for b in batches:
-            found = [len(enc.encode_ordinary(w)) for w in b.column(0).to_pylist()]
+            found = [len(piece_ids(w, tokenizer)) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], ["word", "n", "pieces"])
 
     return words.mapInArrow(run, "word string, n long, pieces long")
@@ -93,8 +88,7 @@ def piece_table(words: DataFrame, tokenizer: str) -> DataFrame:
 def hot_words(pieces: DataFrame, limit: int = HOT_WORDS) -> dict[str, int]:
     """Pieces of the most frequent pre-tokens, at most `limit` of them."""
     step = F.floor(F.log2("n") * STEPS)
-    short = pieces.where(F.char_length("word") <= HOT_CHARS)
-    levels = sorted(((r["step"], r["count"]) for r in short.groupBy(step.alias("step")).count().collect()), reverse=True)
+    levels = sorted(((r["step"], r["count"]) for r in pieces.groupBy(step.alias("step")).count().collect()), reverse=True)
     least, total = None, 0
     for level, n in levels:
         if total + n > limit:
@@ -102,7 +96,7 @@ def hot_words(pieces: DataFrame, limit: int = HOT_WORDS) -> dict[str, int]:
         least, total = level, total + n
     if least is None:
         return {}
-    return {r["word"]: r["pieces"] for r in short.where(step >= least).select("word", "pieces").collect()}
+    return {r["key"]: r["pieces"] for r in pieces.where(step >= least).select(hot_key_of(F.col("word")).alias("key"), "pieces").collect()}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, hot: int = HOT_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,14 +108,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, hot: int = HOT_WORDS, key: str
     kind = docs.schema[key].dataType
 
     def run(batches):
-        special, table, serial = specials(tokenizer), known.value, TaskContext.get().partitionId() << 40
+        table, serial = known.value, TaskContext.get().partitionId() << 40
         for b in batches:
             rows, sizes, sums, rare_rows, rare, times = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 serial += 1
-                words, total = split(t, special) if t else ([], 0)
+                words, total = split(t, tokenizer) if t else ([], 0)
                 for w, n in Counter(words).items():
-                    got = table.get(w)
+                    got = table.get(w if len(w) <= HOT_CHARS else hot_key(w))
                     if got is None:
                         rare_rows.append(serial)
                         rare.append(w)
@@ -144,6 +138,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, hot: int = HOT_WORDS, key: str
             )
 
     found = written(docs.select(key, text).mapInArrow(run, f"serial long, doc_id {kind.simpleString()}, n_bytes long, n long, word string"), "frequencies")
+    known.destroy()
     rest = found.where("word is not null").select("serial", "word", F.col("n").alias("times")).join(pieces.select("word", "pieces"), "word")
     rest = rest.groupBy("serial").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
     return found.where("word is null").drop("word").join(rest, "serial", "left").select("doc_id", "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
