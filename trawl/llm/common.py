@@ -114,6 +114,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def anew(key: str) -> Column:
+    """A whole-number key of an aggregated table, for a join that shuffles it anew.
+
+    If it stayed where it was aggregated, the other side would have to come there,
+    and Spark could not split the partition of a hot key in the join.
+    """
+    return F.col(key) + F.lit(0).cast("long")
+
+
 def part() -> Column:
     """The scan task a row comes from.  Only meaningful once written()."""
     return F.spark_partition_id()
