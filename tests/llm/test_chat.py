@@ -88,6 +88,32 @@ def test_sql_where_openings_repeat(spark, tmp_path):
     assert {r[2] for r in got} == {"prompt", "chosen", "rejected"}
 
 
+def test_odd_rows(spark):
+    long = "long " * 400_000
+    rows = [
+        (1, None, None, "a", 0), (1, 1, "user", None, 0), (1, 1, "user", None, 0), (1, 2, "assistant", long, 0), (1, 2, "assistant", "b", 0),
+        (2, None, None, "a", 0), (2, 1, "user", None, 0), (2, 1, "user", "", 0), (2, 5, "assistant", long, 0),
+        (None, 0, "user", "lost", 0), (None, 0, "user", "lost", 0), (3, 0, "user", "alone", 0),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block int")
+    convs = {1: [(None, "a"), ("user", None), ("user", None), ("assistant", "b"), ("assistant", long)], 2: [(None, "a"), ("user", None), ("user", ""), ("assistant", long)], 3: [("user", "alone")]}
+    pairs = chat.paired_by_opening(df)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 1, 2), (2, 2, None), (3, 3, None)}
+    got = chat.spans(df, pairs).collect()
+    want = plain(convs, [(1, 1, 2), (2, 2, None), (3, 3, None)])
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    empty = [r for r in got if r.pair_id == 1 and r.part == "prompt"]
+    assert [r.pos for r in sorted(empty, key=lambda r: r.pos)] == [0, 1]
+
+
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = chat.spans(df, spark.createDataFrame([(1, 1, None)], "pair_id long, chosen long, rejected long"))
+    list(plan.collect())
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("ReusedExchange") >= 1
+
+
 def replies_and_sql(spark, folder, files):
     import duckdb
 

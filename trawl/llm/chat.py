@@ -5,11 +5,14 @@ common prefix of turns (role and text equal), rendered once; what follows in
 either is its completion, rendered with a mask that tells which turns a model
 is to learn: those of the assistant.
 
-Nothing is gathered by conversation: turns of the two sides meet position by
-position in a join, the prefix ends at the least position that differs, found
-by an aggregation, and the result has one row for each rendered turn (`spans`),
-so conversations may be of any length.  `assembled` joins spans into one row a
-pair, for conversations that are known to fit one.
+Texts are shuffled once, to blocks of turns of their conversation.  Hashes of the
+turns of the two sides meet position by position, the prefix ends at the least
+position where they differ, and what has been found of a conversation goes to its
+blocks, where every turn renders its rows (`spans`, one row for each rendered
+turn).  Nothing is gathered by conversation, so conversations may be of any
+length.  `assembled` joins spans into one row a pair, for conversations that are
+known to fit one.  Turns are told apart by 64-bit hashes within a pair, openings
+by 128-bit ones.
 
 `paired_by_opening` makes pairs of conversations that open with the same turn:
 each one is chosen against the next by id, however far apart their ids are.
@@ -22,10 +25,12 @@ pair; a conversation without a reply has no rows; rejected is absent only if
 all last replies of the table are the same; rows without a conversation id are
 dropped; null texts are empty replies.
 
-Defined results: null roles and texts render as empty and equal each other;
-repeated turn numbers are ordered by role and text, repeated rows stay; a pair
-with a missing conversation has an empty completion on that side; a pair without
-any turn has no rows; extra columns are dropped.
+Defined results: null roles and texts render as empty and equal each other, but
+not empty ones; repeated turn numbers are ordered by role and text, null first,
+and repeated rows stay; texts of any length are rendered in full; rows without a
+conversation id are in no pair and have no rows; a pair with a missing
+conversation has an empty completion on that side; a pair without any turn, or
+an empty table, has no rows; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,15 +51,20 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>\n"))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """(conv, pos, role, text): positions from 0 in each conversation, its turns split over blocks of turn numbers."""
-    base = turns.select(F.col("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), "role", "text")
+def blocks(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns as (conv, block, own, role, text), own: place in the block; and (conv, block, start), start: position of the block's first turn."""
+    base = turns.where("conv_id is not null").select(F.col("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), "role", "text")
     base = base.withColumn("block", F.floor(F.col("turn") / TURN_BLOCK))
     sizes = base.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("conv").alias("c"), F.col("block").alias("k"), F.coalesce(before, F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("conv", "block").orderBy("turn", "role", "text")) - 1
-    return base.withColumn("own", own).join(starts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))).select("conv", (F.col("start") + F.col("own")).alias("pos"), "role", "text")
+    return base.select("conv", "block", own.alias("own"), "role", "text"), sizes.select("conv", "block", F.coalesce(before, F.lit(0)).alias("start"))
+
+
+def placed(said: DataFrame, starts: DataFrame) -> DataFrame:
+    """said with `pos` and the other columns of starts, which has any number of rows for a block; the texts stay where they are."""
+    found = starts.withColumnsRenamed({"conv": "c", "block": "k"})
+    return said.join(found, (F.col("conv") == F.col("c")) & (F.col("block") == F.col("k"))).withColumn("pos", F.col("start") + F.col("own")).drop("c", "k", "own", "start")
 
 
 def with_next(slim: DataFrame, group: str, key: str) -> DataFrame:
@@ -73,41 +83,39 @@ def with_next(slim: DataFrame, group: str, key: str) -> DataFrame:
 
 def paired_by_opening(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): each conversation and the next by id with the same first turn; rejected may be null."""
-    least = turns.where("conv_id is not null").groupBy("conv_id").agg(F.min(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.xxhash64("role", "text").alias("opening"))).alias("f"))
-    opened = with_next(least.select("conv_id", F.col("f.opening").alias("opening")), "opening", "conv_id")
+    least = turns.where("conv_id is not null").groupBy("conv_id").agg(F.min(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text")).alias("f"))
+    role, text = F.col("f.role"), F.col("f.text")
+    marks = F.concat_ws(":", F.coalesce(F.octet_length(role), F.lit(-1)), F.coalesce(F.octet_length(text), F.lit(-1)), role, text)
+    opened = with_next(least.select("conv_id", F.md5(marks).alias("opening")), "opening", "conv_id")
     return opened.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), F.col("next").alias("rejected"))
 
 
 def spans(turns: DataFrame, pairs: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(pair_id, part, pos, role, text, mask): rendered turns; part is prompt, chosen or rejected; mask: to be learnt."""
-    said = numbered(turns)
-    pairs = pairs.select("pair_id", "chosen", "rejected")
-
-    def side(name: str) -> DataFrame:
-        found = pairs.select("pair_id", F.col(name).alias("of")).where("of is not null")
-        return found.join(said, F.col("of") == F.col("conv")).select("pair_id", "pos", F.struct("role", "text").alias(name))
-
-    both = side("chosen").join(side("rejected"), ["pair_id", "pos"], "full_outer")
-    same = F.col("chosen.role").eqNullSafe(F.col("rejected.role")) & F.col("chosen.text").eqNullSafe(F.col("rejected.text"))
-    same = same & F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
-    prefix = both.groupBy("pair_id").agg(F.min(F.when(~same, F.col("pos"))).alias("differs"))
-    placed = both.join(prefix.withColumnRenamed("pair_id", "p"), F.col("pair_id") == F.col("p"))
-    common = F.col("pos") < F.coalesce("differs", F.lit(2**62))
-    parts = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("turn")))).otherwise(
-        F.array(F.struct(F.lit("chosen").alias("part"), F.col("chosen").alias("turn")), F.struct(F.lit("rejected").alias("part"), F.col("rejected").alias("turn")))
-    )
-    out = placed.select("pair_id", "pos", F.explode(parts).alias("x")).select("pair_id", "pos", "x.part", "x.turn").where("turn is not null")
-    role, text = F.col("turn.role"), F.col("turn.text")
-    return out.select("pair_id", "part", "pos", role.alias("role"), rendered(role, text).alias("text"), ((F.col("part") != "prompt") & F.coalesce(role.isin(*learn), F.lit(False))).alias("mask"))
+    said, starts = blocks(turns)
+    sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.col(side).alias("of"), F.lit(k).alias("side")) for k, side in enumerate(("chosen", "rejected"))))).alias("x"))
+    sides = sides.select("pair_id", "x.*").where("of is not null")
+    # the texts' shuffle serves this branch as well
+    hashed = placed(said, starts).select("conv", "pos", F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("turn"))
+    both = sides.join(hashed, F.col("of") == F.col("conv")).groupBy("pair_id", "pos")
+    met = both.agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.count(F.lit(1)).alias("n"))
+    prefix = met.where("low <> high or n < 2").groupBy("pair_id").agg(F.min("pos").alias("differs")).withColumnRenamed("pair_id", "p")
+    known = sides.join(prefix, F.col("pair_id") == F.col("p"), "left").select("pair_id", "side", "of", F.coalesce("differs", F.lit(2**62)).alias("differs"))
+    known = starts.join(known, F.col("conv") == F.col("of")).drop("of")
+    # the common prefix comes from the chosen side
+    out = placed(said, known).where("side = 0 or pos >= differs")
+    part = F.when(F.col("pos") < F.col("differs"), "prompt").when(F.col("side") == 0, "chosen").otherwise("rejected")
+    mask = (F.col("pos") >= F.col("differs")) & F.coalesce(F.col("role").isin(*learn), F.lit(False))
+    return out.select("pair_id", part.alias("part"), "pos", "role", rendered(F.col("role"), F.col("text")).alias("text"), mask.alias("mask"))
 
 
 def reply_spans(turns: DataFrame) -> DataFrame:
     """(pair_id, part, pos, role, text, mask): rendered turns, as of `spans`, of each conversation up to its last reply, that reply, and another conversation's."""
-    said = numbered(turns.where("conv_id is not null"))
+    said, starts = blocks(turns)
     body = F.coalesce("text", F.lit(""))
-    last = said.where("role = 'assistant'").groupBy("conv").agg(F.max("pos").alias("last")).withColumnRenamed("conv", "c")
-    placed = said.join(last, F.col("conv") == F.col("c")).where("pos <= last").drop("c")
-    replies = placed.where("pos = last").select(F.col("conv").alias("pair_id"), "pos", body.alias("body"), F.sha2(body, 256).alias("digest"))
+    last = placed(said, starts).where("role = 'assistant'").groupBy("conv").agg(F.max("pos").alias("last")).withColumnRenamed("conv", "of")
+    shown = placed(said, starts.join(last, F.col("conv") == F.col("of")).drop("of")).where("pos <= last")
+    replies = shown.where("pos = last").select(F.col("conv").alias("pair_id"), "pos", body.alias("body"), F.sha2(body, 256).alias("digest"))
     distinct = replies.groupBy("digest").agg(F.max("body").alias("body"))
     order = with_next(distinct.select(F.lit(0).alias("all"), "digest"), "all", "digest")
     first = order.agg(F.min("digest").alias("first"))
@@ -115,7 +123,7 @@ def reply_spans(turns: DataFrame) -> DataFrame:
     others = order.join(distinct.withColumnRenamed("digest", "d"), F.col("other") == F.col("d")).select("of", F.col("body").alias("other_body"))
     rejected = replies.select("pair_id", "pos", "digest").join(others, F.col("digest") == F.col("of"))
     role = F.lit("assistant")
-    own = placed.select(
+    own = shown.select(
         F.col("conv").alias("pair_id"), F.when(F.col("pos") < F.col("last"), "prompt").otherwise("chosen").alias("part"), "pos", "role", rendered(F.col("role"), F.col("text")).alias("text"), (F.col("pos") == F.col("last")).alias("mask")
     )
     return own.union(rejected.select("pair_id", F.lit("rejected").alias("part"), "pos", role.alias("role"), rendered(role, F.col("other_body")).alias("text"), F.lit(True).alias("mask")))
@@ -148,7 +156,7 @@ def query_replies(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations),
 opening AS (SELECT conv_id, concat(role, chr(1), text) AS opening FROM t WHERE pos = 0),
-pairs AS (SELECT conv_id AS pair_id, lead(conv_id) OVER (PARTITION BY opening, conv_id // 1024 ORDER BY conv_id) AS rejected FROM opening),
+pairs AS (SELECT conv_id AS pair_id, lead(conv_id) OVER (PARTITION BY opening ORDER BY conv_id) AS rejected FROM opening),
 c AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = p.pair_id),
 r AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = p.rejected),
 j AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text,
