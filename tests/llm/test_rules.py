@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from trawl.llm import rules
 
 
@@ -52,6 +55,26 @@ def test_hosts_are_judged_together(spark):
     assert rules.judge(df.limit(0)).count() == 0 and rules.documents_kept(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_any_names_and_any_number_of_hosts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", broadcast)
+    rows = [(i, GOOD.format(i), "good") for i in range(40)] + [(100 + i, GOOD.format(i) if i % 10 == 0 else "short", "bad") for i in range(40)] + [(200, GOOD.format(0) + " x" * 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("verdict_host", "bad_host", "BAD_HOST_", "trawl_m", "host", "n_words", "kept", "m"):
+        df = df.withColumn(name, F.lit("x"))
+    kept = rules.documents_kept(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [*range(40), 200]
+    assert sorted(r.doc_id for r in rules.judge(df).where("kept").collect()) == [*range(40), 200]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(400_000)]
+    rows = [(1, " ".join(words), "a"), (2, "x" * 3_000_000, "a"), (3, " ".join(words + words[:7]), "a"), (4, "\n" * 1_000_000, "b")]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(got[i].n_words, got[i].n_repeat_words) for i in (1, 2, 3, 4)] == [(400_000, 0), (1, 0), (400_007, 14), (0, 0)]
+    assert got[2].word_chars == 3_000_000
+
+
 def test_few_documents_are_shrunk_to_the_corpus(spark):
     rows = [(i, 20, 100, 0, 5, 0, 0, f"h{i % 40}") for i in range(4000)] + [(9999, 3, 9, 0, 1, 0, 0, "one")]
     df = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, host string")

@@ -10,10 +10,12 @@ Base rules: fewer than 10 words; over 20 % of the words in 5-word windows that
 occur twice or more.  Rules that count towards a host only: symbols over 10 % of
 the word characters; over 30 % repeated lines.
 
-Defined results: null and empty texts have no words, so they fail; rows with a
-null host are judged on their own only; repeated rows each count and each stay
-or go; an empty table gives no rows.  `documents_kept` keeps all columns;
-`judge` returns its own columns only.
+Defined results: null and empty texts have no words, so they fail; texts of any
+length are measured in full; rows with a null host are judged on their own only,
+rows without doc_id like any other; repeated rows each count and each stay or go;
+hosts with equal rates have equal verdicts; an empty table gives no rows.
+`documents_kept` keeps all columns, whatever their names; `judge` returns its own
+columns only.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, batch_limits, written
+from .common import BROADCAST_ROWS, batch_limits, fresh, measured, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -101,10 +103,10 @@ def host_rates(measured: DataFrame, host: str = "host") -> DataFrame:
     return hosts.withColumn("rate", (F.col("failures") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
 
 
-def host_verdicts(rates: DataFrame, max_host_rate: float, host: str = "host") -> DataFrame:
-    """(verdict_host, host_rejected); broadcast where the hosts are few, as counted."""
-    verdicts = rates.select(F.col(host).alias("verdict_host"), (F.col("rate") > max_host_rate).alias("host_rejected"))
-    return F.broadcast(verdicts) if rates.count() <= BROADCAST_ROWS else verdicts
+def rejected_hosts(rates: DataFrame, max_host_rate: float, name: str, host: str = "host") -> DataFrame:
+    """(name): hosts that are rejected.  Broadcast up to BROADCAST_ROWS of them, as counted."""
+    bad, seen = measured(rates.where(F.col("rate") > max_host_rate).select(F.col(host).alias(name)), "bad-hosts")
+    return F.broadcast(bad) if seen["n"] <= BROADCAST_ROWS else bad
 
 
 def measured_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -113,27 +115,30 @@ def measured_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def judge(docs: DataFrame, max_host_rate: float = 0.5, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Measures and verdicts of every row: doc_id, host, measures, base_failed, host_rate, kept."""
-    measured = written(measured_documents(docs, key, text, host), "measures")
-    rates = host_rates(measured)
-    verdicts = host_verdicts(rates, max_host_rate)
+    """Measures and verdicts of every row: doc_id, host, measures, base_failed, kept."""
+    measures_of = written(measured_documents(docs, key, text, host), "measures")
+    bad = rejected_hosts(host_rates(measures_of), max_host_rate, "bad_host")
+    failed_itself = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return (
-        measured.join(verdicts, F.col("host") == F.col("verdict_host"), "left")
-        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
-        .drop("verdict_host", "host_rejected")
+        measures_of.join(bad, F.col("host") == F.col("bad_host"), "left")
+        .withColumn("base_failed", failed_itself)
+        .withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull())
+        .drop("bad_host")
     )
 
 
 def documents_kept(docs: DataFrame, max_host_rate: float = 0.5, text: str = "text", host: str = "source") -> DataFrame:
-    """docs, all columns, without the rows that are rejected.  The texts are not moved: they are measured twice."""
-    key = docs.columns[0]
-    measured = written(measured_documents(docs, key, text, host), "measures")
-    verdicts = host_verdicts(host_rates(measured), max_host_rate)
-    m = measures(F.col(text))
-    kept = docs.withColumn("trawl_m", m).where(~base_failed(F.col("trawl_m.n_words"), F.col("trawl_m.n_repeat_words"))).drop("trawl_m")
-    bad = verdicts.where("host_rejected").select("verdict_host")
-    return kept.join(bad, F.col(host) == F.col("verdict_host"), "left_anti")
+    """docs, all columns, without the rows that are rejected.
+
+    The texts are not moved, they are measured twice; only if more than
+    BROADCAST_ROWS hosts are rejected are the rows that pass the rules
+    themselves joined with them by a shuffle, which Spark can split at hot hosts.
+    """
+    measures_of = written(measured_documents(docs, host, text, host), "measures")
+    name, m = fresh(docs, "bad_host"), fresh(docs, "trawl_m")
+    bad = rejected_hosts(host_rates(measures_of), max_host_rate, name)
+    kept = docs.withColumn(m, measures(F.col(text))).where(~base_failed(F.col(f"{m}.n_words"), F.col(f"{m}.n_repeat_words"))).drop(m)
+    return kept.join(bad, F.col(host) == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
