@@ -58,6 +58,64 @@ def test_rows(spark):
     assert FP.fingerprints(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quantiles,bucket", [(16, 3), (16, 1), (4096, 500)])
+def test_one_key_may_hold_many_rows(spark, monkeypatch, quantiles, bucket):
+    monkeypatch.setattr(FP, "QUANTILES", quantiles)
+    monkeypatch.setattr(FP, "BUCKET_ROWS", bucket)
+    rows = [(None, f"none {k}") for k in range(90)] + [(5, f"five {k}") for k in range(90)] + [(k, f"one {k}") for k in range(6, 60)] + [(10**15 + k, "far") for k in range(20)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = FP.fingerprints(df, hashes=8).collect()
+    assert sorted(r.doc_id or -1 for r in got) == sorted(i or -1 for i, _ in rows)
+    mark = {t: (m >> 1) & (2**63 - 1) for t, m in df.selectExpr("text", "xxhash64(text) as m").distinct().collect()}
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], mark[r[1]], r[1]))
+    want = []
+    for n, (i, t) in enumerate(order):
+        cut, follow = len(t) // 4, order[(n + 1) % len(order)][1]
+        want.append((i or -1, hashlib.sha256((t[: len(t) - cut] + follow[:cut]).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+    keys = df.selectExpr("coalesce(doc_id, -9223372036854775808) as k", "shiftrightunsigned(xxhash64(text), 1) as mark")
+    from pyspark.sql import functions as F
+
+    sizes = [r["count"] for r in keys.select(FP.buckets_of(F.col("k"), F.col("mark"), keys.select("k"), len(rows)).alias("b")).groupBy("b").count().collect()]
+    assert bucket == 500 or max(sizes) <= 60
+
+
+def plain_fingerprint(spark, texts, hashes):
+    """Samples from the formulas, one term at a time; only hash values come from Spark."""
+    words = sorted({w for t in texts for w in t.lower().split()})
+    table = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) as term")
+    drawn = table.selectExpr("w", f"explode(sequence(0, {hashes - 1})) as k", "term").selectExpr("w", "k", "xxhash64(k, term) as g", "xxhash64(term, k) as h").collect()
+    part = lambda x, low, bits: (((x & (2**64 - 1)) >> low & (1 << bits) - 1) + 0.5) * 2.0**-bits
+    known = {(r.w, r.k): (-math.log(part(r.g, 0, 32) * part(r.g, 32, 32)), math.log(-math.log(part(r.h, 0, 24) * part(r.h, 24, 24))), part(r.h, 48, 16)) for r in drawn}
+    out = []
+    for t in texts:
+        best = []
+        for k in range(hashes):
+            a = {}
+            for w, n in Counter(t.lower().split()).items():
+                r, log_c, beta = known[w, k]
+                step = math.floor(math.log(n) / r + beta)
+                a[w, step] = log_c - r * (step - beta) - r
+            best.append(min(a, key=a.get) if a else None)
+        out.append(best)
+    return out
+
+
+def test_samples_equal_the_formulas(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("a b c d e f g h i j".split()) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    got = sorted(FP.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hashes=16).collect(), key=lambda r: r.doc_id)
+    plain = plain_fingerprint(spark, texts, 16)
+    for i, r in enumerate(got):
+        same = sum(x == y for x, y in zip(plain[i], plain[(i + 1) % 40], strict=True)) / 16
+        assert r.near_next == same
+    for one in range(40):
+        for two in range(40):
+            marks = [got[i].fingerprint[4 * k : 4 * k + 4] for i in (one, two) for k in range(16)]
+            assert [x == y for x, y in zip(marks[:16], marks[16:], strict=True)] == [x == y for x, y in zip(plain[one], plain[two], strict=True)]
+
+
 @pytest.mark.parametrize("words", [200, 100_000])
 def test_collisions_of_long_texts_equal_the_likeness(spark, words):
     from pyspark.sql import functions as F

@@ -14,20 +14,24 @@ and 0.05 at 0.8; with 32, 0.088 and 0.071.
 
 `fingerprints` compares every text with an edited version of itself, whose end
 is replaced by the beginning of the next document, and with the next document.
-Texts are moved once: rows are dealt to buckets, ranges of the key of about
-`BUCKET_ROWS` rows each, and the first row of a bucket goes to the bucket before as
-well, so that every row finds its next one at home.  Words, weights and samples
-are then aggregated within the bucket's task.
+Texts are moved once: rows are dealt to buckets, ranges of (key, hash of the text)
+of about `BUCKET_ROWS` rows each, and the first row of a bucket goes to the bucket
+before as well, so that every row finds its next one at home.  Words, weights and
+samples are then aggregated within the bucket's task.  A key that very many rows
+have, or none, is split by the hash; only rows with equal keys and equal texts
+stay together.
 
 Defined results: null is an empty text; texts without a word have a fingerprint
-of zeros, alike only with each other; after the last row comes the first; rows
-with equal keys are ordered by text; rows without a key come first; an empty
-table gives no rows; other columns are dropped.
+of zeros, alike only with each other; texts of any length are read in full; after
+the last row comes the first; rows with equal keys are ordered by the hash of
+their text, rows without a key come first; repeated rows each have a result; an
+empty table gives no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,20 +48,26 @@ BUCKET_ROWS = 500
 MOST_BUCKETS = 1_000_000
 #: Rows of a task, about, and tasks at most.
 TASK_ROWS, MOST_TASKS = 2000, 100_000
-#: Quantiles of the key that buckets are cut from; a power of two.
-QUANTILES = 1024
+#: Quantiles of the key that buckets are cut from, at most; a power of two.
+QUANTILES = 4096
 NO_KEY = -(2**63)
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def buckets_of(key: Column, keys: DataFrame, rows: int) -> Column:
-    """Bucket number of a key: its quantile, then equal steps within it.  The order of buckets is that of keys."""
+def buckets_of(key: Column, mark: Column, keys: DataFrame, rows: int) -> Column:
+    """Bucket number of a row: the quantile of its key, then equal steps within it; of a key that fills several quantiles, equal steps of `mark`.
+
+    The order of buckets is that of (key, mark).  mark: whole numbers from 0 to 2 ** 63; keys: (k), without nulls.
+    """
     wanted = max(1, math.ceil(rows / max(BUCKET_ROWS, rows / MOST_BUCKETS)))
     steps, n = math.ceil(wanted / QUANTILES), min(QUANTILES, wanted)
-    found = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q"), F.min("k").alias("low"), F.max("k").alias("high")).first()
+    found = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * QUANTILES).alias("q"), F.min("k").alias("low"), F.max("k").alias("high")).first()
     if found["low"] is None:
         return F.lit(0).cast("long")
-    cuts = sorted({found["low"], *(found["q"] if n > 1 else [])})
+    quantiles = [found["low"], *(found["q"] if n > 1 else [])]
+    cuts = sorted(set(quantiles))
+    own = [quantiles.count(c) if quantiles.count(c) > 1 else 0 for c in cuts]  # quantiles that a key fills, if it does
+    starts = list(accumulate([0, *(n + 1 for n in own[:-1])]))
     ends = [*(c - 1 for c in cuts[1:]), found["high"]]
     most = 1
     while most < len(cuts):
@@ -67,12 +77,17 @@ def buckets_of(key: Column, keys: DataFrame, rows: int) -> Column:
     at = F.lit(0)
     if halves:  # the last cut that is not above the key
         at = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda p, h: F.when(F.get(table, p + h) <= key, p + h).otherwise(p))
-    if steps == 1:
-        return F.coalesce(at.cast("long"), F.lit(0).cast("long"))
-    upper = F.array(*(F.lit(c).cast("double") for c in ends))
-    low = F.get(table, at).cast("double")
-    inside = F.floor((key - low) / (F.get(upper, at) - low + 1) * steps).cast("long")
-    return at.cast("long") * steps + F.least(F.greatest(inside, F.lit(0).cast("long")), F.lit(steps - 1).cast("long"))
+
+    def bucket(at: Column) -> Column:
+        pick = lambda values, kind: F.get(F.array(*(F.lit(v).cast(kind) for v in values)), at)
+        bounded = lambda step, most: F.least(F.greatest(step, F.lit(0).cast("long")), most - 1)
+        low, fills = F.get(table, at), pick(own, "long") * steps
+        behind = F.floor((key.cast("double") - low.cast("double")) / (pick(ends, "double") - low.cast("double") + 1) * steps)
+        split = F.floor(mark.cast("double") * 2.0**-63 * fills)
+        step = F.when((key == low) & (fills > 0), bounded(split, fills)).otherwise(fills + bounded(behind, F.lit(steps).cast("long")))
+        return (pick(starts, "long") * steps + step).cast("long")
+
+    return F.element_at(F.transform(F.array(at), bucket), 1)  # the place is found once
 
 
 def uniform(h: Column, low: int, bits: int) -> Column:
@@ -109,25 +124,26 @@ def likeness(one: Column, two: Column, hashes: int) -> Column:
 
 def fingerprints(docs: DataFrame, hashes: int = HASHES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row; key: whole numbers."""
-    rows_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("k", F.coalesce("doc_id", F.lit(NO_KEY)))
-    keys = docs.select(F.col(key).cast("long").alias("k"))
+    rows_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows_in = rows_in.select("doc_id", F.coalesce("doc_id", F.lit(NO_KEY)).alias("k"), F.shiftrightunsigned(F.xxhash64("body"), 1).alias("mark"), "body")
+    keys = rows_in.select("k")
     rows = keys.count()
-    bucket = buckets_of(F.col("k"), keys, rows)
-    seen = keys.select(F.coalesce("k", F.lit(NO_KEY)).alias("k")).withColumn("bucket", bucket).groupBy("bucket").agg(F.min("k").alias("first"))
+    bucket = buckets_of(F.col("k"), F.col("mark"), keys, rows)
+    seen = rows_in.select("k", "mark", bucket.alias("bucket")).groupBy("bucket").agg(F.min(F.struct("k", "mark")).alias("first"))
     # one row for each bucket: which bucket comes before it
     order = Window.orderBy("bucket")
     last = F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = seen.select("first", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
     if rows <= BROADCAST_ROWS * BUCKET_ROWS // 2:
         before = F.broadcast(before)
-    dealt = rows_in.withColumn("bucket", bucket).join(before, F.col("k") == F.col("first"), "left")
+    dealt = rows_in.withColumn("bucket", bucket).join(before, (F.col("k") == F.col("first.k")) & (F.col("mark") == F.col("first.mark")), "left")
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     away = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
-    dealt = dealt.select("doc_id", "k", "body", F.explode(F.when(F.col("before").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to")).select("doc_id", "k", "body", "to.*")
+    dealt = dealt.select("doc_id", "k", "mark", "body", F.explode(F.when(F.col("before").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to")).select("doc_id", "k", "mark", "body", "to.*")
     # as many tasks as the rows need, whatever the session's number of shuffle partitions
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(rows / TASK_ROWS)))
-    sequence = Window.partitionBy("bucket").orderBy("guest", "k", "body")
+    sequence = Window.partitionBy("bucket").orderBy("guest", "k", "mark", "body")
     placed = dealt.repartition(parts, "bucket").withColumn("row", F.row_number().over(sequence)).withColumn("next", F.lead("body").over(sequence))
     chars = F.char_length("body").cast("long")
     changed = F.floor(chars / 4).cast("int")
