@@ -115,12 +115,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def anew(key: str) -> Column:
-    """A whole-number key of an aggregated table, for a join that shuffles it anew.
+    """A whole-number key, changed one to one: for both sides of a join with a table that is aggregated by it.
 
-    If it stayed where it was aggregated, the other side would have to come there,
-    and Spark could not split the partition of a hot key in the join.
+    By the key itself the other side would have to come to where the table was
+    aggregated, and Spark could not split the partition of a hot key in the join.
     """
-    return F.col(key) + F.lit(0).cast("long")
+    return F.col(key).bitwiseXOR(F.lit(1).cast("long"))
 
 
 def part() -> Column:

@@ -160,7 +160,7 @@ def buckets(nodes: DataFrame, repeated: bool) -> DataFrame:
     slim = slim.distinct() if repeated else slim
     sizes = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("bucket").alias("b"), "n")
     weight = F.sum("n").over(Window.partitionBy("node")).alias("weight")  # a node has one row for each band
-    members = written(slim.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "node", weight), "members")
+    members = written(slim.join(sizes, anew("bucket") == F.col("b")).select("bucket", "node", weight), "members")
     heads = members.groupBy("bucket").agg(
         F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("best"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
     )
@@ -235,7 +235,7 @@ def cells(rows: DataFrame, blocks) -> DataFrame:
         F.greatest(F.lit(1), blocks(lambda x: F.sum(F.when(asks, x).otherwise(0)))).cast("int").alias("a_blocks"),
         F.max("asks").alias("any"),
     )
-    wide = rows.join(sizes.where("any").select(anew("bucket").alias("b"), "g_blocks", "a_blocks"), F.col("bucket") == F.col("b"))
+    wide = rows.join(sizes.where("any").select(anew("bucket").alias("b"), "g_blocks", "a_blocks"), anew("bucket") == F.col("b"))
     own = F.xxhash64("node")
     asked = wide.where(asks).withColumn("i", F.pmod(own, F.col("a_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g_blocks") - 1)))
     given = wide.withColumn("j", F.pmod(own, F.col("g_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
@@ -304,7 +304,7 @@ def remaining_links(groups: DataFrame, found: DataFrame, nodes: DataFrame, sets:
     heads = wide.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("part"))).alias("main"))
     heads = heads.where("low <> high").select(anew("bucket").alias("b"), "main")
     signed = nodes.select(F.col("node").alias("s"), "signature", "bands")
-    rows = wide.join(heads, F.col("bucket") == F.col("b")).select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("asks"))
+    rows = wide.join(heads, anew("bucket") == F.col("b")).select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("asks"))
     rows, seen = measured(rows, "open")
     if not seen["n"]:
         return rows.select(F.col("node").alias("a"), F.col("part").alias("b")), 0
