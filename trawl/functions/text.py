@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -147,3 +148,11 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
         return F.size(F.filter(starts, lambda i: F.slice(w, i, k) == wanted))
 
     return bound(words, count)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows from the driver as a literal in the plan, without a Python worker."""
+    names = [field.strip().split(" ", 1)[0] for field in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(field.strip().replace(" ", ": ", 1) for field in schema.split(","))
+    return spark.sql(f"SELECT inline(from_json(?, 'array<struct<{kind}>>'))", args=[text])

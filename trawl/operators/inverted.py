@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import local
 
 TITLE_WEIGHT, TEXT_WEIGHT = 2.0, 5.0
 K1, B = 1.2, 0.75
@@ -25,9 +26,9 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def postings(tokenized: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf_title, tf_text), to be written in ranges of terms so that a look-up reads few row groups."""
-    both = tokenized.select("chunk_id", F.explode(F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_title"))), F.transform("text_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_title"))))).alias("x"))
-    return both.groupBy(F.col("x.term").alias("term"), "chunk_id").agg(F.sum("x.in_title").cast("int").alias("tf_title"), F.sum(1 - F.col("x.in_title")).cast("int").alias("tf_text"))
+    """(term, chunk_id, tf_title, tf_text, doc_len), to be written in ranges of terms so that a look-up reads few row groups and nothing else."""
+    both = tokenized.select("chunk_id", "doc_len", F.explode(F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_title"))), F.transform("text_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_title"))))).alias("x"))
+    return both.groupBy(F.col("x.term").alias("term"), "chunk_id").agg(F.sum("x.in_title").cast("int").alias("tf_title"), F.sum(1 - F.col("x.in_title")).cast("int").alias("tf_text"), F.max("doc_len").alias("doc_len"))
 
 
 def corpus_stats(tokenized: DataFrame) -> DataFrame:
@@ -35,20 +36,19 @@ def corpus_stats(tokenized: DataFrame) -> DataFrame:
 
 
 def phrase_hits(tokenized: DataFrame, terms: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(phrase, chunk_id, tf_title, tf_text): where each phrase (numbered) occurs."""
-    spark = tokenized.sparkSession
+    """(phrase, chunk_id, tf_title, tf_text, doc_len): where each phrase (numbered) occurs."""
     found = []
     single = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
     if single:
         number = F.create_map(*(x for t, i in single.items() for x in (F.lit(t), F.lit(i))))
-        found.append(terms.where(F.col("term").isin(list(single))).select(F.element_at(number, F.col("term")).alias("phrase"), "chunk_id", "tf_title", "tf_text"))
+        found.append(terms.where(F.col("term").isin(list(single))).select(F.element_at(number, F.col("term")).alias("phrase"), "chunk_id", "tf_title", "tf_text", "doc_len"))
     for i, p in enumerate(phrases):
         if len(p) > 1:
             holds = terms.where(F.col("term").isin(p)).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(set(p))).select(F.col("chunk_id").alias("h"))
-            rows = tokenized.join(holds, F.col("chunk_id") == F.col("h"), "left_semi").select(F.lit(i).alias("phrase"), "chunk_id", X.phrase_count(F.col("title_tokens"), p).alias("tf_title"), X.phrase_count(F.col("text_tokens"), p).alias("tf_text"))
+            rows = tokenized.join(holds, F.col("chunk_id") == F.col("h"), "left_semi").select(F.lit(i).alias("phrase"), "chunk_id", X.phrase_count(F.col("title_tokens"), p).alias("tf_title"), X.phrase_count(F.col("text_tokens"), p).alias("tf_text"), "doc_len")
             found.append(rows.where("tf_title + tf_text > 0"))
     if not found:
-        return spark.createDataFrame([], "phrase int, chunk_id long, tf_title int, tf_text int")
+        return terms.limit(0).select(F.lit(0).alias("phrase"), "chunk_id", "tf_title", "tf_text", "doc_len")
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -77,11 +77,10 @@ def bm25(tokenized: DataFrame, terms: DataFrame, stats: DataFrame, searches: lis
     hits = phrase_hits(tokenized, terms, [list(p) for p in numbers])
     if not wanted:
         return hits.select(F.col("phrase").alias("search"), "chunk_id", F.lit(0.0).alias("bm25"))
-    of_search = spark.createDataFrame(wanted, "search int, p int, least int, times int")
+    of_search = local(spark, wanted, "search int, p int, least int, times int")
     totals = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_p"))
     weights = totals.join(F.broadcast(stats)).select(F.col("phrase").alias("w"), idf(F.col("n"), F.col("n_p")).alias("idf"), "avgdl")
-    lengths = tokenized.select(F.col("chunk_id").alias("l"), "doc_len")
-    scored = hits.join(F.broadcast(weights), F.col("phrase") == F.col("w")).join(lengths, F.col("chunk_id") == F.col("l"))
+    scored = hits.join(F.broadcast(weights), F.col("phrase") == F.col("w"))
     scored = scored.select("phrase", "chunk_id", phrase_score(F.col("idf"), F.col("tf_title"), F.col("tf_text"), F.col("doc_len"), F.col("avgdl")).alias("part"))
     joined = scored.join(F.broadcast(of_search), F.col("phrase") == F.col("p"))
     out = joined.groupBy("search", "chunk_id").agg((-F.sum(F.col("part") * F.col("times"))).alias("bm25"), F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))

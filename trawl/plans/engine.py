@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
@@ -76,27 +76,30 @@ class Archive:
     def _tokens(self, phrases: list[list[str]]) -> list[list[list[str]]]:
         """Search tokens of phrases, by the same expression that made the index."""
         flat = sorted({p for each in phrases for p in each})
-        found = {r["p"]: list(r["t"]) for r in self.spark.createDataFrame([(p,) for p in flat], "p string").select("p", X.tokens(F.col("p")).alias("t")).collect()} if flat else {}
+        found = {r["p"]: list(r["t"]) for r in X.local(self.spark, [(p,) for p in flat], "p string").select("p", X.tokens(F.col("p")).alias("t")).collect()} if flat else {}
         return [[found[p] for p in each] for each in phrases]
 
     def _ranked(self, searches: list[tuple[list[str], bool]], condition, most: int, temporal: dict[int, str] | None = None) -> DataFrame:
-        """(search, chunk_id, rank, ...chunk columns): the first `most` chunks of each search that meet the condition."""
+        """(search, chunk_id, role, rank): the first `most` chunks of each search that meet the condition.  No text is read."""
         tokens = self._tokens([p for p, _ in searches])
         hits = inverted.bm25(self.tables["chunks"], self.tables["postings"], self.tables["corpus_stats"], [(t, a) for t, (_, a) in zip(tokens, searches, strict=True)])
-        chunks = self.tables["chunks"].select(F.col("chunk_id").alias("id"), "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text", "match_form")
-        rows = hits.join(chunks, F.col("chunk_id") == F.col("id")).drop("id").where(condition)
+        slim = self.tables["chunks"].where(condition).select(F.col("chunk_id").alias("id"), "role", "create_time")
+        rows = hits.join(slim, F.col("chunk_id") == F.col("id")).drop("id")
         time, key = F.col("create_time"), F.round("bm25", 12)
         for number, kind in (temporal or {}).items():
             by_time = time if kind == "temporal_earliest" else -time
             key = F.when(F.col("search") == number, F.coalesce(by_time, F.lit(float("inf")))).otherwise(key)
-        return inverted.top_ranks(rows, most, [key.asc(), F.col("chunk_id").asc()])
+        return inverted.top_ranks(rows, most, [key.asc(), F.col("chunk_id").asc()]).select("search", "chunk_id", "role", "rank")
+
+    def _with_texts(self, found: DataFrame, *more: str) -> DataFrame:
+        """found, which the searches' limits bound, with the columns of its chunks: they are looked up where the chunks lie."""
+        rows = self.tables["chunks"].select(F.col("chunk_id").alias("id"), "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text", *more)
+        return rows.join(F.broadcast(found), F.col("id") == F.col("chunk_id")).drop("id")
 
     def lexical(self, query: str, most: int, condition=None) -> DataFrame:
         searches = I.weighted_searches(query)
         ranked = self._ranked([(p, a) for p, a, _ in searches], F.lit(True) if condition is None else condition, most)
-        fused = fusion.fuse_searches(ranked, [w for _, _, w in searches]).withColumnRenamed("chunk_id", "id")
-        rows = self.tables["chunks"].select("chunk_id", "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text")
-        return fused.join(rows, F.col("id") == F.col("chunk_id")).drop("id")
+        return self._with_texts(fusion.fuse_searches(ranked, [w for _, _, w in searches]))
 
     def semantic(self, query: str, most: int, condition=None) -> DataFrame:
         rows = self.tables["chunks"]
@@ -113,9 +116,6 @@ class Archive:
         condition = sessions.dated_inclusive(F.col("create_time"), day_start(date_from), None if last is None else last - 1)
         if conversation_id:
             condition = condition & (F.col("conversation_id") == conversation_id)
-        from pyspark.sql import Window
-
-        rows = self.tables["chunks"].select("chunk_id", "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text")
         hits = None if semantic_only else self.lexical(query, most, condition)
         if self.semantic_ready and not lexical_only:
             near = self.semantic(query, most, condition)
@@ -125,9 +125,9 @@ class Archive:
                 # the list is bounded by the searches' limits
                 ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
             weights = (0.9, 1.4) if timeline else (1.6, 1.0)
-            hits = fusion.fuse_lists(ranked, near, *weights).withColumnRenamed("chunk_id", "id").join(rows, F.col("id") == F.col("chunk_id")).drop("id")
+            hits = self._with_texts(fusion.fuse_lists(ranked, near, *weights))
         if hits is None:
-            hits = rows.limit(0).withColumn("score", F.lit(0.0))
+            hits = self._with_texts(self.tables["chunks"].limit(0).select("chunk_id", F.lit(0.0).alias("score")))
         by_score = [F.desc("score"), F.col("chunk_id").asc()]
         grouped = fusion.hits_to_turns(hits).orderBy(*by_score).limit(max(25 * limit, 250))
         order = I.search_order(query) if order == "auto" else order
@@ -157,10 +157,11 @@ class Archive:
         else:
             matches = matches.withColumn("similarity", F.lit(None).cast("double")).withColumn("semantic_rank", F.lit(None).cast("int"))
         none = F.array().cast("array<struct<search:int,kind:string,weight:double,rank:int>>")
-        found = matches.select(F.col("chunk_id").alias("id"), F.coalesce("matches", none).alias("matches"), "similarity", "semantic_rank")
-        rows = self.tables["chunks"].select("chunk_id", "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text", "match_form").where(dated)
+        found = matches.select("chunk_id", F.coalesce("matches", none).alias("matches"), "similarity", "semantic_rank")
+        rows = self._with_texts(found, "match_form").where(dated)
         said = self.tables["turns"].select(F.col("conversation_id").alias("tc"), F.col("turn_index").alias("tt"), "user_text", "assistant_text", "acceptance", "previous_acceptance")
-        return rows.join(found, F.col("chunk_id") == F.col("id")).drop("id").join(said, (F.col("conversation_id") == F.col("tc")) & (F.col("turn_index") == F.col("tt"))).drop("tc", "tt")
+        # chunks are of bounded size, and of bounded number here
+        return said.join(F.broadcast(rows), (F.col("conversation_id") == F.col("tc")) & (F.col("turn_index") == F.col("tt"))).drop("tc", "tt")
 
     def ranked_turns(self, query: str, depth: str = "medium", date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         """Turns for a question in the order of its mode, `place` from 1."""
@@ -182,15 +183,17 @@ class Archive:
         searches = I.variants(query, intent)
         found = self.candidates(query, intent, searches, size, start, end).cache()
         try:
-            counts = found.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("matches")).alias("lexical"), F.count("semantic_rank").alias("semantic")).first()
-            totals = scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns)
-            ranked = ordering.temporal_order(totals, intent.primary_mode).cache()
-            n_turns = ranked.count()
+            # one action: a row of counts, with every episode of the pool
+            counts = found.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("matches")).alias("lexical"), F.count("semantic_rank").alias("semantic"))
+            ranked = ordering.temporal_order(scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns), intent.primary_mode)
+            ranked = ranked.withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # of at most size.turns rows
             pool = ranked.where(F.col("place") <= 4 * size.episodes)
-            rows = packets.episodes(pool, self.tables["turns"], intent, size.seeds).orderBy("place").collect()  # at most 60
-            ranked.unpersist()
+            rows = packets.episodes(pool, self.tables["turns"], intent, size.seeds, "turns")
+            rows = counts.join(F.broadcast(rows.select(F.struct("*").alias("episode"))), F.lit(True), "left").collect()  # at most 60
         finally:
             found.unpersist()
+        counts, rows = rows[0], sorted((r["episode"] for r in rows if r["episode"]), key=lambda r: r["place"])
+        n_turns = rows[0]["turns"] if rows else 0
         built = [packets.as_episode(r, intent) for r in rows]
         chosen, removed = packets.select(built, size, intent)
         trace = {
