@@ -6,7 +6,8 @@ expectation-maximisation over the counts of vote patterns, which are counted
 over all documents and of which there are at most 3 to the number of labellers,
 gives each labeller's rates and each pattern's posterior.  The posteriors of a
 bounded sample of documents (`SAMPLE_ROWS`, chosen by hash) train a linear
-scorer over hashed features: shapes of words and steps of a few ratios.  The
+scorer over hashed features: words and pairs of neighbouring words, which no
+labeller looks at, shapes of words, and steps of the labellers' ratios.  The
 scorer then judges every document.
 
 Labellers: symbols, words that are not plainly words, capitals, exclamation
@@ -14,8 +15,11 @@ marks, bars, words equal to the one before, few
 distinct words, repeated lines, unusual punctuation.
 
 Defined results: null and empty texts get no votes and are judged by an empty
-feature vector, that is kept unless most documents are bad; repeated rows get
-equal results; an empty table gives no rows.  `documents_kept` keeps all columns.
+feature vector, that is kept unless most documents are bad; texts of any length
+are read in full, words of any length too; a score equal to the limit is kept;
+repeated rows get equal results, rows without doc_id like any other; an empty
+table gives no rows.  `documents_kept` keeps all columns, whatever their names;
+`classify` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +46,9 @@ NOTHING, GOOD, BAD = 0, 1, 2
 SAMPLE_ROWS = 20_000
 #: Words within which the labeller for few distinct words counts.
 BLOCK = 500
-#: Size of the hashed feature space, and words whose feature one worker remembers.
-FEATURES, MEMO_WORDS = 1 << 12, 1 << 18
+#: Sizes of the hashed feature spaces of shapes and ratios, of words, and of pairs of words; words that one worker remembers.
+FEATURES, WORDS, PAIRS, MEMO_WORDS = 1 << 12, 1 << 13, 1 << 13, 1 << 18
+ALL_FEATURES = FEATURES + WORDS + PAIRS
 #: Longer words are described each time they occur.
 MEMO_CHARS = 64
 
@@ -83,7 +89,7 @@ class Kinds(dict):
 
 
 class Shapes(dict):
-    """Word to its feature: runs of small, capital, digit and other characters, hashed; the lowest bit says if it is plainly a word."""
+    """Word to a number: its hash, its shape's feature (runs of small, capital, digit and other characters, hashed), and in the lowest bit if it is plainly a word."""
 
     def __init__(self):
         self.by_shape: dict[str, int] = {}
@@ -91,15 +97,16 @@ class Shapes(dict):
 
     def __missing__(self, word: str) -> int:
         shape = RUN.sub(r"\1", word.translate(self.kinds))
+        own = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace")) >> 32 << 16
         if len(word) > MEMO_CHARS:  # a whole text without spaces, say: read in full, not remembered
-            return self.feature(shape)
+            return own | self.feature(shape)
         if len(self) >= MEMO_WORDS:
             self.clear()
         got = self.by_shape.get(shape)
         if got is None:
             got = self.by_shape[shape] = self.feature(shape)
-        self[word] = got
-        return got
+        self[word] = own | got
+        return own | got
 
     def feature(self, shape: str) -> int:
         if len(self.by_shape) >= MEMO_WORDS:
@@ -113,12 +120,15 @@ _shapes = Shapes()
 
 
 def described(text: str | None) -> tuple[np.ndarray, tuple[float, ...]] | None:
-    """Features of the words, and the ratios; None without a word."""
+    """Features of the words and of their pairs, and the ratios; None without a word."""
     words = text.split() if text else []
     if not words:
         return None
     ids = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
-    return ids >> 1, ratios(text, words, 1 - float((ids & 1).mean()))
+    own = ids >> 16
+    pairs = (own[:-1] * 0x9E3779B1 + own[1:]) & 0x7FFFFFFF
+    found = np.concatenate([(ids & 0xFFFF) >> 1, FEATURES + own % WORDS, FEATURES + WORDS + (pairs >> 8) % PAIRS])
+    return found, ratios(text, words, 1 - float((ids & 1).mean())), len(words)
 
 
 def votes_on(values: tuple[float, ...]) -> tuple[int, ...]:
@@ -180,31 +190,35 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> LabelM
 
 
 def features(got: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, values) of a described text: shares of word shapes, and one feature for the step that each ratio falls into."""
+    """(features, values) of a described text: shares of word shapes, words and pairs, and one feature for the step that each ratio falls into."""
     if not got:
         return np.empty(0, np.int64), np.empty(0)
     found, n = np.unique(got[0], return_counts=True)
     steps = [STEPS[i, min(int(4 * v / limit[1]), 8)] for i, (v, limit) in enumerate(zip(got[1], LIMITS, strict=True))]
-    return np.concatenate([found, steps]), np.concatenate([n / len(got[0]), np.full(len(steps), 0.25)])
+    return np.concatenate([found, steps]), np.concatenate([n / got[2], np.full(len(steps), 0.25)])
 
 
 #: Feature of each step of each ratio.
 STEPS = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{k}".encode()) % FEATURES for k in range(9)] for name in LABELLERS])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (last: intercept) of a logistic regression on soft targets, by gradient steps with per-weight rates."""
-    w = np.zeros(FEATURES + 1)
-    if not len(rows):
+#: Steps of the fit.
+ROUNDS = 60
+
+
+def fit(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-4) -> np.ndarray:
+    """Weights (last: intercept) of a logistic regression on soft targets, by gradient steps with per-weight rates.
+
+    sizes: number of features of each row; col, val: features and values of all rows, one after the other.
+    """
+    w = np.zeros(ALL_FEATURES + 1)
+    if not len(sizes):
         return w
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    col = np.concatenate([f for f, _ in rows]).astype(np.int64)
-    val = np.concatenate([v for _, v in rows])
-    seen = np.zeros_like(w)
+    row, seen = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros_like(w)
     for _ in range(rounds):
-        margin = np.bincount(row, val * w[col], len(rows)) + w[-1]
+        margin = np.bincount(row, val * w[col], len(sizes)) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target
-        step = np.bincount(col, val * error[row], FEATURES + 1) / len(rows) + penalty * w
+        step = np.bincount(col, val * error[row], ALL_FEATURES + 1) / len(sizes) + penalty * w
         step[-1] = error.mean()
         seen += step * step
         w -= 0.5 * step / (np.sqrt(seen) + 1e-8)
@@ -241,8 +255,9 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel,
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "pattern", "value"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     sample = chosen.select("pattern", "features", "value").limit(2 * sample_rows).toArrow()
     target = np.array([model.posterior[c] for c in sample.column("pattern").to_pylist()])
-    found = zip(sample.column("features").to_pylist(), sample.column("value").to_pylist(), strict=True)
-    return model, fit([(np.array(f, np.int64), np.array(v)) for f, v in found], target)
+    flat = lambda name, kind: sample.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+    sizes = pc.list_value_length(sample.column("features")).to_numpy().astype(np.int64)
+    return model, fit(sizes, flat("features", np.int32), flat("value", np.float32), target)
 
 
 def probability(weights: np.ndarray, f: np.ndarray, v: np.ndarray) -> float:
