@@ -70,3 +70,15 @@ def test_rows(spark, n):
 def test_most_rows_stay_at_home(spark):
     got = sharding.shard_rows(spark.range(20000).selectExpr("id as doc_id", "'x' as text"), 24).collect()
     assert sum(r.shard == r.home_shard for r in got) > 0.8 * len(got)
+
+
+def test_movement_when_a_shard_is_added(spark):
+    """Of rows that keep their home on the ring, most stay; the new shard takes about its share."""
+    df = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) as text")
+    before, after = ({r.doc_id: r for r in sharding.shard_rows(df, n).collect()} for n in (24, 25))
+    moved = sum(before[i].shard != after[i].shard for i in before)
+    home = sum(before[i].home_shard != after[i].home_shard for i in before)
+    assert 0.02 < home / 20_000 < 0.06  # the ring itself gives the new shard one part in 25
+    assert moved / 20_000 < 0.35  # tight capacities overflow more than that, all shards anew would move 0.96
+    assert all(after[i].home_shard in (24, before[i].home_shard) for i in before)
+    assert Counter(r.shard for r in after.values())[24] == 800

@@ -1,8 +1,11 @@
 """BPE encoding and decoding of whole texts (see bpe.py for the transducer).
 
 Defined results: null or empty text has no ids, and its decoded text is empty;
-repeated rows give repeated results; an empty table gives no rows; other
-columns are dropped.  Ids in `ids` (encode) are arrays of integers; `decode`
+texts of any length are read in full, in pieces, words of any length through a
+window; a stretch of a text without space or line end is held as one piece;
+repeated rows give repeated results, rows without doc_id too; there are no ties
+but between equal merges, which the merge list orders; an empty table gives no
+rows; other columns are dropped, whatever their names.  Ids in `ids` (encode) are arrays of integers; `decode`
 takes any such column, null as no ids; unknown ids are passed over, as the
 library does.
 """

@@ -14,8 +14,9 @@ case.  Besides templates there are base phrases, plain sequences of words with
 a label; both are parameters.
 
 Defined results: null and empty texts have no words, no labels and score 0;
-repeated rows give repeated results; an empty table gives no rows; other columns
-are dropped.
+texts of any length are read in full; labels that match at the same place are all
+given; repeated rows give repeated results, rows without doc_id too; an empty
+table gives no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,9 +13,11 @@ ring then runs over the arc counts, whose number is fixed by the ring and not by
 the data, and yields rank intervals per arc; each row finds its interval by its
 rank within its arc.  The main path is DataFrame code only.
 
-Defined results: null text counts as no bytes and crc 0; null keys hash like any
-other value; repeated rows are placed one by one; an empty table gives no rows;
-extra columns are dropped.
+Defined results: null text counts as no bytes and crc 0; texts of any length
+count in full; null keys hash like any other value; rows of an arc are ranked by
+hash, key, crc and size, equal rows in any order; repeated rows are placed one by
+one; an empty table gives no rows; extra columns are dropped, whatever their
+names.
 """
 
 from __future__ import annotations

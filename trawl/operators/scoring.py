@@ -64,10 +64,10 @@ def adjustment(role: Column, acceptance: Column) -> Column:
 
 
 def score_candidates(rows: DataFrame, query: str, intent: Intent) -> DataFrame:
-    """rows: chunks with matches, similarity and their turn's columns; adds score, exact, correction_signal, components."""
-    span = rows.agg(F.min("create_time").alias("oldest"), F.max("create_time").alias("newest"))
-    spread = rows.groupBy("conversation_id").agg(F.countDistinct("turn_index").alias("spread")).withColumnRenamed("conversation_id", "sc")
-    rows = rows.join(F.broadcast(span)).join(F.broadcast(spread), F.col("conversation_id") == F.col("sc")).drop("sc")
+    """rows: the candidates of one question, chunks with matches, similarity and their turn's columns; adds score, exact, correction_signal, components."""
+    every = Window.partitionBy(F.lit(0))  # of as many rows as the searches' limits let through
+    spread = F.size(F.collect_set("turn_index").over(Window.partitionBy("conversation_id")))
+    rows = rows.select("*", F.min("create_time").over(every).alias("oldest"), F.max("create_time").over(every).alias("newest"), spread.alias("spread"))
     asked = F.array(*map(F.lit, searchable_terms(query))).cast("array<string>")
     zero = F.lit(0.0)
     raw = {
@@ -80,8 +80,7 @@ def score_candidates(rows: DataFrame, query: str, intent: Intent) -> DataFrame:
         "corroboration": corroboration(F.col("spread")),
         "current": normalized_time(F.col("create_time"), F.col("oldest"), F.col("newest")) if "current_state" in intent.flags else zero,
     }
-    for name, value in raw.items():
-        rows = rows.withColumn(f"raw_{name}", value)
+    rows = rows.select("*", *(value.alias(f"raw_{name}") for name, value in raw.items()))
     total, parts = weighted_total({n: F.col(f"raw_{n}") for n in raw}, intent.profile)
     change = adjustment(F.col("role"), F.col("acceptance"))
     extra = F.when(change < 0, F.array(component("rejected_assistant", F.lit(1.0), -0.20, F.lit(-0.20)))).when(change > 0, F.array(component("possible_acceptance", F.lit(1.0), 0.02, F.lit(0.02)))).otherwise(F.array().cast("array<struct<name:string,raw:double,weight:double,contribution:double>>"))

@@ -55,19 +55,31 @@ def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CH
     return numbered.select("chunk_id", "conversation_id", "turn_index", "message_id", "chunk_index", "role", "create_time", "title", "text", X.content_hash(F.col("text")).alias("content_hash"))
 
 
+#: Blocks of conversations that are numbered apart.
+ID_BLOCKS = 256
+
+
 def dense_ids(rows: DataFrame, order: list) -> DataFrame:
-    """chunk_id from 1 in a total order: ranks within conversations, plus starts of conversations in their file, plus starts of files.
+    """chunk_id from 1 in a total order: ranks within conversations, plus starts of conversations in their block, plus starts of blocks.
 
-    Only one row per file is ordered as a whole, and one per conversation within a file; chunks never meet in one task.
+    A block is one file's ID_BLOCKS positions, cut again by position and by the first characters of the ids; conversations are
+    ordered within such a cut, cuts within a block, and only one row per block as a whole.  Chunks never meet in one task.
     """
     own = F.row_number().over(Window.partitionBy("conversation_id").orderBy(*order[3:]))
     ranked = rows.withColumn("own", own)
     so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = rows.groupBy("f", "position", "conversation_id").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select(F.col("f").alias("sf"), F.col("conversation_id").alias("s"), so_far(Window.partitionBy("f").orderBy("position", "conversation_id")).alias("start"))
-    files = sizes.groupBy("f").agg(F.sum("n").alias("n")).select(F.col("f").alias("ff"), so_far(Window.orderBy("f")).alias("file_start"))
-    starts = starts.join(files, F.col("sf") == F.col("ff")).select("s", (F.col("start") + F.col("file_start")).alias("start"))
-    return ranked.join(starts, F.col("conversation_id") == F.col("s")).withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "s")
+    sizes = sizes.withColumn("head", F.substring("conversation_id", 1, 5))
+    starts = sizes.select(F.col("f").alias("sf"), F.floor(F.col("position") / ID_BLOCKS).alias("block"), F.col("head").alias("h"), F.col("position").alias("p"), F.col("conversation_id").alias("s"), "n")
+    own_block = ["sf", "block", "p", "h"]
+    own_start = so_far(Window.partitionBy(*own_block).orderBy("s")).alias("start")
+    blocks = starts.groupBy(*own_block).agg(F.sum("n").alias("n"))
+    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in own_block), "n", so_far(Window.partitionBy("sf", "block").orderBy("p", "h")).alias("in_block"))
+    wide = blocks.groupBy("b_sf", "b_block").agg(F.sum("n").alias("n")).select(F.col("b_sf").alias("w_sf"), F.col("b_block").alias("w_block"), so_far(Window.orderBy("b_sf", "b_block")).alias("before"))
+    blocks = blocks.join(wide, (F.col("b_sf") == F.col("w_sf")) & (F.col("b_block") == F.col("w_block"))).drop("w_sf", "w_block", "n")
+    same = (F.col("sf") == F.col("b_sf")) & (F.col("block") == F.col("b_block")) & (F.col("p") == F.col("b_p")) & (F.col("h") == F.col("b_h"))
+    found = starts.select(*own_block, "s", own_start).join(blocks, same).select("s", (F.col("start") + F.col("in_block") + F.col("before")).alias("start"))
+    return ranked.join(found, F.col("conversation_id") == F.col("s")).withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "s")
 
 
 def turn_window(all_turns: DataFrame, seeds: DataFrame, before: int = 1, after: int = 1) -> DataFrame:

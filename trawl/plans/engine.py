@@ -147,7 +147,8 @@ class Archive:
         lexical = [(v, *I.search_terms(v)) for v in searches if v.kind != "semantic_original"]
         lexical = [(v, p, a) for v, p, a in lexical if p]
         times = {i: v.kind for i, (v, _, _) in enumerate(lexical) if v.kind.startswith("temporal_")}
-        ranked = self._ranked([(p, a) for _, p, a in lexical], dated, depth.candidates, times)
+        # the searches' limits bound everything from here: in one partition nothing is shuffled any more
+        ranked = self._ranked([(p, a) for _, p, a in lexical], dated, depth.candidates, times).coalesce(1)
         weight = F.element_at(F.array(*(F.lit(v.weight) for v, _, _ in lexical)) if lexical else F.array(F.lit(0.0)), F.col("search") + 1)
         kind = F.element_at(F.array(*(F.lit(v.kind) for v, _, _ in lexical)) if lexical else F.array(F.lit("")), F.col("search") + 1)
         matches = ranked.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("search", kind.alias("kind"), weight.alias("weight"), "rank"))).alias("matches"))
@@ -161,7 +162,7 @@ class Archive:
         rows = self._with_texts(found, "match_form").where(dated)
         said = self.tables["turns"].select(F.col("conversation_id").alias("tc"), F.col("turn_index").alias("tt"), "user_text", "assistant_text", "acceptance", "previous_acceptance")
         # chunks are of bounded size, and of bounded number here
-        return said.join(F.broadcast(rows), (F.col("conversation_id") == F.col("tc")) & (F.col("turn_index") == F.col("tt"))).drop("tc", "tt")
+        return said.join(F.broadcast(rows), (F.col("conversation_id") == F.col("tc")) & (F.col("turn_index") == F.col("tt"))).drop("tc", "tt").coalesce(1)
 
     def ranked_turns(self, query: str, depth: str = "medium", date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         """Turns for a question in the order of its mode, `place` from 1."""
@@ -189,7 +190,7 @@ class Archive:
             ranked = ranked.withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # of at most size.turns rows
             pool = ranked.where(F.col("place") <= 4 * size.episodes)
             rows = packets.episodes(pool, self.tables["turns"], intent, size.seeds, "turns")
-            rows = counts.join(F.broadcast(rows.select(F.struct("*").alias("episode"))), F.lit(True), "left").collect()  # at most 60
+            rows = counts.join(rows.select(F.struct("*").alias("episode")).hint("broadcast"), F.lit(True), "left").collect()  # at most 60
         finally:
             found.unpersist()
         counts, rows = rows[0], sorted((r["episode"] for r in rows if r["episode"]), key=lambda r: r["place"])

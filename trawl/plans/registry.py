@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
 from ..functions import lexicon as L
 from ..functions import pytext
 from ..functions import text as X
-from ..operators import fusion, inverted, ordering, scoring, sessions, statistics, vectors
+from ..operators import duplicates, fusion, inverted, ordering, scoring, sessions, statistics, vectors
 from ..sources import exports
 from . import sql as S
 from .engine import Archive, archive_tables
@@ -398,12 +398,12 @@ def _(spark, d):
 @query(
     "exact_strength",
     """WITH m AS (SELECT doc_id, regexp_replace(lower(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g') AS hay FROM documents)
-    SELECT doc_id, CASE WHEN contains(hay, 'released under the mit license') THEN 1.0 WHEN contains(hay, 'apache') THEN 0.75 ELSE 0.0 END AS strength FROM m""",
+    SELECT doc_id, CAST(CASE WHEN contains(hay, 'released under the mit license') THEN 1.0 WHEN contains(hay, 'apache') THEN 0.75 WHEN contains(hay, 'of the') THEN 0.9 ELSE 0.0 END AS DOUBLE) AS strength FROM m""",
 )
 def _(spark, d):
-    intent = I.Intent("recall", (), "", ("Released  under the MIT License",), ("Apache",))
+    intent = I.Intent("exact", (), "", ("Released  under the MIT License",), ("Apache",))
     hay = pytext.match_form_udf(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", scoring.exact_strength(hay, intent, "").cast("double").alias("strength"))
+    return read(spark, d, "documents").select("doc_id", scoring.exact_strength(hay, intent, "Of  the").cast("double").alias("strength"))
 
 
 ASKED = [
@@ -432,10 +432,10 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.select("conversation_id", "turn_index", "place")
 
 
-def longitudinal(rows: DataFrame, which: Column) -> DataFrame:
-    """Places of the rows above the floor; which: those of them that take part."""
+def longitudinal(rows: DataFrame) -> DataFrame:
+    """Places of the rows above the floor."""
     best = rows.agg(F.max("score").alias("best_score"))
-    kept = rows.join(F.broadcast(best)).where((F.col("score") >= ordering.relevance_floor(F.col("best_score"), True)) & which)
+    kept = rows.join(F.broadcast(best)).where(F.col("score") >= ordering.relevance_floor(F.col("best_score"), True))
     return placed(ordering.longitudinal_places(kept, X.quarter(F.col("create_time")), scoring.rank_order("matched_role", "first_chunk")))
 
 
@@ -467,20 +467,11 @@ def _(spark, d):
 
 @query(
     "longitudinal",
-    f"""WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.4) AND turn_index % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {RANK_SQL}) > 1 AS backfill FROM k)
-    SELECT conversation_id, turn_index, CAST(row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END NULLS FIRST, {RANK_SQL}) AS INT) AS place FROM r""",
-)
-def _(spark, d):
-    return longitudinal(orders(spark, d), F.col("turn_index") % 50 == 0).withColumn("place", F.col("place").cast("int"))
-
-
-@query(
-    "longitudinal_whole",
     f"""WITH {S.ORDERS}, k AS (SELECT * FROM o, best WHERE score >= greatest(0.25, best * 0.4)), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {RANK_SQL}) > 1 AS backfill FROM k)
     SELECT conversation_id, turn_index, row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END NULLS FIRST, {RANK_SQL}) AS place FROM r""",
 )
 def _(spark, d):
-    return longitudinal(orders(spark, d), F.lit(True))
+    return longitudinal(orders(spark, d))
 
 
 @query(
@@ -577,12 +568,51 @@ def _(spark, d):
     return copies.agg(F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("rate"))
 
 
-@query("chunk_documents")
+@query(
+    "chunk_documents",
+    """WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents),
+    w AS (
+      SELECT doc_id, text, 0 AS start, NULL::VARCHAR AS piece, -1 AS n, false AS done FROM d WHERE text <> ''
+      UNION ALL
+      SELECT doc_id, text, greatest(start + 1, stop - 240), piece, n + CASE WHEN piece <> '' THEN 1 ELSE 0 END, stop >= length(text) FROM (
+        SELECT *, regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS piece FROM (
+          SELECT doc_id, text, start, n, CASE WHEN start + 2400 >= length(text) THEN length(text) WHEN brk IS NULL THEN start + 2400 ELSE start + 1200 + brk + CASE WHEN substr(text, start + 1200 + brk + 1, 1) = '.' THEN 1 ELSE 0 END END AS stop FROM (
+            SELECT doc_id, text, start, n, greatest(length(regexp_extract(half, '(?s)^(.*)\\n\\n', 1)) + CASE WHEN contains(half, chr(10) || chr(10)) THEN 0 ELSE NULL END, length(regexp_extract(half, '(?s)^(.*)\\n', 1)) + CASE WHEN contains(half, chr(10)) THEN 0 ELSE NULL END,
+              length(regexp_extract(half, '(?s)^(.*)\\. ', 1)) + CASE WHEN contains(half, '. ') THEN 0 ELSE NULL END, length(regexp_extract(half, '(?s)^(.*) ', 1)) + CASE WHEN contains(half, ' ') THEN 0 ELSE NULL END) AS brk
+            FROM (SELECT doc_id, text, start, n, substr(text, start + 1201, 1200) AS half FROM w WHERE NOT done))))
+    ) SELECT doc_id, CAST(n AS INT) AS chunk_index, piece AS text, sha256(piece) AS content_hash FROM w WHERE piece <> ''""",
+)
 def _(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.posexplode(pytext.split_text_udf(F.col("text"))).alias("chunk_index", "text"))
     return docs.withColumn("content_hash", X.content_hash(F.col("text")))
 
 
+@query(
+    "exact_match",
+    """WITH f AS (SELECT doc_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g')) AS form FROM documents), i AS (SELECT item_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g')) AS item FROM benchmark)
+    SELECT item_id, doc_id FROM f JOIN i ON contains(form, item) WHERE item <> ''""",
+)
+def _(spark, d):
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), pytext.match_form_udf(F.col("text")).alias("needle"))
+    forms = read(spark, d, "documents").select("doc_id", pytext.match_form_udf(F.col("text")).alias("form"))
+    return duplicates.contained(forms, "doc_id", items).select(F.col("id").alias("item_id"), "doc_id")
+
+
+@query(
+    "near_dup_pairs",
+    """WITH f AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS form FROM documents),
+    r AS (SELECT min(doc_id) AS id, form, string_split(form, ' ') AS words FROM f WHERE form <> '' GROUP BY form),
+    s AS (SELECT id, list_distinct(CASE WHEN len(words) < 5 THEN [form] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS items FROM r),
+    e AS (SELECT id, len(items) AS n, unnest(items) AS x FROM s),
+    j AS (SELECT a.id AS one, b.id AS two FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 0.88 * (any_value(a.n) + any_value(b.n) - count(*))),
+    c AS (SELECT least(a.id, b.id) AS one, greatest(a.id, b.id) AS two FROM r a JOIN r b ON a.id <> b.id AND length(a.form) >= 120 AND length(b.form) >= length(a.form) AND contains(b.form, a.form))
+    SELECT one, two FROM j UNION SELECT one, two FROM c""",
+)
+def _(spark, d):
+    forms = read(spark, d, "documents").select("doc_id", pytext.evidence_form_udf(F.col("text")).alias("form"))
+    return duplicates.near_pairs(forms, "doc_id")
+
+
 # --- checks and evaluation ---
 
 
@@ -610,8 +640,8 @@ def _(spark, d):
 
     e, v = probe(spark, d)
     scores = e.select("vec_id", "label", vectors.dot(F.col("embedding"), v).alias("similarity"))
-    ranked = vectors.with_rank(scores, [F.desc("similarity"), F.col("vec_id")])
-    return summary(ranked.groupBy("label").agg(F.min("rank").alias("best_rank")))
+    ranked = ordering.places(scores, "similarity", [F.desc("similarity"), F.col("vec_id")])
+    return summary(ranked.groupBy("label").agg(F.min("place").alias("best_rank")))
 
 
 @query("latency_percentile", "SELECT quantile_disc(value, 0.95) AS value FROM events")
@@ -628,18 +658,33 @@ def _(spark, d):
     return found.select("place", "conversation_id", "turn_index", "matched_role", "score", "chunk_ids")
 
 
-@query("active_path")
+@query(
+    "active_path",
+    """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 2 THEN turn - 2 ELSE turn - 1 END AS par FROM conversations),
+    leaf AS (SELECT conv_id, max(turn) AS leaf FROM n WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.conv_id = n.conv_id AND c.par = n.turn) GROUP BY conv_id),
+    start AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN leaf WHEN 1 THEN last ELSE last // 2 END AS turn FROM leaf JOIN (SELECT conv_id, max(turn) AS last FROM n GROUP BY conv_id) USING (conv_id)),
+    walk AS (SELECT conv_id, turn, 0 AS up FROM start UNION ALL SELECT w.conv_id, n.par, up + 1 FROM walk w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.turn WHERE n.par IS NOT NULL)
+    SELECT conv_id, string_agg(turn, ',' ORDER BY up DESC) AS path FROM walk GROUP BY conv_id""",
+)
 def _(spark, d):
-    trees = spark.createDataFrame(
-        [
-            ("branches", "c", [("a", None, None), ("b", "a", 1.0), ("x", "b", 2.0), ("c", "b", 3.0)]),
-            ("latest leaf", None, [("a", None, None), ("b", "a", 5.0), ("c", "a", 7.0)]),
-            ("cycle", "a", [("a", "b", 1.0), ("b", "a", 1.0)]),
-            ("empty", "a", []),
-        ],
-        "name string, current string, nodes array<struct<k:string,par:string,t:double>>",
-    )
-    return trees.select("name", exports.active_path(F.col("nodes"), F.col("current")).alias("path"))
+    t = F.col("turn")
+    parent = F.when(t == 0, None).when(t % 4 == 2, t - 2).otherwise(t - 1).cast("string")
+    nodes = F.array_sort(F.collect_list(F.struct("turn", t.cast("string").alias("k"), parent.alias("par"), (t * 60.0).alias("t"))))
+    trees = read(spark, d, "conversations").groupBy("conv_id").agg(nodes.alias("nodes"), F.max("turn").alias("last"))
+    current = F.when(F.col("conv_id") % 3 == 0, "missing").when(F.col("conv_id") % 3 == 1, F.col("last").cast("string")).otherwise(F.floor(F.col("last") / 2).cast("string"))
+    path = exports.active_path(F.transform("nodes", lambda n: F.struct(n["k"].alias("k"), n["par"].alias("par"), n["t"].alias("t"))), current)
+    return trees.select("conv_id", F.array_join(path, ",").alias("path"))
+
+
+@query("context_packet")
+def _(spark, d):
+    """The whole answer to a question as one row for each episode, with the packet's limits and trace."""
+    packet = Archive.from_conversations(spark, read(spark, d, "conversations"), vectors.HashingEncoder()).context(QUESTION, "light")
+    rows = [
+        (e["rank"], e["conversation_id"], e["turn_index"], e["matched_role"], e["score"]["total"], len(e["context"]), len(e["signals"]), e["primary_evidence"]["text"], packet["limits"]["serialized_characters"], packet["trace"]["candidate_counts"]["turns"])
+        for e in packet["episodes"]
+    ]
+    return X.local(spark, rows, "rank int, conversation_id string, turn_index int, matched_role string, score double, contexts int, signals int, text string, characters int, turns long")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "archive_tables", "flagship"]

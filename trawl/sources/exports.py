@@ -7,8 +7,10 @@ without a valid current node, from the leaf with the latest message.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.pytext import content_text_udf
@@ -28,30 +30,31 @@ def read_exports(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("source_file", "position", F.from_json("item", CONVERSATION).alias("c")).select("source_file", "position", "c.*")
 
 
+def path_to(nodes: list[dict], current: str | None) -> list[str]:
+    """Ids from the root to the current node; without a valid one, to the latest of the leaves (of all nodes, if none is a leaf).  One look-up a step."""
+    parents = {}
+    for n in nodes:
+        parents.setdefault(n["k"], n["par"])
+    if not parents:
+        return []
+    if current not in parents:
+        inner = set(parents.values())
+        leaves = [n for n in nodes if n["k"] not in inner] or nodes
+        current = max(leaves, key=lambda n: n["t"] or -1.0)["k"]  # the first of equally late ones
+    path: dict[str, None] = {}
+    while current and current in parents and current not in path:
+        path[current] = None
+        current = parents[current]
+    return list(path)[::-1]
+
+
 def active_path(nodes: Column, current: Column) -> Column:
-    """Ids from the root to the current node; nodes: array of (k, par, t) in source order."""
-    keys = F.transform(nodes, lambda n: n["k"])
-    parents = F.transform(nodes, lambda n: n["par"])
-    leaves = F.filter(nodes, lambda n: ~F.exists(parents, lambda p: p.eqNullSafe(n["k"])))
-    candidates = F.when(F.size(leaves) > 0, leaves).otherwise(nodes)
-    worth = lambda n: F.when(n["t"].isNull() | (n["t"] == 0), F.lit(-1.0)).otherwise(n["t"])
-    latest = F.aggregate(
-        candidates,
-        F.struct(F.lit(None).cast("string").alias("k"), F.lit(float("-inf")).alias("t")),
-        lambda best, n: F.when(worth(n) > best["t"], F.struct(n["k"].alias("k"), worth(n).alias("t"))).otherwise(best),
-    )["k"]
-    start = F.when(F.array_contains(keys, current), current).otherwise(latest)
-
-    def step(state, _):
-        done = state["node"].isNull() | (state["node"] == "") | F.array_contains(state["path"], state["node"]) | ~F.array_contains(keys, state["node"])
-        parent = F.element_at(F.filter(nodes, lambda n: n["k"] == state["node"]), 1)["par"]
-        return F.when(done, F.struct(F.lit(None).cast("string").alias("node"), state["path"].alias("path"))).otherwise(
-            F.struct(parent.alias("node"), F.array_append(state["path"], state["node"]).alias("path"))
-        )
-
-    begin = F.struct(start.alias("node"), F.array().cast("array<string>").alias("path"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), begin, step)["path"]
-    return F.when(F.size(nodes) == 0, F.array().cast("array<string>")).otherwise(F.reverse(walked))
+    """path_to of nodes, an array of (k, par, t) in source order, by Arrow batches."""
+
+    def run(trees: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array([path_to(n or [], c) for n, c in zip(trees.to_pylist(), at.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(nodes, current)
 
 
 def _truth(c: Column) -> Column:
