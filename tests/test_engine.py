@@ -2,20 +2,24 @@
 
 import json
 import os
+import pickle
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trawl import cli
 from trawl.functions import intent as I
 from trawl.functions import lexicon as L
-from trawl.integrity import verify
 from trawl.evaluation import evaluate, nearest_rank
-from trawl.operators import fusion, inverted, ordering, packets, scoring, sessions
-from trawl.operators.vectors import HashingEncoder, nearest
+from trawl.functions.pytext import near_duplicate
+from trawl.integrity import verify
+from trawl.operators import duplicates, fusion, inverted, ordering, packets, scoring, sessions
+from trawl.operators.vectors import HashingEncoder, ModelEncoder, nearest
 from trawl.plans import registry
-from trawl.plans.engine import Archive, day_end, day_start
+from trawl.plans.engine import Archive, archive_parts, day_end, day_start
 from trawl.sources import exports, store
 
 
@@ -214,17 +218,16 @@ def test_longitudinal_places_of_a_whole_table(spark, monkeypatch):
     assert ordering.longitudinal_places(df.limit(0), F.col("year"), scoring.rank_order("matched_role", "first_chunk")).count() == 0
 
 
-def test_longitudinal_whole_places_every_order_above_the_floor(spark):
+def test_longitudinal_places_every_order_above_the_floor(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.exists(sf):
         return
     rows = registry.orders(spark, sf)
     floor = max(0.25, rows.agg(F.max("score")).first()[0] * 0.4)
-    got = registry.QUERIES["longitudinal_whole"](spark, sf).agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last")).first()
+    got = registry.QUERIES["longitudinal"](spark, sf).agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last")).first()
     assert got.n == got.places == got.last == rows.where(F.col("score") >= floor).count() > 3000
 
 
-
 def test_dates_and_store(spark, tmp_path):
     assert day_start("2026-02-01") < day_end("2026-02-01") == day_start("2026-02-02")
     t = spark.createDataFrame([(day_end("2026-02-01") - 0.5,)], "t double")
@@ -243,7 +246,9 @@ def test_integrity(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "x.json").write_text("1")
         (tmp_path / name / "y.json").write_text("22" if name == "a" else "23")
-    assert verify(spark, str(tmp_path / "a"), str(tmp_path / "b")) == {"files": 2, "equal": 1, "all_match": False, "differ": ["y.json"]}
+    found = verify(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert {k: found[k] for k in ("files", "equal", "all_match", "differ")} == {"files": 2, "equal": 1, "all_match": False, "differ": ["y.json"]}
+    assert found["total_bytes"] == sum(f.stat().st_size for f in (tmp_path / "a").iterdir()) and [e["equal"] for e in found["entries"]] == [True, False]
 
 
 def test_nearest_ties_by_id(spark):
@@ -255,3 +260,87 @@ def test_exact_strength_order(spark):
     i = I.Intent("exact", ("exact_phrase",), "", ("red fox",), ("Nova",))
     df = spark.createDataFrame([("a red fox",), ("nova one",), ("find verbatim text",), ("none",)], "h string")
     assert [r.v for r in df.select(scoring.exact_strength(F.col("h"), i, "verbatim text").cast("double").alias("v")).collect()] == [1.0, 0.75, 0.9, 0.0]
+
+
+def test_places_of_a_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PLACE_ROWS", 20)
+    rng = random.Random(5)
+    rows = [(k, rng.choice([0.5, rng.random()])) for k in range(500)]
+    got = ordering.places(spark.createDataFrame(rows, "id int, score double"), "score", [F.desc("score"), F.col("id").asc()]).collect()
+    assert {r.id: r.place for r in got} == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+
+
+def test_paths_of_long_branches():
+    nodes = [{"k": str(i), "par": str(i - 1) if i else None, "t": float(i)} for i in range(200_000)]
+    assert exports.path_to(nodes, "199999") == [str(i) for i in range(200_000)]
+    assert exports.path_to([], "a") == [] and exports.path_to([{"k": "a", "par": "b", "t": 1.0}, {"k": "b", "par": "a", "t": 1.0}], "a") == ["b", "a"]
+    assert exports.path_to([{"k": "a", "par": None, "t": None}, {"k": "b", "par": "a", "t": 5.0}, {"k": "c", "par": "a", "t": 7.0}], None) == ["a", "c"]
+
+
+def test_needles_are_found_in_any_number_of_passes(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randint(0, 40))) for _ in range(80)] + [None]
+    needles = [(100 + i, "".join(rng.choice("abé ") for _ in range(rng.randint(1, 3)))) for i in range(30)] + [(200, ""), (201, "zz"), (202, "ab"), (203, "ab")]
+    forms, given = spark.createDataFrame(list(enumerate(texts)), "k long, form string"), spark.createDataFrame(needles, "id long, needle string")
+    want = sorted((k, i) for k, t in enumerate(texts) for i, n in needles if n and t and n in t)
+    for most in (50, 10**6):
+        monkeypatch.setattr(duplicates, "PASS_CHARS", most)
+        assert sorted((r.k, r.id) for r in duplicates.contained(forms, "k", given).collect()) == want
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    rng = random.Random(7)
+    vocab, texts = [f"w{k}" for k in range(60)], []
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.randint(3, 90))]
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            texts.append(" ".join(t))
+        texts.append(" ".join(base[: len(base) * 2 // 3]))
+    texts += ["x" * 130, "y " + "x" * 200 + " z", "x" * 130 + " " + "q" * 20, "", "one", "one"]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    reps = [(i, t) for t, i in first.items() if t]
+    want = sorted((min(i, j), max(i, j)) for i, a in reps for j, b in reps if i < j and near_duplicate(a, b))
+    got = duplicates.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, form string"), "doc_id").collect()
+    assert sorted((r.one, r.two) for r in got) == want and len(want) > 10
+
+
+def test_a_local_model_encodes(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).save(str(tmp_path / "tokenizer.json"))
+    table = np.random.default_rng(1).normal(size=(49_408, 8)).astype(np.float32)
+    np.save(tmp_path / "embeddings.npy", table)
+    encoder = ModelEncoder(str(tmp_path))
+    assert encoder.size == 8 and pickle.loads(pickle.dumps(encoder)).encode(["a b"]).shape == (1, 8)
+    ids = Tokenizer.from_file(str(tmp_path / "tokenizer.json")).encode("a small house").ids
+    assert np.allclose(encoder.encode(["a small house", ""])[0], table[ids].mean(axis=0))
+    rows = spark.createDataFrame([(0, 0, "user", "a small house"), (0, 1, "assistant", "yes"), (1, 0, "user", "gardens")], "conv_id long, turn long, role string, text string")
+    root = str(tmp_path / "archive")
+    store.save(spark, root, archive_parts(*exports.from_flat(rows), encoder), store.about(encoder))
+    assert Archive.open(spark, root, encoder).search("a small house", semantic_only=True).first().conversation_id == "0"
+    assert store.read_manifest(spark, root)["embedding"] == {"encoder": encoder.name, "dimension": 8}
+    with pytest.raises(ValueError):
+        Archive.open(spark, root, HashingEncoder())
+
+
+def test_commands_write_their_results(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "conversations-001.json").write_text(json.dumps(exported()))
+    root, out = str(tmp_path / "archive"), lambda n: str(tmp_path / f"{n}.json")
+    assert cli.main(["build", "--raw", str(tmp_path / "raw"), "--archive", root, "--semantic"]) == 0
+    assert cli.main(["validate", "--archive", root, "--needles", "Nova engines", "--expect", "conversations=2", "--output", out("v")]) == 0
+    assert json.load(open(out("v")))["checks"]["conversations has 2 rows"] and json.load(open(out("v")))["semantic"]
+    assert cli.main(["validate", "--archive", root, "--expect", "messages=1"]) == 1
+    assert cli.main(["verify", "--source", str(tmp_path / "raw"), "--copy", str(tmp_path / "raw"), "--output", out("c")]) == 0
+    assert len(json.load(open(out("c")))["entries"][0]["sha256"]) == 64
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": [{"name": "one", "query": "Nova engines", "expected_sources": [{"conversation_id": "c1", "turn_index": 1}, {"conversation_id": "no", "turn_index": 1}]}]}))
+    assert cli.main(["evaluate", "--archive", root, "--cases", str(tmp_path / "cases.json"), "--output", out("e")]) == 0
+    case = json.load(open(out("e")))["cases"][0]
+    assert case["expected_ranks"][0] == case["best_expected_rank"] and case["expected_ranks"][1] is None and case["expected_source_count"] == 2
+    assert case["conversation_count"] >= 1 and case["serialized_characters"] <= case["character_limit"] and case["depth"] == "medium"

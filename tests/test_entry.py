@@ -44,8 +44,11 @@ def test_entry(spark):
     assert 0 < E.entry(spark).count() <= 10
 
 
-def test_queries_without_the_optional_folder(tmp_path):
+@pytest.mark.parametrize("pipeline_left", [False, True])
+def test_queries_without_the_optional_folder(tmp_path, pipeline_left):
     shutil.copytree(f"{REPO}/trawl", tmp_path / "trawl", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
+    if pipeline_left and os.path.exists(f"{REPO}/corpus_pipeline.py"):
+        shutil.copy(f"{REPO}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})

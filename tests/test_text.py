@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 from trawl.functions import intent as I
 from trawl.functions import pytext as P
 from trawl.functions import text as X
-from trawl.operators import packets
 
 ALPHABET = list("ab. ,\n\r\t\0éß½ŉ") + ["‮", "‏", "\x85", "\x07", "\r\n", "\n\n\n\n", "İ", "ﬁ", "Straße", "漢"]
 
@@ -19,6 +19,12 @@ def samples(n=300, seed=1):
     return ["", " ", *("".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(n))]
 
 
+def plain_sanitize(value):
+    marked = "".join(f"<U+{ord(c):04X}>" if ord(c) in X.BIDI else c for c in value.replace("\0", ""))
+    spaced = "".join(" " if unicodedata.category(c) == "Cc" and c not in "\n\t" else c for c in marked)
+    return re.sub("[ \t]+", " ", spaced).strip()
+
+
 def test_columns_match_python(spark):
     texts = samples()
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
@@ -26,14 +32,21 @@ def test_columns_match_python(spark):
     ).collect()
     for r in rows:
         assert r.clean == P.clean(r.t)
-        assert r.safe == packets.sanitize(r.t)
+        assert r.safe == plain_sanitize(r.t)
         cleaned = P.clean(r.t)
         assert r.short == (cleaned if len(cleaned) <= 10 else cleaned[:9].rstrip() + "…")
         assert r.form == P.evidence_form(r.t)
 
 
-def test_control_characters_are_shown():
-    assert packets.sanitize("safe\x00\x07\x85‏‮evil") == "safe <U+200F><U+202E>evil"
+def test_control_characters_are_shown(spark):
+    text = "safe\x00\x07\x85\u200f\u202eevil"
+    assert plain_sanitize(text) == spark.range(1).select(X.sanitize_text(F.lit(text)).alias("t")).first().t == "safe <U+200F><U+202E>evil"
+
+
+def test_local_rows(spark):
+    rows = [(3, "it's \\ \"x\" ? :a\n漢", None, 2.5), (-1, "", True, None)] + [(i, str(i), False, float(i)) for i in range(20)]
+    got = X.local(spark, rows, "i int, t string, b boolean, d double")
+    assert [tuple(r) for r in got.collect()] == rows and X.local(spark, [], "i int").count() == 0
 
 
 def test_tokens(spark):

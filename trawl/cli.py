@@ -31,19 +31,19 @@ def parser() -> argparse.ArgumentParser:
     number = lambda name, default: ((f"--{name}",), {"type": int, "default": default})
     flag = lambda name: ((f"--{name}",), {"action": "store_true"})
     text = lambda name, **kw: ((f"--{name}",), kw)
-    command("build", text("raw", required=True), number("chunk-chars", L.CHUNK_CHARS), number("chunk-overlap", L.CHUNK_OVERLAP), flag("semantic"))
-    command("embed", number("batch-size", 64), text("roles", choices=("user", "all"), default="user"), number("max-text-chars", 2400), number("limit", 0))
+    command("build", text("raw", required=True), number("chunk-chars", L.CHUNK_CHARS), number("chunk-overlap", L.CHUNK_OVERLAP), flag("semantic"), text("model"))
+    command("embed", number("batch-size", 64), text("roles", choices=("user", "all"), default="user"), number("max-text-chars", 2400), number("limit", 0), text("model"))
     command(
         "search", (("query",), {}), flag("lexical-only"), flag("semantic-only"), number("limit", 12), number("candidate-limit", 250), text("from", dest="date_from"), text("to", dest="date_to"),
-        text("conversation-id"), flag("timeline"), text("order", choices=("auto", "relevance", "earliest", "latest"), default="auto"), number("context", 1), number("max-chars", 1800), flag("json"),
+        text("conversation-id"), flag("timeline"), text("order", choices=("auto", "relevance", "earliest", "latest"), default="auto"), number("context", 1), number("max-chars", 1800), flag("json"), text("model"),
     )
-    command("context", (("query",), {}), text("depth", choices=tuple(L.DEPTHS), default="medium"), text("from", dest="date_from"), text("to", dest="date_to"))
+    command("context", (("query",), {}), text("depth", choices=tuple(L.DEPTHS), default="medium"), text("from", dest="date_from"), text("to", dest="date_to"), text("model"))
     command("open", text("conversation-id", required=True), ((("--turn",)), {"type": int, "required": True}), number("before", 2), number("after", 2))
     command("stats")
-    command("validate", text("needles", nargs="*", default=[]))
-    command("verify", text("source", required=True), text("copy", required=True))
-    command("evaluate", text("cases", required=True), number("repeat", 2), text("only", nargs="*", default=[]))
-    command("serve", text("log-level", choices=("critical", "error", "warning", "info"), default="info"))
+    command("validate", text("needles", nargs="*", default=[]), text("expect", nargs="*", default=[]), text("output"), text("model"))
+    command("verify", text("source", required=True), text("copy", required=True), text("output"))
+    command("evaluate", text("cases", required=True), number("repeat", 2), text("only", nargs="*", default=[]), text("output"), text("model"))
+    command("serve", text("log-level", choices=("critical", "error", "warning", "info"), default="info"), text("model"))
     return p
 
 
@@ -75,27 +75,37 @@ def report(query: str, records: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def validate(archive: Archive, needles: list[str]) -> dict:
-    """Counts that must agree, and whether each phrase is among the first results of a search for it."""
+def validate(archive: Archive, needles: list[str], expected: dict[str, int] | None = None) -> dict:
+    """Counts that must agree, with each other and with those expected of tables, and whether each phrase is among the first results of a search for it."""
     chunks, turns, messages = (archive.tables[t] for t in ("chunks", "turns", "messages"))
     orphans = chunks.join(turns, ["conversation_id", "turn_index"], "left_anti").count()
     ids = chunks.agg(F.count(F.lit(1)).alias("n"), F.max("chunk_id").alias("last"), F.countDistinct("chunk_id").alias("distinct")).first()
+    counts = {name: table.count() for name, table in archive.tables.items()}
     checks = {"chunks_have_turns": orphans == 0, "chunk_ids_dense": ids["n"] == (ids["last"] or 0) == ids["distinct"], "messages_present": messages.limit(1).count() == 1}
+    checks |= {f"{name} has {n} rows": counts.get(name) == n for name, n in (expected or {}).items()}
     for needle in needles:
-        hits = archive.search(needle, 10, lexical_only=True).where(F.contains(F.lower(F.concat("title", F.lit("\n"), "text")), F.lit(needle.lower())))
+        hits = archive.search(needle, 10).where(F.contains(F.lower(F.concat("title", F.lit("\n"), "text")), F.lit(needle.lower())))
         checks[f"finds {needle}"] = hits.limit(1).count() == 1
-    return {"checks": checks, "passed": all(checks.values())}
+    return {"checks": checks, "counts": counts, "semantic": archive.semantic_ready, "passed": all(checks.values())}
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("trawl").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship(spark)
-    show = lambda value: print(json.dumps(value, indent=2, ensure_ascii=False, default=str))
-    encoder = vectors.HashingEncoder()
+
+    def show(value, to: str | None = None) -> None:
+        """Print a result, and write it to a file wherever Spark can write."""
+        shown = json.dumps(value, indent=2, ensure_ascii=False, default=str)
+        print(shown)
+        if to:
+            store.write_text(spark, to, shown)
+
+    model = getattr(args, "model", None)
+    encoder = vectors.ModelEncoder(model) if model else vectors.HashingEncoder()
     if args.command == "build":
         try:
-            Archive.build(spark, args.raw, args.archive, encoder if args.semantic else None, chunk_chars=args.chunk_chars, chunk_overlap=args.chunk_overlap)
+            Archive.build(spark, args.raw, args.archive, encoder if args.semantic or model else None, chunk_chars=args.chunk_chars, chunk_overlap=args.chunk_overlap)
         except FileNotFoundError as e:
             print(e)
             return 2
@@ -103,13 +113,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "verify":
         result = integrity.verify(spark, args.source, args.copy)
-        show(result)
+        show(result, args.output)
         return int(not result["all_match"])
     if args.command == "embed":
         tables = store.load(spark, args.archive)
         rows = tables["chunks"].orderBy("chunk_id").limit(args.limit) if args.limit else tables["chunks"]
         tables["vectors"] = vectors.embed(rows, encoder, args.roles, args.max_text_chars, args.batch_size)
-        show(store.save(spark, args.archive, tables, {"schema_version": L.SCHEMA_VERSION}))
+        show(store.save(spark, args.archive, tables, store.about(encoder)))
         return 0
     archive = Archive.open(spark, args.archive, encoder)
     if args.command == "search":
@@ -125,13 +135,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "stats":
         show(archive.stats().first().asDict())
     elif args.command == "validate":
-        result = validate(archive, args.needles)
-        show(result)
+        result = validate(archive, args.needles, {name: int(n) for name, _, n in (e.partition("=") for e in args.expect)})
+        show(result, args.output)
         return int(not result["passed"])
     elif args.command == "evaluate":
         cases = [c for c in evaluation.load_cases(args.cases) if not args.only or c["name"] in args.only]
         result = evaluation.evaluate(archive.cached(), cases, args.repeat)
-        show(result)
+        show(result, args.output)
         s = result["summary"]
         return int(not (s["all_deterministic"] and s["all_within_budget"] and s["rejected_leakage"] == 0))
     else:

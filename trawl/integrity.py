@@ -22,9 +22,15 @@ def compare(source: DataFrame, copy: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, source: str, copy: str) -> dict:
-    """Totals of a comparison, and the names that differ."""
-    found = compare(file_digests(spark, source), file_digests(spark, copy)).cache()
-    sums = found.agg(F.count(F.lit(1)).alias("files"), F.count_if("equal").alias("equal")).first()
-    wrong = [r["name"] for r in found.where("not equal").orderBy("name").limit(1000).collect()]
-    found.unpersist()
-    return {"files": sums["files"], "equal": sums["equal"], "all_match": sums["files"] > 0 and sums["files"] == sums["equal"], "differ": wrong}
+    """Totals of a comparison, every file with its size and digests, and the names that differ.  An export has as many files as it has parts."""
+    one, two = (file_digests(spark, folder).cache() for folder in (source, copy))
+    try:
+        sizes = one.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        found = compare(one, two).join(one.select("name", "bytes", "hash"), "name", "left").orderBy("name").collect()
+    finally:
+        one.unpersist()
+        two.unpersist()
+    return {
+        "files": len(found), "source_files": sizes["files"], "total_bytes": sizes["bytes"], "equal": sum(r["equal"] for r in found), "all_match": bool(found) and all(r["equal"] for r in found),
+        "differ": [r["name"] for r in found if not r["equal"]], "entries": [{"name": r["name"], "bytes": r["bytes"], "sha256": r["hash"], "equal": r["equal"]} for r in found],
+    }

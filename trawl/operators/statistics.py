@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def archive_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row of counts, the span of times, and turns by acceptance."""
+    """One row of counts, the span of times, turns by acceptance, chunks by role, and vectors if there are any."""
     messages = tables["messages"].agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("is_active")).alias("active_messages"),
@@ -20,7 +20,8 @@ def archive_stats(tables: dict[str, DataFrame]) -> DataFrame:
         F.count(F.lit(1)).alias("turns"), F.count_if(F.col("acceptance") == "accepted").alias("accepted_turns"), F.count_if(F.col("acceptance") == "rejected").alias("rejected_turns")
     )
     conversations = tables["conversations"].agg(F.count(F.lit(1)).alias("conversations"))
-    chunks = tables["chunks"].agg(F.count(F.lit(1)).alias("chunks"))
+    said = lambda role: F.count_if(F.col("role") == role)
+    chunks = tables["chunks"].agg(F.count(F.lit(1)).alias("chunks"), said("user").alias("user_chunks"), said("assistant").alias("assistant_chunks"))
     out = conversations
     for other in (messages, turns, chunks):  # one row each
         out = out.join(F.broadcast(other))
@@ -31,8 +32,26 @@ def role_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-def file_stats(conversations: DataFrame) -> DataFrame:
-    return conversations.groupBy("source_file").agg(F.count(F.lit(1)).alias("conversations"), F.sum("total_message_count").alias("messages"))
+def build_counters(messages: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """(counter, n): messages by role and by content type, active ones; with `read`, the entries of the sources, those that were skipped."""
+    kinds = F.array(
+        F.concat(F.lit("role_"), "role"), F.concat(F.lit("content_"), F.coalesce("content_type", F.lit("unknown"))), F.when(F.col("is_active"), F.lit("active_messages")), F.lit("messages"),
+    )
+    found = messages.select(F.explode(F.array_compact(kinds)).alias("counter")).groupBy("counter").agg(F.count(F.lit(1)).alias("n"))
+    if read is None:
+        return found
+    ids = read.select(F.coalesce(F.nullif("conversation_id", F.lit("")), F.nullif("id", F.lit(""))).alias("cid"))
+    skipped = ids.agg(F.count_if(F.col("cid").isNull()).alias("n")).select(F.lit("skipped_without_id").alias("counter"), "n")
+    return found.union(skipped)
+
+
+def file_stats(conversations: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Conversations and messages of each source file, with its bytes where (name, bytes) are given."""
+    found = conversations.groupBy("source_file").agg(F.count(F.lit(1)).alias("conversations"), F.sum("total_message_count").alias("messages"))
+    if files is None:
+        return found
+    sizes = files.select(F.col("name").alias("source_file"), F.col("bytes"))
+    return sizes.join(found, "source_file", "left").na.fill(0, ["conversations", "messages"])
 
 
 def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:

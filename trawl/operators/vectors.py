@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,9 @@ from ..functions import text as X
 class Encoder(Protocol):
     """Anything that turns texts into vectors; it is shipped to the workers."""
 
+    name: str
+    size: int
+
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
@@ -23,7 +27,7 @@ class HashingEncoder:
     """Feature hashing of words: the encoder that needs no model."""
 
     def __init__(self, size: int = 256):
-        self.size = size
+        self.name, self.size = "hashing", size
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size), np.float32)
@@ -34,6 +38,47 @@ class HashingEncoder:
         return out
 
 
+class ModelEncoder:
+    """A local model: a folder with tokenizer.json and either embeddings.npy (a vector for each token id) or model.onnx.
+
+    Vectors are means over a text's tokens.  The folder is read by each worker, once; it has to be where workers can read it.
+    """
+
+    def __init__(self, folder: str, most_tokens: int = 512):
+        self.name, self.folder, self.most_tokens, self._model = os.path.basename(os.path.normpath(folder)), folder, most_tokens, None
+        self.size = int(self.encode(["size"]).shape[1])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}
+
+    def _load(self) -> tuple:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(os.path.join(self.folder, "tokenizer.json"))
+        tokenizer.enable_truncation(self.most_tokens)
+        table = os.path.join(self.folder, "embeddings.npy")
+        if os.path.exists(table):
+            tokenizer.no_padding()
+            return tokenizer, np.load(table, mmap_mode="r"), None
+        import onnxruntime
+
+        tokenizer.enable_padding()
+        return tokenizer, None, onnxruntime.InferenceSession(os.path.join(self.folder, "model.onnx"), providers=["CPUExecutionProvider"])
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        self._model = self._model or self._load()
+        tokenizer, table, session = self._model
+        found = tokenizer.encode_batch(texts)
+        if table is not None:
+            return np.stack([np.asarray(table[e.ids], np.float32).mean(axis=0) if e.ids else np.zeros(table.shape[1], np.float32) for e in found])
+        mask = np.array([e.attention_mask for e in found], np.int64)
+        known = {"input_ids": np.array([e.ids for e in found], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+        hidden = session.run(None, {i.name: known[i.name] for i in session.get_inputs()})[0]
+        if hidden.ndim == 2:
+            return hidden.astype(np.float32)
+        return ((hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 

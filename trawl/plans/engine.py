@@ -23,17 +23,32 @@ def day_end(day: str | None) -> float | None:
     return None if day is None else day_start((date.fromisoformat(day) + timedelta(days=1)).isoformat())
 
 
-def archive_tables(conversations: DataFrame, messages: DataFrame, chunk_chars: int = L.CHUNK_CHARS, chunk_overlap: int = L.CHUNK_OVERLAP) -> dict[str, DataFrame]:
-    chunks = inverted.with_tokens(sessions.chunks(conversations, messages, chunk_chars, chunk_overlap))
-    chunks = chunks.withColumn("match_form", match_form_udf(F.concat("title", F.lit("\n"), "text")))
-    return {
-        "conversations": conversations,
-        "messages": messages,
-        "turns": sessions.turns(messages),
+def archive_parts(conversations: DataFrame, messages: DataFrame, encoder: vectors.Encoder | None = None, chunk_chars: int = L.CHUNK_CHARS, chunk_overlap: int = L.CHUNK_OVERLAP, **embedding) -> dict:
+    """Tables by name, each as a function of those before it, so that a stored table can serve what is made from it."""
+
+    def chunks(t: dict) -> DataFrame:
+        rows = inverted.with_tokens(sessions.chunks(t["conversations"], t["messages"], chunk_chars, chunk_overlap))
+        return rows.withColumn("match_form", match_form_udf(F.concat("title", F.lit("\n"), "text")))
+
+    parts = {
+        "conversations": lambda t: conversations,
+        "messages": lambda t: messages,
+        "turns": lambda t: sessions.turns(t["messages"]),
         "chunks": chunks,
-        "postings": inverted.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"),
-        "corpus_stats": inverted.corpus_stats(chunks),
+        "postings": lambda t: inverted.postings(t["chunks"]).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"),
+        "corpus_stats": lambda t: inverted.corpus_stats(t["chunks"]),
     }
+    if encoder is not None:
+        parts["vectors"] = lambda t: vectors.embed(t["chunks"], encoder, **embedding)
+    return parts
+
+
+def archive_tables(conversations: DataFrame, messages: DataFrame, encoder: vectors.Encoder | None = None, **options) -> dict[str, DataFrame]:
+    """The tables as plans."""
+    tables: dict[str, DataFrame] = {}
+    for name, made in archive_parts(conversations, messages, encoder, **options).items():
+        tables[name] = made(tables)
+    return tables
 
 
 class Archive:
@@ -47,23 +62,17 @@ class Archive:
     def build(cls, spark: SparkSession, folder: str, root: str, encoder: vectors.Encoder | None = None, **options) -> Archive:
         """Read an export folder and store its tables in root, vectors too if there is an encoder."""
         conversations, messages = exports.conversations_and_messages(exports.read_exports(spark, folder))
-        tables = archive_tables(conversations, messages, **options)
-        if encoder is not None:
-            tables["vectors"] = vectors.embed(tables["chunks"], encoder)
-        store.save(spark, root, tables, {"schema_version": L.SCHEMA_VERSION})
+        store.save(spark, root, archive_parts(conversations, messages, encoder, **options), store.about(encoder))
         return cls.open(spark, root, encoder)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, encoder: vectors.Encoder | None = None) -> Archive:
-        return cls(spark, store.load(spark, root), encoder)
+        return cls(spark, store.load(spark, root, encoder), encoder)
 
     @classmethod
     def from_conversations(cls, spark: SparkSession, rows: DataFrame, encoder: vectors.Encoder | None = None) -> Archive:
         """An archive held as plans, from flat rows (conv_id, turn, role, text)."""
-        tables = archive_tables(*exports.from_flat(rows))
-        if encoder is not None:
-            tables["vectors"] = vectors.embed(tables["chunks"], encoder)
-        return cls(spark, tables, encoder)
+        return cls(spark, archive_tables(*exports.from_flat(rows), encoder), encoder)
 
     def cached(self) -> Archive:
         """Keep what searches read in memory."""
@@ -186,6 +195,7 @@ class Archive:
         try:
             # one action: a row of counts, with every episode of the pool
             counts = found.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("matches")).alias("lexical"), F.count("semantic_rank").alias("semantic"))
+            counts = counts.withColumn("searches", packets.searches_column(searches))
             ranked = ordering.temporal_order(scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns), intent.primary_mode)
             ranked = ranked.withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # of at most size.turns rows
             pool = ranked.where(F.col("place") <= 4 * size.episodes)
@@ -201,7 +211,8 @@ class Archive:
             "candidate_counts": {"lexical_rows": counts["lexical"] or 0, "semantic_rows": counts["semantic"], "unique_chunks": counts["chunks"], "turns": n_turns, "episode_pool": len(built)},
             **removed,
         }
-        return packets.pack(intent, searches, chosen, size, trace)
+        told = [{"kind": v.kind, "text": t["text"], "weight": v.weight, "sha256": t["sha256"]} for v, t in zip(searches, counts["searches"], strict=True)]
+        return packets.pack(intent, told, chosen, size, trace)
 
     def open_context(self, conversation_id: str, turn: int, before: int = 2, after: int = 2) -> DataFrame:
         seed = self.spark.createDataFrame([(conversation_id, turn)], "conversation_id string, turn_index int")

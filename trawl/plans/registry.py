@@ -134,7 +134,8 @@ def _(spark, d):
     f"""WITH {S.turns()}, c AS (SELECT count(*) AS chunks FROM spoken WHERE text <> '')
     SELECT count(DISTINCT conversation_id) AS conversations, count(*) AS messages, count(*) AS active_messages, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages,
     min(create_time) AS first_time, max(create_time) AS last_time, (SELECT count(*) FROM turns) AS turns, (SELECT count(*) FROM turns WHERE acceptance = 'accepted') AS accepted_turns,
-    (SELECT count(*) FROM turns WHERE acceptance = 'rejected') AS rejected_turns, (SELECT chunks FROM c) AS chunks FROM msg""",
+    (SELECT count(*) FROM turns WHERE acceptance = 'rejected') AS rejected_turns, (SELECT chunks FROM c) AS chunks,
+    (SELECT count(*) FROM spoken WHERE text <> '' AND role = 'user') AS user_chunks, (SELECT count(*) FROM spoken WHERE text <> '' AND role = 'assistant') AS assistant_chunks FROM msg""",
 )
 def _(spark, d):
     conversations, messages = flat(spark, d)
@@ -146,6 +147,18 @@ def _(spark, d):
     return statistics.role_counts(flat(spark, d)[1])
 
 
+@query(
+    "build_counters",
+    f"""WITH {S.MESSAGES}, k AS (SELECT *, CASE WHEN active_position % 3 = 0 THEN 'code' END AS content_type, active_position % 4 <> 3 AS is_active FROM msg),
+    c AS (SELECT concat('role_', role) AS counter FROM k UNION ALL SELECT concat('content_', coalesce(content_type, 'unknown')) FROM k UNION ALL SELECT 'active_messages' FROM k WHERE is_active UNION ALL SELECT 'messages' FROM k)
+    SELECT counter, count(*) AS n FROM c GROUP BY counter UNION ALL SELECT 'skipped_without_id', count(*) FROM conversations WHERE turn % 7 = 6""",
+)
+def _(spark, d):
+    messages = flat(spark, d)[1].withColumn("content_type", F.when(F.col("active_position") % 3 == 0, "code")).withColumn("is_active", F.col("active_position") % 4 != 3)
+    entries = read(spark, d, "conversations").select(F.when(F.col("turn") % 7 == 6, "").otherwise("x").alias("conversation_id"), F.lit(None).cast("string").alias("id"))
+    return statistics.build_counters(messages, entries)
+
+
 @query("file_stats", "SELECT 'flat' AS source_file, count(DISTINCT conv_id) AS conversations, count(*) AS messages FROM conversations")
 def _(spark, d):
     return statistics.file_stats(flat(spark, d)[0])

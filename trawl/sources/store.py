@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
 
 TABLES = ("conversations", "messages", "turns", "chunks", "postings", "corpus_stats", "vectors")
 
@@ -36,12 +40,24 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect()))
 
 
-def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], about: dict | None = None) -> dict:
-    """Write tables as a new version and make it the one in use; returns the manifest."""
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
+def about(encoder=None) -> dict:
+    """What a manifest says besides its tables: formats, and what its vectors were made with."""
+    found = {"schema_version": L.SCHEMA_VERSION}
+    if encoder is not None:
+        found["embedding"] = {"encoder": encoder.name, "dimension": encoder.size}
+    return found
+
+
+def save(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable], about: dict | None = None) -> dict:
+    """Write tables as a new version and make it the one in use; returns the manifest.
+
+    A table may be a function of the stored tables before it: it is then made from what has been written.
+    """
+    version, stored = uuid.uuid4().hex, {}
+    for name, table in tables.items():
+        df = table(stored) if callable(table) else table
         df.write.parquet(f"{root}/{version}/{name}")
-    stored = load_version(spark, root, version, tuple(tables))
+        stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}")
     manifest = {"version": version, "tables": {n: stored[n].count() for n in tables}, **(about or {})}
     write_text(spark, f"{root}/manifest.json", json.dumps(manifest, indent=2))
     return manifest
@@ -51,11 +67,23 @@ def load_version(spark: SparkSession, root: str, version: str, names: tuple[str,
     return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the version in use; raises where a count is not the manifest's."""
+def load(spark: SparkSession, root: str, encoder=None) -> dict[str, DataFrame]:
+    """The tables of the version in use; raises where a count is not the manifest's, or vectors are not the encoder's or not of stored chunks."""
     manifest = read_manifest(spark, root)
     tables = load_version(spark, root, manifest["version"], tuple(manifest["tables"]))
     for name, n in manifest["tables"].items():
         if (there := tables[name].count()) != n:
             raise ValueError(f"{name} has {there} rows; the manifest says {n}")
+    if encoder is not None and "vectors" in tables:
+        check_vectors(tables, manifest.get("embedding", {}), encoder)
     return tables
+
+
+def check_vectors(tables: dict[str, DataFrame], made: dict, encoder) -> None:
+    if (made.get("encoder"), made.get("dimension")) != (encoder.name, encoder.size):
+        raise ValueError(f"the vectors were made by {made.get('encoder')} of dimension {made.get('dimension')}, not by {encoder.name} of {encoder.size}")
+    wrong = tables["vectors"].where(F.size("embedding") != encoder.size).limit(1).count()
+    strange = tables["vectors"].join(tables["chunks"].select("chunk_id"), "chunk_id", "left_anti").limit(1).count()
+    again = tables["vectors"].groupBy("chunk_id").count().where("count > 1").limit(1).count()
+    if wrong or strange or again:
+        raise ValueError("vectors of another dimension, of unknown chunks, or several of one chunk")
