@@ -202,8 +202,8 @@ def features(got: tuple | None) -> tuple[np.ndarray, np.ndarray]:
 STEPS = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{k}".encode()) % FEATURES for k in range(9)] for name in LABELLERS])
 
 
-#: Steps of the fit.
-ROUNDS = 60
+#: Steps of the fit; features that a step looks at together, about.
+ROUNDS, HELD_FEATURES = 60, 250_000
 
 
 def fit(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-4) -> np.ndarray:
@@ -214,12 +214,20 @@ def fit(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray,
     w = np.zeros(ALL_FEATURES + 1)
     if not len(sizes):
         return w
-    row, seen = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros_like(w)
+    ends, seen = np.concatenate([[0], np.cumsum(sizes)]), np.zeros_like(w)
+    cuts = [0, *np.searchsorted(ends, np.arange(HELD_FEATURES, ends[-1], HELD_FEATURES)), len(sizes)]
     for _ in range(rounds):
-        margin = np.bincount(row, val * w[col], len(sizes)) + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target
-        step = np.bincount(col, val * error[row], ALL_FEATURES + 1) / len(sizes) + penalty * w
-        step[-1] = error.mean()
+        step = penalty * w
+        step[-1] = 0.0
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            if first == last:
+                continue
+            of = slice(ends[first], ends[last])
+            row = np.repeat(np.arange(last - first), sizes[first:last])
+            margin = np.bincount(row, val[of] * w[col[of]], last - first) + w[-1]
+            error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target[first:last]) / len(sizes)
+            step += np.bincount(col[of], val[of] * error[row], ALL_FEATURES + 1)
+            step[-1] += error.sum()
         seen += step * step
         w -= 0.5 * step / (np.sqrt(seen) + 1e-8)
     return w
@@ -257,7 +265,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel,
     target = np.array([model.posterior[c] for c in sample.column("pattern").to_pylist()])
     flat = lambda name, kind: sample.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
     sizes = pc.list_value_length(sample.column("features")).to_numpy().astype(np.int64)
-    return model, fit(sizes, flat("features", np.int32), flat("value", np.float32), target)
+    return model, fit(sizes, flat("features", np.int16), flat("value", np.float32), target)
 
 
 def probability(weights: np.ndarray, f: np.ndarray, v: np.ndarray) -> float:
