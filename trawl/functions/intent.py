@@ -63,8 +63,8 @@ def searchable_terms(text: str) -> list[str]:
 
 
 def interpret(query: str) -> Intent:
-    quoted = [p.strip() for p in re.findall(r"[\"“](.{2,300}?)[\"”]", query)]
-    names = re.findall(r"\b[A-Z][A-Za-z0-9_-]{2,}\b|\b[A-Za-z]+\d+[A-Za-z0-9_.-]*\b", query)
+    quoted = [p.strip() for p in re.findall(L.QUOTED, query)]
+    names = re.findall(f"{L.NAME}|{L.IDENTIFIER}", query)
     quoted = tuple(dict.fromkeys(filter(None, quoted)))[:2]
     names = tuple(dict.fromkeys(n for n in names if n not in L.IDENTIFIER_STOPS))[:3]
     flags = [f for f, pattern in FLAGS if re.search(pattern, query, re.I) or (f == "exact_phrase" and quoted)]
@@ -105,7 +105,7 @@ def weighted_searches(query: str) -> list[tuple[list[str], bool, float]]:
     terms = searchable_terms(query) or re.findall(r"\w+", query.lower())
     if not terms:
         return []
-    names = [n.lower() for n in dict.fromkeys(re.findall(r"\b[A-Z][A-Za-z0-9_-]{2,}\b", query)) if n.lower() not in L.ANCHOR_STOPS]
+    names = [n.lower() for n in dict.fromkeys(re.findall(L.NAME, query)) if n.lower() not in L.ANCHOR_STOPS]
     found = [([n], False, 2.0) for n in names]
     if 2 <= len(terms) <= 10:
         found.append(([" ".join(terms)], False, 1.7))
@@ -128,6 +128,6 @@ def mode_column(query: Column) -> Column:
     for flag, mode in reversed(MODES):
         test = query.rlike(java(patterns[flag]))
         if flag == "exact_phrase":
-            test = test | query.rlike("[\"“].{2,300}?[\"”]")
+            test = test | query.rlike(L.QUOTED)
         out = F.when(test, mode).otherwise(out)
     return out

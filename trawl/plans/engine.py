@@ -44,10 +44,10 @@ def archive_parts(conversations: DataFrame, messages: DataFrame, encoder: vector
 
 
 def archive_tables(conversations: DataFrame, messages: DataFrame, encoder: vectors.Encoder | None = None, **options) -> dict[str, DataFrame]:
-    """The tables as plans."""
+    """The tables as plans; the chunks, which nearly all others are made from, are kept once they have been made."""
     tables: dict[str, DataFrame] = {}
     for name, made in archive_parts(conversations, messages, encoder, **options).items():
-        tables[name] = made(tables)
+        tables[name] = made(tables).cache() if name == "chunks" else made(tables)
     return tables
 
 

@@ -236,11 +236,12 @@ def _(spark, d):
     return inverted.top_ranks(hits, 25, [F.round("bm25", 12).asc(), F.col("chunk_id").asc()]).select("search", "chunk_id", "rank")
 
 
-SEARCHES = I.weighted_searches(QUESTION)
-SEARCH_TOKENS = [([p.split(" ") for p in phrases], needs_all) for phrases, needs_all, _ in SEARCHES]
+#: The searches that QUESTION stands for and their weights, written out: all terms as a phrase, every term, any term.
+SEARCH_TOKENS = [([["erin", "thon", "ther"]], False), ([["erin"], ["thon"], ["ther"]], True), ([["erin"], ["thon"], ["ther"]], False)]
+SEARCH_WEIGHTS = [1.7, 1.35, 1.0]
 LEXICAL = f"""{S.bm25(SEARCH_TOKENS)},
 r AS (SELECT search, chunk_id, row_number() OVER (PARTITION BY search ORDER BY round(bm25, 12), chunk_id) AS rank FROM ranked),
-weights(search, weight) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE)" for i, (_, _, w) in enumerate(SEARCHES))}),
+weights(search, weight) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE)" for i, w in enumerate(SEARCH_WEIGHTS))}),
 lex AS (SELECT r.chunk_id, round(sum(weight * CASE WHEN role = 'user' THEN 1.35 ELSE 0.45 END / (60.0 + rank)), 12) AS score, min(rank) AS lexical_rank
   FROM r JOIN weights USING (search) JOIN chunks c ON c.chunk_id = r.chunk_id WHERE rank <= 250 GROUP BY r.chunk_id)"""
 
@@ -419,22 +420,22 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", scoring.exact_strength(hay, intent, "Of  the").cast("double").alias("strength"))
 
 
-ASKED = [
-    "what is the latest plan", "when did i first start it", "how has it changed over time", "what did we decide about the roadmap", "give me the exact quote", "that was wrong, what instead",
-    "tell me about thon", "where are we now", "early days and recent ones", 'he said "of the thon" once', "not this but that", "verbatim please", "final position on plans", "incorrectly", "currently",
-]
+#: Questions, and the mode that each asks for: written out, so that the SQL does not rest on the patterns it checks.
+ASKED = {
+    "what is the latest plan": "latest", "when did i first start it": "earliest", "how has it changed over time": "longitudinal", "what did we decide about the roadmap": "decision",
+    "give me the exact quote": "exact", "that was wrong, what instead": "correction", "tell me about thon": "recall", "where are we now": "latest", "early days and recent ones": "longitudinal",
+    'he said "of the thon" once': "exact", "not this but that": "correction", "verbatim please": "exact", "final position on plans": "correction", "incorrectly": "recall", "currently": "latest",
+}
 
 
 def _mode_sql() -> str:
-    patterns = dict(I.FLAGS)
-    whens = " ".join(f"WHEN regexp_matches(q, '(?i){patterns[f]}')" + (" OR regexp_matches(q, '[\"“].{2,300}?[\"”]')" if f == "exact_phrase" else "") + f" THEN '{m}'" for f, m in I.MODES)
-    rows = ", ".join("('" + q.replace("'", "''") + "')" for q in ASKED)
-    return f"SELECT q, CASE {whens} ELSE 'recall' END AS mode FROM (VALUES {rows}) t(q)"
+    rows = ", ".join("('" + q.replace("'", "''") + f"', '{mode}')" for q, mode in ASKED.items())
+    return f"SELECT q, mode FROM (VALUES {rows}) t(q, mode)"
 
 
 @query("intent_modes", _mode_sql())
 def _(spark, d):
-    asked = spark.createDataFrame([(q,) for q in ASKED], "q string")
+    asked = X.local(spark, [(q,) for q in ASKED], "q string")
     return asked.select("q", I.mode_column(F.col("q")).alias("mode"))
 
 
@@ -689,6 +690,36 @@ def _(spark, d):
     return trees.select("conv_id", F.array_join(path, ",").alias("path"))
 
 
+@query(
+    "export_messages",
+    """WITH RECURSIVE n AS (SELECT conv_id, turn, role, text, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 2 THEN turn - 2 ELSE turn - 1 END AS par FROM conversations),
+    walk AS (SELECT conv_id, max(turn) AS turn, 0 AS up FROM n GROUP BY conv_id UNION ALL SELECT w.conv_id, n.par, up + 1 FROM walk w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.turn WHERE n.par IS NOT NULL),
+    p AS (SELECT conv_id, turn, max(up) OVER (PARTITION BY conv_id) - up AS pos FROM walk)
+    SELECT CAST(n.conv_id AS VARCHAR) AS conversation_id, CASE WHEN n.turn % 6 = 5 THEN concat('k', n.turn) ELSE concat(n.conv_id, ':', n.turn) END AS message_id, concat('k', n.turn) AS node_id, 'k' || par AS parent_id,
+      CAST(pos AS INT) AS active_position, pos IS NOT NULL AS is_active, role, CASE WHEN n.turn % 7 = 3 THEN NULL ELSE CAST(1000 + n.turn AS DOUBLE) END AS create_time,
+      concat(trim(text, ' ' || chr(10)), CASE WHEN n.turn % 9 = 4 THEN chr(10) || chr(10) || 'and more' ELSE '' END) AS text FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.turn = n.turn""",
+)
+def _(spark, d):
+    """An export made from the conversations, as trees with branches, and read like any other."""
+    t, json = F.col("turn"), F.to_json
+    parent = F.when(t == 0, None).when(t % 4 == 2, t - 2).otherwise(t - 1)
+    parts = F.when(t % 9 == 4, F.array("text", F.lit("and more"))).otherwise(F.array("text"))
+    content = F.struct(F.lit("text").alias("content_type"), F.lit("file").alias("asset_pointer"), parts.alias("parts"))
+    message = F.struct(
+        F.when(t % 6 == 5, "").otherwise(F.concat("conv_id", F.lit(":"), "turn")).alias("id"), F.struct(F.when(t % 5 == 0, F.upper("role")).otherwise(F.col("role")).alias("role")).alias("author"),
+        F.when(t % 7 == 3, "NaN").otherwise((t + 1000).cast("string")).alias("create_time"), content.alias("content"),
+    )
+    node = json(F.struct(F.concat(F.lit("k"), "turn").alias("id"), F.concat(F.lit("k"), parent.cast("string")).alias("parent"), message.alias("message")))
+    entries = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("k"), "turn").alias("k"), node.alias("v"))))
+    trees = read(spark, d, "conversations").groupBy("conv_id").agg(entries.alias("e"), F.max("turn").alias("last"))
+    raw = trees.select(
+        F.col("conv_id").cast("string").alias("conversation_id"), F.lit("").alias("id"), F.lit("").alias("title"), F.lit("1").alias("create_time"), F.lit("2").alias("update_time"), F.concat(F.lit("k"), "last").alias("current_node"),
+        F.lit(None).cast("string").alias("default_model_slug"), F.lit("false").alias("is_archived"), F.lit("true").alias("is_starred"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x["v"]))).alias("mapping"),
+        F.lit("made").alias("source_file"), F.lit(0).alias("position"),
+    )
+    return exports.conversations_and_messages(raw)[1].select("conversation_id", "message_id", "node_id", "parent_id", "active_position", "is_active", "role", "create_time", "text")
+
+
 @query("context_packet")
 def _(spark, d):
     """The whole answer to a question as one row for each episode, with the packet's limits and trace."""
