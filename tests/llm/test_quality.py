@@ -81,17 +81,11 @@ def plain_features(text):
     return found
 
 
-def test_scores_equal_a_plain_computation(spark):
-    """Features, label model's posteriors, fit and scores again, by dictionaries and loops."""
-    rng = random.Random(11)
-    words = ["house", "Tree", "é", "x9", "$$", "GO!", "a|b", "well,", "done."]
-    texts = [" ".join(rng.choice(words[: rng.randint(2, 9)]) for _ in range(rng.randint(1, 40))) for _ in range(60)] + [None, "", "one"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in Q.classify(df).collect()}
+def plain_scores(texts):
+    """Features, label model's posteriors, fit and scores, by dictionaries and loops."""
     codes = [Q.pattern(Q.votes(t)) for t in texts]
-    counts = {c: codes.count(c) for c in set(codes)}
     # the label model: expectation-maximisation with one document at a time
-    bad = {c: 0.9 if Q.BAD in Q.unpacked(c) else 0.05 for c in counts}
+    bad = {c: 0.9 if Q.BAD in Q.unpacked(c) else 0.05 for c in set(codes)}
     for _ in range(60):
         prior = min(max(sum(bad[c] for c in codes) / len(codes), 1e-6), 1 - 1e-6)
         rates = [[[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]] for _ in Q.LABELLERS]
@@ -103,7 +97,7 @@ def test_scores_equal_a_plain_computation(spark):
             for y in (0, 1):
                 total = of[y][Q.GOOD] + of[y][Q.BAD]
                 of[y] = [1.0, of[y][Q.GOOD] / total, of[y][Q.BAD] / total]
-        odds = {c: np.log(prior / (1 - prior)) + sum(np.log(of[1][v] / of[0][v]) for of, v in zip(rates, Q.unpacked(c), strict=True)) for c in counts}
+        odds = {c: np.log(prior / (1 - prior)) + sum(np.log(of[1][v] / of[0][v]) for of, v in zip(rates, Q.unpacked(c), strict=True)) for c in bad}
         bad = {c: 1 / (1 + np.exp(-min(max(o, -50), 50))) for c, o in odds.items()}
     # the scorer
     rows, weights, seen = [plain_features(t) for t in texts], {"all": 0.0}, {}
@@ -118,6 +112,15 @@ def test_scores_equal_a_plain_computation(spark):
         for f, g in step.items():
             seen[f] = seen.get(f, 0.0) + g * g
             weights[f] = weights.get(f, 0.0) - 0.5 * g / (seen[f] ** 0.5 + 1e-8)
-    for i, found in enumerate(rows):
-        plain = 1 / (1 + np.exp(weights["all"] + sum(weights.get(f, 0.0) * v for f, v in found.items())))
-        assert abs(got[i] - plain) < 1e-3
+    return [1 / (1 + np.exp(weights["all"] + sum(weights.get(f, 0.0) * v for f, v in found.items()))) for found in rows]
+
+
+@pytest.mark.parametrize("held", [300, 10**6])
+def test_scores_equal_a_plain_computation(spark, monkeypatch, held):
+    monkeypatch.setattr(Q, "HELD_FEATURES", held)
+    rng = random.Random(11)
+    words = ["house", "Tree", "é", "x9", "$$", "GO!", "a|b", "well,", "done."]
+    texts = [" ".join(rng.choice(words[: rng.randint(2, 9)]) for _ in range(rng.randint(1, 40))) for _ in range(60)] + [None, "", "one"]
+    got = {r.doc_id: r.score for r in Q.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, score in enumerate(plain_scores(texts)):
+        assert abs(got[i] - score) < 1e-3
