@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from trawl.llm import licenses as L
 
 
@@ -68,3 +70,22 @@ def test_rows(spark):
     got = {(r.doc_id, r.n_base, r.first_word, r.last_word, r.labels) for r in L.scan(df).collect()}
     assert got == {(1, 0, None, None, ""), (2, 0, None, None, ""), (3, 20000, 0, 39998, "mit"), (3, 0, None, None, ""), (None, 2, 0, 2, "cc-by")}
     assert L.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("label", sorted(L.TEMPLATES))
+def test_every_template_accepts_its_wording_and_no_other(label):
+    """With and without its optional regions, with fewer and more words in the replaceable ones; not with one mandatory word changed."""
+    template = L.TEMPLATES[label]
+    full = re.sub(r"<<(begin|end)Optional>>", "", template)
+    bare = re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", template, flags=re.S)
+    for text in (full, bare):
+        for words in (0, 2):
+            filled = re.sub(r"<<var;words=\d+>>", " any" * words, text)
+            assert label in L.scan_text(f"Before. {filled.upper()}. After")[5].split(",")
+    mandatory = re.sub(r"<<var;words=\d+>>", " ", bare).split()
+    for k in (0, len(mandatory) // 2, len(mandatory) - 1):
+        changed = " ".join([*mandatory[:k], "otherword", *mandatory[k + 1 :]])
+        assert label not in L.scan_text(changed)[5].split(",")
+    many = int((re.findall(r"<<var;words=(\d+)>>", template) or [0])[-1])
+    if many and not template.rstrip().endswith(">>"):
+        assert label not in L.scan_text(re.sub(r"<<var;words=\d+>>", " any" * (many + 50), full))[5].split(",")

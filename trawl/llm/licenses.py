@@ -45,6 +45,18 @@ TEMPLATES = {
     "mit-notice": "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "gpl-3.0": "GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the License<<endOptional>>",
     "gpl-2.0": "GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2 <<beginOptional>>of the License<<endOptional>>",
+    "lgpl-2.1": "GNU Lesser General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2.1 <<beginOptional>>of the License<<endOptional>>",
+    "lgpl-3.0": "GNU Lesser General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the License<<endOptional>>",
+    "agpl-3.0": "GNU Affero General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the License<<endOptional>>",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+        obtain a copy of the License at <<var;words=12>> Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+    "cc0-1.0": "CC0 1.0 <<beginOptional>>Universal<<endOptional>>",
     "cc-by-4.0": "CC BY 4.0",
     "cc-by-nc-4.0": "CC BY-NC 4.0",
     "cc-by-sa-4.0": "CC BY-SA 4.0",
@@ -68,6 +80,17 @@ TEMPLATES = {
         conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
         distribution""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. <<beginOptional>>3.<<endOptional>> Neither the name of <<var;words=20>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission""",
 }
 
 #: First mandatory words of a template by which its occurrences are searched, at most.
