@@ -439,6 +439,45 @@ def _(spark, d):
     return asked.select("q", I.mode_column(F.col("q")).alias("mode"))
 
 
+@query(
+    "query_variants",
+    """SELECT q, CAST(n AS INT) AS n, kind, text, CAST(weight AS DOUBLE) AS weight, phrases, needs_all FROM (VALUES
+    ('when did I first start building Nova', 0, 'semantic_original', 'when did I first start building Nova', 1.0, 'first|start|building|nova', false),
+    ('when did I first start building Nova', 1, 'identifier', 'Nova', 0.9, 'nova', false),
+    ('when did I first start building Nova', 2, 'lexical_and', 'first start building nova', 0.85, 'first|start|building|nova', true),
+    ('when did I first start building Nova', 3, 'lexical_or', 'first start building nova', 0.55, 'first|start|building|nova', false),
+    ('when did I first start building Nova', 4, 'temporal_earliest', 'Nova', 0.35, 'nova', false),
+    ('how has the plan changed over time', 0, 'semantic_original', 'how has the plan changed over time', 1.0, 'plan|changed|over|time', false),
+    ('how has the plan changed over time', 1, 'lexical_and', 'plan changed over time', 0.85, 'plan|changed|over|time', true),
+    ('how has the plan changed over time', 2, 'lexical_or', 'plan changed over time', 0.55, 'plan|changed|over|time', false),
+    ('how has the plan changed over time', 3, 'temporal_earliest', 'plan changed', 0.35, 'plan|changed', false),
+    ('how has the plan changed over time', 4, 'temporal_latest', 'plan changed', 0.35, 'plan|changed', false),
+    ('how has the plan changed over time', 5, 'change_terms', 'plan changed over changed evolved', 0.6, 'plan|changed|over|evolved', false),
+    ('he said "of the thon" once to Erin2', 0, 'semantic_original', 'he said "of the thon" once to Erin2', 1.0, 'said|thon|once|erin2', false),
+    ('he said "of the thon" once to Erin2', 1, 'quoted_phrase', 'of the thon', 1.0, 'of the thon', false),
+    ('he said "of the thon" once to Erin2', 2, 'identifier', 'Erin2', 0.9, 'erin2', false),
+    ('he said "of the thon" once to Erin2', 3, 'lexical_and', 'said thon once erin2', 0.85, 'said|thon|once|erin2', true),
+    ('he said "of the thon" once to Erin2', 4, 'lexical_or', 'said thon once erin2', 0.55, 'said|thon|once|erin2', false),
+    ('that was wrong, what instead', 0, 'semantic_original', 'that was wrong, what instead', 1.0, 'wrong|instead', false),
+    ('that was wrong, what instead', 1, 'lexical_and', 'wrong instead', 0.85, 'wrong|instead', true),
+    ('that was wrong, what instead', 2, 'lexical_or', 'wrong instead', 0.55, 'wrong|instead', false),
+    ('that was wrong, what instead', 3, 'correction_terms', 'wrong instead actually instead correction', 0.6, 'wrong|instead|actually|correction', false)) t(q, n, kind, text, weight, phrases, needs_all)""",
+)
+def _(spark, d):
+    asked = ("when did I first start building Nova", "how has the plan changed over time", 'he said "of the thon" once to Erin2', "that was wrong, what instead")
+    found = [(q, n, v, *I.search_terms(v)) for q in asked for n, v in enumerate(I.variants(q, I.interpret(q)))]
+    return X.local(spark, [(q, n, v.kind, v.text, v.weight, "|".join(p), a) for q, n, v, p, a in found], "q string, n int, kind string, text string, weight double, phrases string, needs_all boolean")
+
+
+@query(
+    "correction_signal",
+    f"""WITH {S.turns()} SELECT conversation_id, turn_index, CAST(CASE WHEN previous_acceptance = 'rejected' THEN 1.0 WHEN regexp_matches(user_text, '(?i){S.REJECT}') OR regexp_matches(user_text, '(?i){S.REFINE}') THEN 0.75 ELSE 0.0 END AS DOUBLE) AS signal FROM turns""",
+)
+def _(spark, d):
+    said = X.user_signal(F.col("user_text"), S.REJECT, S.REFINE, S.ACCEPT)
+    return invented_turns(spark, d).select("conversation_id", "turn_index", scoring.correction_signal(F.col("previous_acceptance"), said).cast("double").alias("signal"))
+
+
 # --- orders by time ---
 
 

@@ -1,7 +1,8 @@
 """Exported chat archives: JSON lists of conversations, each a tree of messages with branches.
 
 A file is a list of objects; its conversations hold nodes in a mapping whose
-order matters.  The branch in use is followed from the current node to the root;
+order matters.  A file is read as one row, so it has to fit a task's memory;
+files are read side by side.  The branch in use is followed from the current node to the root;
 without a valid current node, from the leaf with the latest message.
 """
 
