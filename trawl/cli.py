@@ -91,7 +91,7 @@ def validate(archive: Archive, needles: list[str], expected: dict[str, int] | No
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("trawl").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("trawl").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     ship(spark)
 
     def show(value, to: str | None = None) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
@@ -40,24 +41,20 @@ def content_text(value) -> str:
 
 
 def split_points(text: str, most: int, overlap: int) -> list[str]:
-    """Overlapping pieces of at most `most` characters, cut at the last break in a window's second half."""
+    """Overlapping pieces of at most `most` characters, each ended at the last blank or line end of its second half, if there is one."""
     text = clean(text)
-    pieces, start = [], 0
-    while text and start < len(text):
-        stop = start + most
-        if stop < len(text):
-            half = start + most // 2
-            at = max(text.rfind(mark, half, stop) for mark in ("\n\n", "\n", ". ", " "))
-            if at >= 0:
-                stop = at + (text[at] == ".")
-        else:
-            stop = len(text)
-        if piece := clean(text[start:stop]):
-            pieces.append(piece)
-        if stop == len(text):
-            break
-        start = max(start + 1, stop - overlap)
-    return pieces
+    ends = [m.start() for m in re.finditer("[ \n]", text)]
+
+    def stop_of(start: int) -> int:
+        last = bisect.bisect_left(ends, start + most) - 1
+        return ends[last] if last >= 0 and ends[last] >= start + most // 2 else start + most
+
+    spans, start = [], 0
+    while start + most < len(text):
+        spans.append((start, stop_of(start)))
+        start = max(start + 1, spans[-1][1] - overlap)
+    spans.append((start, len(text)))
+    return [piece for first, last in spans if (piece := clean(text[first:last]))]
 
 
 def match_form(value: str) -> str:
