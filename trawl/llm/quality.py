@@ -120,7 +120,7 @@ _shapes = Shapes()
 
 
 def described(text: str | None) -> tuple[np.ndarray, tuple[float, ...]] | None:
-    """Features of the words and of their pairs, and the ratios; None without a word."""
+    """Features of the words and of their pairs, one for each occurrence, the ratios, and the number of words; None without a word."""
     words = text.split() if text else []
     if not words:
         return None
@@ -189,15 +189,16 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> LabelM
     return LabelModel(prior, rates, dict(zip(codes, bad.tolist(), strict=True)))
 
 
-def features(got: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, values) of a described text: shares of word shapes, words and pairs, and one feature for the step that each ratio falls into."""
+def features(got: tuple | None) -> tuple[np.ndarray, int]:
+    """(features, words) of a described text: shapes, words and pairs, each worth one part in `words`, and last the step of each ratio, worth STEP."""
     if not got:
-        return np.empty(0, np.int64), np.empty(0)
-    found, n = np.unique(got[0], return_counts=True)
+        return np.empty(0, np.int16), 0
     steps = [STEPS[i, min(int(4 * v / limit[1]), 8)] for i, (v, limit) in enumerate(zip(got[1], LIMITS, strict=True))]
-    return np.concatenate([found, steps]), np.concatenate([n / got[2], np.full(len(steps), 0.25)])
+    return np.concatenate([got[0], steps]).astype(np.int16), got[2]
 
 
+#: Value of a ratio's feature.
+STEP = 0.25
 #: Feature of each step of each ratio.
 STEPS = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{k}".encode()) % FEATURES for k in range(9)] for name in LABELLERS])
 
@@ -206,10 +207,10 @@ STEPS = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{k}".encode()) % FEATURES f
 ROUNDS, HELD_FEATURES = 60, 250_000
 
 
-def fit(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-4) -> np.ndarray:
+def fit(sizes: np.ndarray, words: np.ndarray, col: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-4) -> np.ndarray:
     """Weights (last: intercept) of a logistic regression on soft targets, by gradient steps with per-weight rates.
 
-    sizes: number of features of each row; col, val: features and values of all rows, one after the other.
+    sizes, words: number of features and of words of each row; col: features of all rows, one after the other, as `features` gives them.
     """
     w = np.zeros(ALL_FEATURES + 1)
     if not len(sizes):
@@ -223,18 +224,26 @@ def fit(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray,
             if first == last:
                 continue
             of = slice(ends[first], ends[last])
-            row = np.repeat(np.arange(last - first), sizes[first:last])
-            margin = np.bincount(row, val[of] * w[col[of]], last - first) + w[-1]
+            row, val = np.repeat(np.arange(last - first), sizes[first:last]), values(sizes[first:last], words[first:last])
+            margin = np.bincount(row, val * w[col[of]], last - first) + w[-1]
             error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target[first:last]) / len(sizes)
-            step += np.bincount(col[of], val[of] * error[row], ALL_FEATURES + 1)
+            step += np.bincount(col[of], val * error[row], ALL_FEATURES + 1)
             step[-1] += error.sum()
         seen += step * step
         w -= 0.5 * step / (np.sqrt(seen) + 1e-8)
     return w
 
 
+def values(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Values of the features of rows, one after the other."""
+    found = np.repeat(1 / np.maximum(words, 1), sizes)
+    ends = np.cumsum(sizes)[sizes > 0]
+    found[(ends[:, None] - np.arange(1, len(LABELLERS) + 1)).ravel()] = STEP
+    return found
+
+
 def described_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pattern, features, value) of every row: the one pass over the texts."""
+    """(doc_id, pattern, words, features) of every row: the one pass over the texts."""
     batch_limits(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -246,13 +255,13 @@ def described_documents(docs: DataFrame, key: str = "doc_id", text: str = "text"
                 [
                     b.column(0),
                     pa.array([pattern(votes_on(x[1])) if x else 0 for x in both], pa.int64()),
-                    pa.array([f.astype("i2") for f, _ in rows], pa.list_(pa.int16())),
-                    pa.array([v.astype("f4") for _, v in rows], pa.list_(pa.float32())),
+                    pa.array([n for _, n in rows], pa.int64()),
+                    pa.array([f for f, _ in rows], pa.list_(pa.int16())),
                 ],
-                ["doc_id", "pattern", "features", "value"],
+                ["doc_id", "pattern", "words", "features"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, pattern long, features array<short>, value array<float>")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, pattern long, words long, features array<short>")
 
 
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, np.ndarray]:
@@ -260,17 +269,24 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel,
     counts = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 ** len(LABELLERS)
     model = expectation_maximisation(counts)
     share = min(1.0, sample_rows / max(sum(counts.values()), 1))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "pattern", "value"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    sample = chosen.select("pattern", "features", "value").limit(2 * sample_rows).toArrow()
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "pattern", "features"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = chosen.select("pattern", "words", "features").limit(2 * sample_rows).toArrow()
     target = np.array([model.posterior[c] for c in sample.column("pattern").to_pylist()])
-    flat = lambda name, kind: sample.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
     sizes = pc.list_value_length(sample.column("features")).to_numpy().astype(np.int64)
-    return model, fit(sizes, flat("features", np.int16), flat("value", np.float32), target)
+    col = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample.column("features").chunks] or [np.empty(0, np.int16)])
+    words = sample.column("words").to_numpy()
+    del sample
+    return model, fit(sizes, words, col, target)
+
+
+def margins(weights: np.ndarray, sizes: np.ndarray, words: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """How much speaks against each row; the same for equal rows, wherever they stand."""
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), values(sizes, words) * weights[col], len(sizes)) + weights[-1]
 
 
-def probability(weights: np.ndarray, f: np.ndarray, v: np.ndarray) -> float:
-    """That a text with these features is good."""
-    return 1 / (1 + float(np.exp(np.clip(weights[f] @ v + weights[-1], -50, 50))))
+def probability(margin: np.ndarray) -> np.ndarray:
+    """That a text with this margin is good."""
+    return 1 / (1 + np.exp(np.clip(margin, -50, 50)))
 
 
 def classify(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,13 +297,11 @@ def classify(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS
 
     def run(batches):
         for b in batches:
-            f, v = b.column(1), b.column(2)
-            each = np.concatenate([[0], np.cumsum(weights[f.flatten().to_numpy(zero_copy_only=False)] * v.flatten().to_numpy(zero_copy_only=False))])
-            ends = f.offsets.to_numpy() - f.offsets.to_numpy()[0]
-            margin = each[ends[1:]] - each[ends[:-1]] + weights[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(np.clip(margin, -50, 50))), pa.float64())], ["doc_id", "score"])
+            found = b.column(2)
+            margin = margins(weights, np.diff(found.offsets.to_numpy()), b.column(1).to_numpy(zero_copy_only=False), found.flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(margin), pa.float64())], ["doc_id", "score"])
 
-    return rows.select("doc_id", "features", "value").mapInArrow(run, f"doc_id {kind}, score double").withColumn("kept", F.col("score") >= least)
+    return rows.select("doc_id", "words", "features").mapInArrow(run, f"doc_id {kind}, score double").withColumn("kept", F.col("score") >= least)
 
 
 def documents_kept(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,7 +310,9 @@ def documents_kept(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPL
 
     @F.arrow_udf("double")
     def good(texts: pa.Array) -> pa.Array:
-        return pa.array([probability(weights, *features(described(t))) for t in texts.to_pylist()], pa.float64())
+        found = [features(described(t)) for t in texts.to_pylist()]
+        sizes, words = (np.array(x, np.int64) for x in ([len(f) for f, _ in found], [n for _, n in found]))
+        return pa.array(probability(margins(weights, sizes, words, np.concatenate([f for f, _ in found] or [np.empty(0, np.int16)]))), pa.float64())
 
     return docs.where(good(F.col(text)) >= least)
 
