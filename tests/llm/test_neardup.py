@@ -84,6 +84,8 @@ def test_texts_of_one_id_are_one_document(spark):
     ]
     one = spark.createDataFrame([(3, A), (3, B), (4, B), (5, A), (6, D)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(one).collect()} == {(3, 3), (4, 3), (5, 3), (6, 6)}
+    empty = spark.createDataFrame([(0, A), (1, A), (1, ""), (1, None), (2, ""), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(empty).collect()) == [(0, 0, True), (1, 0, False), (1, 0, False), (1, 0, False), (2, 2, True), (2, 2, True)]
 
 
 def test_one_row_of_a_component_stays_whatever_the_names(spark):

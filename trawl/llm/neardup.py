@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4,
     links, linked = measured(centre_links(groups, sets, ratio, hashes), "centre-links")
     total = linked["n"]
     if seen["mixed"]:  # a document with several texts is linked with the nodes of all of them
-        same = repeated.where("low <> high").select(F.col("doc_id").alias("r"))
+        same = repeated.where("low <> high or texts between 1 and n - 1").select(F.col("doc_id").alias("r"))
         named = rows.join(same, F.col("doc_id") == F.col("r")).select("doc_id", "digest").join(classes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d"))
         more, extra = measured(named.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "id-links")
         links, total = links.union(more), total + extra["n"]
