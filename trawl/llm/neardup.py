@@ -54,7 +54,7 @@ ROWS = 6
 #: Words remembered by one worker.
 MEMO_WORDS = 1 << 18
 #: Nodes of a block whose signatures are compared, and of one whose sets are; shingles of the latter; about.
-BLOCK_SIGNATURES, BLOCK_SETS, BLOCK_SHINGLES = 250, 500, 400_000
+BLOCK_SIGNATURES, BLOCK_SETS, BLOCK_SHINGLES = 250, 250, 400_000
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
 
