@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import evaluation, integrity, service
 from .functions import lexicon as L
 from .functions import text as X
-from .operators import sessions, vectors
+from .operators import fetch, sessions, vectors
 from .plans.engine import Archive
 from .shipping import ship
 from .sources import store
@@ -52,7 +52,9 @@ def search_records(archive: Archive, args) -> list[dict]:
     found = archive.search(
         args.query, args.limit, args.candidate_limit, args.date_from, args.date_to, args.conversation_id, args.timeline, args.order, args.lexical_only, args.semantic_only
     ).cache()
-    near = sessions.turn_window(archive.tables["turns"], found.select("conversation_id", "turn_index"), args.context, args.context)
+    conversations = [r["conversation_id"] for r in found.select("conversation_id").distinct().collect()]  # `limit` at most
+    turns = archive.tables["turns"].where(fetch.among("conversation_id", conversations))
+    near = sessions.turn_window(turns, found.select("conversation_id", "turn_index").hint("broadcast"), args.context, args.context)
     short = lambda c: X.shorten(F.col(c), args.max_chars)
     near = near.groupBy("conversation_id", "seed").agg(
         F.sort_array(F.collect_list(F.struct("turn_index", X.timestamp_iso(F.col("create_time")).alias("date"), short("user_text").alias("user"), short("assistant_text").alias("assistant"), "acceptance"))).alias("window")
@@ -84,7 +86,7 @@ def validate(archive: Archive, needles: list[str], expected: dict[str, int] | No
     checks = {"chunks_have_turns": orphans == 0, "chunk_ids_dense": ids["n"] == (ids["last"] or 0) == ids["distinct"], "messages_present": messages.limit(1).count() == 1}
     checks |= {f"{name} has {n} rows": counts.get(name) == n for name, n in (expected or {}).items()}
     for needle in needles:
-        hits = archive.search(needle, 10).where(F.contains(F.lower(F.concat("title", F.lit("\n"), "text")), F.lit(needle.lower())))
+        hits = archive.search(needle, 10, weights=(1.0, 1.0)).where(F.contains(F.lower(F.concat("title", F.lit("\n"), "text")), F.lit(needle.lower())))
         checks[f"finds {needle}"] = hits.limit(1).count() == 1
     return {"checks": checks, "counts": counts, "semantic": archive.semantic_ready, "passed": all(checks.values())}
 
@@ -121,7 +123,7 @@ def main(argv: list[str] | None = None) -> int:
         tables["vectors"] = vectors.embed(rows, encoder, args.roles, args.max_text_chars, args.batch_size)
         show(store.save(spark, args.archive, tables, store.about(encoder)))
         return 0
-    archive = Archive.open(spark, args.archive, encoder)
+    archive = Archive.open(spark, args.archive, encoder, whole=args.command == "validate")
     if args.command == "search":
         records = search_records(archive, args)
         if args.json:

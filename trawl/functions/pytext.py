@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -40,21 +40,26 @@ def content_text(value) -> str:
     return clean("\n\n".join(parts))
 
 
-def split_points(text: str, most: int, overlap: int) -> list[str]:
-    """Overlapping pieces of at most `most` characters, each ended at the last blank or line end of its second half, if there is one."""
+def pieces(text: str, most: int, overlap: int) -> Iterator[str]:
+    """Overlapping pieces of at most `most` characters, one after the other, each ended at the last blank or line end of its second half, if there is one."""
     text = clean(text)
-    ends = [m.start() for m in re.finditer("[ \n]", text)]
 
     def stop_of(start: int) -> int:
-        last = bisect.bisect_left(ends, start + most) - 1
-        return ends[last] if last >= 0 and ends[last] >= start + most // 2 else start + most
+        last = max(text.rfind(" ", start + most // 2, start + most), text.rfind("\n", start + most // 2, start + most))
+        return last if last >= 0 else start + most
+
+    start = 0
+    while True:
+        stop = stop_of(start) if start + most < len(text) else len(text)
+        if piece := clean(text[start:stop]):
+            yield piece
+        if stop == len(text) and start + most >= len(text):
+            return
+        start = max(start + 1, stop - overlap)
 
-    spans, start = [], 0
-    while start + most < len(text):
-        spans.append((start, stop_of(start)))
-        start = max(start + 1, spans[-1][1] - overlap)
-    spans.append((start, len(text)))
-    return [piece for first, last in spans if (piece := clean(text[first:last]))]
+
+def split_points(text: str, most: int, overlap: int) -> list[str]:
+    return list(pieces(text, most, overlap))
 
 
 def match_form(value: str) -> str:
@@ -105,3 +110,27 @@ def split_text_udf(column, most: int = L.CHUNK_CHARS, overlap: int = L.CHUNK_OVE
         return pa.array([split_points(t, most, overlap) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return F.arrow_udf(run, T.ArrayType(T.StringType()))(column)
+
+
+def casefold_udf(column):
+    return F.arrow_udf(_strings(str.casefold), "string")(column)
+
+
+class Pieces:
+    """Table function (text, most, overlap): a row (chunk_index, text) for each piece.
+
+    Rows leave as they are made, so a text of any length never becomes one array.  Spark
+    joins no table function that takes Arrow data laterally, so this one takes plain rows.
+    """
+
+    def eval(self, text: str, most: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(pieces(text, most, overlap) if text else ())
+
+
+def split_function():
+    return F.udtf(Pieces, returnType="chunk_index int, text string", useArrow=False)
+
+
+def split_pieces(text, most: int = L.CHUNK_CHARS, overlap: int = L.CHUNK_OVERLAP):
+    """Pieces of an outer column, for lateralJoin; in SQL, register `split_function()` and use LATERAL."""
+    return split_function()(text, F.lit(most), F.lit(overlap))

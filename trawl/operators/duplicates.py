@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import released, written
 
 #: Characters of needles that one pass over the texts looks for, about.
 PASS_CHARS = 32_000_000
@@ -96,6 +97,33 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     return found.union(within).distinct()
 
 
+def kept_in_order(pairs: DataFrame, nodes: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of nodes that a walk in `order` keeps, each that is a near duplicate of none kept before it.
+
+    pairs: (one, two) of keys; order: a column of nodes with no ties among neighbours.  A round keeps
+    every open node with no better open neighbour and closes the neighbours of those: what is kept is
+    what the walk keeps, and a round costs two joins of the pairs that are open.  There are as many rounds
+    as the longest run of ever better neighbours has steps, a few in graphs of copies.  Pairs of unknown
+    keys and of a key with itself count for nothing.
+    """
+    known = nodes.select(F.col(key).alias("k"), F.col(order).alias("o"))
+    known = known.groupBy("k").agg(F.min("o").alias("o"))
+    both = pairs.select("one", "two").where("one <> two")
+    placed = both.join(known.toDF("one", "o1"), "one").join(known.toDF("two", "o2"), "two")
+    first = (F.col("o1") < F.col("o2")) | ((F.col("o1") == F.col("o2")) & (F.col("one") < F.col("two")))
+    open_pairs = placed.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("better"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("worse")).distinct()
+    open_pairs, closed = written(open_pairs, "open-pairs"), None
+    while not open_pairs.isEmpty():
+        beaten = open_pairs.select(F.col("worse").alias("b")).distinct()
+        safe = open_pairs.join(beaten, F.col("better") == F.col("b"), "left_anti")
+        out = written(safe.select(F.col("worse").alias("out")).distinct(), "closed-nodes")
+        left = open_pairs.join(out, F.col("worse") == F.col("out"), "left_anti").join(out, F.col("better") == F.col("out"), "left_anti")
+        left = written(left, "open-pairs")
+        released(open_pairs)
+        open_pairs, closed = left, out if closed is None else closed.union(out)
+    return nodes if closed is None else nodes.join(closed, F.col(key) == F.col("out"), "left_anti")
+
+
 def _by_text():
     from pyspark.sql import Window
 

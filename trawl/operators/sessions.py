@@ -7,38 +7,58 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..functions.pytext import split_text_udf
+from ..functions.pytext import split_pieces
+from ..scratch import written
 
 
-def by(order: str):
-    return Window.partitionBy("conversation_id").orderBy(order)
+#: Messages or turns of a conversation that one task puts in order; longer conversations are done in blocks.
+BLOCK = 4096
 
 
 def in_turns(messages: DataFrame) -> DataFrame:
-    """Active user and assistant messages with their turn: each user message opens one; what comes before the first is left out."""
-    spoken = messages.where("is_active and role in ('user', 'assistant')")
-    opened = F.sum((F.col("role") == "user").cast("int")).over(by("active_position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return spoken.withColumn("turn_index", (opened - 1).cast("int")).where("turn_index >= 0")
+    """Active user and assistant messages with their turn: each user message opens one; what comes before the first is left out.
+
+    User messages are counted within blocks of positions, blocks before are added up: a conversation of any length is in no task as a whole.
+    """
+    spoken = messages.where("is_active and role in ('user', 'assistant')").withColumn("block", F.floor(F.col("active_position") / BLOCK))
+    opens = (F.col("role") == "user").cast("int")
+    own = F.sum(opens).over(Window.partitionBy("conversation_id", "block").orderBy("active_position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # one row for each block
+    sums = spoken.groupBy(F.col("conversation_id").alias("bc"), F.col("block").alias("bb")).agg(F.sum(opens).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bc").orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = sums.withColumn("before", before).where("bb > 0")
+    counted = spoken.withColumn("own", own).join(later, (F.col("conversation_id") == F.col("bc")) & (F.col("block") == F.col("bb")), "left")
+    return counted.withColumn("turn_index", (F.col("own") + F.coalesce("before", F.lit(0)) - 1).cast("int")).where("turn_index >= 0").drop("block", "own", "bc", "bb", "n", "before")
 
 
 def turns(messages: DataFrame, accept: str = L.ACCEPT, reject: str = L.REJECT) -> DataFrame:
-    """One row per turn with its texts, how the next user message takes its answer, and how it took the one before."""
+    """One row per turn with its texts, how the next user message takes its answer, and how it took the one before.
+
+    A user message goes to its own turn, and what it says about the answer before it to the turn before: one grouping by turn gives all.
+    """
     role = F.col("role")
-    told = F.filter(F.array_sort(F.collect_list(F.when(role == "assistant", F.struct("active_position", "text", "message_id")))), lambda m: m.isNotNull())
-    grouped = in_turns(messages).groupBy("conversation_id", "turn_index").agg(
-        F.max(F.when(role == "user", F.col("create_time"))).alias("create_time"),
-        F.array_compact(F.collect_list(F.when(role == "user", F.col("message_id")))).alias("user_message_ids"),
-        F.max(F.when(role == "user", F.col("text"))).alias("user_text"),
+    taken = X.acceptance(F.col("text"), accept, reject)
+    own = F.struct("turn_index", F.col("role").alias("part"), "create_time", "text", "message_id", "active_position", F.when(role == "user", taken).alias("taken"))
+    nothing = (F.lit(None).cast(kind) for kind in ("double", "string", "string", "int"))
+    names = ("create_time", "text", "message_id", "active_position")
+    before = F.struct((F.col("turn_index") - 1).alias("turn_index"), F.lit("following").alias("part"), *(c.alias(n) for c, n in zip(nothing, names, strict=True)), taken.alias("taken"))
+    rows = in_turns(messages).select("conversation_id", F.explode(F.array_compact(F.array(own, F.when((role == "user") & (F.col("turn_index") > 0), before)))).alias("m")).select("conversation_id", "m.*")
+    part = F.col("part")
+    told = F.filter(F.array_sort(F.collect_list(F.when(part == "assistant", F.struct("active_position", "text", "message_id")))), lambda m: m.isNotNull())
+    grouped = rows.groupBy("conversation_id", "turn_index").agg(
+        F.max(F.when(part == "user", F.col("create_time"))).alias("create_time"),
+        F.array_compact(F.collect_list(F.when(part == "user", F.col("message_id")))).alias("user_message_ids"),
+        F.max(F.when(part == "user", F.col("text"))).alias("user_text"),
         told.alias("told"),
+        F.max(F.when(part == "following", F.col("taken"))).alias("following"),
+        F.max(F.when(part == "user", F.col("taken"))).alias("taken"),
     )
     texts = F.transform(F.filter("told", lambda m: m["text"] != ""), lambda m: m["text"])
-    rows = grouped.select(
+    return grouped.select(
         "conversation_id", "turn_index", "create_time", "user_message_ids", F.transform("told", lambda m: m["message_id"]).alias("assistant_message_ids"),
-        "user_text", X.clean_text(F.array_join(texts, "\n\n")).alias("assistant_text"),
+        "user_text", X.clean_text(F.array_join(texts, "\n\n")).alias("assistant_text"), F.coalesce("following", F.lit("unknown")).alias("acceptance"),
+        F.when(F.col("turn_index") > 0, F.coalesce("taken", F.lit("unknown"))).otherwise("unknown").alias("previous_acceptance"),
     )
-    following = F.lead("user_text", 1, "").over(by("turn_index"))
-    rows = rows.withColumn("acceptance", X.acceptance(following, accept, reject))
-    return rows.withColumn("previous_acceptance", F.coalesce(F.lag("acceptance").over(by("turn_index")), F.lit("unknown")))
 
 
 def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CHARS, overlap: int = L.CHUNK_OVERLAP) -> DataFrame:
@@ -46,40 +66,32 @@ def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CH
     spoken = in_turns(messages).where("text <> ''")
     opened = F.first(F.when(F.col("role") == "user", F.col("create_time")), True).over(Window.partitionBy("conversation_id", "turn_index"))
     timed = spoken.withColumn("turn_time", opened).withColumn("own_time", F.coalesce(F.nullif("create_time", F.lit(0.0)), "turn_time"))
-    pieces = F.when(F.char_length("text") <= most, F.array("text")).otherwise(split_text_udf(F.col("text"), most, overlap))
     head = conversations.select(F.col("conversation_id").alias("c"), "title", F.col("source_file").alias("f"), "position")
-    rows = timed.select("conversation_id", "turn_index", "message_id", "role", F.col("own_time").alias("create_time"), "active_position", F.posexplode(pieces).alias("chunk_index", "text"))
+    spread = timed.select("conversation_id", "turn_index", "message_id", "role", F.col("own_time").alias("create_time"), "active_position", F.col("text").alias("body"))
+    rows = spread.lateralJoin(split_pieces(F.col("body").outer(), most, overlap)).drop("body")
     rows = rows.join(head, F.col("conversation_id") == F.col("c"))
     order = ["f", "position", "conversation_id", "turn_index", F.desc("role"), "active_position", "chunk_index"]
     numbered = dense_ids(rows, order)
     return numbered.select("chunk_id", "conversation_id", "turn_index", "message_id", "chunk_index", "role", "create_time", "title", "text", X.content_hash(F.col("text")).alias("content_hash"))
 
 
-#: Blocks of conversations that are numbered apart.
-ID_BLOCKS = 256
-
-
 def dense_ids(rows: DataFrame, order: list) -> DataFrame:
-    """chunk_id from 1 in a total order: ranks within conversations, plus starts of conversations in their block, plus starts of blocks.
+    """chunk_id from 1 in a total order: ranks within blocks of a conversation's turns, plus the blocks before.
 
-    A block is one file's ID_BLOCKS positions, cut again by position and by the first characters of the ids; conversations are
-    ordered within such a cut, cuts within a block, and only one row per block as a whole.  Chunks never meet in one task.
+    Blocks (a slim row each) are dealt to ranges of (file, position, conversation, block) and written once, so that
+    a range stays what it is; sums of ranges are few.  Chunks never meet in one task, whatever ids look like.
     """
-    own = F.row_number().over(Window.partitionBy("conversation_id").orderBy(*order[3:]))
-    ranked = rows.withColumn("own", own)
+    cut = rows.withColumn("block", F.floor(F.col("turn_index") / BLOCK))
+    own = F.row_number().over(Window.partitionBy("conversation_id", "block").orderBy(*order[3:]))
+    key = ["f", "position", "conversation_id", "block"]
+    sizes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(F.col("f").alias("bf"), F.col("position").alias("bp"), F.col("conversation_id").alias("bc"), F.col("block").alias("bb"), "n")
+    ranged = written(sizes.repartitionByRange("bf", "bp", "bc", "bb").withColumn("range", F.spark_partition_id()), "id-blocks")
     so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("f", "position", "conversation_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("head", F.substring("conversation_id", 1, 5))
-    starts = sizes.select(F.col("f").alias("sf"), F.floor(F.col("position") / ID_BLOCKS).alias("block"), F.col("head").alias("h"), F.col("position").alias("p"), F.col("conversation_id").alias("s"), "n")
-    own_block = ["sf", "block", "p", "h"]
-    own_start = so_far(Window.partitionBy(*own_block).orderBy("s")).alias("start")
-    blocks = starts.groupBy(*own_block).agg(F.sum("n").alias("n"))
-    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in own_block), "n", so_far(Window.partitionBy("sf", "block").orderBy("p", "h")).alias("in_block"))
-    wide = blocks.groupBy("b_sf", "b_block").agg(F.sum("n").alias("n")).select(F.col("b_sf").alias("w_sf"), F.col("b_block").alias("w_block"), so_far(Window.orderBy("b_sf", "b_block")).alias("before"))
-    blocks = blocks.join(wide, (F.col("b_sf") == F.col("w_sf")) & (F.col("b_block") == F.col("w_block"))).drop("w_sf", "w_block", "n")
-    same = (F.col("sf") == F.col("b_sf")) & (F.col("block") == F.col("b_block")) & (F.col("p") == F.col("b_p")) & (F.col("h") == F.col("b_h"))
-    found = starts.select(*own_block, "s", own_start).join(blocks, same).select("s", (F.col("start") + F.col("in_block") + F.col("before")).alias("start"))
-    return ranked.join(found, F.col("conversation_id") == F.col("s")).withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "s")
+    sums = ranged.groupBy(F.col("range").alias("r")).agg(F.sum("n").alias("n")).select("r", so_far(Window.orderBy("r")).alias("before"))  # a row for each range
+    starts = ranged.withColumn("start", so_far(Window.partitionBy("range").orderBy("bf", "bp", "bc", "bb"))).join(F.broadcast(sums), F.col("range") == F.col("r"))
+    starts = starts.select("bc", "bb", (F.col("start") + F.col("before")).alias("start"))
+    numbered = cut.withColumn("own", own).join(starts, (F.col("conversation_id") == F.col("bc")) & (F.col("block") == F.col("bb")))
+    return numbered.withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "bc", "bb", "block")
 
 
 def turn_window(all_turns: DataFrame, seeds: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
@@ -89,9 +101,13 @@ def turn_window(all_turns: DataFrame, seeds: DataFrame, before: int = 1, after:
 
 
 def neighbours(all_turns: DataFrame) -> DataFrame:
-    """Each turn with the one before and the one after as structs."""
-    around = F.struct("turn_index", "user_text", "assistant_text", "acceptance")
-    return all_turns.withColumn("previous", F.lag(around).over(by("turn_index"))).withColumn("following", F.lead(around).over(by("turn_index")))
+    """Each turn with the one before and the one after as structs: turn numbers are dense, so these are equi-joins, and long conversations spread over tasks."""
+    around = all_turns.select(F.col("conversation_id").alias("nc"), F.struct("turn_index", "user_text", "assistant_text", "acceptance").alias("there"))
+    out = all_turns
+    for name, step in (("previous", -1), ("following", 1)):
+        same = (F.col("conversation_id") == F.col("nc")) & (F.col("turn_index") + step == F.col("there.turn_index"))
+        out = out.join(around, same, "left").withColumnRenamed("there", name).drop("nc")
+    return out
 
 
 def dated_inclusive(seconds: Column, first: float | None, last: float | None) -> Column:

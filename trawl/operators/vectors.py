@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .inverted import kept
 
 
 class Encoder(Protocol):
@@ -84,18 +85,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def embed(chunks: DataFrame, encoder: Encoder, roles: str = "user", most: int = 2400, batch: int = 64) -> DataFrame:
-    """(chunk_id, embedding) of unit length for chunks of user messages, or of all."""
-    rows = chunks if roles == "all" else chunks.where(F.col("role") == roles)
-    texts = rows.select("chunk_id", F.concat("title", F.lit("\n\n"), X.shorten(F.col("text"), most)).alias("body"))
+    """(chunk_id, embedding, and what searches filter by) of unit length for chunks of user messages, or of all."""
+    rows, more = chunks if roles == "all" else chunks.where(F.col("role") == roles), kept(chunks)
+    texts = rows.select("chunk_id", *more, F.concat("title", F.lit("\n\n"), X.shorten(F.col("text"), most)).alias("body"))
 
     def run(batches):
         for b in batches:
             body = b.column("body").to_pylist()
             parts = [unit(np.asarray(encoder.encode(body[i : i + batch]), np.float32)) for i in range(0, len(body), batch)]
             found = [v.tolist() for p in parts for v in p]
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(found, pa.list_(pa.float32()))], ["chunk_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(found, pa.list_(pa.float32())), *map(b.column, more)], ["chunk_id", "embedding", *more])
 
-    return texts.mapInArrow(run, "chunk_id long, embedding array<float>")
+    kinds = ", ".join(["chunk_id long", "embedding array<float>", *(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in more)])
+    return texts.mapInArrow(run, kinds)
 
 
 def query_vector(encoder: Encoder, query: str) -> list[float]:
@@ -110,9 +112,9 @@ def dot(one: Column, vector: list[float]) -> Column:
     return F.aggregate(F.zip_with(one, other, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, x: total + x)
 
 
-def nearest(vectors: DataFrame, vector: list[float], most: int, key: str = "chunk_id") -> DataFrame:
-    """(key, similarity, rank) of the most similar; ties by key.  Each task keeps `most` rows, no more are merged."""
-    top = vectors.select(key, dot(F.col("embedding"), vector).alias("similarity")).orderBy(F.desc("similarity"), key).limit(most)
+def nearest(vectors: DataFrame, vector: list[float], most: int, key: str = "chunk_id", *more: str) -> DataFrame:
+    """(key, more, similarity, rank) of the most similar; ties by key.  Each task keeps `most` rows, no more are merged."""
+    top = vectors.select(key, *more, dot(F.col("embedding"), vector).alias("similarity")).orderBy(F.desc("similarity"), key).limit(most)
     return with_rank(top, [F.desc("similarity"), F.col(key)])
 
 
@@ -123,8 +125,7 @@ def with_rank(top: DataFrame, order: list[Column]) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def nearest_filtered(vectors: DataFrame, vector: list[float], most: int, rows: DataFrame, condition: Column, key: str = "chunk_id") -> DataFrame:
-    """The plain search's way: three times as many, then the filter, then the first `most`; ranks count what is left."""
-    wide = nearest(vectors, vector, 3 * most, key).withColumnRenamed("rank", "raw_rank")
-    kept = wide.join(rows.where(condition).select(F.col(key).alias("kept_key")), F.col(key) == F.col("kept_key"), "left_semi")
-    return with_rank(kept.orderBy("raw_rank").limit(most), [F.col("raw_rank")]).drop("raw_rank")
+def nearest_filtered(vectors: DataFrame, vector: list[float], most: int, condition: Column, key: str = "chunk_id", *more: str) -> DataFrame:
+    """The plain search's way: three times as many, then the filter on `more` and the key, then the first `most`; ranks count what is left."""
+    wide = nearest(vectors, vector, 3 * most, key, *more).withColumnRenamed("rank", "raw_rank")
+    return with_rank(wide.where(condition).orderBy("raw_rank").limit(most), [F.col("raw_rank")]).drop("raw_rank")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import intent as I
 from ..functions import lexicon as L
-from ..functions import pytext
+from ..functions import pytext, questions
 from ..functions import text as X
-from ..operators import duplicates, fusion, inverted, ordering, scoring, sessions, statistics, vectors
+from ..operators import batch, blocks, duplicates, fusion, inverted, ordering, scoring, sessions, statistics, vectors
 from ..sources import exports
 from . import sql as S
 from .engine import Archive, archive_tables
@@ -297,7 +297,7 @@ def _(spark, d):
 )
 def _(spark, d):
     e, v = probe(spark, d)
-    return vectors.nearest_filtered(e, v, 20, e, F.col("vec_id") % 3 == 0, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return vectors.nearest_filtered(e, v, 20, F.col("vec_id") % 3 == 0, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
@@ -428,45 +428,89 @@ ASKED = {
 }
 
 
-def _mode_sql() -> str:
-    rows = ", ".join("('" + q.replace("'", "''") + f"', '{mode}')" for q, mode in ASKED.items())
-    return f"SELECT q, mode FROM (VALUES {rows}) t(q, mode)"
+def frames_sql() -> str:
+    return ", ".join(f"({n}, '" + q.replace("'", "''") + f"', '{mode}')" for n, (q, mode) in enumerate(ASKED.items()))
 
 
-@query("intent_modes", _mode_sql())
+@query("intent_modes", f"SELECT item_id, mode FROM benchmark JOIN (VALUES {frames_sql()}) t(n, q, mode) ON item_id % {len(ASKED)} = n")
 def _(spark, d):
-    asked = X.local(spark, [(q,) for q in ASKED], "q string")
-    return asked.select("q", I.mode_column(F.col("q")).alias("mode"))
+    """The mode of a question about every benchmark text: one of the questions above, then the text."""
+    frame = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    asked = read(spark, d, "benchmark").select("item_id", F.concat(frame, F.lit(" "), "text").alias("q"))
+    return questions.interpreted(asked, "item_id", "q").select(F.col("question").alias("item_id"), "mode")
+
+
+def ordered_terms_sql(rows: str, key: str, words: str) -> str:
+    """(key, terms): the searchable terms of a list of words, in order, each once."""
+    return f"""SELECT {key}, list(word ORDER BY pos) AS terms FROM (SELECT {key}, word, min(pos) AS pos FROM (SELECT {key}, trim(unnest({words}), '’''') AS word, generate_subscripts({words}, 1) AS pos FROM {rows})
+  WHERE length(word) > 1 AND word NOT IN ({TERM_SQL}) GROUP BY {key}, word) GROUP BY {key}"""
+
+
+WORDS = r"regexp_extract_all(lower(q), '[\p{L}\p{N}\p{M}_’'']+')"
+STOPS = ", ".join(f"'{w}'" for w in L.IDENTIFIER_STOPS)
 
 
 @query(
     "query_variants",
-    """SELECT q, CAST(n AS INT) AS n, kind, text, CAST(weight AS DOUBLE) AS weight, phrases, needs_all FROM (VALUES
-    ('when did I first start building Nova', 0, 'semantic_original', 'when did I first start building Nova', 1.0, 'first|start|building|nova', false),
-    ('when did I first start building Nova', 1, 'identifier', 'Nova', 0.9, 'nova', false),
-    ('when did I first start building Nova', 2, 'lexical_and', 'first start building nova', 0.85, 'first|start|building|nova', true),
-    ('when did I first start building Nova', 3, 'lexical_or', 'first start building nova', 0.55, 'first|start|building|nova', false),
-    ('when did I first start building Nova', 4, 'temporal_earliest', 'Nova', 0.35, 'nova', false),
-    ('how has the plan changed over time', 0, 'semantic_original', 'how has the plan changed over time', 1.0, 'plan|changed|over|time', false),
-    ('how has the plan changed over time', 1, 'lexical_and', 'plan changed over time', 0.85, 'plan|changed|over|time', true),
-    ('how has the plan changed over time', 2, 'lexical_or', 'plan changed over time', 0.55, 'plan|changed|over|time', false),
-    ('how has the plan changed over time', 3, 'temporal_earliest', 'plan changed', 0.35, 'plan|changed', false),
-    ('how has the plan changed over time', 4, 'temporal_latest', 'plan changed', 0.35, 'plan|changed', false),
-    ('how has the plan changed over time', 5, 'change_terms', 'plan changed over changed evolved', 0.6, 'plan|changed|over|evolved', false),
-    ('he said "of the thon" once to Erin2', 0, 'semantic_original', 'he said "of the thon" once to Erin2', 1.0, 'said|thon|once|erin2', false),
-    ('he said "of the thon" once to Erin2', 1, 'quoted_phrase', 'of the thon', 1.0, 'of the thon', false),
-    ('he said "of the thon" once to Erin2', 2, 'identifier', 'Erin2', 0.9, 'erin2', false),
-    ('he said "of the thon" once to Erin2', 3, 'lexical_and', 'said thon once erin2', 0.85, 'said|thon|once|erin2', true),
-    ('he said "of the thon" once to Erin2', 4, 'lexical_or', 'said thon once erin2', 0.55, 'said|thon|once|erin2', false),
-    ('that was wrong, what instead', 0, 'semantic_original', 'that was wrong, what instead', 1.0, 'wrong|instead', false),
-    ('that was wrong, what instead', 1, 'lexical_and', 'wrong instead', 0.85, 'wrong|instead', true),
-    ('that was wrong, what instead', 2, 'lexical_or', 'wrong instead', 0.55, 'wrong|instead', false),
-    ('that was wrong, what instead', 3, 'correction_terms', 'wrong instead actually instead correction', 0.6, 'wrong|instead|actually|correction', false)) t(q, n, kind, text, weight, phrases, needs_all)""",
-)
-def _(spark, d):
-    asked = ("when did I first start building Nova", "how has the plan changed over time", 'he said "of the thon" once to Erin2', "that was wrong, what instead")
-    found = [(q, n, v, *I.search_terms(v)) for q in asked for n, v in enumerate(I.variants(q, I.interpret(q)))]
-    return X.local(spark, [(q, n, v.kind, v.text, v.weight, "|".join(p), a) for q, n, v, p, a in found], "q string, n int, kind string, text string, weight double, phrases string, needs_all boolean")
+    rf"""WITH q AS (SELECT item_id, concat('how has ', text, ' changed over time') AS q FROM benchmark), w AS (SELECT item_id, q, {WORDS} AS words FROM q),
+    t AS ({ordered_terms_sql("w", "item_id", "words")}),
+    m AS (SELECT item_id, list(name ORDER BY pos)[1:3] AS names FROM (SELECT item_id, name, min(pos) AS pos FROM (SELECT item_id, unnest(x) AS name, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(q, '[\p{{L}}\p{{N}}\p{{M}}_-]+') AS x FROM q))
+      WHERE regexp_full_match(name, '[A-Z][A-Za-z0-9_-]{{2,}}') AND name NOT IN ({STOPS}) GROUP BY item_id, name) GROUP BY item_id),
+    a AS (SELECT item_id, q, terms, coalesce(names, []) AS names, CASE WHEN len(coalesce(names, [])) > 0 THEN names ELSE terms[1:3] END AS anchors FROM q JOIN t USING (item_id) LEFT JOIN m USING (item_id)),
+    l AS (SELECT item_id, [{{'kind': 'semantic_original', 'text': q, 'weight': 1.0}}] || list_transform(names, lambda n: {{'kind': 'identifier', 'text': n, 'weight': 0.9}})
+      || [{{'kind': 'lexical_and', 'text': array_to_string(terms[1:12], ' '), 'weight': 0.85}}, {{'kind': 'lexical_or', 'text': array_to_string(terms[1:16], ' '), 'weight': 0.55}},
+      {{'kind': 'temporal_earliest', 'text': array_to_string(anchors[1:2], ' '), 'weight': 0.35}}, {{'kind': 'temporal_latest', 'text': array_to_string(anchors[1:2], ' '), 'weight': 0.35}},
+      {{'kind': 'change_terms', 'text': array_to_string(anchors, ' ') || ' changed evolved', 'weight': 0.6}}] AS v FROM a),
+    s AS (SELECT item_id, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS n FROM l), k AS (SELECT item_id, n, v.kind AS kind, v.text AS text, v.weight AS weight, lower(v.text) AS q FROM s WHERE n < 8),
+    p AS ({ordered_terms_sql("(SELECT concat(item_id, ':', n) AS key_n, " + WORDS + " AS words FROM k)", "key_n", "words")})
+    SELECT item_id, CAST(n AS INT) AS n, kind, text, CAST(weight AS DOUBLE) AS weight, CASE WHEN kind = 'identifier' THEN q ELSE coalesce(array_to_string(terms, '|'), '') END AS phrases, kind = 'lexical_and' AS needs_all
+    FROM k LEFT JOIN p ON key_n = concat(item_id, ':', n)""",
+)
+def _(spark, d):
+    """The searches for a question of change about every benchmark text."""
+    asked = read(spark, d, "benchmark").select("item_id", F.concat(F.lit("how has "), "text", F.lit(" changed over time")).alias("q"))
+    found = questions.searches(questions.interpreted(asked, "item_id", "q"))
+    return found.select(F.col("question").alias("item_id"), "n", "kind", "text", "weight", F.array_join("phrases", "|").alias("phrases"), "needs_all")
+
+
+@query(
+    "question_ranks",
+    rf"""WITH {S.CHUNKS}, q AS (SELECT item_id, text AS q FROM benchmark), w AS (SELECT item_id, {WORDS} AS words FROM q), t AS ({ordered_terms_sql("w", "item_id", "words")}),
+    asked AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(x)), '[\p{{L}}\p{{N}}]+')) AS token FROM (SELECT item_id, unnest(terms[1:16]) AS x FROM t)) GROUP BY ALL),
+    tf AS (SELECT chunk_id, token, sum(in_title) AS tf_title, sum(1 - in_title) AS tf_text FROM (SELECT chunk_id, unnest(title_tokens) AS token, 1 AS in_title FROM docs UNION ALL SELECT chunk_id, unnest(text_tokens), 0 FROM docs) GROUP BY ALL),
+    idf AS (SELECT token, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.000001 END AS idf FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), stats),
+    s AS (SELECT item_id, chunk_id, -sum(times * idf * (2.0 * tf_title + 5.0 * tf_text) * 2.2 / (2.0 * tf_title + 5.0 * tf_text + 1.2 * (0.25 + 0.75 * doc_len / avgdl))) AS bm25 FROM asked JOIN tf USING (token) JOIN idf USING (token) JOIN docs USING (chunk_id), stats GROUP BY item_id, chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 12), chunk_id) AS rank FROM s) SELECT item_id, CAST(rank AS INT) AS rank, chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10""",
+)
+def _(spark, d):
+    """The ten best chunks for every benchmark text, all texts in one join with the postings."""
+    t = Archive.from_conversations(spark, read(spark, d, "conversations")).tables
+    asked = questions.interpreted(read(spark, d, "benchmark"), "item_id", "text").select("question", F.explode(F.slice("terms", 1, 16)).alias("p"))
+    asked = asked.select(F.col("question").alias("search"), X.tokens(F.col("p")).alias("phrase")).where(F.size("phrase") > 0)
+    found = batch.best(t["postings"], t["positions"], t["blocks"], t["corpus_stats"], asked, 10, few=0)
+    return found.select(F.col("search").alias("item_id"), "rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+BEST = [(["the", "thon", "der"], "any role"), (["de", "que", "of", "and"], "users")]
+
+
+@query(
+    "bm25_best",
+    f"""WITH {S.bm25([([[t] for t in each], False) for each, _ in BEST])}, k AS (SELECT search, chunk_id, round(bm25, 12) AS bm25, 'any role' AS among FROM ranked UNION ALL SELECT search, chunk_id, round(bm25, 12), 'users' FROM ranked JOIN chunks USING (chunk_id) WHERE role = 'user'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY search, among ORDER BY bm25, chunk_id) AS rank FROM k) SELECT search, among, CAST(rank AS INT) AS rank, chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 20""",
+)
+def _(spark, d):
+    """The twenty best chunks for any of some terms, by blocks: of all roles, then of users."""
+    archive = Archive.from_conversations(spark, read(spark, d, "conversations"))
+    t, searches = archive.tables, {s: each for s, (each, _) in enumerate(BEST)}
+    held = blocks.held(t["blocks"], sorted({x for each in searches.values() for x in each}))
+    rows = []
+    for among, condition in (("any role", None), ("users", F.col("role") == "user")):
+        found = blocks.best(t["chunks"], t["postings"], archive.size, searches, held, 20, condition, few=0)
+        for s in searches:
+            own = sorted((round(r["bm25"], 12), r["chunk_id"]) for r in found if r["search"] == s)
+            rows += [(s, among, n, chunk, round(score, 6)) for n, (score, chunk) in enumerate(own, 1)]
+    return spark.createDataFrame(rows, "search int, among string, rank int, chunk_id long, bm25 double")
 
 
 @query(
@@ -636,8 +680,9 @@ def _(spark, d):
     ) SELECT doc_id, CAST(n AS INT) AS chunk_index, piece AS text, sha256(piece) AS content_hash FROM w WHERE piece <> ''""",
 )
 def _(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.posexplode(pytext.split_text_udf(F.col("text"))).alias("chunk_index", "text"))
-    return docs.withColumn("content_hash", X.content_hash(F.col("text")))
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    found = docs.lateralJoin(pytext.split_pieces(F.col("body").outer())).select("doc_id", "chunk_index", "text")
+    return found.withColumn("content_hash", X.content_hash(F.col("text")))
 
 
 @query(
@@ -651,19 +696,36 @@ def _(spark, d):
     return duplicates.contained(forms, "doc_id", items).select(F.col("id").alias("item_id"), "doc_id")
 
 
-@query(
-    "near_dup_pairs",
-    """WITH f AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS form FROM documents),
+NEAR_PAIRS = """f AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS form FROM documents),
     r AS (SELECT min(doc_id) AS id, form, string_split(form, ' ') AS words FROM f WHERE form <> '' GROUP BY form),
     s AS (SELECT id, list_distinct(CASE WHEN len(words) < 5 THEN [form] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS items FROM r),
     e AS (SELECT id, len(items) AS n, unnest(items) AS x FROM s),
     j AS (SELECT a.id AS one, b.id AS two FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 0.88 * (any_value(a.n) + any_value(b.n) - count(*))),
-    c AS (SELECT least(a.id, b.id) AS one, greatest(a.id, b.id) AS two FROM r a JOIN r b ON a.id <> b.id AND length(a.form) >= 120 AND length(b.form) >= length(a.form) AND contains(b.form, a.form))
-    SELECT one, two FROM j UNION SELECT one, two FROM c""",
+    c AS (SELECT least(a.id, b.id) AS one, greatest(a.id, b.id) AS two FROM r a JOIN r b ON a.id <> b.id AND length(a.form) >= 120 AND length(b.form) >= length(a.form) AND contains(b.form, a.form))"""
+
+
+@query("near_dup_pairs", f"WITH {NEAR_PAIRS} SELECT one, two FROM j UNION SELECT one, two FROM c")
+def _(spark, d):
+    return duplicates.near_pairs(evidence_forms(spark, d), "doc_id")
+
+
+def evidence_forms(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", pytext.evidence_form_udf(F.col("text")).alias("form"))
+
+
+@query(
+    "near_dup_kept",
+    f"""WITH RECURSIVE {NEAR_PAIRS}, pairs AS MATERIALIZED (SELECT one, two FROM j UNION SELECT one, two FROM c), node AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM r),
+    better AS MATERIALIZED (SELECT two AS id, list(one) AS ones FROM pairs GROUP BY two),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept
+      UNION ALL SELECT w.i + 1, CASE WHEN b.ones IS NOT NULL AND list_has_any(w.kept, b.ones) THEN w.kept ELSE list_append(w.kept, n.id) END FROM walk w JOIN node n ON n.i = w.i + 1 LEFT JOIN better b ON b.id = n.id)
+    SELECT unnest(kept) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM node)""",
 )
 def _(spark, d):
-    forms = read(spark, d, "documents").select("doc_id", pytext.evidence_form_udf(F.col("text")).alias("form"))
-    return duplicates.near_pairs(forms, "doc_id")
+    """Which of the different texts a walk in the order of ids keeps, each that is nearly the same as none kept before."""
+    forms = evidence_forms(spark, d)
+    nodes = forms.where("form <> ''").groupBy("form").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return duplicates.kept_in_order(duplicates.near_pairs(forms, "doc_id"), nodes.withColumn("place", F.col("doc_id")), "doc_id", "place").select("doc_id")
 
 
 # --- checks and evaluation ---

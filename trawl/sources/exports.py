@@ -1,8 +1,8 @@
 """Exported chat archives: JSON lists of conversations, each a tree of messages with branches.
 
 A file is a list of objects; its conversations hold nodes in a mapping whose
-order matters.  A file is read as one row, so it has to fit a task's memory;
-files are read side by side.  The branch in use is followed from the current node to the root;
+order matters.  A conversation has to fit a task's memory, a file has not (see
+`jsonlist`).  The branch in use is followed from the current node to the root;
 without a valid current node, from the leaf with the latest message.
 """
 
@@ -15,20 +15,17 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.pytext import content_text_udf
+from . import jsonlist
 
 FILE_PATTERN = "conversations-*.json"
 CONVERSATION = "conversation_id string, id string, title string, create_time string, update_time string, current_node string, default_model_slug string, is_archived string, is_starred string, mapping map<string,string>"
 
 
 def read_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per conversation, in file order; raises where a file is not a list or there is none."""
-    files = spark.read.option("pathGlobFilter", FILE_PATTERN).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
-    if files.isEmpty():
-        raise FileNotFoundError(f"no {FILE_PATTERN} in {folder}")
-    items = F.from_json("value", "array<string>")
-    checked = F.when(items.isNull() | ~F.ltrim(F.regexp_replace("value", "^[\\s﻿]+", "")).startswith("["), F.raise_error(F.concat(F.lit("expected a JSON list in "), "source_file"))).otherwise(items)
-    listed = files.select("source_file", F.posexplode(checked).alias("position", "item")).where(F.ltrim("item").startswith("{"))
-    return listed.select("source_file", "position", F.from_json("item", CONVERSATION).alias("c")).select("source_file", "position", "c.*")
+    """One row per conversation, in file order; raises where a file is not a list or there is none.  Files of any size are read by many tasks."""
+    items = jsonlist.read_items(spark, folder, FILE_PATTERN).where(F.ltrim("item").startswith("{"))
+    whole = F.when(F.get_json_object("item", "$").isNull(), F.raise_error(F.concat(F.lit("expected a JSON list in "), "source_file"))).otherwise(F.col("item"))
+    return items.select("source_file", "position", F.from_json(whole, CONVERSATION).alias("c")).select("source_file", "position", "c.*")
 
 
 def path_to(nodes: list[dict], current: str | None) -> list[str]:
