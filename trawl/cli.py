@@ -53,7 +53,7 @@ def search_records(archive: Archive, args) -> list[dict]:
         args.query, args.limit, args.candidate_limit, args.date_from, args.date_to, args.conversation_id, args.timeline, args.order, args.lexical_only, args.semantic_only
     ).cache()
     conversations = [r["conversation_id"] for r in found.select("conversation_id").distinct().collect()]  # `limit` at most
-    turns = archive.tables["turns"].where(fetch.among("conversation_id", conversations))
+    turns = archive.tables["turns"].where(fetch.near("conversation_id", conversations))
     near = sessions.turn_window(turns, found.select("conversation_id", "turn_index").hint("broadcast"), args.context, args.context)
     short = lambda c: X.shorten(F.col(c), args.max_chars)
     near = near.groupBy("conversation_id", "seed").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lexicon as L
+from .text import BIDI
 
 MAX_NESTING = 12
 
@@ -21,6 +22,13 @@ def clean(text: str) -> str:
     return re.sub("\n{4,}", "\n" * 3, re.sub("[ \t]+", " ", unified)).strip()
 
 
+def sanitized(text: str) -> str:
+    """For one short text what `text.sanitize_text` is for a column."""
+    spelled = text.replace("\0", "").translate({code: f"<U+{code:04X}>" for code in BIDI})
+    plain = "".join(" " if unicodedata.category(c) == "Cc" and c not in "\n\t" else c for c in spelled)
+    return re.sub("[ \t]+", " ", plain).strip()
+
+
 def content_text(value) -> str:
     """All text in a message's content, whatever its nesting; a part equal to the one before it is dropped."""
     parts: list[str] = []

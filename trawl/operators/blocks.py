@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import local
-from . import inverted
-from .fetch import by_ids
+from . import fetch, inverted
 
 #: With fewer postings than this, all are read: it is less work than a look-up.
 FEW_POSTINGS = 20_000
@@ -159,7 +158,7 @@ def _scored(chunks: DataFrame, terms: DataFrame, avgdl: float, weights: dict[int
         near, texts = possible, chunks
     else:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in possible.schema)
-        near, texts = F.broadcast(spark.createDataFrame(some, kinds)), by_ids(chunks, "chunk_id", [r["chunk_id"] for r in some])
+        near, texts = F.broadcast(spark.createDataFrame(some, kinds)), chunks.where(fetch.near("chunk_id", [r["chunk_id"] for r in some]))
     bodies = texts.select(F.col("chunk_id").alias("c"), "title_tokens", "text_tokens", "doc_len")
     rows = bodies.join(near, F.col("c") == F.col("chunk_id"))
     total = F.lit(0.0)

@@ -29,17 +29,13 @@ def ranges(keys: Iterable, most: int = RANGES) -> list[tuple]:
     return [(known[a], known[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(known)], strict=True)]
 
 
-def among(column: str, keys: Iterable) -> Column:
-    """That a column's value is one of keys, told so that scans can skip."""
-    known = sorted(set(keys))
-    near = F.lit(False)
-    for first, last in ranges(known):
-        near = near | F.col(column).between(first, last)
-    return near & F.col(column).isin(known) if known else near
-
-
-def by_ids(table: DataFrame, key: str, ids: Iterable) -> DataFrame:
-    return table.where(among(key, ids))
+def near(column: str, keys: Iterable) -> Column:
+    """That a column's value lies in one of few ranges that hold all keys, told so that scans can skip: a join with the keys has to follow."""
+    found = F.lit(False)
+    known = set(keys)
+    for first, last in ranges(known, RANGES if not isinstance(next(iter(known), 0), str) else RANGES // 4):
+        found = found | F.col(column).between(first, last)
+    return found
 
 
 def in_id_order(table: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from typing import Protocol
 
@@ -108,7 +109,7 @@ def query_vector(encoder: Encoder, query: str) -> list[float]:
 
 def dot(one: Column, vector: list[float]) -> Column:
     """Inner product with a fixed vector, added up in double precision."""
-    other = F.array(*(F.lit(float(x)) for x in vector))
+    other = F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>")  # folded to a constant
     return F.aggregate(F.zip_with(one, other, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, x: total + x)
 
 

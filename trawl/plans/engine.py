@@ -107,7 +107,9 @@ class Archive:
     def _tokens(self, phrases: list[list[str]]) -> list[list[list[str]]]:
         """Search tokens of phrases, by the same expression that made the index."""
         flat = sorted({p for each in phrases for p in each})
-        found = {r["p"]: list(r["t"]) for r in X.local(self.spark, [(p,) for p in flat], "p string").select("p", X.tokens(F.col("p")).alias("t")).collect()} if flat else {}
+        # an inline table: the expression is worked out while the plan is made, without a job
+        rows = self.spark.sql(f"SELECT p FROM VALUES {', '.join(['(?)'] * len(flat))} AS t(p)", args=flat).select("p", X.tokens(F.col("p")).alias("t")).collect() if flat else []
+        found = {r["p"]: list(r["t"]) for r in rows}
         return [[found[p] for p in each] for each in phrases]
 
     def _ranked(self, searches: list[tuple[list[str], bool]], condition, most: int, temporal: dict[int, str] | None = None) -> list:
@@ -140,7 +142,7 @@ class Archive:
 
     def _with_texts(self, found: DataFrame, ids: Iterable[int], *more: str) -> DataFrame:
         """found, a bounded number of rows whose ids are known, with the columns of its chunks: looked up by the ids."""
-        rows = fetch.by_ids(self.tables["chunks"], "chunk_id", ids).select(F.col("chunk_id").alias("id"), "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text", *more)
+        rows = self.tables["chunks"].where(fetch.near("chunk_id", ids)).select(F.col("chunk_id").alias("id"), "conversation_id", "turn_index", "message_id", "role", "title", "create_time", "text", *more)
         return rows.join(F.broadcast(found), F.col("id") == F.col("chunk_id")).drop("id")
 
     def _lexical(self, query: str, most: int, condition=None) -> DataFrame:
@@ -197,8 +199,8 @@ class Archive:
             keys = by_score
         return grouped.orderBy(*keys).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*keys)))
 
-    def candidates(self, query: str, searches: list[I.Variant], depth: L.Depth, start: float | None, end: float | None) -> tuple[DataFrame, DataFrame]:
-        """(chunks found by any search or by similarity, with their matches and their turn; the turns around them).  Both are looked up by their keys and bounded by the searches' limits."""
+    def candidates(self, query: str, searches: list[I.Variant], depth: L.Depth, start: float | None, end: float | None) -> tuple[DataFrame, DataFrame, dict]:
+        """(chunks found by any search or by similarity, with their matches and their turn; the turns around them; counts).  Both are looked up by their keys and bounded by the searches' limits."""
         dated = sessions.dated_half_open(F.col("create_time"), start, end)
         lexical = [(v, *I.search_terms(v)) for v in searches if v.kind != "semantic_original"]
         lexical = [(v, p, a) for v, p, a in lexical if p]
@@ -211,23 +213,28 @@ class Archive:
         if self.semantic_ready:
             near = vectors.nearest(self.tables["vectors"], vectors.query_vector(self.encoder, query), depth.candidates, "chunk_id", *inverted.FILTERS)
             for r in near.collect():
+                t = r["create_time"]
+                if (start is not None or end is not None) and (t is None or (start is not None and t < start) or (end is not None and t >= end)):
+                    continue
                 found.setdefault(r["chunk_id"], [r["chunk_id"], [], None, None])[2:] = [r["similarity"], r["rank"]]
                 turns.add((r["conversation_id"], r["turn_index"]))
         kinds = "chunk_id long, matches array<struct<search:int,kind:string,weight:double,rank:int>>, similarity double, semantic_rank int"
-        rows = self._with_texts(self.spark.createDataFrame(list(found.values()), kinds), found, "match_form").where(dated)
+        rows = self._with_texts(self.spark.createDataFrame(list(found.values()), kinds), found, "match_form")
         wanted = self.spark.createDataFrame(sorted({(c, t + d) for c, t in turns for d in (-1, 0, 1)}), "wc string, wt int")
-        near = self.tables["turns"].where(fetch.among("conversation_id", {c for c, _ in turns}))
+        near = self.tables["turns"].where(fetch.near("conversation_id", {c for c, _ in turns}))
         near = near.join(F.broadcast(wanted), (F.col("conversation_id") == F.col("wc")) & (F.col("turn_index") == F.col("wt"))).drop("wc", "wt")
         # from here on everything is bounded by the searches' limits: in one partition nothing is shuffled any more, and the look-ups before stay parallel
-        near = near.repartition(1)
-        said = near.select(F.col("conversation_id").alias("tc"), F.col("turn_index").alias("tt"), "user_text", "assistant_text", "acceptance", "previous_acceptance")
-        same = (F.col("conversation_id") == F.col("tc")) & (F.col("turn_index") == F.col("tt"))
-        return rows.repartition(1).join(F.broadcast(said), same).drop("tc", "tt"), near
+        near = packets.around(near.repartition(1))
+        own = F.col("own")
+        said = rows.repartition(1).join(F.broadcast(near), (F.col("conversation_id") == F.col("ac")) & (F.col("turn_index") == F.col("at")))
+        said = said.select(*rows.columns, *(own[c].alias(c) for c in ("user_text", "assistant_text", "acceptance", "previous_acceptance")))
+        counts = {"lexical_rows": sum(len(f[1]) for f in found.values()), "semantic_rows": sum(f[3] is not None for f in found.values()), "unique_chunks": len(found)}
+        return said, near, counts
 
     def ranked_turns(self, query: str, depth: str = "medium", date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         """Turns for a question in the order of its mode, `place` from 1."""
         intent, size = I.interpret(query), L.DEPTHS[depth]
-        found, _ = self.candidates(query, I.variants(query, intent), size, day_start(date_from), day_end(date_to))
+        found, _, _ = self.candidates(query, I.variants(query, intent), size, day_start(date_from), day_end(date_to))
         totals = scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns)
         return ordering.temporal_order(totals, intent.primary_mode)
 
@@ -242,29 +249,19 @@ class Archive:
             raise ValueError("date_from is after date_to")
         size, intent = L.DEPTHS[depth], I.interpret(query)
         searches = I.variants(query, intent)
-        found, near = self.candidates(query, searches, size, start, end)
-        found = found.cache()
-        try:
-            # one action: a row of counts, with every episode of the pool
-            counts = found.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("matches")).alias("lexical"), F.count("semantic_rank").alias("semantic"))
-            counts = counts.withColumn("searches", packets.searches_column(searches))
-            ranked = ordering.temporal_order(scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns), intent.primary_mode)
-            ranked = ranked.withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # of at most size.turns rows
-            pool = ranked.where(F.col("place") <= 4 * size.episodes)
-            rows = packets.episodes(pool, near, intent, size.seeds, "turns")
-            rows = counts.join(rows.select(F.struct("*").alias("episode")).hint("broadcast"), F.lit(True), "left").collect()  # at most 60
-        finally:
-            found.unpersist()
-        counts, rows = rows[0], sorted((r["episode"] for r in rows if r["episode"]), key=lambda r: r["place"])
+        found, near, counts = self.candidates(query, searches, size, start, end)
+        ranked = ordering.temporal_order(scoring.turn_totals(scoring.score_candidates(found, query, intent), size.turns), intent.primary_mode)
+        ranked = ranked.withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # of at most size.turns rows
+        pool = ranked.where(F.col("place") <= 4 * size.episodes)
+        rows = sorted(packets.episodes(pool, near, intent, size.seeds, "turns").collect(), key=lambda r: r["place"])  # at most 60
         n_turns = rows[0]["turns"] if rows else 0
         built = [packets.as_episode(r, intent) for r in rows]
         chosen, removed = packets.select(built, size, intent)
         trace = {
-            "candidate_counts": {"lexical_rows": counts["lexical"] or 0, "semantic_rows": counts["semantic"], "unique_chunks": counts["chunks"], "turns": n_turns, "episode_pool": len(built)},
+            "candidate_counts": {**counts, "turns": n_turns, "episode_pool": len(built)},
             **removed,
         }
-        told = [{"kind": v.kind, "text": t["text"], "weight": v.weight, "sha256": t["sha256"]} for v, t in zip(searches, counts["searches"], strict=True)]
-        return packets.pack(intent, told, chosen, size, trace)
+        return packets.pack(intent, packets.told_searches(searches), chosen, size, trace)
 
     def open_context(self, conversation_id: str, turn: int, before: int = 2, after: int = 2) -> DataFrame:
         seed = self.spark.createDataFrame([(conversation_id, turn)], "conversation_id string, turn_index int")

@@ -111,12 +111,12 @@ def _chunks(batches) -> Iterator[tuple[tuple, bytes]]:
 
 def read_items(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(source_file, position, item): the items of the lists in a folder's files, in the order of each; raises where a file is not a JSON list."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")  # contents are not read
-    empty = files.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("length") == 0, F.col("path"))).alias("path")).first()
-    if not empty["n"]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or ()
+    if not len(files):
         raise FileNotFoundError(f"no {pattern} in {folder}")
-    if empty["path"]:
-        raise ValueError(f"expected a JSON list in {empty['path']}")
+    if empty := [f.getPath().getName() for f in files if not f.getLen()]:  # the reader passes over these
+        raise ValueError(f"expected a JSON list in {empty[0]}")
     lines = spark.read.option("pathGlobFilter", pattern).option("lineSep", "}").text(folder)
     pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
