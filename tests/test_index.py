@@ -247,15 +247,15 @@ def test_lists_are_read_by_splits(spark, tmp_path, monkeypatch):
             return "".join(rng.choice(['"', "\\", "{", "}", "[", "]", ",", "é", "x", "\n", "\\u"]) for _ in range(rng.randint(0, 30)))
         return rng.choice([1, None, True, 2.5]) if kind == 3 else [value(depth + 1) for _ in range(rng.randint(0, 3))] if kind == 4 else {f"k{i}": value(depth + 1) for i in range(rng.randint(0, 4))}
 
-    lists = {f"conversations-{k}.json": [rng.choice([{"id": i, "v": value()}, "noise", 5, [1, {"a": "}"}]]) for i in range(rng.randint(0, 60))] for k in range(4)}
-    lists["conversations-8.json"] = [{"id": i, "v": "}" * 50} for i in range(200)]
-    lists["conversations-9.json"] = [{"id": 0, "v": "x" * 5000}, {"id": 1}]
+    lists = {f"conversations-{k}.json": [rng.choice([{"id": i, "v": value()}, "noise", 5, [1, {"a": "}"}]]) for i in range(rng.randint(0, 25))] for k in range(3)}
+    lists["conversations-8.json"] = [{"id": i, "v": "}" * 50} for i in range(30)]
+    lists["conversations-9.json"] = [{"id": 0, "v": "x" * 1000}, {"id": 1}]
     for name, items in lists.items():
         indent = rng.choice([None, 1])
         (tmp_path / name).write_text(("﻿" if name.endswith("1.json") else "") + json.dumps(items, indent=indent, ensure_ascii=rng.random() < 0.5), encoding="utf-8")
     want = {(n, i): x for n, items in lists.items() for i, x in enumerate(items)}
     try:
-        for size, chunk in (("128m", 4 << 20), ("700b", 100), ("90b", 1)):
+        for size, chunk in (("128m", 4 << 20), ("900b", 100), ("170b", 1)):
             monkeypatch.setattr(jsonlist, "CHUNK", chunk)
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "0")
