@@ -292,3 +292,30 @@ def test_driver_texts_are_cleaned_as_columns_are(spark):
     assert [pytext.sanitized(t) for t in odd] == got
     told = packets.told_searches([I.Variant("lexical_or", "y" * 600, 0.5)])
     assert len(told[0]["text"]) == 501 and len(told[0]["sha256"]) == 64
+
+
+def test_neighbours_by_clusters_are_those_of_all(spark, tmp_path):
+    import numpy as np
+
+    from trawl.operators import clusters, vectors
+
+    rng = np.random.default_rng(14)
+    heads = rng.normal(size=(40, 24)) * 3
+    grouped = vectors.unit(heads[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 24)) * 0.2)
+    even = vectors.unit(rng.normal(size=(600, 24)))
+    for name, x, most in (("grouped", grouped, 10), ("even", even, 10), ("few", even[:5], 10)):
+        df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x.astype(np.float32))], "chunk_id long, embedding array<float>, turn_index int")
+        rows, sizes = clusters.clustered(df)
+        path = str(tmp_path / name)
+        rows.write.option("parquet.page.row.count.limit", "100").option("parquet.block.size", "65536").parquet(path)
+        known, stored = clusters.held(sizes), spark.read.parquet(path)
+        assert sum(c.n for c in known) == len(x)
+        for q in (x[0], x[3], vectors.unit(rng.normal(size=(1, 24)))[0]):
+            got = clusters.nearest(stored, known, q.tolist(), most, "chunk_id", "turn_index").orderBy("rank")
+            want = vectors.nearest(df, q.tolist(), most, "chunk_id", "turn_index").orderBy("rank")
+            assert [(r.chunk_id, r.turn_index, r.rank) for r in got.collect()] == [(r.chunk_id, r.turn_index, r.rank) for r in want.collect()]
+        if name == "grouped":
+            q = x[0].tolist()
+            read = scanned(stored.where(F.col("cluster").isin([c.number for c in known if np.sqrt(((c.centre - x[0]) ** 2).sum()) - c.radius < 0.5])))
+            assert read < len(x) / 2 and clusters.nearest(stored, known, q, most).count() == most
+    assert clusters.nearest(stored.limit(0), [], [0.0] * 24, 3).count() == 0

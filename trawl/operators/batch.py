@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
 from . import inverted
 from .blocks import FEW_POSTINGS, Block, cuts
 
@@ -68,7 +69,8 @@ def best(terms: DataFrame, at: DataFrame, blocks: DataFrame, stats: DataFrame, a
     weighted = single.join(weighted, F.col("t") == F.col("d")).select("search", "t", (F.col("times") * F.col("idf")).alias("w"))
     held = weighted.join(blocks, F.col("t") == F.col("term")).groupBy("search").agg(F.collect_list(F.struct("term", "w", "level", "n", "least", "most")).alias("blocks"))
     planned = held.select(F.col("search").alias("s"), F.inline(_cuts_of(k, few)(F.col("blocks")))).withColumnRenamed("term", "c")
-    wanted = weighted.join(planned, (F.col("search") == F.col("s")) & (F.col("t") == F.col("c"))).select("search", "t", "w", "cut", "unread").cache()  # a row for each term of a search, read four times below
+    wanted = weighted.join(planned, (F.col("search") == F.col("s")) & (F.col("t") == F.col("c"))).select("search", "t", "w", "cut", "unread")
+    wanted = written(wanted, "searches")  # a row for each term of a search, read four times below
     few = wanted.count() <= SENT_TERMS
     sent = F.broadcast(wanted) if few else wanted
     average = F.broadcast(stats.select("avgdl"))

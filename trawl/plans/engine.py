@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.pytext import match_form_udf
 from ..operators import blocks, fetch, fusion, inverted, ordering, packets, scoring, sessions, vectors
+from ..scratch import released, written
 from ..sources import exports, store
 
 
@@ -52,18 +53,38 @@ def archive_parts(conversations: DataFrame, messages: DataFrame, encoder: vector
 KEPT = ("turns", "chunks", "postings", "positions", "blocks", "corpus_stats", "vectors")
 
 
-def archive_tables(conversations: DataFrame, messages: DataFrame, encoder: vectors.Encoder | None = None, **options) -> dict[str, DataFrame]:
-    """The tables as plans; chunks and index, which all answers read, are kept once they have been made."""
-    tables: dict[str, DataFrame] = {}
-    for name, made in archive_parts(conversations, messages, encoder, **options).items():
-        tables[name] = made(tables).cache() if name in KEPT else made(tables)
-    return tables
+class Made(Mapping):
+    """Tables by name that are made when first asked for; chunks and index, which all answers read, are written to scratch space then."""
+
+    def __init__(self, parts: dict):
+        self._parts, self._made = parts, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            table = self._parts[name](self)
+            self._made[name] = written(table, name) if name in KEPT else table
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+    def released(self) -> None:
+        for table in self._made.values():
+            released(table)
+        self._made = {}
+
+
+def archive_tables(conversations: DataFrame, messages: DataFrame, encoder: vectors.Encoder | None = None, **options) -> Made:
+    return Made(archive_parts(conversations, messages, encoder, **options))
 
 
 class Archive:
     """A built archive: tables by name, and the encoder its vectors were made with, if it has any."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], encoder: vectors.Encoder | None = None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], encoder: vectors.Encoder | None = None):
         self.spark, self.tables = spark, tables
         self.encoder = encoder if "vectors" in tables else None
 
@@ -81,7 +102,7 @@ class Archive:
 
     @classmethod
     def from_conversations(cls, spark: SparkSession, rows: DataFrame, encoder: vectors.Encoder | None = None) -> Archive:
-        """An archive held as plans, from flat rows (conv_id, turn, role, text)."""
+        """An archive in scratch space, from flat rows (conv_id, turn, role, text); a table is made when it is first needed."""
         return cls(spark, archive_tables(*exports.from_flat(rows), encoder), encoder)
 
     def cached(self) -> Archive:
@@ -89,10 +110,13 @@ class Archive:
         return Archive(self.spark, {n: (t.cache() if n in KEPT else t) for n, t in self.tables.items()}, self.encoder)
 
     def released(self) -> None:
-        """Let go of what is kept in memory."""
-        for name in KEPT:
-            if name in self.tables:
-                self.tables[name].unpersist()
+        """Let go of what is kept in memory or scratch space."""
+        if isinstance(self.tables, Made):
+            self.tables.released()
+        else:
+            for name in KEPT:
+                if name in self.tables:
+                    self.tables[name].unpersist()
 
     @property
     def semantic_ready(self) -> bool:

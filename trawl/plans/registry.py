@@ -11,7 +11,8 @@ from ..functions import intent as I
 from ..functions import lexicon as L
 from ..functions import pytext, questions
 from ..functions import text as X
-from ..operators import batch, blocks, duplicates, fusion, inverted, ordering, scoring, sessions, statistics, vectors
+from ..operators import batch, blocks, clusters, duplicates, fusion, inverted, ordering, scoring, sessions, statistics, vectors
+from ..scratch import written
 from ..sources import exports
 from . import sql as S
 from .engine import Archive, archive_tables
@@ -290,6 +291,14 @@ def _(spark, d):
     return vectors.nearest(*probe(spark, d), 20, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("cosine_topk_clusters", f"WITH {NEAR} SELECT vec_id, label, round(similarity, 6) AS similarity, CAST(row_number() OVER (ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 20")
+def _(spark, d):
+    e, v = probe(spark, d)
+    rows, sizes = clusters.clustered(e, "vec_id")
+    rows = written(rows, "clustered")
+    return clusters.nearest(rows, clusters.held(sizes), v, 20, "vec_id", "label").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "cosine_topk_filtered",
     f"""WITH {NEAR}, t AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS raw FROM s), k AS (SELECT * FROM t WHERE raw <= 60 AND vec_id % 3 = 0 ORDER BY raw LIMIT 20)
