@@ -319,3 +319,29 @@ def test_neighbours_by_clusters_are_those_of_all(spark, tmp_path):
             read = scanned(stored.where(F.col("cluster").isin([c.number for c in known if np.sqrt(((c.centre - x[0]) ** 2).sum()) - c.radius < 0.5])))
             assert read < len(x) / 2 and clusters.nearest(stored, known, q, most).count() == most
     assert clusters.nearest(stored.limit(0), [], [0.0] * 24, 3).count() == 0
+
+
+def test_texts_longer_than_a_models_window_are_encoded_whole():
+    import numpy as np
+
+    from trawl.operators.vectors import ModelEncoder
+
+    class Told:
+        def __init__(self, **values):
+            self.__dict__.update(values)
+
+    class Lengths:
+        def encode_batch(self, texts):
+            return [Told(ids=[len(w) for w in t.split()]) for t in texts]
+
+    class Session:
+        def get_inputs(self):
+            return [Told(name="input_ids"), Told(name="attention_mask")]
+
+        def run(self, _, given):
+            assert given["input_ids"].shape[1] <= 3
+            return [np.stack([given["input_ids"], given["input_ids"] * 2.0], -1)]
+
+    encoder = ModelEncoder.__new__(ModelEncoder)
+    encoder.window, encoder._model = 3, (Lengths(), None, Session())
+    assert encoder.encode(["a bb ccc dddd eeeee", "", "x"]).tolist() == [[3, 6], [0, 0], [1, 2]]

@@ -67,9 +67,10 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     """
     reps = forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id"))
     rows = reps.withColumn("words", F.split("form", " ")).withColumn("items", X.word_shingles(F.col("words"), WORDS)).withColumn("n", F.size("items"))
-    first, last = F.array_join(F.slice("words", 1, WORDS), " "), F.array_join(F.slice("words", -WORDS, WORDS), " ")
+    # shingles as digests: two that have the same bring one more pair to compare at most
+    first, last = F.xxhash64(F.array_join(F.slice("words", 1, WORDS), " ")), F.xxhash64(F.array_join(F.slice("words", -WORDS, WORDS), " "))
     long = (F.char_length("form") >= INSIDE) & (F.size("words") >= WORDS + 2)
-    spread = rows.select("id", "n", long.alias("long"), first.alias("first"), F.when(F.size("words") >= WORDS, last).alias("last"), F.explode("items").alias("item"))
+    spread = rows.select("id", "n", long.alias("long"), first.alias("first"), F.when(F.size("words") >= WORDS, last).alias("last"), F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"))
     texts = spread.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("item", "i")
     common = spread.join(texts, F.col("item") == F.col("i")).drop("i")
     # the prefix is the first n - least + 1 of all n; those that no other text has come first and take places
@@ -77,21 +78,24 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     place = F.row_number().over(_by_text().orderBy("df", "item"))
     ranked = common.select("*", place.alias("place"), (F.col("n") - shared).alias("alone"))
     ranked = ranked.withColumn("prefix", F.col("place") + F.col("alone") <= F.col("n") - F.ceil(LEAST * F.col("n")) + 1)
-    inner = F.col("long") & (F.col("item") != F.col("first")) & (F.col("item") != F.coalesce("last", F.lit("")))
+    inner = F.col("long") & (F.col("item") != F.col("first")) & (F.col("item") != F.coalesce("last", F.lit(0)))
     rarest = F.min(F.when(inner, F.struct("df", "item"))).over(_by_text())
-    marked = ranked.select("id", "n", "item", "prefix", F.coalesce(rarest["item"] == F.col("item"), F.lit(False)).alias("anchor"))
-    a = marked.where("prefix or anchor").select(F.col("id").alias("a"), "item", F.col("prefix").alias("a_prefix"), F.col("anchor").alias("a_anchor"))
-    b = marked.select(F.col("id").alias("b"), F.col("item").alias("b_item"), F.col("prefix").alias("b_prefix"))
-    hits = a.join(b, (F.col("item") == F.col("b_item")) & (F.col("a") != F.col("b"))).where("a_anchor or (a_prefix and b_prefix)")
-    pairs = hits.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).distinct()
-    bodies = rows.select("id", "form", "items")
-    left, right = bodies.toDF("l", "l_form", "l_items"), bodies.toDF("r", "r_form", "r_items")
-    both = pairs.join(left, F.col("one") == F.col("l")).join(right, F.col("two") == F.col("r"))
+    marked = written(ranked.select("id", "item", "prefix", F.coalesce(rarest["item"] == F.col("item"), F.lit(False)).alias("anchor")), "shingles")
+    # prefixes meet prefixes only, a text's one anchor meets all that have it
+    own, other = marked.where("prefix").select(F.col("id").alias("one"), "item"), marked.where("prefix").select(F.col("id").alias("two"), F.col("item").alias("same"))
+    alike = own.join(other, (F.col("item") == F.col("same")) & (F.col("one") < F.col("two"))).select("one", "two")
+    anchors, every = marked.where("anchor").select(F.col("id").alias("a"), "item"), marked.select(F.col("id").alias("b"), F.col("item").alias("same"))
+    within = anchors.join(every, (F.col("item") == F.col("same")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"))
+    pairs = alike.union(within).distinct()
+    bodies = rows.select("id", "form")
+    both = pairs.join(bodies.toDF("l", "l_form"), F.col("one") == F.col("l")).join(bodies.toDF("r", "r_form"), F.col("two") == F.col("r"))
+    shingles = lambda form: X.word_shingles(F.split(form, " "), WORDS)
+    both = both.select("one", "two", "l_form", "r_form", shingles("l_form").alias("l_items"), shingles("r_form").alias("r_items"))
     same = F.size(F.array_intersect("l_items", "r_items"))
-    alike = same >= F.lit(LEAST) * (F.size("l_items") + F.size("r_items") - same)
+    nearly = same >= F.lit(LEAST) * (F.size("l_items") + F.size("r_items") - same)
     l, r = F.col("l_form"), F.col("r_form")
     inside = (F.least(F.char_length(l), F.char_length(r)) >= INSIDE) & (F.contains(l, r) | F.contains(r, l))
-    found = both.where(alike | inside).select("one", "two")
+    found = both.where(nearly | inside).select("one", "two")
     few = rows.where((F.char_length("form") >= INSIDE) & (F.size("words") < WORDS + 2)).select("id", F.col("form").alias("needle"))
     within = contained(reps.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id").select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two"))
     return found.union(within).distinct()

@@ -43,11 +43,13 @@ class HashingEncoder:
 class ModelEncoder:
     """A local model: a folder with tokenizer.json and either embeddings.npy (a vector for each token id) or model.onnx.
 
-    Vectors are means over a text's tokens.  The folder is read by each worker, once; it has to be where workers can read it.
+    Vectors are means over all of a text's tokens; a model sees `window` tokens at a time, and the means of a text's
+    windows count by their tokens, so nothing of a text is left out.  The folder is read by each worker, once; it has to
+    be where workers can read it.
     """
 
-    def __init__(self, folder: str, most_tokens: int = 512):
-        self.name, self.folder, self.most_tokens, self._model = os.path.basename(os.path.normpath(folder)), folder, most_tokens, None
+    def __init__(self, folder: str, window: int = 512):
+        self.name, self.folder, self.window, self._model = os.path.basename(os.path.normpath(folder)), folder, window, None
         self.size = int(self.encode(["size"]).shape[1])
 
     def __getstate__(self) -> dict:
@@ -57,28 +59,35 @@ class ModelEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(os.path.join(self.folder, "tokenizer.json"))
-        tokenizer.enable_truncation(self.most_tokens)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         table = os.path.join(self.folder, "embeddings.npy")
         if os.path.exists(table):
-            tokenizer.no_padding()
             return tokenizer, np.load(table, mmap_mode="r"), None
         import onnxruntime
 
-        tokenizer.enable_padding()
         return tokenizer, None, onnxruntime.InferenceSession(os.path.join(self.folder, "model.onnx"), providers=["CPUExecutionProvider"])
 
     def encode(self, texts: list[str]) -> np.ndarray:
         self._model = self._model or self._load()
         tokenizer, table, session = self._model
-        found = tokenizer.encode_batch(texts)
+        ids = [e.ids for e in tokenizer.encode_batch(texts)]
         if table is not None:
-            return np.stack([np.asarray(table[e.ids], np.float32).mean(axis=0) if e.ids else np.zeros(table.shape[1], np.float32) for e in found])
-        mask = np.array([e.attention_mask for e in found], np.int64)
-        known = {"input_ids": np.array([e.ids for e in found], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
-        hidden = session.run(None, {i.name: known[i.name] for i in session.get_inputs()})[0]
-        if hidden.ndim == 2:
-            return hidden.astype(np.float32)
-        return ((hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+            return np.stack([np.asarray(table[i], np.float32).mean(axis=0) if i else np.zeros(table.shape[1], np.float32) for i in ids])
+        windows = [(k, i[at : at + self.window]) for k, i in enumerate(ids) for at in range(0, max(len(i), 1), self.window)]
+        out = None
+        for at in range(0, len(windows), max(len(texts), 1)):  # as many at a time as there are texts
+            some = windows[at : at + max(len(texts), 1)]
+            mask = np.zeros((len(some), max(max(len(i) for _, i in some), 1)), np.int64)
+            padded = np.zeros_like(mask)
+            for row, (_, i) in enumerate(some):
+                mask[row, : len(i)], padded[row, : len(i)] = 1, i
+            known = {"input_ids": padded, "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+            hidden = session.run(None, {i.name: known[i.name] for i in session.get_inputs()})[0]
+            sums = hidden * mask.sum(axis=1, keepdims=True) if hidden.ndim == 2 else (hidden * mask[:, :, None]).sum(axis=1)
+            out = np.zeros((len(texts), sums.shape[1])) if out is None else out
+            np.add.at(out, [k for k, _ in some], sums)
+        return (out / np.maximum([[len(i)] for i in ids], 1)).astype(np.float32)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

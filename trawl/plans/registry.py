@@ -782,6 +782,36 @@ def _(spark, d):
     return found.select("place", "conversation_id", "turn_index", "matched_role", "score", "chunk_ids")
 
 
+#: A question of change, its searches written out (all terms, any, two by time, those of change), with their kinds' weights.
+CHANGE = "how has thon ther erin changed over time"
+CHANGE_SEARCHES = [([["thon"], ["ther"], ["erin"], ["changed"], ["over"], ["time"]], True), ([["thon"], ["ther"], ["erin"], ["changed"], ["over"], ["time"]], False), ([["thon"], ["ther"]], False), ([["thon"], ["ther"]], False), ([["thon"], ["ther"], ["erin"], ["changed"], ["evolved"]], False)]
+CHANGE_WEIGHTS = [0.85, 0.55, 0.35, 0.35, 0.6]
+TURN_RANK = "score DESC, CASE WHEN role = 'user' THEN 0 ELSE 1 END, create_time, conversation_id, turn_index, chunk_id"
+
+
+@query(
+    "context_ranks",
+    f"""WITH {S.bm25(CHANGE_SEARCHES)}, weights(search, weight) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE)" for i, w in enumerate(CHANGE_WEIGHTS))}),
+    r AS (SELECT search, chunk_id, row_number() OVER (PARTITION BY search ORDER BY CASE search WHEN 2 THEN create_time WHEN 3 THEN -create_time ELSE round(bm25, 12) END, chunk_id) AS rank FROM ranked JOIN chunks USING (chunk_id)),
+    v AS (SELECT chunk_id, weight * 61.0 / (60.0 + rank) AS value FROM r JOIN weights USING (search) WHERE rank <= 160),
+    n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY value DESC) AS n FROM v),
+    l AS (SELECT chunk_id, least(1.0, max(value) FILTER (WHERE n = 1) + 0.12 * coalesce(sum(value) FILTER (WHERE n BETWEEN 2 AND 3), 0)) AS lexical FROM n GROUP BY chunk_id),
+    cw AS (SELECT conversation_id, least(1.0, log2(1 + count(DISTINCT turn_index)) / 3.0) AS spread FROM l JOIN chunks USING (chunk_id) GROUP BY conversation_id),
+    s AS (SELECT chunk_id, conversation_id, turn_index, role, create_time, round(least(1.0, round(lexical * 0.28, 8) + CASE WHEN role = 'user' THEN 0.12 ELSE 0 END + round(spread * 0.06, 8)), 8) AS score FROM l JOIN chunks USING (chunk_id) JOIN cw USING (conversation_id)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, turn_index ORDER BY {TURN_RANK}) AS p FROM s),
+    t AS (SELECT conversation_id, turn_index, min(chunk_id) AS chunk_id, min_by(role, p) AS role, min_by(create_time, p) AS create_time,
+      round(least(1.0, max(score) FILTER (WHERE p = 1) + round(least(0.08, 0.03 * coalesce(sum(score) FILTER (WHERE p BETWEEN 2 AND 5), 0)), 8)), 8) AS score, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids FROM p GROUP BY 1, 2),
+    k AS (SELECT *, max(score) OVER () AS best FROM (SELECT * FROM t ORDER BY {TURN_RANK} LIMIT 80)),
+    q AS (SELECT *, concat(year(make_timestamp(CAST(create_time * 1000000 AS BIGINT))), '-Q', quarter(make_timestamp(CAST(create_time * 1000000 AS BIGINT)))) AS period FROM k WHERE score >= greatest(0.25, 0.4 * best)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {TURN_RANK}) > 1 AS backfill FROM q)
+    SELECT CAST(row_number() OVER (ORDER BY backfill, CASE WHEN NOT backfill THEN period END, {TURN_RANK}) AS INT) AS place, conversation_id, turn_index, role AS matched_role, round(score, 6) AS score, chunk_ids FROM f""",
+)
+def _(spark, d):
+    """The turns for a question of change in their order, by words alone: searches, components, totals of turns, floor, quarters."""
+    found = Archive.from_conversations(spark, read(spark, d, "conversations")).ranked_turns(CHANGE, "light")
+    return found.select("place", "conversation_id", "turn_index", "matched_role", F.round("score", 6).alias("score"), F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"))
+
+
 @query(
     "active_path",
     """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 2 THEN turn - 2 ELSE turn - 1 END AS par FROM conversations),
