@@ -170,6 +170,34 @@ def test_keeping_in_order_is_the_walk(spark):
     assert sorted(r.id for r in got.collect()) == [0, 2, 4, 6]
 
 
+@pytest.mark.parametrize("most", [0, 16])
+def test_whole_tables_are_kept_greedily(spark, monkeypatch, most):
+    monkeypatch.setattr(duplicates, "PAIRS_A_ROW", most)
+    rng = random.Random(15)
+    vocab, texts = [f"w{k}" for k in range(80)], []
+    for _ in range(8):
+        base = [rng.choice(vocab) for _ in range(rng.randint(20, 90))]
+        for _ in range(9):
+            t = list(base)
+            for _ in range(rng.randint(0, 1)):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            texts.append(" ".join(t))
+        texts.append(" ".join(base[: len(base) * 2 // 3]))
+    texts += ["x" * 130, "y " + "x" * 200 + " z", "x" * 130 + " " + "q" * 20, "", "one", "one"]
+    rng.shuffle(texts)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    kept = []
+    for t, i in sorted(((t, i) for t, i in first.items() if t), key=lambda x: x[1]):
+        if not any(pytext.near_duplicate(texts[k], t) for k in kept):
+            kept.append(i)
+    got = duplicates.near_kept(spark.createDataFrame(list(enumerate(texts)), "doc_id long, form string"), "doc_id").collect()
+    assert sorted(r.doc_id for r in got) == kept and len(kept) < len(first) - 10
+    if most:
+        assert duplicates.near_kept(spark.createDataFrame([], "doc_id long, form string"), "doc_id").count() == 0
+
+
 @pytest.mark.parametrize("few", [10, 100_000])
 def test_exact_ranks(spark, monkeypatch, few):
     monkeypatch.setattr(statistics, "FEW", few)

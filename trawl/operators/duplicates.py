@@ -56,14 +56,13 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
     return found
 
 
-def near_pairs(forms: DataFrame, key: str) -> DataFrame:
-    """(one, two), one < two: least keys of different forms that are nearly the same, or of which one of some length is inside the other.
+def _shingled(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, form) of the different forms, (id, item, prefix, anchor) of their shingles that several have, (id, needle) of forms with too few words for an inner one).
 
     Shingles are put in the order of their number of texts, the rarest first.  Two
     texts that share LEAST of their shingles share one among the first few of
-    each; a text inside another shares its rarest inner shingle with it.  Only
-    such pairs are compared.  Texts with too few words for an inner shingle are
-    looked for in all others by an automaton.
+    each, its prefix; a text inside another shares its rarest inner shingle, its
+    anchor, with it.
     """
     reps = forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id"))
     rows = reps.withColumn("words", F.split("form", " ")).withColumn("items", X.word_shingles(F.col("words"), WORDS)).withColumn("n", F.size("items"))
@@ -81,13 +80,12 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     inner = F.col("long") & (F.col("item") != F.col("first")) & (F.col("item") != F.coalesce("last", F.lit(0)))
     rarest = F.min(F.when(inner, F.struct("df", "item"))).over(_by_text())
     marked = written(ranked.select("id", "item", "prefix", F.coalesce(rarest["item"] == F.col("item"), F.lit(False)).alias("anchor")), "shingles")
-    # prefixes meet prefixes only, a text's one anchor meets all that have it
-    own, other = marked.where("prefix").select(F.col("id").alias("one"), "item"), marked.where("prefix").select(F.col("id").alias("two"), F.col("item").alias("same"))
-    alike = own.join(other, (F.col("item") == F.col("same")) & (F.col("one") < F.col("two"))).select("one", "two")
-    anchors, every = marked.where("anchor").select(F.col("id").alias("a"), "item"), marked.select(F.col("id").alias("b"), F.col("item").alias("same"))
-    within = anchors.join(every, (F.col("item") == F.col("same")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"))
-    pairs = alike.union(within).distinct()
-    bodies = rows.select("id", "form")
+    few = rows.where((F.char_length("form") >= INSIDE) & (F.size("words") < WORDS + 2)).select("id", F.col("form").alias("needle"))
+    return reps.select("id", "form"), marked, few
+
+
+def _nearly(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (one, two) whose forms are nearly the same, or one of which is inside the other."""
     both = pairs.join(bodies.toDF("l", "l_form"), F.col("one") == F.col("l")).join(bodies.toDF("r", "r_form"), F.col("two") == F.col("r"))
     shingles = lambda form: X.word_shingles(F.split(form, " "), WORDS)
     both = both.select("one", "two", "l_form", "r_form", shingles("l_form").alias("l_items"), shingles("r_form").alias("r_items"))
@@ -95,10 +93,73 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     nearly = same >= F.lit(LEAST) * (F.size("l_items") + F.size("r_items") - same)
     l, r = F.col("l_form"), F.col("r_form")
     inside = (F.least(F.char_length(l), F.char_length(r)) >= INSIDE) & (F.contains(l, r) | F.contains(r, l))
-    found = both.where(nearly | inside).select("one", "two")
-    few = rows.where((F.char_length("form") >= INSIDE) & (F.size("words") < WORDS + 2)).select("id", F.col("form").alias("needle"))
-    within = contained(reps.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id").select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two"))
-    return found.union(within).distinct()
+    return both.where(nearly | inside).select("one", "two")
+
+
+def _within(bodies: DataFrame, few: DataFrame) -> DataFrame:
+    """(one, two) where a form of few words is inside another, found by an automaton."""
+    found = contained(bodies.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id")
+    return found.select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two"))
+
+
+def near_pairs(forms: DataFrame, key: str) -> DataFrame:
+    """(one, two), one < two: least keys of different forms that are nearly the same, or of which one of some length is inside the other.
+
+    Prefixes meet prefixes only, a text's one anchor meets all that have it; only such pairs are compared.
+    """
+    bodies, marked, few = _shingled(forms, key)
+    own, other = marked.where("prefix").select(F.col("id").alias("one"), "item"), marked.where("prefix").select(F.col("id").alias("two"), F.col("item").alias("same"))
+    alike = own.join(other, (F.col("item") == F.col("same")) & (F.col("one") < F.col("two"))).select("one", "two")
+    anchors, every = marked.where("anchor").select(F.col("id").alias("a"), "item"), marked.select(F.col("id").alias("b"), F.col("item").alias("same"))
+    within = anchors.join(every, (F.col("item") == F.col("same")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"))
+    return _nearly(alike.union(within).distinct(), bodies).union(_within(bodies, few)).distinct()
+
+
+#: Pairs for each row of a bucket up to which buckets are compared whole.
+PAIRS_A_ROW = 16
+
+
+def near_kept(forms: DataFrame, key: str) -> DataFrame:
+    """(key): the least keys of the different forms that a walk in the order of keys keeps, each nearly the same as none kept before it.
+
+    Texts that could be alike share a bucket, a prefix shingle or an anchor.  A round takes the texts that come
+    first in all of their buckets: no text before them is open, so they are kept, and are compared with the others of
+    their buckets, which closes their near duplicates.  A bucket of n texts costs n comparisons a round, not n * n,
+    and a group of near copies is closed in one round, however large.  Once the open buckets are small,
+    what is left is compared whole and walked by `kept_in_order`.
+    """
+    bodies, marked, few = _shingled(forms, key)
+    nodes = written(bodies.select("id"), "kept")
+    anchors = marked.where("anchor").select(F.col("item").alias("i")).distinct()
+    prefixes = marked.where("prefix").select("id", F.col("item").alias("bucket"))
+    held = marked.join(anchors, F.col("item") == F.col("i"), "left_semi").select("id", F.xxhash64(F.lit("anchor"), "item").alias("bucket"))
+    # the few pairs that an automaton finds are buckets of two
+    pairs = _within(bodies, few).select(F.explode(F.array("one", "two")).alias("id"), F.xxhash64(F.lit("pair"), "one", "two").alias("bucket"))
+    open_rows, closed = _several(prefixes.union(held).union(pairs)), None
+    while True:
+        sizes = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        total = sizes.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if (total["pairs"] or 0) <= PAIRS_A_ROW * (total["rows"] or 0):
+            break
+        leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min("id").alias("leader"))
+        led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "leader")
+        safe = written(led.groupBy(F.col("id").alias("safe")).agg(F.max(F.col("leader") < F.col("id")).alias("later")).where("not later").select("safe"), "safe")
+        met = led.where("leader <> id").join(safe, F.col("leader") == F.col("safe"), "left_semi").select(F.col("leader").alias("one"), F.col("id").alias("two")).distinct()
+        out = written(_nearly(met, bodies).select(F.col("two").alias("out")).distinct(), "closed")
+        done = out.union(safe.select(F.col("safe").alias("out")))
+        left = _several(open_rows.join(done, F.col("id") == F.col("out"), "left_anti"))
+        released(open_rows)
+        open_rows, closed = left, out if closed is None else closed.union(out)
+    one, two = open_rows.select(F.col("id").alias("one"), "bucket"), open_rows.select(F.col("id").alias("two"), F.col("bucket").alias("b"))
+    last = one.join(two, (F.col("bucket") == F.col("b")) & (F.col("one") < F.col("two"))).select("one", "two").distinct()
+    kept = nodes if closed is None else nodes.join(closed, F.col("id") == F.col("out"), "left_anti")
+    return kept_in_order(_nearly(last, bodies), kept.withColumn("place", F.col("id")), "id", "place").select(F.col("id").alias(key))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(id, bucket) in buckets of several, written."""
+    again = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(rows.join(again, F.col("bucket") == F.col("b")).select("id", "bucket"), "buckets")
 
 
 def kept_in_order(pairs: DataFrame, nodes: DataFrame, key: str, order: str) -> DataFrame:

@@ -732,9 +732,7 @@ def evidence_forms(spark, d) -> DataFrame:
 )
 def _(spark, d):
     """Which of the different texts a walk in the order of ids keeps, each that is nearly the same as none kept before."""
-    forms = evidence_forms(spark, d)
-    nodes = forms.where("form <> ''").groupBy("form").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return duplicates.kept_in_order(duplicates.near_pairs(forms, "doc_id"), nodes.withColumn("place", F.col("doc_id")), "doc_id", "place").select("doc_id")
+    return duplicates.near_kept(evidence_forms(spark, d), "doc_id")
 
 
 # --- checks and evaluation ---
