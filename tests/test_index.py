@@ -373,3 +373,24 @@ def test_texts_longer_than_a_models_window_are_encoded_whole():
     encoder = ModelEncoder.__new__(ModelEncoder)
     encoder.window, encoder._model = 3, (Lengths(), None, Session())
     assert encoder.encode(["a bb ccc dddd eeeee", "", "x"]).tolist() == [[3, 6], [0, 0], [1, 2]]
+
+
+def test_texts_inside_others_are_found_at_every_length(spark):
+    rng = random.Random(31)
+    vocab = [f"{rng.choice('abcdefgh')}{k:07d}" for k in range(400)]
+    texts = []
+    for m in range(9, 24):  # from fewer words than a run of inner shingles has to more
+        base = " ".join(rng.choice(vocab) for _ in range(m))
+        around = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(2)]
+        texts += [base, around[0] + base + around[1], base + around[0], f"{around[1]} {base}"]
+    texts += [None, ""]
+    reps = list(enumerate(texts))[:-2]
+    want = sorted((min(i, j), max(i, j)) for i, a in reps for j, b in reps if i < j and pytext.near_duplicate(a, b))
+    forms = spark.createDataFrame(list(enumerate(texts)), "doc_id long, form string")
+    got = duplicates.near_pairs(forms, "doc_id").collect()
+    assert sorted((r.one, r.two) for r in got) == want and len(want) > 30
+    kept = []
+    for i, t in reps:
+        if not any(pytext.near_duplicate(texts[k], t) for k in kept):
+            kept.append(i)
+    assert sorted(r.doc_id for r in duplicates.near_kept(forms, "doc_id").collect()) == kept

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions.pytext import near_duplicate
 from ..scratch import released, written
 
 #: Characters of needles that one pass over the texts looks for, about.
@@ -56,110 +58,187 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
     return found
 
 
-def _shingled(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, form) of the different forms, (id, item, prefix, anchor) of their shingles that several have, (id, needle) of forms with too few words for an inner one).
-
-    Shingles are put in the order of their number of texts, the rarest first.  Two
-    texts that share LEAST of their shingles share one among the first few of
-    each, its prefix; a text inside another shares its rarest inner shingle, its
-    anchor, with it.
+#: Shingles in a row of which the least is put into the index, and counters of shingles, 2 ** CELL_BITS of them.
+RUN, CELL_BITS = 6, 20
+#: What a shingle is to a text: one of its prefix, the least of a run, its anchor.
+PREFIX, LEAST_OF_RUN, ANCHOR = 1, 2, 4
+
+
+def _digests(form: str) -> np.ndarray:
+    """A digest for every place of WORDS words, in order; none if there are fewer words."""
+    words = form.split(" ")
+    if len(words) < WORDS:
+        return np.zeros(0, np.uint64)
+    single = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    places = len(words) - WORDS + 1
+    found = np.zeros(places, np.uint64)
+    for k in range(WORDS):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + single[k : k + places]
+    found = (found ^ (found >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return found ^ (found >> np.uint64(29))
+
+
+def _levels(bodies: DataFrame) -> np.ndarray:
+    """For each cell of digests the bits of its number of texts: one byte for 2 ** CELL_BITS cells, whatever the size of the table."""
+
+    def run(batches):
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            for form in b.column(0).to_pylist():
+                cells = np.unique(_digests(form)) >> np.uint64(64 - CELL_BITS)
+                np.add.at(counts, cells.astype(np.int64), 1)
+        cells = np.flatnonzero(counts)
+        for k in range(0, len(cells), 100_000):
+            part = cells[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["cell", "n"])
+
+    texts = bodies.select("form").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = texts.select("cell", (F.floor(F.log2("n")) + 1).cast("byte").alias("level")).toArrow()  # a row a cell at most
+    levels = np.zeros(1 << CELL_BITS, np.uint64)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint64)
+    return levels
+
+
+def _marked(bodies: DataFrame) -> DataFrame:
+    """(id, item, about): the shingles under which texts are looked up; about is 8 times the number of different shingles of the text, plus what the shingle is to it."""
+    spark = bodies.sparkSession
+    levels = spark.sparkContext.broadcast(_levels(bodies).astype(np.uint8))
+    kind = bodies.schema["id"].dataType.simpleString()
+    share = round(100 * LEAST)
+
+    def run(batches):
+        level = levels.value.astype(np.uint64)
+        for b in batches:
+            rows, items, about = [], [], []
+            for i, form in enumerate(b.column(1).to_pylist()):
+                found = _digests(form)
+                if not found.size:
+                    continue
+                ordered = ((level[found >> np.uint64(64 - CELL_BITS)] << np.uint64(57)) | (found >> np.uint64(7))).astype(np.int64)
+                different = np.unique(ordered)
+                n = different.size
+                prefix = different[: n - -(-share * n // 100) + 1]
+                least = ordered[:0]
+                if ordered.size >= RUN:
+                    least = np.unique(np.lib.stride_tricks.sliding_window_view(ordered, RUN).min(axis=1))
+                item = np.union1d(prefix, least)
+                flags = np.isin(item, prefix) * PREFIX + np.isin(item, least) * LEAST_OF_RUN
+                if len(form) >= INSIDE and ordered.size - 2 >= RUN:
+                    flags = flags + (item == ordered[1:-1].min()) * ANCHOR
+                rows.append(np.full(item.size, i))
+                items.append(item)
+                about.append(n * 8 + flags)
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(items)), pa.array(np.concatenate(about).astype(np.int64))], ["id", "item", "about"])
+
+    return bodies.select("id", "form").mapInArrow(run, f"id {kind}, item long, about long")
+
+
+def _buckets(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, form) of the different forms, (id, bucket, n, owner) of the buckets in which they meet, (one, two) of pairs that no bucket has).
+
+    Shingles have one order for all texts: the number of texts in their cell, in
+    powers of two, then their digest.  Two texts that share LEAST of their shingles
+    share one among the first few of each, its prefix; no count by shingle is
+    needed for that, so only prefixes leave a text.  A text inside another has in
+    common with it every run of RUN inner shingles, so also the least of each
+    run; the least of all is its anchor, and a text is looked up under the least
+    of each of its runs.  A bucket below 0 is of an anchor, and its owners are the
+    texts that have it as one.  Forms with too few words for a run are looked for as they are.
     """
-    reps = forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id"))
-    rows = reps.withColumn("words", F.split("form", " ")).withColumn("items", X.word_shingles(F.col("words"), WORDS)).withColumn("n", F.size("items"))
-    # shingles as digests: two that have the same bring one more pair to compare at most
-    first, last = F.xxhash64(F.array_join(F.slice("words", 1, WORDS), " ")), F.xxhash64(F.array_join(F.slice("words", -WORDS, WORDS), " "))
-    long = (F.char_length("form") >= INSIDE) & (F.size("words") >= WORDS + 2)
-    spread = rows.select("id", "n", long.alias("long"), first.alias("first"), F.when(F.size("words") >= WORDS, last).alias("last"), F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"))
-    texts = spread.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("item", "i")
-    common = spread.join(texts, F.col("item") == F.col("i")).drop("i")
-    # the prefix is the first n - least + 1 of all n; those that no other text has come first and take places
-    shared = F.count(F.lit(1)).over(_by_text())
-    place = F.row_number().over(_by_text().orderBy("df", "item"))
-    ranked = common.select("*", place.alias("place"), (F.col("n") - shared).alias("alone"))
-    ranked = ranked.withColumn("prefix", F.col("place") + F.col("alone") <= F.col("n") - F.ceil(LEAST * F.col("n")) + 1)
-    inner = F.col("long") & (F.col("item") != F.col("first")) & (F.col("item") != F.coalesce("last", F.lit(0)))
-    rarest = F.min(F.when(inner, F.struct("df", "item"))).over(_by_text())
-    marked = written(ranked.select("id", "item", "prefix", F.coalesce(rarest["item"] == F.col("item"), F.lit(False)).alias("anchor")), "shingles")
-    few = rows.where((F.char_length("form") >= INSIDE) & (F.size("words") < WORDS + 2)).select("id", F.col("form").alias("needle"))
-    return reps.select("id", "form"), marked, few
+    bodies = written(forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id")).select("id", "form"), "forms")
+    has = lambda flag: F.col("about").bitwiseAND(F.lit(flag)) > 0
+    by_item = Window.partitionBy("item")
+    met = _marked(bodies).select("*", *(F.count_if(has(flag)).over(by_item).alias(name) for name, flag in (("prefixes", PREFIX), ("leasts", LEAST_OF_RUN), ("anchors", ANCHOR))))
+    alike = has(PREFIX) & (F.col("prefixes") > 1)
+    inside = has(LEAST_OF_RUN) & (F.col("anchors") > 0) & (F.col("leasts") > 1)
+    kinds = F.array_compact(F.array(F.when(alike, F.col("item")), F.when(inside, -F.col("item") - 1)))
+    rows = met.where(alike | inside).select("id", F.explode(kinds).alias("bucket"), F.shiftright("about", 3).alias("n"), has(ANCHOR).alias("owner"))
+    few = bodies.where((F.char_length("form") >= INSIDE) & (F.size(F.split("form", " ")) <= WORDS + RUN)).select("id", F.col("form").alias("needle"))
+    found = contained(bodies.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id")
+    return bodies, written(rows, "buckets"), written(found.select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two")).distinct(), "inside")
+
+
+def _possible(n: Column, owner: Column, other: Column, other_owner: Column) -> Column:
+    """Whether two texts of a bucket can be alike, or one inside the other, by their numbers of shingles."""
+    alike = 100 * F.least(n, other) >= round(100 * LEAST) * F.greatest(n, other)
+    return F.when(F.col("bucket") >= 0, alike).otherwise((owner & (n - 2 <= other)) | (other_owner & (other - 2 <= n)))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(one, two), one < two: prefixes meet prefixes, owners of an anchor meet all that are looked up under it."""
+    own = rows.where("bucket >= 0 or owner")
+    others = rows.select(F.col("id").alias("other"), F.col("bucket").alias("b"), F.col("n").alias("m"), F.col("owner").alias("owns"))
+    once = F.when(F.col("bucket") >= 0, F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other"))
+    pairs = own.join(others, (F.col("bucket") == F.col("b")) & once & _possible(F.col("n"), F.col("owner"), F.col("m"), F.col("owns")))
+    return pairs.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two")).distinct()
 
 
 def _nearly(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (one, two) whose forms are nearly the same, or one of which is inside the other."""
-    both = pairs.join(bodies.toDF("l", "l_form"), F.col("one") == F.col("l")).join(bodies.toDF("r", "r_form"), F.col("two") == F.col("r"))
-    shingles = lambda form: X.word_shingles(F.split(form, " "), WORDS)
-    both = both.select("one", "two", "l_form", "r_form", shingles("l_form").alias("l_items"), shingles("r_form").alias("r_items"))
-    same = F.size(F.array_intersect("l_items", "r_items"))
-    nearly = same >= F.lit(LEAST) * (F.size("l_items") + F.size("r_items") - same)
-    l, r = F.col("l_form"), F.col("r_form")
-    inside = (F.least(F.char_length(l), F.char_length(r)) >= INSIDE) & (F.contains(l, r) | F.contains(r, l))
-    return both.where(nearly | inside).select("one", "two")
-
-
-def _within(bodies: DataFrame, few: DataFrame) -> DataFrame:
-    """(one, two) where a form of few words is inside another, found by an automaton."""
-    found = contained(bodies.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id")
-    return found.select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two"))
+    pairs = written(pairs, "met")
+    wanted = pairs.select(F.explode(F.array("one", "two")).alias("w")).distinct()
+    texts = bodies.join(wanted, F.col("id") == F.col("w"), "left_semi")
+    both = pairs.join(texts.toDF("l", "l_form"), F.col("one") == F.col("l")).join(texts.toDF("r", "r_form"), F.col("two") == F.col("r"))
+    return both.where(F.arrow_udf(_near, "boolean")("l_form", "r_form")).select("one", "two")
+
+
+def _near(ones: pa.Array, twos: pa.Array) -> pa.Array:
+    return pa.array([near_duplicate(one, two, LEAST, INSIDE) for one, two in zip(ones.to_pylist(), twos.to_pylist(), strict=True)], pa.bool_())
 
 
 def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     """(one, two), one < two: least keys of different forms that are nearly the same, or of which one of some length is inside the other.
 
-    Prefixes meet prefixes only, a text's one anchor meets all that have it; only such pairs are compared.
+    Only pairs that meet in a bucket and whose numbers of shingles allow it are compared.  Null and empty forms are near nothing.
     """
-    bodies, marked, few = _shingled(forms, key)
-    own, other = marked.where("prefix").select(F.col("id").alias("one"), "item"), marked.where("prefix").select(F.col("id").alias("two"), F.col("item").alias("same"))
-    alike = own.join(other, (F.col("item") == F.col("same")) & (F.col("one") < F.col("two"))).select("one", "two")
-    anchors, every = marked.where("anchor").select(F.col("id").alias("a"), "item"), marked.select(F.col("id").alias("b"), F.col("item").alias("same"))
-    within = anchors.join(every, (F.col("item") == F.col("same")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"))
-    return _nearly(alike.union(within).distinct(), bodies).union(_within(bodies, few)).distinct()
+    bodies, rows, within = _buckets(forms, key)
+    return _nearly(_met(rows), bodies).union(within).distinct()
 
 
 #: Pairs for each row of a bucket up to which buckets are compared whole.
-PAIRS_A_ROW = 16
+PAIRS_A_ROW = 4
 
 
 def near_kept(forms: DataFrame, key: str) -> DataFrame:
     """(key): the least keys of the different forms that a walk in the order of keys keeps, each nearly the same as none kept before it.
 
-    Texts that could be alike share a bucket, a prefix shingle or an anchor.  A round takes the texts that come
+    Texts that could be alike share a bucket.  A round takes the texts that come
     first in all of their buckets: no text before them is open, so they are kept, and are compared with the others of
     their buckets, which closes their near duplicates.  A bucket of n texts costs n comparisons a round, not n * n,
     and a group of near copies is closed in one round, however large.  Once the open buckets are small,
-    what is left is compared whole and walked by `kept_in_order`.
+    what is left is compared whole and walked by `kept_in_order`.  Null and empty forms are not kept.
     """
-    bodies, marked, few = _shingled(forms, key)
-    nodes = written(bodies.select("id"), "kept")
-    anchors = marked.where("anchor").select(F.col("item").alias("i")).distinct()
-    prefixes = marked.where("prefix").select("id", F.col("item").alias("bucket"))
-    held = marked.join(anchors, F.col("item") == F.col("i"), "left_semi").select("id", F.xxhash64(F.lit("anchor"), "item").alias("bucket"))
-    # the few pairs that an automaton finds are buckets of two
-    pairs = _within(bodies, few).select(F.explode(F.array("one", "two")).alias("id"), F.xxhash64(F.lit("pair"), "one", "two").alias("bucket"))
-    open_rows, closed = _several(prefixes.union(held).union(pairs)), None
+    bodies, rows, within = _buckets(forms, key)
+    # the few pairs that an automaton finds are buckets of two, with either as an owner
+    pairs = within.select(F.explode(F.array("one", "two")).alias("id"), (-F.abs(F.xxhash64("one", "two")) - 1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("owner"))
+    open_rows, closed = _several(rows.union(pairs)), None
+    released(rows)
     while True:
-        sizes = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        total = sizes.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        sizes = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("owner").alias("owners"))
+        whole = F.when(F.col("bucket") >= 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("owners"))
+        total = sizes.agg(F.sum("n").alias("rows"), F.sum(whole).alias("pairs")).first()
         if (total["pairs"] or 0) <= PAIRS_A_ROW * (total["rows"] or 0):
             break
-        leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min("id").alias("leader"))
-        led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "leader")
-        safe = written(led.groupBy(F.col("id").alias("safe")).agg(F.max(F.col("leader") < F.col("id")).alias("later")).where("not later").select("safe"), "safe")
-        met = led.where("leader <> id").join(safe, F.col("leader") == F.col("safe"), "left_semi").select(F.col("leader").alias("one"), F.col("id").alias("two")).distinct()
+        leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct("id", "n", "owner")).alias("leader"))
+        led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner", "leader")
+        safe = written(led.groupBy(F.col("id").alias("safe")).agg(F.max(F.col("leader.id") < F.col("id")).alias("later")).where("not later").select("safe"), "safe")
+        met = led.where((F.col("leader.id") != F.col("id")) & _possible(F.col("n"), F.col("owner"), F.col("leader.n"), F.col("leader.owner")))
+        met = met.select(F.col("leader.id").alias("one"), F.col("id").alias("two")).distinct().join(safe, F.col("one") == F.col("safe"), "left_semi")
         out = written(_nearly(met, bodies).select(F.col("two").alias("out")).distinct(), "closed")
         done = out.union(safe.select(F.col("safe").alias("out")))
         left = _several(open_rows.join(done, F.col("id") == F.col("out"), "left_anti"))
         released(open_rows)
         open_rows, closed = left, out if closed is None else closed.union(out)
-    one, two = open_rows.select(F.col("id").alias("one"), "bucket"), open_rows.select(F.col("id").alias("two"), F.col("bucket").alias("b"))
-    last = one.join(two, (F.col("bucket") == F.col("b")) & (F.col("one") < F.col("two"))).select("one", "two").distinct()
+    nodes = bodies.select("id")
     kept = nodes if closed is None else nodes.join(closed, F.col("id") == F.col("out"), "left_anti")
-    return kept_in_order(_nearly(last, bodies), kept.withColumn("place", F.col("id")), "id", "place").select(F.col("id").alias(key))
+    return kept_in_order(_nearly(_met(open_rows), bodies), kept.withColumn("place", F.col("id")), "id", "place").select(F.col("id").alias(key))
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """(id, bucket) in buckets of several, written."""
-    again = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(rows.join(again, F.col("bucket") == F.col("b")).select("id", "bucket"), "buckets")
+    """(id, bucket, n, owner) in buckets of several, written."""
+    again = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return written(rows.join(again, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner"), "buckets")
 
 
 def kept_in_order(pairs: DataFrame, nodes: DataFrame, key: str, order: str) -> DataFrame:
@@ -187,9 +266,3 @@ def kept_in_order(pairs: DataFrame, nodes: DataFrame, key: str, order: str) -> D
         released(open_pairs)
         open_pairs, closed = left, out if closed is None else closed.union(out)
     return nodes if closed is None else nodes.join(closed, F.col(key) == F.col("out"), "left_anti")
-
-
-def _by_text():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id")
