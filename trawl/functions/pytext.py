@@ -77,7 +77,7 @@ def match_form(value: str) -> str:
 
 def evidence_form(value: str) -> str:
     """As match_form, with every run of other than word characters as one space."""
-    return " ".join(re.sub(r"\W+", " ", unicodedata.normalize("NFKC", value).casefold()).split())
+    return " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", value).casefold()))
 
 
 def shingle_set(text: str, size: int = 5) -> set[tuple[str, ...]]:

@@ -99,6 +99,16 @@ def _levels(bodies: DataFrame) -> np.ndarray:
     return levels
 
 
+def _least_of_runs(values: np.ndarray) -> np.ndarray:
+    """The least of every RUN values in a row."""
+    if values.size < RUN:
+        return values[:0]
+    found = values[: values.size - RUN + 1]
+    for k in range(1, RUN):
+        found = np.minimum(found, values[k : values.size - RUN + 1 + k])
+    return found
+
+
 def _marked(bodies: DataFrame) -> DataFrame:
     """(id, item, about): the shingles under which texts are looked up; about is 8 times the number of different shingles of the text, plus what the shingle is to it."""
     spark = bodies.sparkSession
@@ -108,7 +118,7 @@ def _marked(bodies: DataFrame) -> DataFrame:
 
     def run(batches):
         level = levels.value.astype(np.uint64)
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             rows, items, about = [], [], []
             for i, form in enumerate(b.column(1).to_pylist()):
                 found = _digests(form)
@@ -118,11 +128,11 @@ def _marked(bodies: DataFrame) -> DataFrame:
                 different = np.unique(ordered)
                 n = different.size
                 prefix = different[: n - -(-share * n // 100) + 1]
-                least = ordered[:0]
-                if ordered.size >= RUN:
-                    least = np.unique(np.lib.stride_tricks.sliding_window_view(ordered, RUN).min(axis=1))
-                item = np.union1d(prefix, least)
-                flags = np.isin(item, prefix) * PREFIX + np.isin(item, least) * LEAST_OF_RUN
+                least = np.unique(_least_of_runs(ordered))
+                first = np.setdiff1d(prefix, least, assume_unique=True)
+                item = np.concatenate([least, first])
+                flags = (item <= prefix[-1]) * PREFIX
+                flags[: least.size] += LEAST_OF_RUN
                 if len(form) >= INSIDE and ordered.size - 2 >= RUN:
                     flags = flags + (item == ordered[1:-1].min()) * ANCHOR
                 rows.append(np.full(item.size, i))
@@ -184,7 +194,19 @@ def _nearly(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _near(ones: pa.Array, twos: pa.Array) -> pa.Array:
-    return pa.array([near_duplicate(one, two, LEAST, INSIDE) for one, two in zip(ones.to_pylist(), twos.to_pylist(), strict=True)], pa.bool_())
+    """The exact rule, for pairs whose digests or lengths do not rule them out; one pair at a time is out of Arrow's memory."""
+    verdicts, last, one_digests = [], None, None
+    for one, two in ((a.as_py(), b.as_py()) for a, b in zip(ones, twos, strict=True)):
+        if one != last:
+            last, one_digests = one, np.unique(_digests(one))
+        short, long = sorted((one, two), key=len)
+        near = len(short) >= INSIDE and short in long
+        if not near:
+            two_digests = np.unique(_digests(two))
+            same = np.intersect1d(one_digests, two_digests, assume_unique=True).size
+            near = same >= LEAST * (one_digests.size + two_digests.size - same) and near_duplicate(one, two, LEAST, INSIDE)
+        verdicts.append(near)
+    return pa.array(verdicts, pa.bool_())
 
 
 def near_pairs(forms: DataFrame, key: str) -> DataFrame:
