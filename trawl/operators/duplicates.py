@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pytext import near_duplicate
@@ -58,12 +58,21 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
     return found
 
 
+#: Rows and bytes of an Arrow batch of texts, where the session says nothing else.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Shingles in a row of which the least is put into the index, and counters of shingles, 2 ** CELL_BITS of them.
 RUN, CELL_BITS = 6, 20
 #: What a shingle is to a text: one of its prefix, the least of a run, its anchor.
 PREFIX, LEAST_OF_RUN, ANCHOR = 1, 2, 4
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Bound what of many texts, or of long ones, is in a worker at a time; a single longer text is a batch by itself."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def _digests(form: str) -> np.ndarray:
     """A digest for every place of WORDS words, in order; none if there are fewer words."""
     words = form.split(" ")
@@ -118,7 +127,7 @@ def _marked(bodies: DataFrame) -> DataFrame:
 
     def run(batches):
         level = levels.value.astype(np.uint64)
-        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for b in batches:
             rows, items, about = [], [], []
             for i, form in enumerate(b.column(1).to_pylist()):
                 found = _digests(form)
@@ -156,6 +165,7 @@ def _buckets(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFram
     of each of its runs.  A bucket below 0 is of an anchor, and its owners are the
     texts that have it as one.  Forms with too few words for a run are looked for as they are.
     """
+    _bounded_batches(forms.sparkSession)
     bodies = written(forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id")).select("id", "form"), "forms")
     has = lambda flag: F.col("about").bitwiseAND(F.lit(flag)) > 0
     by_item = Window.partitionBy("item")
