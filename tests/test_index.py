@@ -394,3 +394,18 @@ def test_texts_inside_others_are_found_at_every_length(spark):
         if not any(pytext.near_duplicate(texts[k], t) for k in kept):
             kept.append(i)
     assert sorted(r.doc_id for r in duplicates.near_kept(forms, "doc_id").collect()) == kept
+
+
+def test_texts_of_common_parts_are_not_compared_in_full(spark):
+    """Texts that share prefixes but are not alike are ruled out by their sketches, before their texts are fetched."""
+    parts = [" ".join(f"p{p}w{w}" for w in range(30)) for p in range(8)]
+    texts = [" ".join(parts[p] for p in sorted({i % 8, (i + 1) % 8, (i + 3) % 8, (i // 8 + 5) % 8})) + f" own{i}" for i in range(32)]
+    near = texts[0] + " and one word more"
+    forms = spark.createDataFrame(list(enumerate([*texts, near])), "doc_id long, form string")
+    pairs = sorted((r.one, r.two) for r in duplicates.near_pairs(forms, "doc_id").collect())
+    every = [*texts, near]
+    assert pairs == [(i, j) for i in range(33) for j in range(i + 1, 33) if pytext.near_duplicate(every[i], every[j])]
+    assert (0, 32) in pairs
+    rows = duplicates._buckets(forms, "doc_id")[1]
+    met = sorted((r.one, r.two) for r in duplicates._met(rows.where("bucket >= 0")).collect())
+    assert set(met) <= set(pairs)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +64,11 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
 #: Rows and bytes of an Arrow batch of texts, where the session says nothing else.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Shingles in a row of which the least is put into the index, and counters of shingles, 2 ** CELL_BITS of them.
-RUN, CELL_BITS = 6, 20
+RUN, CELL_BITS = 6, 22
 #: What a shingle is to a text: one of its prefix, the least of a run, its anchor.
 PREFIX, LEAST_OF_RUN, ANCHOR = 1, 2, 4
+#: Words of 64 bits in each part of a sketch.
+SKETCH = 4
 
 
 def _bounded_batches(spark: SparkSession) -> None:
@@ -87,24 +92,50 @@ def _digests(form: str) -> np.ndarray:
     return found ^ (found >> np.uint64(29))
 
 
+def _sketched(bodies: DataFrame) -> DataFrame:
+    """(id, form, sketch): bits for the different shingles of a text, by which most pairs are ruled out without their texts.
+
+    A shingle has one of 64 * SKETCH bits.  The bits `odd` are of an odd number of shingles: where two texts differ in k
+    shingles, k of these bits differ at most.  The bits `inner` have an inner shingle, the bits `all` any: what is inside a
+    text has no inner bit that the text lacks.
+    """
+    kind = bodies.schema["id"].dataType.simpleString()
+    names = [f"{part}{k}" for part in ("odd", "all", "inner") for k in range(SKETCH)]
+
+    def run(batches):
+        for b in batches:
+            bits = np.zeros((b.num_rows, 3, 64 * SKETCH), bool)
+            for row, form in zip(bits, b.column(1).to_pylist(), strict=True):
+                found = _digests(form)
+                at = lambda digests: (digests >> np.uint64(8)).astype(np.int64) % (64 * SKETCH)
+                row[0] = np.bincount(at(np.unique(found)), minlength=64 * SKETCH) & 1
+                row[1, at(found)] = True
+                row[2, at(found[1:-1])] = True
+            words = np.packbits(bits.reshape(b.num_rows, -1), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["id", "form", *names])
+
+    found = bodies.select("id", "form").mapInArrow(run, f"id {kind}, form string, " + ", ".join(f"{n} long" for n in names))
+    return found.select("id", "form", F.struct(*names).alias("sketch"))
+
+
 def _levels(bodies: DataFrame) -> np.ndarray:
     """For each cell of digests the bits of its number of texts: one byte for 2 ** CELL_BITS cells, whatever the size of the table."""
 
     def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
             for form in b.column(0).to_pylist():
-                cells = np.unique(_digests(form)) >> np.uint64(64 - CELL_BITS)
-                np.add.at(counts, cells.astype(np.int64), 1)
+                cells, n = np.unique(np.unique(_digests(form)) >> np.uint64(64 - CELL_BITS), return_counts=True)
+                counts[cells.astype(np.int64)] += n.astype(np.int32)
         cells = np.flatnonzero(counts)
         for k in range(0, len(cells), 100_000):
             part = cells[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], ["cell", "n"])
 
     texts = bodies.select("form").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = texts.select("cell", (F.floor(F.log2("n")) + 1).cast("byte").alias("level")).toArrow()  # a row a cell at most
-    levels = np.zeros(1 << CELL_BITS, np.uint64)
-    levels[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint64)
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
     return levels
 
 
@@ -121,19 +152,19 @@ def _least_of_runs(values: np.ndarray) -> np.ndarray:
 def _marked(bodies: DataFrame) -> DataFrame:
     """(id, item, about): the shingles under which texts are looked up; about is 8 times the number of different shingles of the text, plus what the shingle is to it."""
     spark = bodies.sparkSession
-    levels = spark.sparkContext.broadcast(_levels(bodies).astype(np.uint8))
+    levels = spark.sparkContext.broadcast(_levels(bodies))
     kind = bodies.schema["id"].dataType.simpleString()
     share = round(100 * LEAST)
 
     def run(batches):
-        level = levels.value.astype(np.uint64)
+        level = levels.value
         for b in batches:
             rows, items, about = [], [], []
             for i, form in enumerate(b.column(1).to_pylist()):
                 found = _digests(form)
                 if not found.size:
                     continue
-                ordered = ((level[found >> np.uint64(64 - CELL_BITS)] << np.uint64(57)) | (found >> np.uint64(7))).astype(np.int64)
+                ordered = ((level[found >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(57)) | (found >> np.uint64(7))).astype(np.int64)
                 different = np.unique(ordered)
                 n = different.size
                 prefix = different[: n - -(-share * n // 100) + 1]
@@ -154,7 +185,7 @@ def _marked(bodies: DataFrame) -> DataFrame:
 
 
 def _buckets(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, form) of the different forms, (id, bucket, n, owner) of the buckets in which they meet, (one, two) of pairs that no bucket has).
+    """((id, form) of the different forms, (id, bucket, n, owner, sketch) of the buckets in which they meet, (one, two) of pairs that no bucket has).
 
     Shingles have one order for all texts: the number of texts in their cell, in
     powers of two, then their digest.  Two texts that share LEAST of their shingles
@@ -166,7 +197,7 @@ def _buckets(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFram
     texts that have it as one.  Forms with too few words for a run are looked for as they are.
     """
     _bounded_batches(forms.sparkSession)
-    bodies = written(forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id")).select("id", "form"), "forms")
+    bodies = written(_sketched(forms.where("form <> ''").groupBy("form").agg(F.min(key).alias("id"))), "forms")
     has = lambda flag: F.col("about").bitwiseAND(F.lit(flag)) > 0
     by_item = Window.partitionBy("item")
     met = _marked(bodies).select("*", *(F.count_if(has(flag)).over(by_item).alias(name) for name, flag in (("prefixes", PREFIX), ("leasts", LEAST_OF_RUN), ("anchors", ANCHOR))))
@@ -174,23 +205,37 @@ def _buckets(forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFram
     inside = has(LEAST_OF_RUN) & (F.col("anchors") > 0) & (F.col("leasts") > 1)
     kinds = F.array_compact(F.array(F.when(alike, F.col("item")), F.when(inside, -F.col("item") - 1)))
     rows = met.where(alike | inside).select("id", F.explode(kinds).alias("bucket"), F.shiftright("about", 3).alias("n"), has(ANCHOR).alias("owner"))
+    rows = rows.join(bodies.select(F.col("id").alias("of"), F.col("sketch").alias("bits")), F.col("id") == F.col("of")).select("id", "bucket", "n", "owner", _sketch().alias("sketch"))
     few = bodies.where((F.char_length("form") >= INSIDE) & (F.size(F.split("form", " ")) <= WORDS + RUN)).select("id", F.col("form").alias("needle"))
     found = contained(bodies.select(F.col("id").alias("of"), "form"), "of", few).where("of <> id")
     return bodies, written(rows, "buckets"), written(found.select(F.least("of", "id").alias("one"), F.greatest("of", "id").alias("two")).distinct(), "inside")
 
 
-def _possible(n: Column, owner: Column, other: Column, other_owner: Column) -> Column:
-    """Whether two texts of a bucket can be alike, or one inside the other, by their numbers of shingles."""
-    alike = 100 * F.least(n, other) >= round(100 * LEAST) * F.greatest(n, other)
-    return F.when(F.col("bucket") >= 0, alike).otherwise((owner & (n - 2 <= other)) | (other_owner & (other - 2 <= n)))
+def _sketch() -> Column:
+    """Of `bits` what pairs of a row's bucket are tested by: odd bits, or all bits and inner ones."""
+    alike, bits = F.col("bucket") >= 0, lambda part, k: F.col(f"bits.{part}{k}")
+    one = [F.when(alike, bits("odd", k)).otherwise(bits("all", k)).alias(f"one{k}") for k in range(SKETCH)]
+    return F.struct(*one, *(F.when(~alike, bits("inner", k)).alias(f"two{k}") for k in range(SKETCH)))
+
+
+def _possible(other: Callable[[str], Column]) -> Column:
+    """Whether two texts of a bucket can be alike, or one inside the other, by their numbers of shingles and their sketches; other: a column of the other row."""
+    n, m, own, theirs, owner, owns = F.col("n"), other("n"), F.col("sketch"), other("sketch"), F.col("owner"), other("owner")
+    total = lambda words: reduce(add, map(F.bit_count, words))
+    share, both = round(100 * LEAST), n + m
+    # of `both` shingles, those in one text only are the part (1 - share) / (2 - (1 - share)) at most
+    apart = total(own[f"one{k}"].bitwiseXOR(theirs[f"one{k}"]) for k in range(SKETCH))
+    alike = (100 * F.least(n, m) >= share * F.greatest(n, m)) & (apart * (100 + share) <= (100 - share) * both)
+    within = lambda a, b: F.coalesce(total(a[f"two{k}"].bitwiseAND(F.bitwise_not(b[f"one{k}"])) for k in range(SKETCH)) == 0, F.lit(True))
+    return F.when(F.col("bucket") >= 0, alike).otherwise((owner & (n - 2 <= m) & within(own, theirs)) | (owns & (m - 2 <= n) & within(theirs, own)))
 
 
 def _met(rows: DataFrame) -> DataFrame:
     """(one, two), one < two: prefixes meet prefixes, owners of an anchor meet all that are looked up under it."""
     own = rows.where("bucket >= 0 or owner")
-    others = rows.select(F.col("id").alias("other"), F.col("bucket").alias("b"), F.col("n").alias("m"), F.col("owner").alias("owns"))
+    others = rows.select(F.col("id").alias("other"), F.col("bucket").alias("b"), F.struct("n", "owner", "sketch").alias("their"))
     once = F.when(F.col("bucket") >= 0, F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other"))
-    pairs = own.join(others, (F.col("bucket") == F.col("b")) & once & _possible(F.col("n"), F.col("owner"), F.col("m"), F.col("owns")))
+    pairs = own.join(others, (F.col("bucket") == F.col("b")) & once & _possible(lambda name: F.col(f"their.{name}")))
     return pairs.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two")).distinct()
 
 
@@ -198,7 +243,7 @@ def _nearly(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (one, two) whose forms are nearly the same, or one of which is inside the other."""
     pairs = written(pairs, "met")
     wanted = pairs.select(F.explode(F.array("one", "two")).alias("w")).distinct()
-    texts = bodies.join(wanted, F.col("id") == F.col("w"), "left_semi")
+    texts = bodies.select("id", "form").join(wanted, F.col("id") == F.col("w"), "left_semi")
     both = pairs.join(texts.toDF("l", "l_form"), F.col("one") == F.col("l")).join(texts.toDF("r", "r_form"), F.col("two") == F.col("r"))
     return both.where(F.arrow_udf(_near, "boolean")("l_form", "r_form")).select("one", "two")
 
@@ -243,7 +288,7 @@ def near_kept(forms: DataFrame, key: str) -> DataFrame:
     """
     bodies, rows, within = _buckets(forms, key)
     # the few pairs that an automaton finds are buckets of two, with either as an owner
-    pairs = within.select(F.explode(F.array("one", "two")).alias("id"), (-F.abs(F.xxhash64("one", "two")) - 1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("owner"))
+    pairs = within.select(F.explode(F.array("one", "two")).alias("id"), (-F.abs(F.xxhash64("one", "two")) - 1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("owner"), F.lit(None).cast(rows.schema["sketch"].dataType).alias("sketch"))
     open_rows, closed = _several(rows.union(pairs)), None
     released(rows)
     while True:
@@ -252,10 +297,10 @@ def near_kept(forms: DataFrame, key: str) -> DataFrame:
         total = sizes.agg(F.sum("n").alias("rows"), F.sum(whole).alias("pairs")).first()
         if (total["pairs"] or 0) <= PAIRS_A_ROW * (total["rows"] or 0):
             break
-        leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct("id", "n", "owner")).alias("leader"))
-        led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner", "leader")
+        leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min_by(F.struct("id", "n", "owner", "sketch"), "id").alias("leader"))
+        led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner", "sketch", "leader")
         safe = written(led.groupBy(F.col("id").alias("safe")).agg(F.max(F.col("leader.id") < F.col("id")).alias("later")).where("not later").select("safe"), "safe")
-        met = led.where((F.col("leader.id") != F.col("id")) & _possible(F.col("n"), F.col("owner"), F.col("leader.n"), F.col("leader.owner")))
+        met = led.where((F.col("leader.id") != F.col("id")) & _possible(lambda name: F.col(f"leader.{name}")))
         met = met.select(F.col("leader.id").alias("one"), F.col("id").alias("two")).distinct().join(safe, F.col("one") == F.col("safe"), "left_semi")
         out = written(_nearly(met, bodies).select(F.col("two").alias("out")).distinct(), "closed")
         done = out.union(safe.select(F.col("safe").alias("out")))
@@ -268,9 +313,9 @@ def near_kept(forms: DataFrame, key: str) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """(id, bucket, n, owner) in buckets of several, written."""
+    """(id, bucket, n, owner, sketch) in buckets of several, written."""
     again = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return written(rows.join(again, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner"), "buckets")
+    return written(rows.join(again, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner", "sketch"), "buckets")
 
 
 def kept_in_order(pairs: DataFrame, nodes: DataFrame, key: str, order: str) -> DataFrame:
