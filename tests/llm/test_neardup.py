@@ -128,3 +128,15 @@ def test_star_rounds_find_components(spark, monkeypatch, hub_rows, chunk):
     want = {x: find(p, x) for e in edges if e[0] != e[1] for x in e}
     got = components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_sets_are_fetched_only_for_pairs_that_signatures_leave(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = {1: words, 2: [*words[:-1], "other"], 3: [f"v{k}" for k in range(200)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, body string")
+    sets = neardup.sets_of(docs, spark.createDataFrame([(i,) for i in texts], "node long"), 3, 3, 0.85)
+    groups = spark.createDataFrame([(7, 1, 1), (7, 2, 1), (7, 3, 1)], "bucket long, node long, centre long")
+    hashes = neardup.bands_for(0.85) * neardup.ROWS
+    pairs = groups.where("node <> centre").select("node", "centre")
+    assert [tuple(r) for r in neardup.signed_pairs(pairs, sets, (85, 100), hashes).collect()] == [(2, 1)]
+    assert [tuple(r) for r in neardup.centre_links(groups, sets, (85, 100), hashes).collect()] == [(1, 2)]

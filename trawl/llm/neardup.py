@@ -206,9 +206,26 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+def signed_pairs(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """The pairs (node, centre) that their signatures do not rule out, written."""
+    floor = Pairs(ratio, hashes).floor
+    own = sets.select(F.col("node").alias("n"), "signature")
+    other = sets.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"))
+    both = pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).select("node", "centre", "signature", "c_signature")
+    kind = sets.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                agree = (_signatures(b.column("signature")) == _signatures(b.column("c_signature"))).sum(axis=1)
+                yield b.select(["node", "centre"]).filter(pa.array(agree >= floor))
+
+    return written(both.mapInArrow(run, f"node {kind}, centre {kind}").distinct(), "signed-pairs")
+
+
 def centre_links(groups: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """(a, b): confirmed links between the centres of buckets and their members."""
-    pairs = groups.where("node <> centre").select("node", "centre").distinct()
+    """(a, b): confirmed links between the centres of buckets and their members; sets leave their place only for pairs whose signatures agree enough."""
+    pairs = signed_pairs(groups.where("node <> centre").select("node", "centre").distinct(), sets, ratio, hashes)
     own = sets.select(F.col("node").alias("n"), "signature", "items")
     other = sets.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"), F.col("items").alias("c_items"))
     both = pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).select("node", "centre", "signature", "items", "c_signature", "c_items")
