@@ -344,3 +344,14 @@ def test_commands_write_their_results(spark, tmp_path):
     case = json.load(open(out("e")))["cases"][0]
     assert case["expected_ranks"][0] == case["best_expected_rank"] and case["expected_ranks"][1] is None and case["expected_source_count"] == 2
     assert case["conversation_count"] >= 1 and case["serialized_characters"] <= case["character_limit"] and case["depth"] == "medium"
+
+
+def test_needles_meet_batches_of_bounded_size(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    forms = spark.range(2500).select(F.col("id").alias("k"), F.concat(F.lit("a text of number "), "id").alias("form"))
+    given = spark.createDataFrame([(1, "text of"), (2, "number 24")], "id long, needle string")
+    found = duplicates.contained(forms, "k", given).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in found} == {1: 2500, 2: 1 + 10 + 100}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(duplicates.BATCH_ROWS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(duplicates.BATCH_BYTES)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.pytext import near_duplicate
 from ..scratch import released, written
 
+#: Hits that leave a worker at a time, about.
+FOUND_ROWS = 100_000
 #: Characters of needles that one pass over the texts looks for, about.
 PASS_CHARS = 32_000_000
 #: Least share of shingles, and least length of a text inside another, as for episodes of one answer.
@@ -28,6 +30,7 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
     The needles of a pass are one automaton, so a text is read once however many they are.
     """
     spark = forms.sparkSession
+    _bounded_batches(spark)
     known = needles.where("needle <> ''")
     size = known.agg(F.sum(F.char_length("needle") + 16).alias("n")).first()["n"] or 0
     passes = max(1, math.ceil(size / PASS_CHARS))
@@ -37,7 +40,10 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
         part = known.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
         held = spark.sparkContext.broadcast([(r["id"], r["needle"]) for r in part.collect()])  # about PASS_CHARS characters
 
-        def run(batches, held=held):
+        def out(b, rows, ids):
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, b.schema.field(0).type if kind == id_kind else pa.int64())], [key, "id"])
+
+        def run(batches, held=held, out=out):
             import ahocorasick
 
             by_needle: dict[str, list] = {}
@@ -54,7 +60,10 @@ def contained(forms: DataFrame, key: str, needles: DataFrame) -> DataFrame:
                         for hit in {id(x): x for _, x in machine.iter(text)}.values():
                             rows += [i] * len(hit)
                             ids += hit
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, b.schema.field(0).type if kind == id_kind else pa.int64())], [key, "id"])
+                    if len(rows) >= FOUND_ROWS:  # few texts may hold very many needles
+                        yield out(b, rows, ids)
+                        rows, ids = [], []
+                yield out(b, rows, ids)
 
         pairs = forms.select(key, "form").mapInArrow(lambda batches, run=run: run(batches), f"`{key}` {kind}, id {id_kind}")
         found = pairs if found is None else found.union(pairs)
