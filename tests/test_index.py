@@ -7,10 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trawl import scratch
 from trawl.functions import intent as I
 from trawl.functions import lexicon as L
 from trawl.functions import pytext, questions
 from trawl.operators import batch, blocks, duplicates, fetch, inverted, packets, sessions, statistics
+from trawl.plans import registry
 from trawl.plans.engine import Archive, archive_parts
 from trawl.sources import exports, jsonlist, store
 
@@ -94,6 +96,46 @@ def test_many_searches_at_once(spark, index):
         assert got == {s: f for s in range(8) if (f := first(scores, s, 6))}
 
 
+@pytest.mark.parametrize(("terms", "chunks"), [(100_000, 1_000_000), (0, 0)])
+def test_an_index_of_what_is_asked_ranks_as_the_whole_index(spark, index, monkeypatch, terms, chunks):
+    monkeypatch.setattr(batch, "SENT_TERMS", terms)
+    monkeypatch.setattr(batch, "SENT_CHUNKS", chunks)
+    asked = spark.createDataFrame([(s, [t]) for s, each in SEARCHES.items() for t in each] + [(5, ["the", "of"]), (5, ["w1"]), (7, ["of", "w2", "the"])], "search int, phrase array<string>").cache()
+    own = batch.index_of(index["chunks"], asked)
+    tokens = {t for r in asked.collect() for t in r.phrase}
+    assert {r.term for r in own[0].select("term").distinct().collect()} == tokens - {"nowhere"}
+    ranked = lambda *tables: sorted(tuple(r) for r in batch.best(*tables, asked, 6, 0).select("search", "rank", "chunk_id", F.round("bm25", 9)).collect())
+    found = ranked(*own)
+    assert found == ranked(index["terms"], index["at"], index["blocks"], index["stats"])
+    scores = every_score(index, [([list(r.phrase) for r in asked.collect() if r.search == s], False) for s in range(8)])
+    for s in range(8):
+        assert [c for q, _, c, _ in found if q == s] == first(scores, s, 6)
+
+
+def test_question_ranks_writes_the_postings_it_asks_for(spark):
+    """Of a corpus without a stored index neither other terms' postings, nor positions, nor forms for comparison are made; and only pairs that reach the floor are kept."""
+    before = set(scratch._files)
+    rows = registry.QUERIES["question_ranks"](spark, "/root/testdata/sf0.001").collect()
+    made = {path.rsplit("/", 1)[1].rsplit("-", 1)[0]: path for path in scratch._files if path not in before}
+    assert rows and not {"positions", "chunks"} & set(made)
+    tokens = {t for r in spark.read.parquet(made["asked"]).collect() for t in r.phrase}
+    assert {r.term for r in spark.read.parquet(made["postings"]).select("term").distinct().collect()} <= tokens
+    scored, floors = spark.read.parquet(made["scored"]), spark.read.parquet(made["searches"]).groupBy(F.col("search").alias("s")).agg(F.max("floor").alias("floor"))
+    assert scored.join(floors, F.col("search") == F.col("s")).where("high < floor * (1 - 2e-9)").count() == 0
+
+
+def test_short_texts_need_no_python_and_texts_are_cut_once(spark):
+    texts = ["one", "two words", "  odd\t\tspaces ", "\u00a0", "long " * 30, "x" * 59, "x" * 60, "x" * 61, "", None]
+    messages = spark.createDataFrame([("c", f"m{i}", i, True, "user", 1.0 + i, t) for i, t in enumerate(texts)], "conversation_id string, message_id string, active_position int, is_active boolean, role string, create_time double, text string")
+    heads = spark.createDataFrame([("c", "title", "f", 0)], "conversation_id string, title string, source_file string, position int")
+    found = sessions.chunks(heads, messages, 60, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "Python" not in plan  # what is numbered has been cut and written
+    got = [(r.chunk_id, r.message_id, r.chunk_index, r.text) for r in found.orderBy("chunk_id").collect()]
+    told = [(f"m{i}", n, p) for i, t in enumerate(texts) if t for n, p in enumerate(pytext.pieces(t, 60, 10))]
+    assert got == [(k, *row) for k, row in enumerate(told, 1)]
+
+
 def test_questions_as_columns_are_those_of_one(spark):
     asked = ["when did I first start building Nova", "how has the plan changed over time", 'he said "of the thon" once to Erin2, Erin2 and "Zoë"', "that was wrong, what instead", "what is the latest", "final position now", "", "the", "Straße “ab cd” X-Ray currently", "exact phrase"]
     rows = questions.interpreted(spark.createDataFrame(list(enumerate([*asked, None])), "i int, q string"), "i", "q").cache()

@@ -130,3 +130,13 @@ def test_safe_double(spark):
     rows = spark.createDataFrame([("12.5",), ("nan",), ("inf",), ("x",), (None,)], "t string").select(X.safe_double(F.col("t")).alias("v")).collect()
     assert [r.v for r in rows] == [12.5, None, None, None, None]
     assert re.match("archive", spark.range(1).select(X.source_uri(F.lit("c"), F.lit(3)).alias("u")).first().u)
+
+
+def test_clean_texts_are_told_from_others(spark):
+    edges = ["\0", "\r", "\r\n", "\t", " ", "  ", "\n", "\n" * 3, "\n" * 4, "\xa0", "\u2028", "\u3000", "\x1c", "\x1f", "\x85", "\u200b", "\ufeff", "\xe9", "e\u0301", "\U0001f600"]
+    texts = ["", None, "a", *edges, *(f"{e}a" for e in edges), *(f"a{e}" for e in edges), *(f"a{e}b" for e in edges), *(f"a {e} b\n{e}c" for e in edges)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.clean_text(F.col("t")).alias("clean"), X.tokens(F.col("t")).alias("tokens"))
+    for r in rows.collect():
+        assert r.clean == (None if r.t is None else P.clean(r.t))
+        plain = None if r.t is None else "".join(c for c in unicodedata.normalize("NFD", r.t) if unicodedata.category(c) != "Mn").lower()
+        assert r.tokens == (None if plain is None else re.findall(r"[a-z]+", plain))

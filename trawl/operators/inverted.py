@@ -37,11 +37,13 @@ def kept(table: DataFrame) -> list[str]:
     return [c for c in FILTERS if c in table.columns]
 
 
-def _each_token(tokenized: DataFrame, *more: str) -> DataFrame:
-    def told(column: str, in_title: bool) -> Column:
-        return F.transform(column, lambda t, i: F.struct(t.alias("term"), F.lit(in_title).alias("in_title"), i.alias("at")))
-
-    return tokenized.select("chunk_id", *more, F.explode(F.concat(told("title_tokens", True), told("text_tokens", False))).alias("x"))
+def _each_token(tokenized: DataFrame, *more: str, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, more, term, in_title, at): a row for each token, or for those that `only` (wanted) holds."""
+    rows = tokenized.select("chunk_id", *more, F.size("title_tokens").alias("titled"), F.posexplode(F.concat("title_tokens", "text_tokens")).alias("at", "term"))
+    if only is not None:
+        rows = rows.join(only, F.col("term") == F.col("wanted"), "left_semi")
+    in_title = F.col("at") < F.col("titled")
+    return rows.select("chunk_id", *more, "term", in_title.alias("in_title"), F.when(in_title, F.col("at")).otherwise(F.col("at") - F.col("titled")).alias("at"))
 
 
 def corpus_stats(tokenized: DataFrame) -> DataFrame:
@@ -54,11 +56,14 @@ def share(tf_title: Column, tf_text: Column, doc_len: Column, avgdl: Column) ->
     return f * (K1 + 1) / (f + K1 * (1 - B + B * doc_len / avgdl))
 
 
-def postings(tokenized: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf_title, tf_text, doc_len, level, and FILTERS), to be written as laid_out does, so that a look-up reads few row groups and nothing else."""
+def postings(tokenized: DataFrame, stats: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf_title, tf_text, doc_len, level, and FILTERS), to be written as laid_out does, so that a look-up reads few row groups and nothing else.
+
+    only: (wanted), a row for each term whose postings are made; all terms' without it.
+    """
     more = ["doc_len", *kept(tokenized)]
-    rows = _each_token(tokenized, *more).groupBy(F.col("x.term").alias("term"), "chunk_id", *more)
-    counts = rows.agg(F.sum(F.col("x.in_title").cast("int")).cast("int").alias("tf_title"), F.sum((~F.col("x.in_title")).cast("int")).cast("int").alias("tf_text"))
+    rows = _each_token(tokenized, *more, only=only).groupBy("term", "chunk_id", *more)
+    counts = rows.agg(F.sum(F.col("in_title").cast("int")).cast("int").alias("tf_title"), F.sum((~F.col("in_title")).cast("int")).cast("int").alias("tf_text"))
     average = (corpus_stats(tokenized) if stats is None else stats).select("avgdl")
     level = F.floor(share(F.col("tf_title"), F.col("tf_text"), F.col("doc_len"), F.col("avgdl")) / (K1 + 1) * LEVELS).cast("int")
     return counts.join(F.broadcast(average)).withColumn("level", F.least(level, F.lit(LEVELS - 1))).drop("avgdl")
@@ -72,9 +77,9 @@ def laid_out(terms: DataFrame) -> DataFrame:
     return terms.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def positions(tokenized: DataFrame) -> DataFrame:
-    """(term, chunk_id, in_title, at): a row for each token."""
-    return _each_token(tokenized).select("x.term", "chunk_id", "x.in_title", "x.at")
+def positions(tokenized: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, in_title, at): a row for each token; only: as for postings."""
+    return _each_token(tokenized, only=only).select("term", "chunk_id", "in_title", "at")
 
 
 def runs(at: DataFrame, phrase: list[str], counts: dict[str, int] | None = None) -> DataFrame:

@@ -68,7 +68,10 @@ def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CH
     timed = spoken.withColumn("turn_time", opened).withColumn("own_time", F.coalesce(F.nullif("create_time", F.lit(0.0)), "turn_time"))
     head = conversations.select(F.col("conversation_id").alias("c"), "title", F.col("source_file").alias("f"), "position")
     spread = timed.select("conversation_id", "turn_index", "message_id", "role", F.col("own_time").alias("create_time"), "active_position", F.col("text").alias("body"))
-    rows = spread.lateralJoin(split_pieces(F.col("body").outer(), most, overlap)).drop("body")
+    # a text of one piece needs no Python
+    short = F.char_length("body") <= most
+    whole = spread.where(short).withColumn("chunk_index", F.lit(0)).withColumn("text", X.clean_text(F.col("body"))).where("text <> ''")
+    rows = whole.union(spread.where(~short).lateralJoin(split_pieces(F.col("body").outer(), most, overlap))).drop("body")
     rows = rows.join(head, F.col("conversation_id") == F.col("c"))
     order = ["f", "position", "conversation_id", "turn_index", F.desc("role"), "active_position", "chunk_index"]
     numbered = dense_ids(rows, order)
@@ -78,11 +81,12 @@ def chunks(conversations: DataFrame, messages: DataFrame, most: int = L.CHUNK_CH
 def dense_ids(rows: DataFrame, order: list) -> DataFrame:
     """chunk_id from 1 in a total order: ranks within blocks of a conversation's turns, plus the blocks before.
 
-    Blocks (a slim row each) are dealt to ranges of (file, position, conversation, block) and written once, so that
-    a range stays what it is; sums of ranges are few.  Chunks never meet in one task, whatever ids look like.
+    Ranked rows are written once, so that texts are cut once only.  Blocks (a slim row each) are dealt to ranges of
+    (file, position, conversation, block) and written once, so that a range stays what it is; sums of ranges are
+    few.  Chunks never meet in one task, whatever ids look like.
     """
     cut = rows.withColumn("block", F.floor(F.col("turn_index") / BLOCK))
-    own = F.row_number().over(Window.partitionBy("conversation_id", "block").orderBy(*order[3:]))
+    cut = written(cut.withColumn("own", F.row_number().over(Window.partitionBy("conversation_id", "block").orderBy(*order[3:]))), "pieces")
     key = ["f", "position", "conversation_id", "block"]
     sizes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(F.col("f").alias("bf"), F.col("position").alias("bp"), F.col("conversation_id").alias("bc"), F.col("block").alias("bb"), "n")
     ranged = written(sizes.repartitionByRange("bf", "bp", "bc", "bb").withColumn("range", F.spark_partition_id()), "id-blocks")
@@ -90,7 +94,7 @@ def dense_ids(rows: DataFrame, order: list) -> DataFrame:
     sums = ranged.groupBy(F.col("range").alias("r")).agg(F.sum("n").alias("n")).select("r", so_far(Window.orderBy("r")).alias("before"))  # a row for each range
     starts = ranged.withColumn("start", so_far(Window.partitionBy("range").orderBy("bf", "bp", "bc", "bb"))).join(F.broadcast(sums), F.col("range") == F.col("r"))
     starts = starts.select("bc", "bb", (F.col("start") + F.col("before")).alias("start"))
-    numbered = cut.withColumn("own", own).join(starts, (F.col("conversation_id") == F.col("bc")) & (F.col("block") == F.col("bb")))
+    numbered = cut.join(starts, (F.col("conversation_id") == F.col("bc")) & (F.col("block") == F.col("bb")))
     return numbered.withColumn("chunk_id", F.col("start") + F.col("own")).drop("start", "own", "bc", "bb", "block")
 
 

@@ -492,11 +492,11 @@ def _(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 12), chunk_id) AS rank FROM s) SELECT item_id, CAST(rank AS INT) AS rank, chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10""",
 )
 def _(spark, d):
-    """The ten best chunks for every benchmark text, all texts in one join with the postings."""
-    t = Archive.from_conversations(spark, read(spark, d, "conversations")).tables
+    """The ten best chunks for every benchmark text, all texts in one join with the postings of the tokens they ask for."""
     asked = questions.interpreted(read(spark, d, "benchmark"), "item_id", "text").select("question", F.explode(F.slice("terms", 1, 16)).alias("p"))
-    asked = asked.select(F.col("question").alias("search"), X.tokens(F.col("p")).alias("phrase")).where(F.size("phrase") > 0)
-    found = batch.best(t["postings"], t["positions"], t["blocks"], t["corpus_stats"], asked, 10, few=0)
+    asked = written(asked.select(F.col("question").alias("search"), X.tokens(F.col("p")).alias("phrase")).where(F.size("phrase") > 0), "asked")
+    tokenized = written(chunked(spark, d).select("chunk_id", "title_tokens", "text_tokens", "doc_len"), "tokens")
+    found = batch.best(*batch.index_of(tokenized, asked), asked, 10, few=0)
     return found.select(F.col("search").alias("item_id"), "rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
