@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,31 @@ def test_sets_are_fetched_only_for_pairs_that_signatures_leave(spark):
     pairs = groups.where("node <> centre").select("node", "centre")
     assert [tuple(r) for r in neardup.signed_pairs(pairs, sets, (85, 100), hashes).collect()] == [(2, 1)]
     assert [tuple(r) for r in neardup.centre_links(groups, sets, (85, 100), hashes).collect()] == [(1, 2)]
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n, changed in ((1, 1), (40, 5), (500, 60), (60_000, 9_000)):  # counts of the last go round
+        one = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        two = np.unique(np.concatenate([one[changed:], rng.integers(0, 2**64, changed, np.uint64)]))
+        counts = [neardup._sketches(pa.chunked_array([[neardup.sketch(x)]])) for x in (one, two)]
+        assert 0 <= neardup.apart(counts[0][0], counts[1])[0] <= len(np.setxor1d(one, two))
+        assert neardup.apart(*counts)[0] == neardup.apart(*counts[::-1])[0]
+
+
+def test_sketches_rule_out_pairs_that_signatures_leave(spark):
+    words = [f"w{k}" for k in range(500)]
+    changed = {2: range(0, 500, 16), 3: range(0, 500, 30), 4: range(0, 500, 40)}  # likeness 0.67 to 0.86
+    texts = {1: words} | {i: [f"other{k}" if k in at else w for k, w in enumerate(words)] for i, at in changed.items()}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, body string")
+    sets = neardup.sets_of(docs, spark.createDataFrame([(i,) for i in texts], "node long"), 4, 3, 0.85)
+    hashes = neardup.bands_for(0.85) * neardup.ROWS
+    pairs = spark.createDataFrame([(i, 1) for i in changed], "node long, centre long")
+    assert [tuple(r) for r in neardup.signed_pairs(pairs, sets, (85, 100), hashes).collect()] == [(4, 1)]
+
+
+def test_signatures_stay_with_the_nodes_of_buckets(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    assert neardup.signed(docs, 3, 0.85).columns == ["doc_id", "n_shingles", "digest", "bands"]
+    sets = neardup.sets_of(docs.withColumnRenamed("text", "body"), spark.createDataFrame([(1,)], "node long"), 1, 3, 0.85)
+    assert sets.first().bands == neardup.signed(docs, 3, 0.85).first().bands

@@ -9,13 +9,16 @@ equal sets are one class, whose node is its least doc_id.
 2. Nodes that share a band hash form a bucket; only nodes of one bucket are ever
    compared.  Buckets with the same nodes are one.  A node's weight is the size
    of all its buckets, and the heaviest node of a bucket is its centre.
-3. Links are confirmed by signature, then on full sets.  First every node with
-   the centres of its buckets; a centre's pairs may be split over tasks.  The
-   links so found are made components.  Then, in buckets that still hold several
-   components, nodes outside the centre's component with the nodes of other
-   components, in blocks of bounded size: signatures go first, and sets are
-   fetched only for nodes whose signature leaves a partner possible.  Only links
-   leave a block.
+3. Links are confirmed by signature and sketch, then on full sets.  A sketch has
+   counts of the set's hashes by their low bits; two sets differ in as many
+   hashes as their counts at least, so it rules out most pairs just below the
+   threshold, and never a link.  First every node with the centres of its
+   buckets; a centre's pairs may be split over tasks.  The links so found are
+   made components.  Then, in buckets that still hold several components, nodes
+   outside the centre's component with the nodes of other components, in blocks
+   of bounded size: signatures and sketches go first, and sets are fetched only
+   for nodes that these leave a partner.  Blocks are dealt by slim rows, which
+   signatures or sets join after that.  Only links leave a block.
 4. Components of the confirmed links, by contraction, large-star and small-star.
 
 No bucket or component is gathered in one task, no cap is set on partners.  Two
@@ -44,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, anew, batch_limits, fresh, measured, released, written
+from .common import BROADCAST_ROWS, anew, batch_limits, fresh, measured, released, small, written
 from .components import components
 
 #: Probability that a pair at the threshold shares no band.
@@ -57,6 +60,9 @@ MEMO_WORDS = 1 << 18
 BLOCK_SIGNATURES, BLOCK_SETS, BLOCK_SHINGLES = 250, 250, 400_000
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
+#: Counts in a sketch, modulo 16; distances of two such counts by their difference.
+COUNTS = 256
+AWAY = np.minimum(np.arange(16), 16 - np.arange(16)).astype(np.uint8)
 
 
 class Hashed(dict):
@@ -119,36 +125,44 @@ class MinHash:
         return mixed(minima).astype(np.uint8).tobytes()  # low bits: the high ones of a minimum are nearly all zero
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their low bits, modulo 16, two in a byte."""
+    counts = (np.bincount((items & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS) & 15).astype(np.uint8)
+    return (counts[: COUNTS // 2] << 4 | counts[COUNTS // 2 :]).tobytes()
+
+
+def apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """In how many hashes the set of one sketch differs from those of others, or each of one table from its row of another; at least."""
+    return AWAY[(many - one) & 15].sum(axis=1, dtype=np.int64)
+
+
 def bands_for(threshold: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))
 
 
 def signed(docs: DataFrame, size: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, signature) of every row."""
+    """(doc_id, n_shingles, digest, bands) of every row."""
     batch_limits(docs.sparkSession)
     kind, bands = docs.schema[key].dataType.simpleString(), bands_for(threshold)
 
     def run(batches):
         hashes = MinHash(bands, ROWS)
         for b in batches:
-            n, digest, band, sig = [], [], [], []
+            n, digest, band = [], [], []
             for t in b.column(1).to_pylist():
                 items = shingles(t, size)
                 n.append(len(items))
                 if len(items):
-                    least = hashes.minima(items)
                     digest.append(xxhash.xxh3_128_digest(items.tobytes()))
-                    band.append(hashes.bands_of(least))
-                    sig.append(hashes.signature(least))
+                    band.append(hashes.bands_of(hashes.minima(items)))
                 else:
-                    for column in (digest, band, sig):
+                    for column in (digest, band):
                         column.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "signature"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"]
             )
 
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, signature binary")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
 def buckets(nodes: DataFrame, repeated: bool) -> DataFrame:
@@ -181,68 +195,80 @@ def overlap(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
 
 
 class Pairs:
-    """Confirms links between sets: by signature, then in full.  ratio: the threshold as (numerator, denominator)."""
+    """Confirms links between sets: by signature and sketch, then in full.  ratio: the threshold as (numerator, denominator)."""
 
     def __init__(self, ratio: tuple[int, int], hashes: int):
         self.num, self.den = ratio
         t = ratio[0] / ratio[1]
         self.floor = max(0.0, t - SIGMAS * math.sqrt(t * (1 - t) / hashes)) * hashes
 
-    def linked(self, sig: np.ndarray, items: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], which: np.ndarray) -> np.ndarray:
-        """Those of `which` (positions in sets) that are linked with the one set."""
-        which = which[(sigs[which] == sig).sum(axis=1) >= self.floor]
-        if not len(which):
-            return which
-        both = overlap(items, [sets[i] for i in which])
-        sizes = np.array([len(sets[i]) for i in which]) + len(items) - both
-        return which[self.den * both >= self.num * sizes]
+    def left(self, sig: np.ndarray, counts: np.ndarray, size: int | np.ndarray, sigs: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether signatures and sketches leave a link of one set with others, or of each of a table with its row of another."""
+        near = (self.num + self.den) * apart(counts, others) <= (self.den - self.num) * (size + sizes)
+        return near & ((sigs == sig).sum(axis=1) >= self.floor)
+
+    def linked(self, items: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """Whether the one set is linked with each of the others."""
+        both = overlap(items, sets)
+        return self.den * both >= self.num * (np.array([len(s) for s in sets]) + len(items) - both)
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    packed = _signatures(column)
+    return np.concatenate([packed >> 4, packed & 15], axis=1)
+
+
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.int64)
+
+
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+def _paired(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (node, centre) with the columns of the node's set, and those of the centre's by the names c_..."""
+    own = sets.select(F.col("node").alias("n"), *columns)
+    other = sets.select(F.col("node").alias("c"), *(F.col(x).alias(f"c_{x}") for x in columns))
+    return pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).drop("n", "c")
+
+
 def signed_pairs(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """The pairs (node, centre) that their signatures do not rule out, written."""
-    floor = Pairs(ratio, hashes).floor
-    own = sets.select(F.col("node").alias("n"), "signature")
-    other = sets.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"))
-    both = pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).select("node", "centre", "signature", "c_signature")
+    """The pairs (node, centre) that their signatures and sketches do not rule out, written."""
     kind = sets.schema["node"].dataType.simpleString()
 
     def run(batches):
+        test = Pairs(ratio, hashes)
         for b in batches:
             if b.num_rows:
-                agree = (_signatures(b.column("signature")) == _signatures(b.column("c_signature"))).sum(axis=1)
-                yield b.select(["node", "centre"]).filter(pa.array(agree >= floor))
+                own, other = ((_signatures(b.column(f"{c}signature")), _sketches(b.column(f"{c}sketch")), _sizes(b.column(f"{c}n_shingles"))) for c in ("", "c_"))
+                yield b.select(["node", "centre"]).filter(pa.array(test.left(*own, *other)))
 
+    both = _paired(pairs, sets, ["n_shingles", "signature", "sketch"])
     return written(both.mapInArrow(run, f"node {kind}, centre {kind}").distinct(), "signed-pairs")
 
 
 def centre_links(groups: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """(a, b): confirmed links between the centres of buckets and their members; sets leave their place only for pairs whose signatures agree enough."""
+    """(a, b): confirmed links between the centres of buckets and their members; sets leave their place only for pairs whose signatures and sketches agree enough."""
     pairs = signed_pairs(groups.where("node <> centre").select("node", "centre").distinct(), sets, ratio, hashes)
-    own = sets.select(F.col("node").alias("n"), "signature", "items")
-    other = sets.select(F.col("node").alias("c"), F.col("signature").alias("c_signature"), F.col("items").alias("c_items"))
-    both = pairs.join(own, F.col("node") == F.col("n")).join(other, F.col("centre") == F.col("c")).select("node", "centre", "signature", "items", "c_signature", "c_items")
     kind = sets.schema["node"].dataType.simpleString()
 
     def run(batches):
-        test, one = Pairs(ratio, hashes), np.array([0])
+        test = Pairs(ratio, hashes)
         for b in batches:
-            columns = zip(*(_signatures(b.column(n)) for n in ("signature", "c_signature")), *(_sets(b.column(n)) for n in ("items", "c_items")), strict=True)
-            linked = pa.array([bool(len(test.linked(c, c_items, s[None, :], [items], one))) for s, c, items, c_items in columns], pa.bool_())
+            columns = zip(*(_sets(b.column(n)) for n in ("items", "c_items")), strict=True)
+            linked = pa.array([bool(test.linked(c_items, [items])[0]) for items, c_items in columns], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("centre").filter(linked), b.column("node").filter(linked)], ["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return _paired(pairs, sets, ["items"]).mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def cells(rows: DataFrame, blocks) -> DataFrame:
-    """rows (bucket, node, asks, ...) dealt to (bucket, i, j): each node that asks meets each node of its bucket in one cell.
+def cells(rows: DataFrame, blocks, sets: DataFrame) -> DataFrame:
+    """rows (bucket, node, asks, ...) dealt to (bucket, i, j), with the columns of sets by node: each node that asks meets each node of its bucket in one cell.
 
     blocks: from an aggregate function of a column of ones, or of any other, to the number of blocks.
     """
@@ -258,12 +284,13 @@ def cells(rows: DataFrame, blocks) -> DataFrame:
     given = wide.withColumn("j", F.pmod(own, F.col("g_blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
     names = ["bucket", "i", "j", *(c for c in rows.columns if c not in ("bucket", "asks"))]
     both = asked.select(*names, F.lit(True).alias("asks")).union(given.select(*names, F.lit(False).alias("asks")))
-    # dealt anew: else all cells of a bucket would stay in the task that has counted its nodes
+    both = both.join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
+    # dealt anew: else cells would stay with a task of the join
     return both.repartition("bucket", "i", "j")
 
 
-def possible(open_rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """(bucket, node): nodes with a partner in their bucket, in another component, that the signatures do not rule out.
+def possible(open_rows: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """(bucket, node, n_shingles): nodes with a partner in their bucket, in another component, that signatures and sketches do not rule out.
 
     Two nodes are compared in the least of the buckets they share only.  That one
     is there, as of buckets with the same nodes the least is kept.
@@ -272,7 +299,8 @@ def possible(open_rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataF
     def run(cell: pa.Table) -> pa.Table:
         test = Pairs(ratio, hashes)
         asks = np.array(cell.column("asks").to_pylist())
-        sigs, bucket = _signatures(cell.column("signature")), cell.column("bucket")[0].as_py()
+        sigs, counts, sizes = _signatures(cell.column("signature")), _sketches(cell.column("sketch")), _sizes(cell.column("n_shingles"))
+        bucket = cell.column("bucket")[0].as_py()
         bands = cell.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sigs), -1)
         parts = cell.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         given, hit = np.flatnonzero(~asks), np.zeros(len(asks), bool)
@@ -280,29 +308,31 @@ def possible(open_rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataF
             others = given[parts[given] != parts[i]]
             least = np.where(bands[others] == bands[i], bands[others], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
             others = others[least == bucket]
-            others = others[(sigs[others] == sigs[i]).sum(axis=1) >= test.floor]
+            others = others[test.left(sigs[i], counts[i], sizes[i], sigs[others], counts[others], sizes[others])]
             hit[others] = True
             hit[i] |= bool(len(others))
-        keep = pa.array(hit)
-        return pa.table([cell.column("bucket").filter(keep), cell.column("node").filter(keep)], ["bucket", "node"])
+        return cell.select(["bucket", "node", "n_shingles"]).filter(pa.array(hit))
 
     kind = open_rows.schema["node"].dataType.simpleString()
-    dealt = cells(open_rows, lambda total: F.ceil(total(F.lit(1)) / BLOCK_SIGNATURES))
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"bucket long, node {kind}").distinct()
+    dealt = cells(open_rows, lambda total: F.ceil(total(F.lit(1)) / BLOCK_SIGNATURES), sets.select("node", "n_shingles", "bands", "signature", "sketch"))
+    found = dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"bucket long, node {kind}, n_shingles long")
+    return found.groupBy("bucket", "node").agg(F.max("n_shingles").alias("n_shingles"))
 
 
-def block_links(rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
-    """(a, b): confirmed links of nodes that ask with nodes of other components of their bucket; rows: (bucket, node, part, asks, n_shingles, signature, items)."""
+def block_links(rows: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFrame:
+    """(a, b): confirmed links of nodes that ask with nodes of other components of their bucket; rows: (bucket, node, part, asks, n_shingles)."""
 
     def run(cell: pa.Table) -> pa.Table:
         test, found = Pairs(ratio, hashes), []
-        nodes, sigs, sets = cell.column("node").to_pylist(), _signatures(cell.column("signature")), _sets(cell.column("items"))
+        nodes, items, sizes = cell.column("node").to_pylist(), _sets(cell.column("items")), _sizes(cell.column("size"))
+        sigs, counts = _signatures(cell.column("signature")), _sketches(cell.column("sketch"))
         asks = np.array(cell.column("asks").to_pylist())
         part = cell.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).copy()
         given = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
             others = given[part[given] != part[i]]
-            hits = test.linked(sigs[i], sets[i], sigs, sets, others) if len(others) else others
+            others = others[test.left(sigs[i], counts[i], sizes[i], sigs[others], counts[others], sizes[others])]
+            hits = others[test.linked(items[i], [items[k] for k in others])] if len(others) else others
             for other, k in dict(zip(part[hits].tolist(), hits.tolist(), strict=True)).items():  # one link to each component
                 found.append((nodes[i], nodes[k]))
                 part[part == other] = part[i]
@@ -310,30 +340,32 @@ def block_links(rows: DataFrame, ratio: tuple[int, int], hashes: int) -> DataFra
         return pa.table([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], ["a", "b"])
 
     kind = rows.schema["node"].dataType.simpleString()
-    dealt = cells(rows, lambda total: F.greatest(F.ceil(total(F.lit(1)) / BLOCK_SETS), F.ceil(total(F.col("n_shingles")) / BLOCK_SHINGLES)))
+    sets = sets.select("node", F.col("n_shingles").alias("size"), "signature", "sketch", "items")
+    dealt = cells(rows, lambda total: F.greatest(F.ceil(total(F.lit(1)) / BLOCK_SETS), F.ceil(total(F.col("n_shingles")) / BLOCK_SHINGLES)), sets)
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def remaining_links(groups: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> tuple[DataFrame, int]:
+def remaining_links(groups: DataFrame, found: DataFrame, sets: DataFrame, ratio: tuple[int, int], hashes: int) -> tuple[DataFrame, int]:
     """(a, b): links between the components `found` so far, within buckets; and how many."""
     wide = groups.where("n > 2").join(found.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left")  # of two nodes one is the centre
     wide = written(wide.select("bucket", "node", "centre", F.coalesce("component", "node").alias("part")), "labelled")
     heads = wide.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("part"))).alias("main"))
     heads = heads.where("low <> high").select(anew("bucket").alias("b"), "main")
-    signed = nodes.select(F.col("node").alias("s"), "signature", "bands")
     rows = wide.join(heads, anew("bucket") == F.col("b")).select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("asks"))
     rows, seen = measured(rows, "open")
     if not seen["n"]:
         return rows.select(F.col("node").alias("a"), F.col("part").alias("b")), 0
-    chosen = written(possible(rows.join(signed, F.col("node") == F.col("s")).drop("s"), ratio, hashes).withColumnsRenamed({"bucket": "b", "node": "o"}), "possible")
-    rows = rows.join(chosen, (F.col("bucket") == F.col("b")) & (F.col("node") == F.col("o"))).drop("b", "o")
-    rows = rows.join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
-    links, seen = measured(block_links(rows, ratio, hashes), "links")
+    chosen, few = measured(possible(rows, sets, ratio, hashes).withColumnsRenamed({"bucket": "b", "node": "o"}), "possible")
+    asked = rows.join(chosen, (F.col("bucket") == F.col("b")) & (F.col("node") == F.col("o"))).drop("b", "o")
+    sets = sets.join(small(chosen.select("o").distinct(), few["n"]), F.col("node") == F.col("o"), "left_semi")
+    links, seen = measured(block_links(asked, sets, ratio, hashes), "links")
+    for table in (wide, rows, chosen):
+        released(table)
     return links, seen["n"]
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, count: int, size: int, threshold: float) -> DataFrame:
-    """(node, n_shingles, signature, items) of the texts of nodes; docs: (doc_id, body)."""
+    """(node, n_shingles, bands, signature, sketch, items) of the texts of nodes; docs: (doc_id, body)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.join(F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes, F.col("doc_id") == F.col("node")).select("node", "body")
 
@@ -341,12 +373,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame, count: int, size: int, threshold:
         hashing = MinHash(bands_for(threshold), ROWS)
         for b in batches:
             items = [shingles(t, size) for t in b.column("body").to_pylist()]
-            sig = [hashing.signature(hashing.minima(x)) if len(x) else None for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([len(x) for x in items], pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "n_shingles", "signature", "items"]
-            )
+            least = [hashing.minima(x) if len(x) else None for x in items]
+            bands, sig, counts = ([f(x) if x is not None and len(x) else None for x in of] for f, of in ((hashing.bands_of, least), (hashing.signature, least), (sketch, items)))
+            columns = {"n_shingles": pa.array([len(x) for x in items], pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "signature": pa.array(sig, pa.binary())}
+            columns |= {"sketch": pa.array(counts, pa.binary()), "items": pa.array([x.tobytes() for x in items], pa.binary())}
+            yield pa.RecordBatch.from_arrays([b.column("node"), *columns.values()], ["node", *columns])
 
-    return texts.mapInArrow(run, f"node {kind}, n_shingles long, signature binary, items binary").where("n_shingles > 0")
+    return texts.mapInArrow(run, f"node {kind}, n_shingles long, bands array<long>, signature binary, sketch binary, items binary").where("n_shingles > 0")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,7 +388,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4,
     hashes = bands_for(threshold) * ROWS
     signatures = written(signed(docs, size, threshold, key, text), "signatures")
     rows = signatures.where("doc_id is not null")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     # doc_ids of several rows, and those of them whose rows have different texts
     repeated, seen = measured(
@@ -374,7 +407,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (4,
         more, extra = measured(named.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "id-links")
         links, total = links.union(more), total + extra["n"]
     found = components(links, total)
-    late, more = remaining_links(groups, found, classes, sets, ratio, hashes)
+    late, more = remaining_links(groups, found, sets, ratio, hashes)
+    released(groups)
+    released(sets)
     if more:
         found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(late), total + more)
     # classes of one text that is linked with nothing need no join
