@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,3 +453,55 @@ def test_texts_of_common_parts_are_not_compared_in_full(spark):
     rows = duplicates._buckets(forms, "doc_id")[1]
     met = sorted((r.one, r.two) for r in duplicates._met(rows.where("bucket >= 0")).collect())
     assert set(met) <= set(pairs)
+
+
+def test_forms_are_made_once_and_shingles_of_the_same_texts_are_one_bucket(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def form(column):
+        made.add(len(column))
+        return column
+
+    words = [f"word{k}" for k in range(600)]
+    texts = [" ".join(words), " ".join(words + ["more"]), " ".join(w + "x" for w in words), "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    forms = table.select("doc_id", F.arrow_udf(form, "string")("text").alias("form"))
+    bodies, rows, _ = duplicates._buckets(forms, "doc_id")
+    assert made.value == len(texts)
+    assert sorted(r.id for r in bodies.collect()) == [0, 1, 2]
+    found = rows.select("id", "bucket").collect()
+    assert {r.id for r in found} == {0, 1} and len(found) <= 6  # seventy shared shingles of a prefix
+    assert sorted((r.one, r.two) for r in duplicates.near_pairs(forms, "doc_id").collect()) == [(0, 1)]
+    assert sorted(r.doc_id for r in duplicates.near_kept(forms, "doc_id").collect()) == [0, 2]
+
+
+def test_no_pass_over_texts_where_nothing_is_looked_for(spark):
+    forms = spark.createDataFrame([(1, "some text")], "doc_id long, form string")
+    none = spark.createDataFrame([("a", ""), ("b", None)], "id string, needle string")
+    found = duplicates.contained(forms, "doc_id", none)
+    assert found.schema.simpleString() == "struct<doc_id:bigint,id:string>" and found.count() == 0
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_digests_of_a_batch_are_those_of_each_text():
+    texts = ["", "a", " a b  c d e f ", "x" * 100 + " y z u v w " + "q" * 33 + " r", "a b c d e", "é " * 7, "a b c d e f", " ", "b c d e f 12345678 123456789 " + "w" * 32]
+    digests, places, words = duplicates._digests(pa.array(["before", *texts, "after this"]).slice(1, len(texts)))
+    shingles = {}
+    for text, low, high, n in zip(texts, places[:-1], places[1:], words, strict=True):
+        w = text.split(" ")
+        assert n == len(w) and digests[low:high].tolist() == duplicates._digests(pa.array([text]))[0].tolist()
+        for k, d in enumerate(digests[low:high].tolist()):
+            assert shingles.setdefault(tuple(w[k : k + 5]), d) == d
+        assert high - low == max(len(w) - 4, 0)
+    assert len(set(shingles.values())) == len(shingles) > 15
+    assert [x.size for x in duplicates._digests(pa.array([], pa.string()))] == [0, 1, 0]
+
+
+def test_levels_count_texts_by_cells(spark):
+    texts = [f"a b c d e f{i // 4}" for i in range(40)] + ["a b c d e " * 3]
+    levels = duplicates._levels(spark.createDataFrame([(t,) for t in texts], "form string").repartition(7))
+    cells = {}
+    for text in texts:
+        for cell in {int(d) >> (64 - duplicates.CELL_BITS) for d in duplicates._digests(pa.array([text]))[0]}:
+            cells[cell] = cells.get(cell, 0) + 1
+    assert {c: int(levels[c]) for c in cells} == {c: n.bit_length() for c, n in cells.items()} and np.count_nonzero(levels) == len(cells)

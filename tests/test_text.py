@@ -126,6 +126,20 @@ def test_near_duplicates():
     assert not P.near_duplicate("", "x")
 
 
+def test_forms_of_long_texts():
+    rng = random.Random(3)
+    plain = lambda text: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", text).casefold()))
+    for letters in ("ab C_-9\x00\n.", "ab cé_-ß ½ﬁ́\u200b漢퟿😀\x00\n ١"):
+        for n in (199, 200, 201, 1000):
+            for edge in ("", " - ", "é", "a"):
+                text = edge + "".join(rng.choice(letters) for _ in range(n)) + edge
+                assert P.evidence_form(text) == plain(text)
+    assert P.evidence_form(" -." * 200) == P.evidence_form("—" * 200) == ""
+    for start in range(0, 0x110000, 997):
+        text = "".join(chr(c) for c in range(start, min(start + 997, 0x110000)) if not 0xD800 <= c < 0xE000)
+        assert P.evidence_form(text) == plain(text)
+
+
 def test_safe_double(spark):
     rows = spark.createDataFrame([("12.5",), ("nan",), ("inf",), ("x",), (None,)], "t string").select(X.safe_double(F.col("t")).alias("v")).collect()
     assert [r.v for r in rows] == [12.5, None, None, None, None]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,10 @@ from . import lexicon as L
 from .text import BIDI
 
 MAX_NESTING = 12
+#: Characters up to which a text's words are looked for one by one.
+SHORT_CHARS = 200
+#: Bytes of words as they are, all others as spaces.
+ASCII_WORDS = bytes(i if re.match(r"\w", chr(i)) else 32 for i in range(128)) + b" " * 128
 
 
 def clean(text: str) -> str:
@@ -75,9 +82,30 @@ def match_form(value: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
 
 
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Whether a character is one of words, for all there are."""
+    found = np.zeros(sys.maxunicode + 1, bool)
+    for run in re.finditer(r"\w+", "".join(map(chr, range(sys.maxunicode + 1)))):
+        found[run.start() : run.end()] = True
+    return found
+
+
 def evidence_form(value: str) -> str:
     """As match_form, with every run of other than word characters as one space."""
-    return " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", value).casefold()))
+    folded = unicodedata.normalize("NFKC", value).casefold()
+    if len(folded) < SHORT_CHARS:
+        return " ".join(re.findall(r"\w+", folded))
+    if folded.isascii():
+        coding, characters = "ascii", np.frombuffer(folded.encode("ascii").translate(ASCII_WORDS), np.uint8)
+    else:
+        coding, characters = "utf-32-le", np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), "<u4")
+        characters = np.where(_word_characters().take(characters), characters, np.uint32(32))
+    word = characters != 32
+    kept = word.copy()
+    kept[:-1] |= word[1:]  # of a run of others, the one before a word
+    kept[: word.argmax()] = False
+    return characters[kept].tobytes().decode(coding, "surrogatepass")
 
 
 def shingle_set(text: str, size: int = 5) -> set[tuple[str, ...]]:
