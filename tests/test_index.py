@@ -505,3 +505,17 @@ def test_levels_count_texts_by_cells(spark):
         for cell in {int(d) >> (64 - duplicates.CELL_BITS) for d in duplicates._digests(pa.array([text]))[0]}:
             cells[cell] = cells.get(cell, 0) + 1
     assert {c: int(levels[c]) for c in cells} == {c: n.bit_length() for c, n in cells.items()} and np.count_nonzero(levels) == len(cells)
+
+
+def test_texts_of_one_bucket_that_are_not_alike_are_not_waited_for(spark, monkeypatch):
+    rounds, several = [], duplicates._several
+    monkeypatch.setattr(duplicates, "_several", lambda rows: rounds.append(1) or several(rows))
+    parts = [" ".join(f"p{p}w{w}" for w in range(30)) for p in range(8)]
+    texts = [" ".join(parts[p] for p in sorted({i % 8, (i + 1) % 8, (i + 3) % 8, (i // 8 + 5) % 8})) + f" own{i}" for i in range(96)]
+    texts += [f"{texts[0]} and one more", f"{texts[5]} and one more"]
+    kept = duplicates.near_kept(spark.createDataFrame(list(enumerate(texts)), "doc_id long, form string"), "doc_id").collect()
+    want = []
+    for i, text in enumerate(texts):
+        if not any(pytext.near_duplicate(texts[k], text) for k in want):
+            want.append(i)
+    assert sorted(r.doc_id for r in kept) == want and not rounds

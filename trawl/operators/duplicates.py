@@ -352,11 +352,16 @@ def _possible(other: Callable[[str], Column]) -> Column:
 
 def _met(rows: DataFrame) -> DataFrame:
     """(one, two), one < two: prefixes meet prefixes, owners of an anchor meet all that are looked up under it."""
+    return _pairs_met(rows).distinct()
+
+
+def _pairs_met(rows: DataFrame) -> DataFrame:
+    """As `_met`, a row for every bucket in which two texts meet."""
     own = rows.where("bucket >= 0 or owner")
     others = rows.select(F.col("id").alias("other"), F.col("bucket").alias("b"), F.struct("n", "owner", "sketch").alias("their"))
     once = F.when(F.col("bucket") >= 0, F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other"))
     pairs = own.join(others, (F.col("bucket") == F.col("b")) & once & _possible(lambda name: F.col(f"their.{name}")))
-    return pairs.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two")).distinct()
+    return pairs.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two"))
 
 
 def _nearly(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -399,8 +404,8 @@ def near_pairs(forms: DataFrame, key: str) -> DataFrame:
     return _nearly(_met(rows), bodies).union(within).distinct()
 
 
-#: Pairs for each row of a bucket up to which buckets are compared whole.
-PAIRS_A_ROW = 4
+#: Meetings of pairs that sketches leave, for each row of a bucket, up to which buckets are compared whole; rows that are counted at least; pairs up to which sketches are asked.
+PAIRS_A_ROW, FEW_ROWS, ASKED_PAIRS = 4, 10_000, 1 << 28
 
 
 def near_kept(forms: DataFrame, key: str) -> DataFrame:
@@ -409,19 +414,22 @@ def near_kept(forms: DataFrame, key: str) -> DataFrame:
     Texts that could be alike share a bucket.  A round takes the texts that come
     first in all of their buckets: no text before them is open, so they are kept, and are compared with the others of
     their buckets, which closes their near duplicates.  A bucket of n texts costs n comparisons a round, not n * n,
-    and a group of near copies is closed in one round, however large.  Once the open buckets are small,
-    what is left is compared whole and walked by `kept_in_order`.  Null and empty forms are not kept.
+    and a group of near copies is closed in one round, however large.  Once sketches leave few pairs in the open
+    buckets, what is left is compared whole and walked by `kept_in_order`.  Texts that share a bucket but are not alike
+    retire from it one a round; so that these are not waited for, each round doubles what is few.  Null and empty forms are not kept.
     """
     bodies, rows, within = _buckets(forms, key)
     # the few pairs that an automaton finds are buckets of two, with either as an owner
     pairs = within.select(F.explode(F.array("one", "two")).alias("id"), (-F.abs(F.xxhash64("one", "two")) - 1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("owner"), F.lit(None).cast(rows.schema["sketch"].dataType).alias("sketch"))
-    open_rows, closed = rows.union(pairs), None
+    open_rows, closed, patience = rows.union(pairs), None, 1
     while True:
         sizes = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("owner").alias("owners"))
         whole = F.when(F.col("bucket") >= 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("owners"))
         total = sizes.agg(F.sum("n").alias("rows"), F.sum(whole).alias("pairs")).first()
-        if (total["pairs"] or 0) <= PAIRS_A_ROW * (total["rows"] or 0):
+        few = patience * PAIRS_A_ROW * max(total["rows"] or 0, FEW_ROWS)
+        if (total["pairs"] or 0) <= few or (total["pairs"] <= patience * ASKED_PAIRS and _pairs_met(open_rows).count() <= few):
             break
+        patience *= 2
         leaders = open_rows.groupBy(F.col("bucket").alias("b")).agg(F.min_by(F.struct("id", "n", "owner", "sketch"), "id").alias("leader"))
         led = open_rows.join(leaders, F.col("bucket") == F.col("b")).select("id", "bucket", "n", "owner", "sketch", "leader")
         safe = written(led.groupBy(F.col("id").alias("safe")).agg(F.max(F.col("leader.id") < F.col("id")).alias("later")).where("not later").select("safe"), "safe")
